@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import wavelet
+from quernstone.llm import notices, postings, simhash, wavelet
 from quernstone.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -26,3 +26,22 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op1_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, written as wavelet shards and read back."""
     return wavelet.token_output(table(spark, sf_dir, "documents"), vocabulary(), shared_folder(spark, "wavelet"))
+
+
+@query
+def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark contamination of every document."""
+    found = postings.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return notices.scan_notices(table(spark, sf_dir, "documents")).drop("spans")
