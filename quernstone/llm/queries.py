@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import notices, postings, simhash, wavelet
+from quernstone.llm import curriculum, notices, postings, secrets, simhash, wavelet
 from quernstone.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -45,3 +45,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
     return notices.scan_notices(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share in the mix and its training position."""
+    mixed = curriculum.in_order(curriculum.plan(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
