@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import alnum_words, shared_folder
+from quernstone.llm.common import alnum_words, shared_folder, stored
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20  # of test text in a broadcast block
@@ -226,3 +226,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sl
         spans.alias("hits"),
         F.size("near").cast("long").alias("n_near"),
     ).withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
+
+
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated. Contamination is a matter of the text, so texts go by their digest."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = stored(decontaminate(texts, items, **options).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.alias("d").join(bad.alias("b"), F.xxhash64("d.text") == F.col("b.doc_id"), "left_anti")

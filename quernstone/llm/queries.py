@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import curriculum, notices, postings, secrets, simhash, wavelet
+import corpus_pipeline
+from quernstone.llm import cotrain, curriculum, notices, postings, secrets, simhash, wavelet
 from quernstone.llm.common import shared_folder, table
+from quernstone.llm.wavelet import vocabulary
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -16,12 +18,6 @@ def query(fn):
     return fn
 
 
-def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op1_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, written as wavelet shards and read back."""
@@ -58,3 +54,16 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document, by models co-trained on ``labels``."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return cotrain.classify(documents, labels, targets=("quality", "toxic"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline, stage after stage."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -214,6 +214,13 @@ class PieceEncoder:
         ]
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The path of an installed public vocabulary, the default of the ``tokenizer_path`` parameters."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
