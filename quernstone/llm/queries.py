@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quernstone.llm import cotrain, curriculum, notices, postings, secrets, simhash, wavelet
+from quernstone.llm import cotrain, curriculum, hilbert, notices, postings, secrets, simhash, wavelet
 from quernstone.llm.common import shared_folder, table
 from quernstone.llm.wavelet import vocabulary
 
@@ -67,3 +67,9 @@ def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, stage after stage."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every twentieth vector."""
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"))
