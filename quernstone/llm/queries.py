@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quernstone.llm import cotrain, curriculum, hilbert, notices, postings, secrets, simhash, wavelet
+from quernstone.llm import backoff, cotrain, curriculum, hilbert, notices, postings, secrets, simhash, wavelet
 from quernstone.llm.common import shared_folder, table
 from quernstone.llm.wavelet import vocabulary
 
@@ -73,3 +73,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest others of every twentieth vector."""
     return hilbert.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff score of every document against the rest of the corpus."""
+    return backoff.score(table(spark, sf_dir, "documents"))
