@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quernstone.llm import backoff, cotrain, curriculum, hilbert, notices, postings, secrets, simhash, wavelet
+from quernstone.llm import backoff, cotrain, curriculum, hilbert, notices, postings, secrets, simhash, surrogates, wavelet
 from quernstone.llm.common import shared_folder, table
 from quernstone.llm.wavelet import vocabulary
 
@@ -79,3 +79,9 @@ def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram stupid-backoff score of every document against the rest of the corpus."""
     return backoff.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data; the key is a parameter of production runs."""
+    return surrogates.pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get("quernstone.surrogate.key", "check").encode())
