@@ -22,7 +22,7 @@ def _json_texts(value) -> list[str]:
     return [t for k in sorted(value) for t in _json_texts(value[k])] if isinstance(value, dict) else []
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def flatten_json(texts: pd.Series) -> pd.Series:
     """The scalars of a JSON value in key order, joined by spaces; other text stays, null gives null."""
 
@@ -72,7 +72,7 @@ def jaro_winkler_value(a: str, b: str) -> float:
 
 
 def _pairwise(fn):
-    @F.pandas_udf("double")
+    @F.pandas_udf(ty.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -130,7 +130,7 @@ def clean_lines_text(content: str, name: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def clean_lines(content: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else clean_lines_text(c, n or "") for c, n in zip(content, name)])
 
@@ -193,7 +193,7 @@ def composition(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [dict(zip(("name", "amount", "unit", "original"), e)) for e in composition_entries(t)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def ratio(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else ratio_text(t))
 
@@ -216,7 +216,7 @@ def formula_names_in(text: str) -> list[str]:
     return list(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ty.ArrayType(ty.StringType()))
 def formula_names(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else formula_names_in(t))
 
@@ -229,7 +229,7 @@ def fnv_hex(text: str) -> str:
     return f"{h:016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def fnv(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fnv_hex(t))
 

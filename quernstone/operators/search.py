@@ -7,6 +7,7 @@ columns that a table lacks read as null.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,20 +105,15 @@ def bm25(docs: DataFrame, columns: list[str], query: str) -> DataFrame:
     A column at a time is matched; length counts all columns. Smaller is better, as idf and frequency are negated.
     One pass gathers corpus size and mean length, a second scores the hits.
     """
-    phrase = [t for t in query.lower().split() if t]
+    # words stand between single spaces, so hits are counted by one pattern and no array is built
+    spaced = (lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), TOKEN, " "), F.lit(" ")))
+    phrase = " ".join(re.escape(t) for t in re.split(r"\W+", query.lower()) if t)
     prefix = query.isascii() and query.isalnum()
-
-    def instances(toks: Column) -> Column:
-        if prefix:
-            return F.size(F.filter(toks, lambda t: t.startswith(query.lower())))
-        at = F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1)))
-        return F.size(F.filter(at, lambda i: F.slice(toks, i, len(phrase)) == F.array(*map(F.lit, phrase))))
-
-    split = docs.select("id", *(tokens(c).alias(c) for c in columns))
-    counted = split.select(
+    hit = F.lit(f" {phrase}" if prefix else f"(?= {phrase} )")
+    counted = docs.select(
         "id",
-        sum((instances(F.col(c)) for c in columns), F.lit(0)).alias("f"),
-        sum((F.size(c) for c in columns), F.lit(0)).alias("dl"),
+        sum((F.regexp_count(spaced(c), hit) for c in columns), F.lit(0)).alias("f"),
+        sum((F.regexp_count(spaced(c), F.lit("[^ ]+")) for c in columns), F.lit(0)).alias("dl"),
     )
     whole = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.count_if(F.col("f") > 0).alias("n_hit"))
     raw = F.log((F.col("n_docs") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5))
