@@ -219,27 +219,45 @@ def sample(docs: DataFrame, labels: DataFrame, targets: list[str], labelled: int
     return features(rows).dropDuplicates(["doc_id"]).join(chosen, "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, targets=("quality",), labelled: int = 6000, pool: int = 4000, least_documents: int = 4, **options) -> dict[str, CoModel | None]:
+PACKED = "doc_id long, cols binary, logs binary, dense array<double>, slots array<int>, sizes array<double>"
+
+
+def pack(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
+    """Sample rows with their words as numbers in the vocabulary (which the sample bounds), and 1 + log of the counts."""
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(sent.value)}
+        for batch in batches:
+            cols, logs = [], []
+            for words, counts in zip(batch.column(1), batch.column(2)):
+                both = [(place[w], n) for w, n in zip(words.as_py(), counts.as_py()) if w in place]
+                at = np.array(both, np.int32).reshape(-1, 2)
+                cols.append(at[:, 0].tobytes())
+                logs.append((1 + np.log(at[:, 1])).astype(np.float32).tobytes())
+            rest = [batch.column(i) for i in (3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.binary()), pa.array(logs, pa.binary()), *rest], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    return rows.select(*(c.split()[0] for c in FEATURES.split(", "))).mapInArrow(run, PACKED)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, targets=("quality",), labelled: int = 4000, pool: int = 3000, least_documents: int = 4, **options) -> dict[str, CoModel | None]:
     """A model for each target column of ``labels``; None where the labels hold fewer than two classes."""
-    names = [c.split()[0] for c in FEATURES.split(", ")]
-    rows = sorted(sample(docs, labels, list(targets), labelled, pool).select(*names, *targets).collect(), key=lambda r: r[0])
-    counts = Counter(bytes(w) for r in rows for w in r[1])
-    vocabulary = sorted(w for w, n in counts.items() if n >= least_documents)
-    place = {w: i for i, w in enumerate(vocabulary)}
-    row, col, value = [], [], []
-    for i, r in enumerate(rows):
-        for w, n in zip(map(bytes, r[1]), r[2]):
-            if w in place:
-                row.append(i)
-                col.append(place[w])
-                value.append(1 + np.log(n))
-    dense = np.array([r[3] for r in rows], float).reshape(len(rows), -1)
-    content = Rows(np.array(row, np.int64), np.array(col, np.int64), np.array(value), dense, len(vocabulary))
-    slots = np.array([r[4] for r in rows], np.int64).reshape(len(rows), -1)
-    meta = Rows(np.repeat(np.arange(len(rows)), slots.shape[1] if len(rows) else 0), slots.ravel(), np.ones(slots.size), np.array([r[5] for r in rows], float).reshape(len(rows), -1), SLOTS)
+    rows = stored(sample(docs, labels, list(targets), labelled, pool), "features")
+    counted = rows.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= least_documents)
+    vocabulary = sorted(bytes(r[0]) for r in counted.select("w").collect())
+    told = {r[0]: r[1:] for r in rows.select("doc_id", *targets).collect()}
+    packed = pack(rows, vocabulary).toArrow().sort_by("doc_id")
+    cols = [np.frombuffer(v.as_py(), np.int32) for v in packed["cols"]]
+    n = len(cols)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols])
+    col, value = (np.concatenate(x) if n else np.zeros(0, t) for x, t in ((cols, np.int32), ([np.frombuffer(v.as_py(), np.float32) for v in packed["logs"]], np.float32)))
+    dense, slots, sizes = (np.array(packed[c].to_pylist(), t).reshape(n, -1) for c, t in (("dense", float), ("slots", np.int32), ("sizes", float)))
+    content = Rows(row, col, value, dense, len(vocabulary))
+    meta = Rows(np.repeat(np.arange(n, dtype=np.int32), slots.shape[1]), slots.ravel(), np.ones(slots.size, np.float32), sizes, SLOTS)
     models: dict[str, CoModel | None] = {}
     for i, target in enumerate(targets):
-        y = np.array([-1 if r[6 + i] is None else int(r[6 + i]) for r in rows], np.int64)
+        y = np.array([-1 if told[d][i] is None else int(told[d][i]) for d in packed["doc_id"].to_pylist()], np.int64)
         models[target] = cotrain(content, meta, y, vocabulary, **options) if len(set(y.tolist()) - {-1}) == 2 else None
     return models
 
