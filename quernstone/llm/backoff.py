@@ -41,15 +41,19 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _short(hashes: np.ndarray) -> bytes:
-    """48-bit hashes as six bytes each."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _short(hashes: np.ndarray, base: int) -> bytes:
+    """Ascending hashes from ``base`` on as steps of four bytes each; of eight where a step is longer."""
+    steps = np.diff(hashes, prepend=np.uint64(base))
+    return b"4" + steps.astype("<u4").tobytes() if int(steps.max()) < 1 << 32 else b"8" + steps.astype("<u8").tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _long(data: bytes, base: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, f"<u{chr(data[0])}", offset=1), dtype=np.uint64) + np.uint64(base)
+
+
+def _base(bucket: int, buckets: int) -> int:
+    """The first hash of a bucket."""
+    return (bucket << int(BITS)) // buckets
 
 
 def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
@@ -112,7 +116,7 @@ def asked(chunked: DataFrame, order: int, buckets: int) -> DataFrame:
     """Each chunk's distinct n-grams with counts, sorted and cut by hash range into ``buckets``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << int(BITS)) // buckets for i in range(1, buckets)], np.uint64)
+        edges = np.array([_base(b, buckets) for b in range(1, buckets)], np.uint64)
         for batch in batches:
             for r in range(batch.num_rows):
                 name, lengths, words, hashes = (batch.column(c)[r].as_py() for c in ("chunk", "lengths", "words", "hashes"))
@@ -121,7 +125,7 @@ def asked(chunked: DataFrame, order: int, buckets: int) -> DataFrame:
                     distinct, counts = np.unique(chunk.grams(n)[1], return_counts=True)
                     cuts = [0, *np.searchsorted(distinct, edges).tolist(), len(distinct)]
                     rows = [
-                        (b, name, n, _short(distinct[x:y]), _pack(counts[x:y].astype("<u4")))
+                        (b, name, n, _short(distinct[x:y], _base(b, buckets)), _pack(counts[x:y].astype("<u4")))
                         for b, (x, y) in enumerate(zip(cuts, cuts[1:]))
                         if y > x
                     ]
@@ -153,7 +157,7 @@ def told(requests: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
-            hashes = [_long(g[3]) for g in group]
+            hashes = [_long(g[3], _base(g[0], buckets)) for g in group]
             _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
             totals = np.bincount(inverse, weights=np.concatenate([_unpack(g[4], "<u4") for g in group]).astype(float))
             answer = totals[inverse].astype("<u8")
