@@ -200,7 +200,7 @@ def ratio(texts: pd.Series) -> pd.Series:
 
 # Characters that end a formula's name, and those that part it from what stands before.
 FORMULA_ENDS = "汤丸散方饮剂"
-FORMULA_BREAKS = " \t\n\r，,。.；;：:、（）()《》“”\"'！!？?的和与及或"
+FORMULA_BREAKS = " \t\n\r\f\v\u3000\u00a0，。、；;:：“”\"'？?！!"
 
 
 def formula_names_in(text: str) -> list[str]:

@@ -224,10 +224,11 @@ def attach_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
         return V.first_text(F.col("record"), *names)
 
     weight = V.clamp(F.coalesce(V.lenient_long(get("weight")), F.lit(80)), 1, 200)
-    told = terms.select(
-        F.explode(F.array(get("item_code"), get("item_name"))).alias("key"),
-        F.struct(get("term").alias("term"), F.concat(F.lit("package_"), F.coalesce(get("term_type"), F.lit("imported_package"))).alias("term_type"), weight.alias("weight")).alias("t"),
-    ).where("key is not null and t.term is not null")
+    plain = terms.select(
+        F.array(get("item_code"), get("item_name")).alias("keys"), get("term").alias("term"),
+        F.concat(F.lit("package_"), F.coalesce(get("term_type"), F.lit("imported_package"))).alias("term_type"), weight.alias("weight"),
+    ).where("term is not null")
+    told = plain.select(F.explode("keys").alias("key"), "term", "term_type", "weight").where("key is not null").select("key", F.struct("term", "term_type", "weight").alias("t"))
     keys = rows.select("path", "row_index", F.explode(F.array_distinct(F.array(T.blank_to_null(F.try_element_at("record", F.lit("code"))), T.blank_to_null(F.try_element_at("record", F.lit("name")))))).alias("key"))
     found = keys.join(told, "key").groupBy("path", "row_index").agg(F.array_sort(F.collect_set("t")).alias("package_terms"))
     return rows.join(found, ["path", "row_index"], "left")

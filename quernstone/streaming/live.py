@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, schema, *, files_a_trigger: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time with a zone
 
 
 def windowed_counts(events: DataFrame, *, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
