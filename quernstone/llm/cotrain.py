@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, *, targets=("quality",), labelled:
     n = len(cols)
     row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols])
     col, value = (np.concatenate(x) if n else np.zeros(0, t) for x, t in ((cols, np.int32), ([np.frombuffer(v.as_py(), np.float32) for v in packed["logs"]], np.float32)))
-    dense, slots, sizes = (np.array(packed[c].to_pylist(), t).reshape(n, -1) for c, t in (("dense", float), ("slots", np.int32), ("sizes", float)))
+    dense, slots, sizes = (np.array(packed[c].to_pylist(), t).reshape((n, -1) if n else (0, 0)) for c, t in (("dense", float), ("slots", np.int32), ("sizes", float)))
     content = Rows(row, col, value, dense, len(vocabulary))
     meta = Rows(np.repeat(np.arange(n, dtype=np.int32), slots.shape[1]), slots.ravel(), np.ones(slots.size, np.float32), sizes, SLOTS)
     models: dict[str, CoModel | None] = {}

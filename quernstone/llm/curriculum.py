@@ -149,28 +149,22 @@ def mix(docs: DataFrame, *, schedules=SCHEDULES, **options) -> DataFrame:
     there is such a column, then counts what is left. Documents that the mix doesn't take are absent.
     """
     planned = stored(plan(docs, schedules=schedules, **options).where("taken > 0"), "plan")
-    # repeated rows have equal doc_id and text: pair them by number so that each meets its own share
-    same = Window.partitionBy("doc_id", "digest").orderBy("begin")
-    planned = planned.withColumn("_nth", F.row_number().over(same)).withColumnRenamed("doc_id", "_doc_id")
-    repeated = docs.groupBy("doc_id", F.xxhash64("text").alias("digest")).count().where("count > 1").limit(1).count() > 0
-    numbered = docs.withColumn("_digest", F.xxhash64("text"))
-    numbered = numbered.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.lit(1)))) if repeated else numbered.withColumn("_nth", F.lit(1))
-    numbered = numbered.alias("d")
-    p = planned.withColumnRenamed("_nth", "_n").alias("p")
-    both = numbered.join(
-        p, F.col("d.doc_id").eqNullSafe(F.col("p._doc_id")) & (F.col("d._digest") == F.col("p.digest")) & (F.col("d._nth") == F.col("p._n"))
-    )
-    each = both.withColumn("_pass", F.explode(F.sequence(F.lit(0), (F.col("p.passes") - 1).cast("int"))))
-    left = F.col("p.taken") - F.col("_pass") * F.col("p.size")
-    cut = left < F.col("p.size")
-    part = F.array_join(F.slice(F.filter(F.split("d.text", SPACE), lambda w: w != ""), F.lit(1), left.cast("int")), " ")
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.when(cut, part).otherwise(F.col("d.text")).alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(cut, F.length(part).cast("long")).otherwise(F.col("d.n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(f"d.`{c}`"))
-    ordered = in_order(each.select(*columns, position(F.col("_pass"), schedules).alias("position")))
-    return ordered.drop("position")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # repeated rows have equal doc_id and text: they are paired by number so that each meets its own share
+    repeated = not docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty()
+    same = Window.partitionBy("doc_id", "digest")
+    planned = planned.withColumn("nth", F.row_number().over(same.orderBy("begin")) if repeated else F.lit(1))
+    rows = rows.withColumn("nth", F.row_number().over(same.orderBy(F.lit(1))) if repeated else F.lit(1))
+    both = rows.alias("r").join(
+        planned.alias("p"),
+        F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("r.digest") == F.col("p.digest")) & (F.col("r.nth") == F.col("p.nth")),
+    ).drop(F.col("r.digest"), F.col("r.nth"), F.col("r.doc_id"))
+    each = both.withColumn("pass", F.explode(F.sequence(F.lit(0), (F.col("passes") - 1).cast("int"))))
+    left = F.col("taken") - F.col("pass") * F.col("size")
+    cut = left < F.col("size")
+    part = F.array_join(F.slice(F.filter(F.split("row.text", SPACE), lambda w: w != ""), F.lit(1), left.cast("int")), " ")
+    row = F.col("row").withField("text", F.when(cut, part).otherwise(F.col("row.text")))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(cut, F.length(part).cast("long")).otherwise(F.col("row.n_chars")))
+    placed = each.select("doc_id", row.alias("row"), position(F.col("pass"), schedules).alias("position"))
+    return in_order(placed).select("row.*")
