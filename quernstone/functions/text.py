@@ -263,7 +263,7 @@ def canonical_key(c) -> tuple[Column, Column]:
 
 #: Keywords that tell an acupuncture question, and those that tell one about medicines.
 NEEDLE_WORDS = ["针", "灸", "穴", "经络"]
-MEDICINE_WORDS = ["方", "汤", "丸", "散", "药", "剂"]
+MEDICINE_WORDS = ["药", "方", "咳嗽", "治疗", "怎么治"]
 
 
 def intent(c) -> Column:

@@ -348,6 +348,54 @@ def undo_step(staged: DataFrame, log: DataFrame) -> DataFrame:
     return back.withColumn("normalized", F.when(F.col("old").isNull(), F.col("normalized")).otherwise(restored)).drop("old")
 
 
+def edited(staged: DataFrame, row_index: int, field: str, value: str) -> DataFrame:
+    """Staged rows with one field of one row set, validated anew."""
+    row = F.col("row_index") == row_index
+    changed = staged.withColumn("normalized", F.when(row, put(F.col("normalized"), {field: F.lit(value)})).otherwise(F.col("normalized")))
+    n = F.col("normalized")
+    told = changed.withColumn("issues", row_issues(*(F.try_element_at(n, F.lit(f)) for f in ("type", "name", "code"))))
+    return told.withColumns({"status": status_of(F.col("issues")), "error_message": messages(F.col("issues"), "error"), "warning_message": messages(F.col("issues"), "warning")})
+
+
+def confirmed(staged: DataFrame, items: DataFrame, batch_id: int) -> DataFrame:
+    """The items with a new one for each staged row without errors, ids after the largest, in row order."""
+    top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    rows = numbered(staged.where("status != 'error'"), "row_index").crossJoin(F.broadcast(top))  # top: one row
+    n = F.col("normalized")
+    fields = [F.try_element_at(n, F.lit(f)).alias(f) for f in ITEM_FIELDS]
+    made = rows.select((F.col("top") + F.col("number")).alias("id"), *fields, F.to_json(V.residual(n)).alias("detail"), F.lit(batch_id).alias("import_batch_id"))
+    return items.unionByName(made, allowMissingColumns=True)
+
+
+def rolled_back_batch(items: DataFrame, batch_id: int) -> DataFrame:
+    """Items without those that the batch created; rows that it only met stay."""
+    return items.where(~F.col("import_batch_id").eqNullSafe(F.lit(batch_id)))
+
+
+# Fields that rows of the maintenance types need, alternatives together.
+MAINTENANCE = {
+    "standard_terms_v1": [["term_type"], ["standard_name"]],
+    "search_terms_v1": [["term"], ["item_id", "item_code", "item_name"]],
+    "relation_suggestions_v1": [["relation_type"], ["source_item_id", "source_code", "source_name"], ["target_item_id", "target_code", "target_name"]],
+}
+
+
+def maintenance_issues(record: Column, kind: str) -> Column:
+    rules = [issue(get(record, *names).isNull(), "error", "required", names[0], f"{' or '.join(names)} is required") for names in MAINTENANCE.get(kind, [])]
+    return F.filter(F.array(*rules), lambda i: i.isNotNull()) if rules else F.array().cast(f"array<{ISSUE}>")
+
+
+def infer_intent(explicit: str | None, profile: str | None, detected_type: str, package_name: str | None = None) -> str:
+    """The import's intent: as told, else by profile, package name and detected type."""
+    if explicit is not None:
+        return explicit
+    if profile == "classics_curated_v1":
+        return "classic_text"
+    if profile == "pdf_herb_notes_private_v1" or "ni_notes" in (package_name or ""):
+        return "annotation_enrichment"
+    return "search_terms" if detected_type == "search_terms_v1" else "primary_seed"
+
+
 def plan_action(name, content, existing_id, similar, same_source, intent, mergeable, policy) -> Column:
     """Struct (action, confidence) of an import row by the decision table; conditions are tried from the top."""
     similar, same_source, mergeable = (F.coalesce(c, F.lit(False)) for c in (similar, same_source, mergeable))
@@ -396,7 +444,7 @@ def plan(drafts: DataFrame, items: DataFrame, intent: str, policy: str | None =
 def execute(planned: DataFrame, items: DataFrame, run_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items after the plan, annotations made, change log). New ids follow the largest one in row order.
 
-    Row order needs one running number: new rows are numbered within ranges of row_index whose sizes are summed first.
+    New rows are numbered within ranges of row_index whose sizes are summed first.
     """
     top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     new = numbered(planned.where("action = 'create_new'"), "row_index").crossJoin(F.broadcast(top))  # top: one row
@@ -422,11 +470,14 @@ def rollback(before: DataFrame, after: DataFrame, log: DataFrame, now: DataFrame
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with ``number`` from 1 in the given order, over two levels: range partitions, then within each."""
-    from pyspark.sql.functions import spark_partition_id
+    """Rows with ``number`` from 1 by a numeric column, over two levels: ranges between quantiles, then within each.
 
+    The bounds are fixed numbers in the plan, so the ranges' sizes and their rows agree however often they are computed.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, order).withColumn("_p", spark_partition_id())
+    bounds = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: F.col(order) >= b)) if bounds else F.lit(0)
+    dealt = rows.withColumn("_p", part)
     sizes = dealt.groupBy("_p").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return dealt.join(F.broadcast(sizes), "_p").withColumn("number", F.col("_base") + within).drop("_p", "_base")  # sizes: a row a partition
+    return dealt.join(F.broadcast(sizes), "_p").withColumn("number", F.col("_base") + within).drop("_p", "_base")  # sizes: a row a range

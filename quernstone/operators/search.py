@@ -153,19 +153,63 @@ def snippet_or_start(query: str, content="content", summary="summary", detail="d
     return F.coalesce(snippet(content, query), snippet(summary, query), snippet(detail, query), T.truncate(content, 120))
 
 
-#: Groups in the order in which they are shown, by type.
-GROUPS = {"herb": "中药", "formula": "方剂", "meridian": "经络", "acupoint": "穴位", "syndrome": "证型", "theory": "理论", "disease": "病症", "note": "笔记"}
+#: Groups by type, in the order in which they are shown.
+GROUPS = {"herb": "中药", "formula": "方剂", "acupoint": "穴位", "meridian": "经络", "theory": "原典章节", "syndrome": "原典条文", "note": "注解资料"}
+OTHER = "其他"
 
 
 def group_name(kind, category=None) -> Column:
     """The group of a type; ``acupuncture`` is split by whether the category names a channel."""
     c = F.lit("") if category is None else F.coalesce(T.col(category), F.lit(""))
     split = F.when(F.contains(c, F.lit("经")), "经络").otherwise("穴位")
-    return F.when(T.col(kind) == "acupuncture", split).otherwise(F.coalesce(T.lookup(kind, GROUPS), F.lit("其他")))
+    return F.when(T.col(kind) == "acupuncture", split).otherwise(F.coalesce(T.lookup(kind, GROUPS), F.lit(OTHER)))
 
 
 def group_order(name) -> Column:
-    return F.coalesce(F.array_position(F.array(*map(F.lit, GROUPS.values())), T.col(name)).cast("int"), F.lit(99))
+    """Place of a group from 1; 99 for one that isn't known."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, [*GROUPS.values(), OTHER])), T.col(name)), F.lit(0)).cast("int"), F.lit(99))
+
+
+#: What each filter of the search page allows, by type and by group.
+FILTERS = {
+    "中药": (["herb"], ["中药"]), "方剂": (["formula"], ["方剂"]), "穴位": (["acupoint"], ["穴位"]), "经络": (["meridian"], ["经络"]),
+    "针灸": (["acupuncture", "acupoint", "meridian"], ["穴位", "经络"]), "原典": (["theory", "syndrome"], ["原典章节", "原典条文"]),
+}
+
+
+def allows(name: str, kind="type", group="group_name", has_annotations="has_annotations", matched_by="matched_by") -> Column:
+    """Whether a result passes the named filter; an unknown or empty name lets all pass."""
+    if name == "注解":
+        return T.col(has_annotations) | F.contains(matched_by, F.lit("annotation"))
+    if name not in FILTERS:
+        return F.lit(True)
+    kinds, groups = FILTERS[name]
+    return T.col(kind).isin(kinds) | T.col(group).isin(groups)
+
+
+def item_filter(*, item_type: str | None = None, status: str | None = None, favorite: bool | None = None, text: str | None = None, columns: list[str] | None = None) -> Column:
+    """All given conditions; those that are None don't filter. Text may stand in any of the columns, in either case."""
+    out = F.lit(True)
+    for c, v in (("type", item_type), ("data_status", status), ("is_favorite", favorite)):
+        out = out if v is None else out & (F.col(c) == v)
+    if text:
+        any_hit = F.lit(False)
+        for c in columns or ["name", "code", "alias", "pinyin", "category", "summary", "content", "source_note", "tags", "detail"]:
+            any_hit = any_hit | F.coalesce(contains_ci(c, text), F.lit(False))
+        out = out & any_hit
+    return out
+
+
+def probe(terms: DataFrame, listing: DataFrame, queries: list[str]) -> DataFrame:
+    """(query, item_id, score): the first hit of each query, all queries in one pass over the terms."""
+    q = F.explode(F.array(*map(F.lit, queries)))
+    asked = terms.withColumn("query", q).withColumn("needle", T.normalize("query"))
+    hits = asked.where(F.contains("term", F.col("needle")))
+    bonus = F.when(F.col("term") == F.col("needle"), 120).when(F.startswith("term", F.col("needle")), 70).otherwise(25)
+    scored = hits.groupBy("query", "item_id").agg(F.max(F.col("weight") + bonus).alias("score"))
+    seen = scored.join(listing.where(F.col("data_status").isin(SEARCHABLE)).select("item_id"), "item_id")
+    best = F.min_by("item_id", F.struct(-F.col("score"), F.col("item_id"))).alias("item_id")
+    return seen.groupBy("query").agg(best, F.max("score").alias("score"))
 
 
 def annotation_hits(annotations: DataFrame, columns: list[str], query: str, limit: int = 200) -> DataFrame:

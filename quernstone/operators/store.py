@@ -6,6 +6,8 @@ written whole (Spark's _SUCCESS). No row is changed in place, so a lost executor
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,17 @@ class Store:
             self.write(name, self.spark.read.parquet(f"{source.rstrip('/')}/{name}"))
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows computed once, in the folder of ``spark.checkpoint.dir`` (a temporary one where it is unset, as in tests).
+
+    Also keeps the optimizer from pushing a filter on a derived column into a copy of its whole expression.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-quern-"))
+    return df.checkpoint()
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The old rows whose key isn't among the new ones, and the new ones."""
     return old.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)

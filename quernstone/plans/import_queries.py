@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import values as V
 from quernstone.operators import imports, profile, resolve
+from quernstone.operators.store import materialized
 from quernstone.plans.registry import query, table
 
 ROW_SQL = """r AS (SELECT event_id, event_type, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'herb' WHEN 2 THEN '中药' WHEN 3 THEN 'planet' ELSE 'note' END AS kind,
@@ -192,3 +193,25 @@ def mapping_scores(spark, sf_dir):
     filled = mapped.select(F.explode("record").alias("field", "value")).groupBy("field").agg(F.count("value").alias("n"))
     told = [(s["target"] or s["source"], round(s["confidence"], 4), s["decision"]) for s in scored]
     return filled.join(F.broadcast(spark.createDataFrame(told, "field string, confidence double, decision string")), "field", "left")
+
+
+@query("""
+SELECT event_id AS row_index, (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 4 <> 1 THEN 1 ELSE 0 END)::INT AS n_issues FROM events
+""")
+def maintenance_issues(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    term, code = F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("event_type")), F.when(F.col("event_id") % 4 == 1, F.col("user_id").cast("string"))
+    record = F.map_from_arrays(F.array(F.lit("term"), F.lit("item_code")), F.array(term, code))
+    return e.select(F.col("event_id").alias("row_index"), F.size(imports.maintenance_issues(record, "search_terms_v1")).alias("n_issues"))
+
+
+@query("WITH " + ROW_SQL + """,
+n AS (SELECT event_id, nullif(kind, '') AS kind, nullif(trim(name), '') AS name, nullif(upper(trim(code)), '') AS code FROM r),
+g AS (SELECT *, row_number() OVER (ORDER BY event_id) AS k FROM n WHERE kind IN ('herb', '中药', 'note') AND name IS NOT NULL AND (code IS NULL OR regexp_matches(code, '^[A-Z][A-Z0-9_-]*$')))
+SELECT p_partkey AS id, p_type AS type, p_name AS name FROM part UNION ALL SELECT (SELECT max(p_partkey) FROM part) + k, kind, name FROM g
+""")
+def confirmed_import(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    items = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
+    staged = materialized(imports.stage(staged_rows(spark, sf_dir)))
+    return imports.confirmed(staged, items, 3).select("id", "type", "name")

@@ -135,14 +135,13 @@ def list_page(spark, sf_dir):
 
 @query("""
 SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN '中药' WHEN 'N' THEN '方剂' ELSE '其他' END AS group_name,
-  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 99 END::INT AS place FROM lineitem
+  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 8 END::INT AS place FROM lineitem
 """)
 def grouped_results(spark, sf_dir):
     r = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "herb").when(F.col("l_returnflag") == "N", "formula").otherwise("x")
     g = search.group_name(kind)
-    pos = search.group_order(g)
-    return r.select("l_orderkey", "l_linenumber", g.alias("group_name"), F.when(pos == 0, 99).otherwise(pos).alias("place"))
+    return r.select("l_orderkey", "l_linenumber", g.alias("group_name"), search.group_order(g).alias("place"))
 
 
 @query("""
@@ -191,3 +190,58 @@ def incremental_index(spark, sf_dir):
     per = l.groupBy("doc_id").agg(F.max("quality").alias("q"))
     changed = d.join(per, "doc_id").groupBy("doc_id").agg(F.concat(F.lit("label-"), F.max("q")).alias("source"), F.max("n_chars").alias("n_chars"))
     return search.reindex(d.select("doc_id", "source", "n_chars"), changed, key="doc_id")
+
+
+@query("""
+SELECT doc_id FROM documents WHERE lang = 'en' AND source <> 'src3' AND (text ILIKE '%clown%' OR source ILIKE '%clown%')
+""")
+def filtered_items(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    items = d.select("doc_id", F.col("lang").alias("type"), F.when(F.col("source") == "src3", "draft").otherwise("ready").alias("data_status"), "text", "source")
+    return items.where(search.item_filter(item_type="en", status="ready", text="clown", columns=["text", "source"])).select("doc_id")
+
+
+@query("WITH terms AS (" + TERMS_SQL + """), q AS (SELECT unnest(['red', 'P17', 'Brand#4', 'nothing here']) AS query),
+h AS (SELECT query, item_id, max(weight + CASE WHEN term = lower(query) THEN 120 WHEN starts_with(term, lower(query)) THEN 70 ELSE 25 END) AS score FROM q JOIN terms ON contains(term, replace(lower(query), ' ', '')) GROUP BY 1, 2)
+SELECT query, item_id, score::INT AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS rn FROM h) WHERE rn = 1
+""")
+def search_probe(spark, sf_dir):
+    items = part_items(spark, sf_dir)
+    listing = items.select(F.col("id").alias("item_id"), "data_status")
+    return search.probe(search.build_terms(items, detail_is_json=False), listing, ["red", "P17", "Brand#4", "nothing here"])
+
+
+ITEMS_SQL = "items AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'formula' WHEN 'de' THEN 'acupoint' ELSE 'herb' END AS type, source AS name, text AS content FROM documents)"
+
+
+def document_items(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "en", "formula").when(F.col("lang") == "de", "acupoint").otherwise("herb")
+    none = F.lit(None).cast("string")
+    rest = ["alias", "category", "summary", "source_note", "tags", "detail"]
+    return d.select(F.col("doc_id").alias("id"), kind.alias("type"), F.col("source").alias("name"), F.col("text").alias("content"), *(none.alias(c) for c in rest))
+
+
+@query("WITH " + ITEMS_SQL + """, t AS (SELECT unnest(['clown方', 'idiot', 'clown']) AS term, unnest([0, 1, 2]) AS seq),
+h AS (SELECT id, type, min(seq) AS seq FROM items JOIN t ON contains(lower(content), term) WHERE type <> 'acupoint' GROUP BY 1, 2)
+SELECT id, (seq::INT) AS seq FROM h ORDER BY (type = 'formula') DESC, seq, id LIMIT 24
+""")
+def rag_context(spark, sf_dir):
+    """The items that go into the context of a question: formulas first, then by the first term that they match."""
+    from quernstone.operators import answers
+
+    return answers.context_items(document_items(spark, sf_dir), "idiot，clown方", max_items=8).select("id", "seq")
+
+
+@query("WITH " + ITEMS_SQL + """,
+notes AS (SELECT conv_id AS id, text FROM conversations WHERE text ILIKE '%pathetic%'),
+s AS (SELECT id, 90 AS score FROM items WHERE type = 'formula' AND content ILIKE '%pathetic%'
+  UNION ALL SELECT n.id, 90 FROM notes n JOIN items i ON i.id = n.id WHERE i.type = 'formula'
+  UNION ALL SELECT 7, 200 FROM items WHERE id = 7 AND type = 'formula')
+SELECT id AS item_id, sum(score)::BIGINT AS score FROM s GROUP BY 1
+""")
+def formula_candidates(spark, sf_dir):
+    from quernstone.operators import answers
+
+    notes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("text").alias("content"))
+    return answers.formula_scores(document_items(spark, sf_dir), notes, "pathetic", related_id=7)

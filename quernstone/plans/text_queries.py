@@ -100,7 +100,7 @@ def labelled_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     t = F.concat(F.lit("【性味】味甘性温。【归经】归"), "source", F.lit("。【功效】"), F.substring("text", 1, 20), F.lit("【禁忌】无"))
     nature = T.labelled_section(t, "性味", curate.SECTION_LABELS)
-    question = F.when(F.col("lang") == "en", "足三里穴在哪").when(F.col("lang") == "de", "桂枝汤组成").otherwise("什么")
+    question = F.when(F.col("lang") == "en", "足三里穴在哪").when(F.col("lang") == "de", "桂枝汤方组成").otherwise("什么")
     return d.select("doc_id", nature.alias("nature"), T.labelled_section(t, "功效", curate.SECTION_LABELS).alias("effects"), T.terms_in_order(nature, ["甘", "温", "寒"]).alias("terms"), T.intent(question).alias("intent"), T.source_note(F.col("source"), F.col("lang"), F.col("source"), F.lit(" ")).alias("note"))
 
 
