@@ -21,6 +21,20 @@ def needles(targets: DataFrame) -> DataFrame:
     return each.where("needle is not null and needle != ''")
 
 
+def _blocks(wanted: DataFrame, needle_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Needles in blocks of at most so many bytes (or one needle); an empty block where there are none."""
+    block: list[tuple[int, str]] = []
+    size, any_block = 0, False
+    for target, needle in wanted.toLocalIterator():
+        size += len(needle.encode())
+        if block and size > needle_bytes:
+            yield block
+            block, size, any_block = [], len(needle.encode()), True
+        block.append((target, needle))
+    if block or not any_block:
+        yield block
+
+
 def mentions(texts: DataFrame, wanted: DataFrame, *, needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """(source_id, target_id): which normalized ``texts(id, text)`` hold a needle of ``wanted(target_id, needle)``.
 
@@ -28,17 +42,11 @@ def mentions(texts: DataFrame, wanted: DataFrame, *, needle_bytes: int = NEEDLE_
     one run over each text, so the work is texts x blocks, not texts x needles.
     """
     spark = texts.sparkSession
-    blocks: list[list[tuple[int, str]]] = []
-    size = 0
-    for target, needle in wanted.toLocalIterator():
-        size += len(needle.encode())
-        if not blocks or size > needle_bytes:
-            blocks.append([])
-            size = len(needle.encode())
-        blocks[-1].append((target, needle))
     normal = texts.select(F.col("id").alias("source_id"), T.normalize("text").alias("text"))
     out = None
-    for block in blocks or [[]]:
+    passes = 0
+    for block in _blocks(wanted, needle_bytes):
+        passes += 1
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -61,7 +69,7 @@ def mentions(texts: DataFrame, wanted: DataFrame, *, needle_bytes: int = NEEDLE_
 
         found = normal.mapInArrow(run, "source_id long, target_id long")
         out = found if out is None else out.unionByName(found)
-    return out.distinct() if len(blocks) > 1 else out
+    return out.distinct() if passes > 1 else out
 
 
 #: Which type's text is searched for which, the relation and its confidence.
