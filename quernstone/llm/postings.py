@@ -116,17 +116,19 @@ def load_shard(words: bytes, ends: bytes, positions: bytes) -> ShardIndex:
     return ShardIndex(unpack(words).split(), np.frombuffer(unpack(ends), "<i4"), np.cumsum(steps, dtype=np.int64))
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The items, (id as string, text), in blocks of at most ``block_bytes`` of text (or one item)."""
-    blocks: list[list[tuple[str, str]]] = []
-    size = 0
-    for row in items.where("text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        size += len(row[1].encode())
-        if not blocks or size > block_bytes:
-            blocks.append([])
-            size = len(row[1].encode())
-        blocks[-1].append((row[0], row[1]))
-    return blocks or [[]]
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The items, (id as string, text), in blocks of at most ``block_bytes`` of text (or one item), one after another;
+    an empty block where there are none. The driver holds a block at a time."""
+    block: list[tuple[str, str]] = []
+    size, any_block = 0, False
+    for item, text in items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
+        size += len(text.encode())
+        if block and size > block_bytes:
+            yield block
+            block, size, any_block = [], len(text.encode()), True
+        block.append((item, text))
+    if block or not any_block:
+        yield block
 
 
 def search(spark, path: str, items: DataFrame, *, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -200,7 +202,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sl
 
     A document word inside any occurrence of ``window`` consecutive item words (all words of a shorter item) is hit;
     a document is contaminated if at least one word in ``share`` is. Null texts have no words, items without words
-    no windows; repeated rows and ids stay rows of their own; an empty table on either side gives no hits. Returns
+    no windows, a null item_id reads as ''; repeated rows and ids stay rows of their own; an empty table on either side gives no hits. Returns
     doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (covered word ranges) and n_near.
     """
     path = shared_folder(docs.sparkSession, "postings")
