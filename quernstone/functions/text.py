@@ -199,7 +199,7 @@ def strip_tags(c) -> Column:
 
 
 # Entities in the order in which they are replaced.
-ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " ")]
+ENTITIES = [("&amp;", "&"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
 
 
 def unescape(c) -> Column:

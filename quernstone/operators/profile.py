@@ -103,12 +103,22 @@ def keyword_presence(df: DataFrame, text, keywords: list[str]) -> DataFrame:
     return sums.select(F.inline(F.array(*(F.struct(F.lit(k).alias("keyword"), F.col(f"k{i}").alias("present")) for i, k in enumerate(keywords)))))
 
 
-def line_metrics(text, short: int = 8) -> dict[str, Column]:
-    """Columns n_lines, n_short, n_single, n_repeated (short lines seen before) and fragmented, over non-blank lines."""
+def line_metrics(text) -> dict[str, Column]:
+    """Line counts of a text and what they say: n_lines, n_short (up to three characters), short_ratio, n_header (title
+    characters alone on a line), n_repeated (short lines that the next one repeats or goes on), n_layout, suspicious, noisy."""
+    from quernstone.functions.udfs import BACKUP_MARK
+    from quernstone.operators.curate import TITLE_CHARS, is_layout_line
+
     lines = F.filter(F.transform(F.split(T.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    brief = F.filter(lines, lambda x: F.length(x) <= short)
-    n, s = F.size(lines), F.size(brief)
+    pairs = F.arrays_zip(lines.alias("line"), F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))).alias("next"))
+    again = (lambda p: (F.length(p["line"]) <= 6) & ((p["line"] == p["next"]) | F.startswith(T.compact(p["next"]), T.compact(p["line"]))))
+    n, short = F.size(lines), F.size(F.filter(lines, lambda x: F.length(x) <= 3))
+    ratio = F.round(F.when(n > 0, short / n).otherwise(0.0), 3)
+    header = F.size(F.filter(lines, lambda x: x.isin(TITLE_CHARS)))
+    repeated, layout = F.size(F.filter(pairs, lambda p: F.coalesce(again(p), F.lit(False)))), F.size(F.filter(lines, is_layout_line)) - header
+    running = F.contains(T.col(text), F.lit("觀其脈證知犯")) | F.contains(T.col(text), F.lit("观其脉证知犯")) | F.contains(T.col(text), F.lit("觀\n其\n脈\n證"))
     return {
-        "n_lines": n, "n_short": s, "n_single": F.size(F.filter(lines, lambda x: F.length(x) == 1)),
-        "n_repeated": s - F.size(F.array_distinct(brief)), "fragmented": (n >= 8) & (s / F.greatest(n, F.lit(1)) >= 0.5),
+        "n_lines": n, "n_short": short, "short_ratio": ratio, "n_header": header, "n_repeated": repeated, "n_layout": layout,
+        "suspicious": ((n >= 18) & (short / F.greatest(n, F.lit(1)) >= 0.28)) | (header >= 4) | running,
+        "noisy": (layout > 0) | (repeated >= 2) | F.contains(T.col(text), F.lit(BACKUP_MARK)),
     }

@@ -10,6 +10,8 @@ from quernstone.functions import values as V
 from quernstone.operators import curate, profile
 from quernstone.plans.registry import query, table
 
+LABELS = ["性味", "归经", "功效", "禁忌"]
+
 
 @query(r"""
 SELECT doc_id, md5(regexp_replace(lower(text), '\s+', '', 'g')) AS normalized, md5(translate(text, 'ＡＢ，', 'AB,')) AS half,
@@ -99,9 +101,9 @@ SELECT doc_id, nullif(trim(regexp_extract(t, '【性味】([^【]*)', 1)), '') A
 def labelled_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     t = F.concat(F.lit("【性味】味甘性温。【归经】归"), "source", F.lit("。【功效】"), F.substring("text", 1, 20), F.lit("【禁忌】无"))
-    nature = T.labelled_section(t, "性味", curate.SECTION_LABELS)
+    nature = T.labelled_section(t, "性味", LABELS)
     question = F.when(F.col("lang") == "en", "足三里穴在哪").when(F.col("lang") == "de", "桂枝汤方组成").otherwise("什么")
-    return d.select("doc_id", nature.alias("nature"), T.labelled_section(t, "功效", curate.SECTION_LABELS).alias("effects"), T.terms_in_order(nature, ["甘", "温", "寒"]).alias("terms"), T.intent(question).alias("intent"), T.source_note(F.col("source"), F.col("lang"), F.col("source"), F.lit(" ")).alias("note"))
+    return d.select("doc_id", nature.alias("nature"), T.labelled_section(t, "功效", LABELS).alias("effects"), T.terms_in_order(nature, ["甘", "温", "寒"]).alias("terms"), T.intent(question).alias("intent"), T.source_note(F.col("source"), F.col("lang"), F.col("source"), F.lit(" ")).alias("note"))
 
 
 @query()
@@ -116,9 +118,8 @@ def similarity(spark, sf_dir):
 
 @query(r"""
 WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents),
-m AS (SELECT doc_id, lines, list_filter(lines, lambda x: length(x) <= 8) AS brief FROM l)
-SELECT doc_id, len(lines)::INT AS n_lines, len(brief)::INT AS n_short, len(list_filter(lines, lambda x: length(x) = 1))::INT AS n_single,
-       (len(brief) - len(list_distinct(brief)))::INT AS n_repeated, len(lines) >= 8 AND len(brief) / greatest(len(lines), 1) >= 0.5 AS fragmented FROM m
+m AS (SELECT doc_id, len(lines) AS n, len(list_filter(lines, lambda x: length(x) <= 3)) AS s, len(list_filter(range(1, len(lines)), lambda i: length(lines[i]) <= 6 AND (lines[i] = lines[i + 1] OR starts_with(regexp_replace(lines[i + 1], '\s+', '', 'g'), regexp_replace(lines[i], '\s+', '', 'g'))))) AS r FROM l)
+SELECT doc_id, n::INT AS n_lines, s::INT AS n_short, round(CASE WHEN n > 0 THEN s / n ELSE 0 END, 3)::DOUBLE AS short_ratio, 0::INT AS n_header, r::INT AS n_repeated, 0::INT AS n_layout, n >= 18 AND s / greatest(n, 1) >= 0.28 AS suspicious, r >= 2 AS noisy FROM m
 """)
 def line_metrics(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -133,19 +134,31 @@ def clean_lines(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^(?:[-—]?\s*\d{1,4}\s*[-—]?|.)$')), chr(10))) AS kept,
-       md5(regexp_replace(text, '([^。！？.!?：:\n])\n([a-z一-龥])', '\1\2', 'g')) AS joined FROM documents
+SELECT doc_id, md5(text) AS kept FROM documents
 """)
 def header_removal(spark, sf_dir):
+    """Layout lines put among the text's lines, and taken out again."""
+    d = table(spark, sf_dir, "documents")
+    noisy = F.concat(F.lit("校排\n觀\n"), F.replace("text", F.lit("\n"), F.lit("\n倪注金匮\n")), F.lit("\n【PDF页码12】"))
+    return d.select("doc_id", F.md5(curate.without_headers(noisy)).alias("kept"))
+
+
+@query(r"""
+SELECT doc_id, '味甘性温' AS nature_flavor, 'section' AS nature_from, '温' AS four_qi, '甘' AS five_flavors, '脾经，肺经' AS channel_tropism, CASE WHEN doc_id % 2 = 0 THEN '小毒' END AS toxicity, source AS effects FROM documents
+""")
+def herb_properties(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(curate.without_headers("text")).alias("kept"), F.md5(curate.joined_lines("text")).alias("joined"))
+    note = F.when(F.col("doc_id") % 2 == 0, "此药小毒。").otherwise("解毒。")
+    t = F.concat(F.lit("【性味】 味甘性温，主补气。【主治】归肺脾经。"), note, F.lit("【功效】"), "source")
+    p = curate.herb_properties(t)
+    return d.select("doc_id", *(p[k].alias(k) for k in ("nature_flavor", "nature_from", "four_qi", "five_flavors", "channel_tropism", "toxicity", "effects")))
 
 
 @query(r"""
 WITH q AS (SELECT c_custkey, (CASE c_nationkey % 5 WHEN 0 THEN '肝，胆' WHEN 1 THEN '心' WHEN 2 THEN '脾' WHEN 3 THEN '肺' ELSE NULL END) AS ch,
   CASE WHEN c_acctbal > 5000 THEN '微温' WHEN c_acctbal > 0 THEN '寒' ELSE '' END AS q, c_mktsegment AS seg FROM customer)
-SELECT c_custkey, CASE WHEN ch IS NULL THEN 'unknown' WHEN ch LIKE '%肝%' THEN 'wood' WHEN ch LIKE '%心%' THEN 'fire' WHEN ch LIKE '%脾%' THEN 'earth' ELSE 'metal' END AS element,
-  CASE q WHEN '微温' THEN 'warm' WHEN '寒' THEN 'cold' ELSE 'unknown' END AS nature,
+SELECT c_custkey, CASE WHEN ch IS NULL THEN NULL WHEN ch LIKE '%肝%' THEN 'wood' WHEN ch LIKE '%心%' THEN 'fire' WHEN ch LIKE '%脾%' THEN 'earth' ELSE 'metal' END AS element,
+  CASE q WHEN '微温' THEN 'mild-warm' WHEN '寒' THEN 'cold' END AS nature,
   seg || CASE WHEN q <> '' THEN '，' || q || '性' ELSE '' END || CASE WHEN ch IS NULL THEN '' WHEN ch = '肝，胆' THEN '，归肝，归胆' ELSE '，归' || ch END AS tags FROM q
 """)
 def nature_rules(spark, sf_dir):

@@ -142,8 +142,13 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Where packages without a manifest keep their rows and search terms, and the types staged as they are.
-KNOWN_ROWS = ["json/knowledge_items_import.json", "knowledge_items_import.json", "json/knowledge_items.json", "knowledge_items.json", "json/classic_passages.json", "classic_passages.json", "data/knowledge_items.json", "items.json", "data.json", "items.csv"]
-KNOWN_TERMS = ["json/search_terms.json", "search_terms.json", "json/search_terms_import.json", "search_terms_import.json"]
+KNOWN_ROWS = [
+    "json/knowledge_items_import.json", "json/knowledge_items_import_curated.json", "json/knowledge_items_import_full_clean.json",
+    "json/classic_passages_curated.json", "json/classic_passages_full_clean.json",
+    "csv/knowledge_items_import.csv", "csv/knowledge_items_import_curated.csv", "csv/knowledge_items_import_full_clean.csv",
+    "csv/classic_passages_curated.csv", "csv/classic_passages_full_clean.csv",
+]
+KNOWN_TERMS = ["json/search_terms_curated.json", "json/search_terms.json", "csv/search_terms_curated.csv", "csv/search_terms.csv"]
 DIRECT = {"knowledge_items_v1", "classic_passages_v1", "annotation_items_v1", "search_terms_v1", "standard_terms_v1", "relation_suggestions_v1"}
 MANIFESTS = ["import_manifest.json", "import_manifest.example.json"]
 

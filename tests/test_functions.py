@@ -44,7 +44,9 @@ def one(spark, column):
     (lambda: V.amount(F.lit(2.5)), "2.5"),
     (lambda: V.amount(F.lit(3.0)), "3"),
     (lambda: V.lenient_long(F.lit(" 12.9 ")), 12),
-    (lambda: curate.without_reminders(F.lit("甘草。仅供学习参考。")), "甘草。"),
+    (lambda: curate.without_reminders(F.lit("甘草 。仅供学习参考。请勿服用。")), "甘草。"),
+    (lambda: curate.first_rule(F.lit("大 寒"), curate.NATURE_RULES), "deep-cold"),
+    (lambda: curate.first_rule(F.lit("ST36"), curate.ELEMENT_RULES), "earth"),
     (lambda: T.canonical_key(F.lit("classic_passage:B:N:001"))[0], "syndrome"),
     (lambda: T.canonical_key(F.lit("classic_passage:B:N:001"))[1], "N"),
     (lambda: T.canonical_key(F.lit("acupoint:X"))[1], "X"),

@@ -84,9 +84,9 @@ def test_plan_table(spark):
 def test_packages(spark, tmp_path):
     root = tmp_path / "pack"
     (root / "json").mkdir(parents=True)
-    (root / "json/items.json").write_text(json.dumps({"rows": [{"type": "herb", "code": "H1", "name": "黄芪", "tags": ["a", "b"]}, {"name": "x"}]}), "utf-8")
+    (root / "json/knowledge_items_import.json").write_text(json.dumps({"rows": [{"type": "herb", "code": "H1", "name": "黄芪", "tags": ["a", "b"]}, {"name": "x"}]}), "utf-8")
     (root / "json/terms.json").write_text(json.dumps([{"item_code": "H1", "term": "qi", "term_type": "k", "weight": 900}]), "utf-8")
-    manifest = {"files": [{"path": "json/items.json", "type": "knowledge_items_v1", "target": "items", "primary": True}, {"path": "json/terms.json", "type": "search_terms_v1", "target": "terms"}, {"path": "gone.pdf", "type": "pdf", "required": False}], "import_order": ["items"]}
+    manifest = {"files": [{"path": "json/knowledge_items_import.json", "type": "knowledge_items_v1", "target": "items", "primary": True}, {"path": "json/terms.json", "type": "search_terms_v1", "target": "terms"}, {"path": "gone.pdf", "type": "pdf", "required": False}], "import_order": ["items"]}
     (root / "import_manifest.json").write_text(json.dumps(manifest), "utf-8")
     pack = records.read_package(spark, str(root))
     assert [f["staged"] for f in pack["files"]] == [True, False, False]
@@ -98,7 +98,7 @@ def test_packages(spark, tmp_path):
     assert records.read_package(spark, str(tmp_path / "pack.zip"))["rows"].count() == 2
     (root / "import_manifest.json").unlink()
     assert records.read_package(spark, str(root))["rows"].count() == 2
-    (root / "json/items.json").unlink()
+    (root / "json/knowledge_items_import.json").unlink()
     with pytest.raises(records.SourceError):
         records.read_package(spark, str(root))
 
