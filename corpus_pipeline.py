@@ -14,27 +14,45 @@ from quernstone.llm.wavelet import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained quality classifier accepts."""
+    """Documents that the co-trained quality classifier accepts, fitted on ``labels``.
+
+    Null texts read as empty and null metadata is a value of its own; rows with equal doc_id and text stay or go
+    together; without labels of both classes all stay; an empty table stays empty; further columns are kept as they are.
+    """
     return cotrain.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: its smallest doc_id (null last), then the smallest digest of the text.
+
+    Null, empty and wordless texts are one group; of repeated rows one stays; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
+    """Documents that the benchmark doesn't contaminate.
+
+    Null and empty texts have no words and stay; rows of equal text stay or go together; an empty table stays empty and
+    an empty benchmark contaminates nothing.
+    """
     return postings.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequence: a row for each time that the mix takes a document, its last take cut to the target."""
+    """The training sequence: a row for each time that the mix takes a document, its last take cut to the target.
+
+    Texts without words (null, empty, blank) take nothing and are absent; a null source is a source, the last; repeated
+    rows are each taken; an empty table gives an empty sequence.
+    """
     return curriculum.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Wavelet shards of the sequence's tokens in doc_id order, and what is read back from them."""
+    """Wavelet shards of the sequence's tokens in doc_id order (null first), and what is read back from them.
+
+    A null or empty text holds the end id alone; rows with the same doc_id stay apart; an empty table gives no rows.
+    """
     return wavelet.token_output(docs, vocabulary(), shared_folder(spark, "wavelet"))
 
 

@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernstone.llm import backoff, components, cotrain, curriculum, hilbert, notices, postings, secrets, simhash, surrogates, wavelet
@@ -20,6 +22,9 @@ ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+ENCODER = wavelet.PieceEncoder(wavelet.vocabulary())
+
+
 def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
@@ -73,6 +78,19 @@ def test_pieces_encode_alike(text):
         assert enc.encode([text, text + " tail"]) == [enc.whole(text), enc.whole(text + " tail")]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab é'1s.\n\t  \u3000\u00a0\x1c\x85漢!", max_size=40))
+def test_any_text_encodes_alike(text):
+    assert ENCODER.encode([text]) == [ENCODER.whole(text)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=700))
+def test_any_sequence_comes_back(ids):
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(np.array(ids, np.uint16)).to_bytes())
+    assert m.decode().tolist() == ids and all(m.count(t) == ids.count(t) for t in range(10))
+
+
 # 2: co-training
 
 
