@@ -88,20 +88,20 @@ def quality_report(spark, sf_dir):
     return profile.quality_report(s, f).select("n_rows", "n_valid", "n_error", "n_duplicate")
 
 
-PLAN_SQL = """i AS (SELECT min(doc_id) AS id, lang AS type, source AS name FROM documents WHERE doc_id % 2 = 0 GROUP BY 2, 3),
-x AS (SELECT lang AS type, source AS name, text AS source_note, min(doc_id) AS id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2, 3),
-d AS (SELECT doc_id, lang AS type, CASE WHEN doc_id % 10 = 1 THEN '' ELSE source END AS name, CASE WHEN doc_id % 14 = 3 THEN NULL ELSE text END AS content, text AS source_note FROM documents WHERE doc_id % 2 = 1),
+PLAN_SQL = """e AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+i AS (SELECT min(doc_id) AS id, lang AS type, source AS name FROM e GROUP BY 2, 3),
+x AS (SELECT lang AS type, source AS name, text AS source_note, min(doc_id) AS id FROM e GROUP BY 1, 2, 3),
+d AS (SELECT doc_id, lang AS type, CASE WHEN doc_id % 10 = 1 THEN '' ELSE source END AS name, CASE WHEN doc_id % 14 = 3 THEN NULL ELSE text END AS content, text AS source_note FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
 f AS (SELECT d.*, coalesce(x.id, i.id) AS existing_id FROM d LEFT JOIN x USING (type, name, source_note) LEFT JOIN i USING (type, name)),
 o AS (SELECT f.*, old.text AS old_content, regexp_replace(lower(coalesce(f.content, '')), '\\s+', '', 'g') AS a, regexp_replace(lower(coalesce(old.text, '')), '\\s+', '', 'g') AS b, old.text AS old_source FROM f LEFT JOIN documents old ON old.doc_id = existing_id),
 p AS (SELECT *, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) AS similar_ FROM o)"""
 
 
 def plan_carriers(spark, sf_dir):
-    """Existing items from the documents of even id, drafts from those of odd id; some lack name or content."""
-    d = table(spark, sf_dir, "documents")
-    items = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.col("source").alias("name"), F.col("text").alias("content"), F.col("text").alias("source_note"))
-    odd = d.where("doc_id % 2 = 1")
-    drafts = odd.select(
+    """Labelled documents as existing items, all others as drafts; some drafts lack name or content."""
+    d, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
+    items = d.join(known, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.col("source").alias("name"), F.col("text").alias("content"), F.col("text").alias("source_note"))
+    drafts = d.join(known, "doc_id", "left_anti").select(
         F.col("doc_id").alias("row_index"), F.col("lang").alias("type"), F.when(F.col("doc_id") % 10 == 1, "").otherwise(F.col("source")).alias("name"),
         F.when(F.col("doc_id") % 14 != 3, F.col("text")).alias("content"), F.col("text").alias("source_note"),
     )
@@ -128,8 +128,8 @@ def plan_summary(spark, sf_dir):
 
 @query("WITH " + PLAN_SQL + """,
 c AS (SELECT doc_id, type, name FROM p WHERE name <> '' AND content IS NOT NULL AND trim(content) <> '' AND (existing_id IS NULL OR NOT (similar_ OR source_note = old_source))),
-m AS (SELECT max(doc_id) AS top FROM documents WHERE doc_id % 2 = 0)
-SELECT doc_id AS id, lang AS type, source AS name FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT top + row_number() OVER (ORDER BY doc_id), type, name FROM c, m
+m AS (SELECT max(doc_id) AS top FROM e)
+SELECT doc_id AS id, lang AS type, source AS name FROM e UNION ALL SELECT top + row_number() OVER (ORDER BY doc_id), type, name FROM c, m
 """)
 def plan_executed(spark, sf_dir):
     drafts, items = plan_carriers(spark, sf_dir)
@@ -137,7 +137,7 @@ def plan_executed(spark, sf_dir):
     return after.select("id", "type", "name")
 
 
-@query("SELECT doc_id AS id, lang AS type, source AS name FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id AS id, lang AS type, source AS name FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def plan_rolled_back(spark, sf_dir):
     drafts, items = plan_carriers(spark, sf_dir)
     after, _, log = imports.execute(imports.plan(drafts, items, "classic_text"), items, 1)

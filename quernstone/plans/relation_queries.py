@@ -90,13 +90,13 @@ def dup_groups(spark, sf_dir):
 
 @query("""
 WITH i AS (SELECT p_partkey AS id, p_type AS type, replace(lower(p_name), ' ', '') AS name, 'P' || p_partkey AS code FROM part),
-r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_linenumber % 2 = 0 THEN 'ECONOMY' ELSE 'SMALL' END AS type, 'P' || l_partkey AS code, 'redbolt' AS name FROM lineitem WHERE l_returnflag = 'A')
+r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_linenumber % 2 = 0 THEN 'ECONOMY' ELSE 'SMALL' END AS type, 'P' || l_partkey AS code, 'redbolt' AS name FROM lineitem)
 SELECT row_id, min(id) AS item_id, 'type_code_exact' AS match_type, 1.0::DOUBLE AS score FROM r JOIN i USING (type, code) GROUP BY 1
 UNION ALL SELECT row_id, min(id), 'type_name_exact', 0.98 FROM r JOIN (SELECT type, name, min(id) AS id FROM i GROUP BY 1, 2) USING (type, name) GROUP BY 1
 UNION ALL SELECT row_id, min(id), 'fingerprint_match', 0.95 FROM r JOIN i USING (type, code) GROUP BY 1
 """)
 def row_item_candidates(spark, sf_dir):
-    p, r = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
+    p, r = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     none = F.lit(None).cast("string")
     rest = [none.alias("alias"), none.alias("pinyin"), none.alias("category")]
     items = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.concat(F.lit("P"), "p_partkey").alias("code"), F.col("p_name").alias("name"), *rest)
@@ -165,13 +165,13 @@ def relation_suggestions(spark, sf_dir):
 @query("""
 WITH f AS (SELECT DISTINCT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS relation_type FROM lineitem WHERE l_linenumber <= 3),
 p AS (SELECT DISTINCT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS relation_type FROM lineitem WHERE l_linenumber = 4),
-a AS (SELECT DISTINCT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS relation_type FROM lineitem WHERE l_linenumber = 5)
+a AS (SELECT DISTINCT l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS relation_type FROM lineitem WHERE l_linenumber >= 5)
 SELECT * FROM f EXCEPT SELECT * FROM p EXCEPT SELECT * FROM a
 """)
 def relation_dedup(spark, sf_dir):
     r = table(spark, sf_dir, "lineitem")
     e = r.select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("relation_type"), "l_linenumber")
-    return relations.new_suggestions(e.where("l_linenumber <= 3").drop("l_linenumber"), e.where("l_linenumber = 4"), e.where("l_linenumber = 5"))
+    return relations.new_suggestions(e.where("l_linenumber <= 3").drop("l_linenumber"), e.where("l_linenumber = 4"), e.where("l_linenumber >= 5"))
 
 
 @query("""

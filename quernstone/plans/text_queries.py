@@ -55,14 +55,14 @@ def tag_union(spark, sf_dir):
 @query(r"""
 WITH c AS (SELECT doc_id, text, strpos(text, 'the') AS at_ FROM documents)
 SELECT doc_id, CASE WHEN at_ = 0 THEN CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END
-  ELSE CASE WHEN length(s) > 140 THEN substring(s, 1, 140) || '...' ELSE s END END AS snippet, replace(substring(text, 1, 200), 'the', '<mark>the</mark>') AS marked
+  ELSE CASE WHEN length(s) > 140 THEN substring(s, 1, 140) || '...' ELSE s END END AS snippet, md5(replace(text, 'the', '<mark>the</mark>')) AS marked
 FROM (SELECT *, substring(text, greatest(at_ - 29, 1), at_ + 3 + 90 - greatest(at_ - 29, 1)) AS s FROM c)
 """)
 def snippets(spark, sf_dir):
     from quernstone.operators.search import snippet_or_start
 
     d = table(spark, sf_dir, "documents").withColumns({"summary": F.lit(None).cast("string"), "detail": F.lit(None).cast("string")})
-    return d.select("doc_id", snippet_or_start("the", "text").alias("snippet"), T.highlight(F.substring("text", 1, 200), "the").alias("marked"))
+    return d.select("doc_id", snippet_or_start("the", "text").alias("snippet"), F.md5(T.highlight("text", "the")).alias("marked"))
 
 
 @query(r"""
@@ -93,17 +93,17 @@ def percent_codes(spark, sf_dir):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, source, lang, '【性味】味甘性温。【归经】归' || source || '。【功效】' || substring(text, 1, 20) || '【禁忌】无' AS t FROM documents)
-SELECT doc_id, nullif(trim(regexp_extract(t, '【性味】([^【]*)', 1)), '') AS nature, nullif(regexp_replace(regexp_replace(regexp_extract(t, '【功效】([^【]*)', 1), '^\s+', ''), '\s+$', ''), '') AS effects,
+WITH d AS (SELECT doc_id, source, lang, '【性味】味甘性温。【归经】归' || source || '。【功效】' || text || '【禁忌】无' AS t FROM documents)
+SELECT doc_id, nullif(trim(regexp_extract(t, '【性味】([^【]*)', 1)), '') AS nature, md5(nullif(regexp_replace(regexp_replace(regexp_extract(t, '【功效】([^【]*)', 1), '^\s+', ''), '\s+$', ''), '')) AS effects,
        ['甘', '温'] AS terms, CASE WHEN lang = 'en' THEN 'Acupuncture' WHEN lang = 'de' THEN 'MedicineOrFormula' ELSE 'General' END AS intent,
        source || ' / ' || lang AS note FROM d
 """)
 def labelled_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    t = F.concat(F.lit("【性味】味甘性温。【归经】归"), "source", F.lit("。【功效】"), F.substring("text", 1, 20), F.lit("【禁忌】无"))
+    t = F.concat(F.lit("【性味】味甘性温。【归经】归"), "source", F.lit("。【功效】"), "text", F.lit("【禁忌】无"))
     nature = T.labelled_section(t, "性味", LABELS)
     question = F.when(F.col("lang") == "en", "足三里穴在哪").when(F.col("lang") == "de", "桂枝汤方组成").otherwise("什么")
-    return d.select("doc_id", nature.alias("nature"), T.labelled_section(t, "功效", LABELS).alias("effects"), T.terms_in_order(nature, ["甘", "温", "寒"]).alias("terms"), T.intent(question).alias("intent"), T.source_note(F.col("source"), F.col("lang"), F.col("source"), F.lit(" ")).alias("note"))
+    return d.select("doc_id", nature.alias("nature"), F.md5(T.labelled_section(t, "功效", LABELS)).alias("effects"), T.terms_in_order(nature, ["甘", "温", "寒"]).alias("terms"), T.intent(question).alias("intent"), T.source_note(F.col("source"), F.col("lang"), F.col("source"), F.lit(" ")).alias("note"))
 
 
 @query()
@@ -205,5 +205,5 @@ def literal_removal(spark, sf_dir):
 def formula_names(spark, sf_dir):
     """Formula-like names in texts, by the fold over their characters, and the texts' hashes."""
     d = table(spark, sf_dir, "documents")
-    t = F.concat(F.substring("text", 1, 40), F.lit("用桂枝汤、麻黄汤和小青龙汤"), F.substring("text", 41, 40), F.lit("。桂枝汤"))
+    t = F.concat("text", F.lit("用桂枝汤、麻黄汤和小青龙汤。桂枝汤"))
     return d.select("doc_id", udfs.formula_names(t).alias("names"), udfs.fnv("text").alias("fnv"))
