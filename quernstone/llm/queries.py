@@ -37,6 +37,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+ORACLE_SQL["op9_decontamination"] = r"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 12, 1) + 1), lambda i: ws[i:i + 12])) AS win FROM items WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT len(win) AS n FROM windows),
+places AS (SELECT rid, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM words, sizes WHERE len(ws) >= n),
+hits AS (SELECT rid, i, n, item_id FROM (SELECT rid, i, n, ws[i:i + n - 1] AS win FROM places) JOIN windows USING (win)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+named AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM words LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
