@@ -187,7 +187,16 @@ def cotrain(content: Rows, meta: Rows, y: np.ndarray, vocabulary: list[bytes], *
     z = [np.clip(models[k].score(held_rows[k]), -30, 30) * calibration[k][0] + calibration[k][1] for k in views]
     combine, p = platt(np.column_stack(z), y[held])
     words = {w: float(v) for w, v in zip(vocabulary, models["content"].sparse) if v}
-    return CoModel(words, models["content"], models["meta"], (calibration["content"], calibration["meta"]), combine, _best_threshold(p, y[held]))
+    # never above one half: a document isn't turned down while it is likelier good than bad
+    threshold = min(_best_threshold(p, y[held]), 0.5)
+    return CoModel(words, models["content"], models["meta"], (calibration["content"], calibration["meta"]), combine, threshold)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, whose word counts are then all that a task holds at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 FEATURES = "doc_id long, words array<binary>, counts array<int>, dense array<double>, slots array<int>, sizes array<double>"
@@ -197,7 +206,7 @@ def features(docs: DataFrame) -> DataFrame:
     """The two views of each row, for the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, texts, *rest = (c.to_pylist() for c in batch.columns)
             rows = [(*content_view(t), *metadata_view(t, *m)) for t, *m in zip(texts, *rest)]
             columns = [doc_ids, [list(r[0]) for r in rows], [list(r[0].values()) for r in rows], *([r[i] for r in rows] for i in (1, 2, 3))]
@@ -273,7 +282,7 @@ def score(docs: DataFrame, models: dict[str, CoModel | None]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(0), batch.column(1)]
             texts, *rest = (c.to_pylist() for c in batch.columns[2:])
             content = [content_view(t) for t in texts]
