@@ -136,6 +136,6 @@ def export_recent(log: DataFrame, path: str, limit: int = 10_000) -> None:
     log.orderBy(F.desc("ts"), F.desc("id")).limit(limit).write.json(path)
 
 
-def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by the order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+def latest(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
+    """The first n rows of each key by the order."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")

@@ -39,3 +39,21 @@ def relations(spark: SparkSession, n_items: int, n: int, *, loops: str = "drop")
         F.element_at(F.array(*map(F.lit, RELATIONS)), (i % len(RELATIONS) + 1).cast("int")).alias("relation_type"),
     )
     return edges.select("source_id", (F.col("t") + 1).alias("target_id"), "relation_type").where("source_id != target_id")
+
+
+def import_rows(spark: SparkSession, n: int) -> DataFrame:
+    i = F.col("i")
+    record = F.map_from_arrays(F.array(F.lit("type"), F.lit("code"), F.lit("name")), F.array(F.lit("herb"), F.concat(F.lit("R"), (i + 1).cast("string")), F.concat(F.lit("导入知识"), (i + 1).cast("string"))))
+    return spark.range(n).withColumnRenamed("id", "i").select((i + 1).alias("row_index"), record.alias("record"))
+
+
+def duplicates(spark: SparkSession, n_items: int, n: int) -> DataFrame:
+    """Candidate pairs of neighbours with scores .70 to .99."""
+    i = F.col("i")
+    return spark.range(n).withColumnRenamed("id", "i").select((i % n_items + 1).alias("item_id"), ((i + 1) % n_items + 1).alias("duplicate_id"), (0.70 + (i % 30) / 100).alias("score"), F.lit("pending").alias("status"))
+
+
+def suggestions(spark: SparkSession, n_items: int, n: int) -> DataFrame:
+    """Suggested edges with confidences .60 to .94."""
+    i = F.col("i")
+    return relations(spark, n_items, n, loops="retarget").select("source_id", "target_id", "relation_type").withColumn("i", F.monotonically_increasing_id()).select("source_id", "target_id", "relation_type", (0.60 + (i % 35) / 100).alias("confidence"), F.lit("pending").alias("status"))

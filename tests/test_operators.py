@@ -152,6 +152,32 @@ def test_generator(spark):
     assert generate.relations(spark, 47, 200).count() < 200 == generate.relations(spark, 47, 200, loops="retarget").count()
 
 
+def test_other_generators(spark):
+    assert imports.stage(generate.import_rows(spark, 5)).where("status = 'valid'").count() == 5
+    assert generate.duplicates(spark, 10, 40).agg(F.max("score")).first()[0] == pytest.approx(0.99)
+    assert generate.suggestions(spark, 47, 100).count() == 100
+
+
+def test_top_n(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 7), (1, 6), (2, 1)], "item_id long, at long")
+    assert sorted(map(tuple, store.latest(rows, ["item_id"], [F.desc("at")], 2).collect())) == [(1, 6), (1, 7), (2, 1)]
+
+
+def test_answers(spark):
+    from quernstone.operators import answers
+
+    assert answers.query_terms("请问太阳病用什么方？桂枝汤") == ["请问太阳病用什么方", "桂枝汤", "太阳病"]
+    assert answers.query_terms("  ") == [] and answers.asks_for_medicine("咳嗽怎么治") and not answers.asks_for_medicine("咳嗽扎什么穴")
+
+
+def test_rules_and_maintenance(spark):
+    rules = [{"field_name": "code", "rule_type": "pattern", "rule_params": {"pattern": "^H"}, "severity": "warning", "message": "code"}, {"field_name": "kind", "rule_type": "enum", "rule_params": {"allowed_values": ["a"]}, "severity": "error", "message": "kind"}, {"field_name": "name", "rule_type": "required", "severity": "error", "message": "name"}]
+    row = spark.createDataFrame([("X1", "b", " ")], "code string, kind string, name string")
+    found = row.select(F.filter(F.array(*imports.rule_issues(rules, F.col)), lambda i: i.isNotNull()).alias("i")).first().i
+    assert [i.message for i in found] == ["code", "kind", "name"]
+    assert imports.infer_intent(None, "classics_curated_v1", "x") == "classic_text" and imports.infer_intent(None, None, "search_terms_v1") == "search_terms"
+
+
 def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     folder = str(tmp_path / "in")
