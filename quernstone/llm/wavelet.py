@@ -12,6 +12,7 @@ table: Spark's committer keeps the table whole when an executor is lost, and any
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,9 +47,9 @@ class WaveletMatrix:
             ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
-            low = codes[~bits]
+            low = np.compress(~bits, codes)
             zeros.append(len(low))
-            codes = np.concatenate([low, codes[bits]])
+            codes = np.concatenate([low, np.compress(bits, codes)])
         return cls(n, alphabet, zeros, planes, ranks)
 
     def rank1(self, level: int, i: int) -> int:
@@ -114,10 +115,9 @@ class WaveletMatrix:
         codes = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
             bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            above = bits.astype(codes.dtype) << codes.dtype.type(len(self.zeros) - 1 - level)
-            low = np.flatnonzero(~bits)
-            above[low] |= codes[: len(low)]
-            above[np.flatnonzero(bits)] |= codes[len(low) :]
+            above, zero = np.empty_like(codes), self.zeros[level]
+            above[np.flatnonzero(~bits)] = codes[:zero]
+            above[np.flatnonzero(bits)] = codes[zero:] | codes.dtype.type(1 << (len(self.zeros) - 1 - level))
             codes = above
         return self.alphabet[codes] if self.n else np.zeros(0, np.uint32)
 
@@ -155,15 +155,21 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alphabet, place.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)[ids]
 
 
+ODD = re.compile(r" \s")
+RUN = 500  # pieces encoded at a time
+MARKS = ".,!?;:%&$#*|"
+
+
 class PieceEncoder:
     """Encodes texts through a byte-level BPE tokenizer, remembering what each space-led piece encodes to.
 
     The tokenizer splits a text before it merges, and a single space between two other characters always begins a
     part of its own. So a text may be cut before such spaces, each piece encoded once and looked up from then on.
-    Texts with a space before other white space are encoded whole. ``limit`` bounds the remembered pieces.
+    Texts with a space before other white space are encoded whole. At most two times ``limit`` pieces are remembered:
+    a full memory becomes the old one, and what is met again moves from there to the new.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 700_000):
+    def __init__(self, tokenizer_path: str, limit: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -175,43 +181,63 @@ class PieceEncoder:
         self.leads = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.leads[i] = token.startswith("Ġ")  # how this vocabulary writes a leading space
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.old, self.tails = limit, {}, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces in one run; the ids of each begin with one that has a leading space."""
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        for p in set(pieces).difference(plain):
-            self.known[p] = self.whole(" " + p)
-        if not plain:
-            return
-        ids = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, self.kind)
-        cuts = np.flatnonzero(self.leads[ids])
-        if len(cuts) != len(plain):
-            self.known.update((p, self.whole(" " + p)) for p in plain)
-            return
-        raw, width = ids.tobytes(), ids.itemsize
-        ends = np.append(cuts[1:], len(ids)) * width
-        self.known.update((p, raw[a:b]) for p, a, b in zip(plain, (cuts * width).tolist(), ends.tolist()))
+    def _runs(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(piece, ids) of pieces encoded in runs; the ids of each begin with one that has a leading space."""
+        runs = [pieces[at : at + RUN] for at in range(0, len(pieces), RUN)]
+        done = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)
+        for run, encoding in zip(runs, done):
+            ids = np.array(encoding.ids, self.kind)
+            cuts = np.flatnonzero(self.leads[ids])
+            if len(cuts) != len(run):
+                yield from ((p, self.whole(" " + p)) for p in run)
+                continue
+            raw, width = ids.tobytes(), ids.itemsize
+            cuts = (cuts * width).tolist()
+            yield from zip(run, (raw[x:y] for x, y in zip(cuts, [*cuts[1:], len(raw)])))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes new pieces. One of letters and a tail of marks is the letters' ids and the tail's, as the tokenizer
+        splits it there; so a word is encoded once, whatever mark follows it."""
+        plain, split = [], []
+        for p in pieces:
+            if not p or p[0].isspace() or p[-1].isspace():
+                self.known[p] = self.whole(" " + p)
+                continue
+            head = p.rstrip(MARKS)
+            if len(head) < len(p) and head.isalpha():
+                split.append((p, head))
+            else:
+                plain.append(p)
+        heads = {h for _, h in split}.difference(self.known, plain)
+        self.known.update(self._runs([*plain, *heads]))
+        for p, head in split:
+            tail = p[len(head) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            self.known[p] = self.known[head] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        import re
-
-        odd = re.compile(r" \s")
         if len(self.known) > self.limit:
-            self.known.clear()
-        split = [None if odd.search(t) else t.split(" ") for t in texts]
+            self.known, self.old = {}, self.known
+        if len(self.tails) > self.limit:
+            self.tails = {}
+        split = [None if ODD.search(t) else t.split(" ") for t in texts]
+        firsts = [s[0] for s in split if s]
+        begun = self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)
+        begins = iter([np.array(e.ids, self.kind).tobytes() for e in begun])
         new = set().union(*(s[1:] for s in split if s)).difference(self.known)
-        if new:
-            self._learn(list(new))
+        again = self.old.keys() & new if self.old else ()
+        self.known.update((p, self.old[p]) for p in again)
+        if len(again) < len(new):
+            self._learn(new.difference(again))
         look = self.known.__getitem__
-        return [
-            self.whole(t) if s is None else (self.whole(s[0]) if s[0] else b"") + b"".join(map(look, s[1:]))
-            for t, s in zip(texts, split)
-        ]
+        return [self.whole(t) if s is None else next(begins) + b"".join(map(look, s[1:])) for t, s in zip(texts, split)]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -234,12 +260,12 @@ def encoder(tokenizer_path: str) -> PieceEncoder:
 SHARD_SCHEMA = "part int, seq int, start_in_part long, n_docs int, n_tokens long, payload binary"
 
 
-def pack_shard(doc_ids: list[int | None], sequences: list[np.ndarray]) -> bytes:
-    """A shard: document ids, their lengths, and the wavelet matrix of all their tokens."""
+def pack_shard(doc_ids: list[int | None], sequences: list[bytes], kind) -> bytes:
+    """A shard: document ids, their lengths, and the wavelet matrix of all their tokens (ids as bytes of ``kind``)."""
     ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
-    lengths = np.array([len(s) for s in sequences], "<u8")
-    tokens = np.concatenate(sequences) if sequences else np.zeros(0, np.uint16)
+    lengths = np.array([len(s) for s in sequences], "<u8") // np.dtype(kind).itemsize
+    tokens = np.frombuffer(b"".join(sequences), kind)
     return struct.pack("<I", len(ids)) + ids.tobytes() + null.tobytes() + lengths.tobytes() + WaveletMatrix.build(tokens).to_bytes()
 
 
@@ -260,24 +286,24 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start, held = TaskContext.get().partitionId(), 0, 0, 0
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.kind)
+        end = np.array([end_id], enc.kind).tobytes()
         ids: list = []
         sequences: list = []
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, start, held, ids, sequences
-            row = [part, seq, start, len(ids), held, pack_shard(ids, sequences)]
+            row = [part, seq, start, len(ids), held, pack_shard(ids, sequences, enc.kind)]
             seq, start, held, ids, sequences = seq + 1, start + held, 0, [], []
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
                 for doc, raw in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()])):
                     ids.append(doc)
-                    sequences.append(np.concatenate([np.frombuffer(raw, enc.kind), end]))
-                    held += len(sequences[-1])
+                    sequences.append(raw + end)
+                    held += len(sequences[-1]) // len(end)
                     if held >= shard_tokens:
                         yield flush()
         if ids:
