@@ -12,6 +12,8 @@ table: Spark's committer keeps the table whole when an executor is lost, and any
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 import struct
 import zlib
@@ -169,7 +171,7 @@ class PieceEncoder:
     a full memory becomes the old one, and what is met again moves from there to the new.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 500_000):
+    def __init__(self, tokenizer_path: str, limit: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -257,6 +259,19 @@ def encoder(tokenizer_path: str) -> PieceEncoder:
     return _ENCODERS[tokenizer_path]
 
 
+@contextlib.contextmanager
+def no_collection():
+    """Without cyclic garbage collection: nothing here makes cycles, and going through the lists of pieces takes a tenth
+    of the time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 SHARD_SCHEMA = "part int, seq int, start_in_part long, n_docs int, n_tokens long, payload binary"
 
 
@@ -284,6 +299,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with no_collection():
+            yield from shards(batches)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start, held = TaskContext.get().partitionId(), 0, 0, 0
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.kind).tobytes()
