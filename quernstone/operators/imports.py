@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.functions import values as V
+from quernstone.operators.store import materialized
 
 # Header aliases of each target field.
 ALIASES = {
@@ -179,7 +180,9 @@ def get(record: Column, *names: str) -> Column:
 def put(record: Column, values: dict[str, Column]) -> Column:
     """The record with values set; null ones are left as they were."""
     new = F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in values.items()))), lambda k, v: v.isNotNull())
-    return V.overlay(new, record)
+    # asked key by key, so that a value is computed for its own key only
+    replaced = (lambda k: reduce(lambda a, b: a | b, ((k == F.lit(name)) & v.isNotNull() for name, v in values.items())))
+    return F.map_concat(new, F.map_filter(record, lambda k, _: ~replaced(k)))
 
 
 #: Statuses that an import may set.
@@ -308,8 +311,8 @@ def rule_issues(rules: list[dict], value_of) -> list[Column]:
 
 
 def stage(rows: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    """Rows with normalized record, issues, status and messages."""
-    normal = rows.withColumn("normalized", normalize_record(F.col("record")))
+    """Rows with normalized record, issues, status and messages; the normalized rows are written once, as staging is."""
+    normal = materialized(rows.withColumn("normalized", normalize_record(F.col("record"))))
     n = F.col("normalized")
     told = normal.withColumn("issues", row_issues(F.try_element_at(n, F.lit("type")), F.try_element_at(n, F.lit("name")), F.try_element_at(n, F.lit("code")), extra))
     return told.withColumns({"status": status_of(F.col("issues")), "error_message": messages(F.col("issues"), "error"), "warning_message": messages(F.col("issues"), "warning")})
