@@ -11,7 +11,8 @@ over the index, each over all shards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from quernstone.llm.common import alnum_words, shared_folder, stored
 WINDOW = 13
 BLOCK_BYTES = 8 << 20  # of test text in a broadcast block
 GAP = 64  # unused positions after each document; proximity windows must be narrower
+SLOP = 7  # words that a proximity match may have between those of the passage; at most GAP - WINDOW
 INDEX_SCHEMA = "shard string, doc_ids array<long>, n_words array<long>, words binary, ends binary, positions binary"
 
 
@@ -51,9 +53,11 @@ class ShardIndex:
             found = found[with_it[place] == found + i]
         return found
 
-    def near(self, words: list[int], span: int) -> np.ndarray:
-        """Positions of the rarest word that have each of the words, in any order, at most ``span`` words away."""
-        order = sorted(set(words), key=lambda w: self.ends[w + 1] - self.ends[w])
+    def near(self, words: list[int], span: int, known: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """Positions of the rarest word that lie in a stretch of ``span + 1`` words with each of the words, in any order
+        and as often as given. Of the positions that have each word at most ``span`` away, those ``known`` are left out."""
+        times = Counter(words)
+        order = sorted(times, key=lambda w: self.ends[w + 1] - self.ends[w])
         found = self.list_of(order[0])
         for w in order[1:]:
             if not len(found):
@@ -61,7 +65,19 @@ class ShardIndex:
             with_it = self.list_of(w)
             place = np.minimum(np.searchsorted(with_it, found - span), len(with_it) - 1)
             found = found[np.abs(with_it[place] - found) <= span]
-        return found
+        if known is not None and len(found):
+            found = found[~known(found)]
+        near = np.zeros(len(found), bool)
+        for before in range(span + 1):  # the stretch begins so many words before the rarest one
+            left = np.flatnonzero(~near)
+            for w in order:
+                if not len(left):
+                    break
+                begin, with_it = found[left] - before, self.list_of(w)
+                last = np.searchsorted(with_it, begin) + times[w] - 1
+                left = left[(last < len(with_it)) & (with_it[np.minimum(last, len(with_it) - 1)] <= begin + span)]
+            near[left] = True
+        return found[near]
 
 
 def build_index(docs: DataFrame, path: str, *, shard_words: int = 1 << 20) -> None:
@@ -135,8 +151,8 @@ def search(spark, path: str, items: DataFrame, *, window: int = WINDOW, slop: in
     """Exact and proximity matches of the items in the index at ``path``, one row for each document.
 
     Columns: doc_id, n_words, hits (starts and ends of the covered word ranges, end exclusive), items (ids, as
-    strings, with an exact window) and near (ids with a window whose words all stand within ``window + slop`` words,
-    in any order; empty where slop is None). A document without matches has empty lists.
+    strings, with an exact window) and near (ids with a window whose words all stand within ``slop`` words more than
+    they are, in any order; empty where slop is None). A document without matches has empty lists.
     """
     if slop is not None and window + slop > GAP:
         raise ValueError(f"window and slop together must not pass {GAP} words")
@@ -190,7 +206,11 @@ def _search_shard(row: dict, items: list[tuple[str, list[bytes]]], window: int,
                     starts[d].append(p)
                     ends[d].append(p + length)
             if slop is not None:
-                for d in set((np.searchsorted(shift, index.near(part, length + slop - 1), "right") - 1).tolist()):
+                for d in set((np.searchsorted(shift, found, "right") - 1).tolist()):
+                    close[d].add(item)
+                told = np.fromiter((item in c for c in close), bool, len(n))
+                known = lambda at, told=told: told[np.searchsorted(shift, at, "right") - 1]
+                for d in set((np.searchsorted(shift, index.near(part, length + slop - 1, known), "right") - 1).tolist()):
                     close[d].add(item)
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
     columns = [[f"{row['shard']}-{i}" for i in range(len(n))], row["doc_ids"], row["n_words"], starts, ends, [sorted(x) for x in exact], [sorted(x) for x in close]]
@@ -203,7 +223,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sl
     A document word inside any occurrence of ``window`` consecutive item words (all words of a shorter item) is hit;
     a document is contaminated if at least one word in ``share`` is. Null texts have no words, items without words
     no windows, a null item_id reads as ''; repeated rows and ids stay rows of their own; an empty table on either side gives no hits. Returns
-    doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (covered word ranges) and n_near.
+    doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (covered word ranges), n_near and near (ids of the items with a proximity match, sorted; exact
+    matches are among them). Proximity doesn't decide ``contaminated``.
     """
     path = shared_folder(docs.sparkSession, "postings")
     build_index(docs, path, shard_words=shard_words)
@@ -227,6 +248,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sl
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         spans.alias("hits"),
         F.size("near").cast("long").alias("n_near"),
+        F.array_sort("near").alias("near"),
     ).withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
 
 

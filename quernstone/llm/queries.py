@@ -52,6 +52,14 @@ FROM words LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
 
+@query
+def op9_exact_and_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and proximity matches of the benchmark in every document: the columns of ``op9_decontamination``, which its
+    SQL fixes, and the items near."""
+    found = postings.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=postings.SLOP)
+    return found.drop("hits")
+
+
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
