@@ -3,8 +3,8 @@
 Every entity is read into a canonical value (case and separators aside) and mapped by a keyed permutation of all values
 of its kind: a Feistel network over the integers below the number of such values, walked on until it lands on a valid
 one. A permutation keeps distinct entities distinct and equal ones equal, in every task, without a table that must be
-joined; the replacement is then written in the entity's own format. Names go around a keyed cycle of the names of their
-gender and script. A check over the corpus's distinct entities counts collisions all the same, and the key is changed
+joined; the replacement is then written in the entity's own format. Names of the lists go around a keyed cycle of the
+names of their gender and script; others, met after an honorific or a given name, are permuted among the unlisted ones. A check over the corpus's distinct entities counts collisions all the same, and the key is changed
 until there are none.
 """
 
@@ -32,9 +32,47 @@ NAMES = {
 }
 HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Don Doña Г-н Г-жа".split()
 
+# Given names that lead to a person's family name, whatever it is. Left out are those that are common words.
+GIVEN_MORE = (
+    "Robert John David Richard Charles Joseph Daniel Matthew Anthony Donald Steven Andrew Kenneth Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary "
+    "Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Raymond Dennis Jerry Mary Patricia Jennifer Linda Elizabeth "
+    "Barbara Susan Jessica Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen "
+    "Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine Christine Rachel Michael Christopher Hans Klaus Jürgen Wolfgang Stefan Andreas Matthias Uwe Günter "
+    "Heinrich Karl Friedrich Sabine Monika Petra Ursula Brigitte Renate Ingrid Heike Katharina Johanna Jean Jacques François Philippe Michel Nicolas Olivier Mathieu "
+    "Marie Nathalie Isabelle Sylvie Catherine Françoise Monique Céline José Juan Luis Antonio Francisco Manuel Pedro Jorge Alejandro Diego Fernando Rafael Josefa Pilar "
+    "Dolores Teresa Cristina Beatriz Giovanni Giuseppe Marco Francesca Jan Piotr Krzysztof Tomasz Agnieszka Katarzyna Mohammed Muhammad Ahmed Ali Fatima Владимир Виктор "
+    "Юрий Борис Олег Игорь Максим Артём Екатерина Людмила Галина Юлия Ксения Дарья Виктория"
+).split()
+PARTICLES = "de del la las los le da dos di du van von der den zu zum zur ter ten el al bin ibn y e".split()
+ENDINGS = ("ова", "ева", "ёва", "ина", "ская", "ов", "ев", "ёв", "ин", "ский")  # of Cyrillic family names, kept for their gender
+
+_BASIC = "aeiou", "bcdfghjklmnpqrstvwxyz"
+
+
+def _classes() -> dict[str, str]:
+    """The class that each digit and small letter of a name is replaced in: vowels and consonants, letters with marks, digits."""
+    plain = lambda c: len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+    marked, greek = ("".join(filter(plain, map(chr, range(a, b)))) for a, b in ((0xC0, 0x180), (0x386, 0x3CF)))
+    vowels = "аеёиоуыэюя"
+    rest = "".join(c for c in filter(plain, map(chr, range(0x430, 0x460))) if c not in vowels)
+    return {c: k for k in (*_BASIC, marked, greek, vowels, rest) for c in k}
+
+
+NAME_CLASS = _classes()
+CLASS = {c: k for k in ("abcdefghijklmnopqrstuvwxyz", "0123456789") for c in k}
+
 _ALL = sorted({n for names in NAMES.values() for n in names}, key=len, reverse=True)
-_GIVEN = "|".join(sorted({n for k, names in NAMES.items() if k[2] == "given" for n in names}, key=len, reverse=True))
+_LEADS = {n for k, names in NAMES.items() if k[2] == "given" for n in names} | set(GIVEN_MORE)
+_GIVEN = "|".join(sorted(_LEADS, key=len, reverse=True))
 _FAMILY = "|".join(sorted({n for k, names in NAMES.items() if k[2] == "family" for n in names}, key=len, reverse=True))
+_TITLES = "|".join(HONORIFICS)
+_LEADS |= {h.split("-")[0] for h in HONORIFICS}
+_SMALL = "".join(NAME_CLASS) + "ß"
+_BIG = "".join(c.upper() for c in NAME_CLASS)
+_L = f"[{_SMALL}{_BIG}]"
+_END = rf"(?!\w|['’-](?:[{_BIG}]|{_L}{{2}}))"
+_TOKEN = rf"[{_BIG}]{_L}*(?:['’-](?=[{_BIG}]|{_L}{{2}}){_L}+)*"  # a possessive 's isn't part of it
+_REST = rf"(?:[{_BIG}]\.[ ]?)*(?:(?:{'|'.join(PARTICLES)})[ ])*{_TOKEN}"
 
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)", re.ASCII)
@@ -42,8 +80,13 @@ IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 CARD = re.compile(r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-])", re.ASCII)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d[\d ().-]{7,18}\d|\(\d{2,4}\)[ .-]?\d[\d .-]{4,12}\d|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{4,9})(?![\w-])", re.ASCII)
-PERSON = re.compile(rf"(?<!\w)(?:(?:{'|'.join(HONORIFICS)})\.?[ ](?:{'|'.join(_ALL)})(?:[ ](?:{_FAMILY}))?|(?:{_GIVEN})[ ](?:{_FAMILY}))(?!\w)")
-NAME = re.compile("|".join(_ALL))
+PERSON = re.compile(
+    rf"(?<!\w)(?=[{_BIG}])(?:(?:(?:{_TITLES})\.?[ ])+(?:(?:{_GIVEN})(?:[ ]{_REST})?{_END}|(?:{_FAMILY})(?:[ ](?:{_FAMILY}))?{_END}|{_REST}(?:[ ]{_REST}){{0,2}}{_END})"
+    rf"|(?:{_GIVEN})(?:-{_TOKEN})?[ ]{_REST}{_END})"
+)
+TITLED = re.compile(rf"(?:(?:{_TITLES})\.?[ ])*")
+NAME = re.compile(f"{_L}+")
+WORD = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d", re.ASCII)
 NUMBERED = re.compile(r"\d[\d ().:/-]*\d[\d ().:/-]*\d", re.ASCII)
 
@@ -79,6 +122,11 @@ def refill(form: str, digits: str) -> str:
     return DIGITS.sub(lambda _: next(it), form)
 
 
+def check_digits(country: str, body: str) -> str:
+    """The check digits of an IBAN."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
 class Surrogates:
     """Replacements under one key."""
 
@@ -94,6 +142,7 @@ class Surrogates:
         for m, f in zip(male, female):
             self.cycle[f] = female[male.index(self.cycle[m])]
         self.known = functools.lru_cache(maxsize=100_000)(self._digits)
+        self.unknown = functools.lru_cache(maxsize=100_000)(self._unknown)
 
     def _digits(self, kind: str, digits: str, keep: int) -> str:
         """Other digits of the same number, the first ``keep`` kept."""
@@ -122,29 +171,39 @@ class Surrogates:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def iban(self, form: str) -> str:
+        """Valid ones go to valid ones, by their bodies; others to others with all their digits."""
         flat = form.replace(" ", "")
-        body = "".join(self._classes("iban" + flat[:2], flat[4:]))
-        check = 98 - int("".join(str(int(c, 36)) for c in body + flat[:2] + "00")) % 97
-        it = iter(flat[:2] + f"{check:02d}" + body)
+        country, body = flat[:2], flat[4:]
+        if check_digits(country, body) == flat[2:4]:
+            body = self._classes("iban" + country, body)
+            new = country + check_digits(country, body) + body
+        else:
+            new = country + self._classes("iban" + country, flat[2:], lambda x: check_digits(country, x[2:]) != x[:2])
+        it = iter(new)
         return "".join(c if c == " " else next(it) for c in form)
 
-    def _classes(self, tweak: str, text: str) -> str:
-        """Letters to letters, digits to digits, in their case and places; the rest stays."""
-        sizes = [26 if c.isalpha() else 10 if c.isdigit() else 1 for c in text]
+    def _classes(self, tweak: str, text: str, valid: Callable[[str], bool] | None = None, classes: dict[str, str] = CLASS) -> str:
+        """Letters to letters of their class, digits to digits, in their case and places; the rest stays. Texts that are
+        ``valid`` go to such texts."""
+        kinds = [classes.get(c.lower()) for c in text]
         value, size = 0, 1
-        for c, n in zip(text, sizes):
-            if n > 1:
-                value, size = value * n + (ord(c.lower()) - 97 if n == 26 else int(c)), size * n
-        pattern = "".join("a" if n == 26 else "0" if n == 10 else c for c, n in zip(text, sizes))
-        value = permute(self.key, f"{tweak}|{pattern}", value, size) if size > 1 else value
-        out = []
-        for c, n in zip(reversed(text), reversed(sizes)):
-            if n == 1:
+        for c, k in zip(text, kinds):
+            if k:
+                value, size = value * len(k) + k.index(c.lower()), size * len(k)
+        if size == 1:
+            return text
+
+        def spell(value: int) -> str:
+            out = []
+            for c, k in zip(reversed(text), reversed(kinds)):
+                if k:
+                    value, d = divmod(value, len(k))
+                    c = k[d].upper() if c.isupper() else k[d]
                 out.append(c)
-                continue
-            value, d = divmod(value, n)
-            out.append(str(d) if n == 10 else chr((65 if c.isupper() else 97) + d))
-        return "".join(reversed(out))
+            return "".join(reversed(out))
+
+        pattern = "".join(k[0] if k else c for c, k in zip(text, kinds))
+        return spell(permute(self.key, f"{tweak}|{pattern}", value, size, valid and (lambda x: valid(spell(x)))))
 
     def email(self, form: str) -> str:
         """Local part and host together, without the top-level domain."""
@@ -152,8 +211,20 @@ class Surrogates:
         return self._classes("email." + top.lower(), head) + dot + top
 
     def person(self, form: str) -> str:
-        """Each name by its cycle, honorifics kept, so that full and shorter mentions of a person still agree."""
-        return NAME.sub(lambda m: self.cycle[m[0]], form)
+        """Each name by its cycle, and unknown ones by a permutation of those of their form; honorifics and particles are
+        kept, so that full and shorter mentions of a person still agree."""
+        at = TITLED.match(form).end()
+        return form[:at] + NAME.sub(lambda m: m[0] if m[0] in PARTICLES else self.cycle.get(m[0]) or self.unknown(m[0]), form[at:])
+
+    def _unknown(self, name: str) -> str:
+        """A name that no list holds; vowels, consonants and the ending of a Cyrillic family name stay what they are."""
+        end = ending(name)
+        stem = name[: len(name) - len(end)]
+        return self._classes("name", stem, lambda x: x + end not in self.cycle and ending(x + end) == end and x + end not in PARTICLES, NAME_CLASS) + end
+
+
+def ending(name: str) -> str:
+    return next((e for e in ENDINGS if name.endswith(e) and len(name) > len(e) + 1), "")
 
 
 #: Kinds in order of precedence: pattern and replacement.
@@ -188,7 +259,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     for kind, pattern, _ in KINDS:
         if kind == "email" and "@" not in text or kind in ("ip", "iban", "card", "ssn", "phone") and not numbered:
             continue
-        if kind == "person" and not any(n in text for n in _ALL):
+        if kind == "person" and _LEADS.isdisjoint(WORD.findall(text)):
             continue
         for m in pattern.finditer(text):
             if all(m.end() <= a or b <= m.start() for a, b, _ in found):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import postings, queries
+from quernstone.llm import postings, queries, surrogates
 from quernstone.llm.common import shared_folder
 
 
@@ -48,3 +48,51 @@ def test_near_positions_like_brute_force():
         index = postings.ShardIndex([w.encode() for w in spelled], np.concatenate([[0], np.cumsum(np.bincount(code))]), np.argsort(code, kind="stable"))
         if set(item) <= set(spelled):
             assert (len(index.near([spelled.index(w) for w in item], 4)) > 0) == brute_near(" ".join(text), " ".join(item), 1)
+
+
+# 6: surrogates
+
+
+def test_ibans_that_differ_in_check_digits_alone(spark):
+    forms = ["DE89 3704 0044 0532 0130 00", "DE98 3704 0044 0532 0130 00", "AB12 3456 7890 1234 5678", "AB13 3456 7890 1234 5678"]
+    rows = [(i, f"to {f} please") for i, f in enumerate(forms)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert surrogates.collisions(df, b"key") == 0
+    got = {r.doc_id: r for r in surrogates.pseudonymize(df, b"key").collect()}
+    made = [got[i].spans[0].surrogate for i in range(4)]
+    assert len(set(made)) == 4 and not set(made) & set(forms)
+    right = [surrogates.check_digits(m[:2], m.replace(" ", "")[4:]) == m[2:4] for m in made]
+    assert right == [True, False, False, False]
+
+
+def test_iban_surrogates_are_a_permutation():
+    made = surrogates.Surrogates(b"k")
+    for tail in ("12", "0A"):
+        every = [f"AB{c:02d}{tail}" for c in range(100)] if tail == "0A" else [f"AB{c:02d}{b:02d}" for c in range(100) for b in range(100)]
+        got = [made.iban(f) for f in every]
+        assert len(set(got)) == len(every) and (tail == "0A" or set(got) == set(every))
+
+
+@pytest.mark.parametrize("text, names", [
+    ("So Mr Kowalski went", ["Kowalski"]), ("ask Dr. Nguyen.", ["Nguyen"]), ("by Robert Jones, 1999", ["Robert", "Jones"]), ("Prof. Dr. Jean-Luc O'Brien spoke", ["Jean", "Luc", "Brien"]),
+    ("Frau Müller-Lüdenscheidt kam", ["Müller", "Lüdenscheidt"]), ("Mrs Smithson and Miss Smith-Jones", ["Smithson", "Smith", "Jones"]), ("пришла Анна Новикова", ["Анна", "Новикова"]),
+    ("Señor Juan de la Cruz vino", ["Juan", "Cruz"]), ("Mr Kowalski's hat", ["Kowalski"]), ("Г-н Новиков ушёл", ["Новиков"]),
+])
+def test_unlisted_names_are_replaced(text, names):
+    made = surrogates.Surrogates(b"k2")
+    new, spans = surrogates.replace(text, made)
+    left = surrogates.WORD.findall(new)
+    assert spans and not set(names) & set(left), new
+    assert [len(w) for w in text.split()] == [len(w) for w in new.split()] or any(n in made.cycle for n in names)
+    assert surrogates.replace("and " + text, made)[0] == "and " + new
+
+
+def test_unlisted_names_stay_distinct_and_agree():
+    made = surrogates.Surrogates(b"k")
+    every = [a + b + c for a in "BCDFGLS" for b in "aeiou" for c in ("", "n", "ns", "nna")] + ["Anna", "Paul", "Emma"]
+    assert len({made.person("Mr " + n) for n in every}) == len(every)
+    assert made.person("Dr. Robert Kowalski").split()[-1] == made.person("Mr Kowalski").split()[-1]
+    m, f = made.person("Г-н Новиков"), made.person("Г-жа Новикова")
+    assert f == m.replace("Г-н", "Г-жа") + "а"
+    for text in ("Anna went home", "the mister and Paul. The end", "Doctor No", "x"):
+        assert surrogates.detect(text) == []
