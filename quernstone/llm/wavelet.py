@@ -167,7 +167,8 @@ class PieceEncoder:
 
     The tokenizer splits a text before it merges, and a single space between two other characters always begins a
     part of its own. So a text may be cut before such spaces, each piece encoded once and looked up from then on.
-    Texts with a space before other white space are encoded whole. At most two times ``limit`` pieces are remembered:
+    Texts with a space before other white space, and those that hold an added token (``<|endoftext|>``), which the
+    tokenizer takes out before it splits, are encoded whole. At most two times ``limit`` pieces are remembered:
     a full memory becomes the old one, and what is met again moves from there to the new.
     """
 
@@ -178,7 +179,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.leads = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -188,14 +189,18 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def has_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _runs(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """(piece, ids) of pieces encoded in runs; the ids of each begin with one that has a leading space."""
         runs = [pieces[at : at + RUN] for at in range(0, len(pieces), RUN)]
-        done = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)
-        for run, encoding in zip(runs, done):
+        joined = [" " + " ".join(r) for r in runs]
+        done = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        for run, text, encoding in zip(runs, joined, done):
             ids = np.array(encoding.ids, self.kind)
             cuts = np.flatnonzero(self.leads[ids])
-            if len(cuts) != len(run):
+            if len(cuts) != len(run) or self.has_added(text):  # an added token with a space may arise between pieces
                 yield from ((p, self.whole(" " + p)) for p in run)
                 continue
             raw, width = ids.tobytes(), ids.itemsize
@@ -229,7 +234,7 @@ class PieceEncoder:
             self.known, self.old = {}, self.known
         if len(self.tails) > self.limit:
             self.tails = {}
-        split = [None if ODD.search(t) else t.split(" ") for t in texts]
+        split = [None if ODD.search(t) or self.has_added(t) else t.split(" ") for t in texts]
         firsts = [s[0] for s in split if s]
         begun = self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)
         begins = iter([np.array(e.ids, self.kind).tobytes() for e in begun])

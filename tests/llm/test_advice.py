@@ -1,10 +1,11 @@
 """The whole job of each operator where a review found less of it."""
 
+import zlib
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from quernstone.llm import postings, queries, surrogates
+from quernstone.llm import postings, queries, surrogates, wavelet
 from quernstone.llm.common import shared_folder
 
 
@@ -96,3 +97,23 @@ def test_unlisted_names_stay_distinct_and_agree():
     assert f == m.replace("Г-н", "Г-жа") + "а"
     for text in ("Anna went home", "the mister and Paul. The end", "Doctor No", "x"):
         assert surrogates.detect(text) == []
+
+
+# 1: token ids
+
+
+ADDED = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b  c", "plain text, here", "say <|endoftext|>. <|endoftext|> x", "<|endof text|>"]
+
+
+def test_added_tokens_like_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(wavelet.vocabulary())
+    want, start = [], 0
+    for d, text in enumerate(ADDED):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    assert sorted(map(tuple, wavelet.token_output(df, wavelet.vocabulary(), shared_folder(spark, "t")).collect())) == want
+    assert t.encode(ADDED[0], add_special_tokens=False).ids == [3826, 220, 50256, 994]
