@@ -2,7 +2,7 @@
 
 A notice of several words may be found with up to k edits (single characters). Cut into k + 1 pieces, one of them must
 stand unedited in any such match, so the pieces are exact seeds: only where one occurs does the regex library's
-bounded-error matching run, on the part of the text that a match through that seed could cover. Text and notices are
+bounded-error matching run, on each stretch of whole words that a match through that seed could be. Text and notices are
 compared as lower-cased words joined by single spaces. Each document is scanned where it lies; nothing is shuffled.
 """
 
@@ -72,28 +72,32 @@ class NoticeScanner:
         return found
 
     def fuzzy_hits(self, joined: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of the best match in each stretch of text that a seed points at."""
+        """(start, end, label, edits) of each notice's matches of whole words; of overlapping ones of a notice that with
+        the fewest edits, then the first and the shortest."""
         found = []
         for phrase, label, edits, parts, fuzzy in self.notices:
-            near = []
+            begins = set()
             for offset, part in parts:
                 at = joined.find(part)
                 while at >= 0:
-                    near.append((max(0, at - offset - edits), at - offset + len(phrase) + edits))
+                    # a match with this part unedited begins after a space, at most `edits` from the part's place
+                    space = joined.find(" ", max(0, at - offset - edits - 1), max(0, at - offset + edits))
+                    while space >= 0:
+                        begins.add(space + 1)
+                        space = joined.find(" ", space + 1, max(0, at - offset + edits))
                     at = joined.find(part, at + 1)
-            if not near:
-                continue
-            near.sort()
-            stretches = [near[0]]
-            for a, b in near[1:]:
-                if a <= stretches[-1][1]:
-                    stretches[-1] = (stretches[-1][0], max(b, stretches[-1][1]))
-                else:
-                    stretches.append((a, b))
-            for a, b in stretches:
-                for m in fuzzy.finditer(joined, a, min(b, len(joined))):
-                    if whole(joined, m.start(), m.end()):
-                        found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+            matches = []
+            for a in begins:
+                b = joined.find(" ", max(a + 1, a + len(phrase) - edits), a + len(phrase) + edits + 1)
+                while b >= 0:
+                    if m := fuzzy.fullmatch(joined, a, b):
+                        matches.append((sum(m.fuzzy_counts), a, b))
+                    b = joined.find(" ", b + 1, a + len(phrase) + edits + 1)
+            taken: list[tuple[int, int, str, int]] = []
+            for e, a, b in sorted(matches):
+                if all(b <= x or y <= a for x, y, *_ in taken):
+                    taken.append((a, b, label, e))
+            found += sorted(taken)
         return found
 
     def scan(self, text: str | None) -> tuple:
@@ -122,11 +126,6 @@ class NoticeScanner:
         )
 
 
-def whole(joined: str, start: int, end: int) -> bool:
-    """Whether a match begins and ends at a word's edge."""
-    return (joined[start] == " " or joined[start - 1] == " ") and (joined[end - 1] == " " or joined[end] == " ")
-
-
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<string>"

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quernstone.llm import postings, queries, surrogates, wavelet
+from quernstone.llm import notices, postings, queries, surrogates, wavelet
 from quernstone.llm.common import shared_folder
 
 
@@ -117,3 +117,56 @@ def test_added_tokens_like_the_library(spark):
     df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
     assert sorted(map(tuple, wavelet.token_output(df, wavelet.vocabulary(), shared_folder(spark, "t")).collect())) == want
     assert t.encode(ADDED[0], add_special_tokens=False).ids == [3826, 220, 50256, 994]
+
+
+# 10: licenses
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_notices(text):
+    """(label, first word, last word, edits), the best of those of a notice that overlap."""
+    words, found = [w.decode() for w in notices.alnum_words(text)], set()
+    for phrase, label, edits in notices.NOTICES:
+        spans = []
+        for a in range(len(words)):
+            for b in range(a, len(words)):
+                part = " ".join(words[a : b + 1])
+                if abs(len(part) - len(phrase)) <= edits and (e := distance(part, phrase)) <= edits:
+                    spans.append((e, a, b))
+        taken = []
+        for e, a, b in sorted(spans):
+            if all(b < x or y < a for x, y in taken):
+                taken.append((a, b))
+                found.add((a, b, label, e))
+    return [f"{label}:{a}:{b}:{e}" for a, b, label, e in sorted(found)]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("redistribution and use in source and binary forms, with or without modifications are permitted", "bsd:0:11:1"),
+    ("the GNU General Public Licenses apply", "gpl:1:4:1"),
+    ("sublicensed under the apache license version 2 0", "apache-2.0:0:7:3"),
+    ("all rights reservd overall rights reserved here", "reserved:0:2:1"),
+    ("all rights reserved all rights reservd; al rights reserved", "reserved:3:5:1"),
+    ("licensed under cc by licenced under cc-by", "cc-by:4:7:1"),
+])
+def test_whole_word_notices_within_their_edits(text, want):
+    spans = notices.NoticeScanner().scan(text)[-1]
+    assert want in spans and spans == brute_notices(text)
+
+
+def test_notices_like_brute_force():
+    rng, scanner = np.random.default_rng(10), notices.NoticeScanner()
+    for _ in range(150):
+        text = list(" ".join(notices.NOTICES[i][0] for i in rng.integers(0, len(notices.NOTICES), 2)))
+        for _ in range(rng.integers(0, 5)):
+            at = int(rng.integers(0, len(text)))
+            text[at : at + int(rng.integers(0, 2))] = str(rng.choice(["", "s", " ", "xy"]))
+        assert scanner.scan("".join(text))[-1] == brute_notices("".join(text)), "".join(text)
