@@ -273,7 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, *, targets=("quality",), labelled:
 
 def score(docs: DataFrame, models: dict[str, CoModel | None]) -> DataFrame:
     """For each row of docs and each target: its combined probability (``p_<target>``), the calibrated ones of the two
-    views and the decision (``is_<target>``). Without a model the probabilities are null and the decision true."""
+    views and the decision (``is_<target>``). Without a model the probabilities are null, and the decision is too but for
+    quality: there all documents are accepted."""
     fields = ["doc_id long", "digest long"]
     for t in models:
         fields += [f"p_{t} double", f"p_{t}_content double", f"p_{t}_meta double", f"is_{t} boolean"]
@@ -287,10 +288,10 @@ def score(docs: DataFrame, models: dict[str, CoModel | None]) -> DataFrame:
             texts, *rest = (c.to_pylist() for c in batch.columns[2:])
             content = [content_view(t) for t in texts]
             meta = [metadata_view(t, *m) for t, *m in zip(texts, *rest)]
-            for model in told.values():
+            for target, model in told.items():
                 if model is None:
                     none = pa.nulls(batch.num_rows, pa.float64())
-                    columns += [none, none, none, pa.array([True] * batch.num_rows)]
+                    columns += [none, none, none, pa.array([True if target == "quality" else None] * batch.num_rows, pa.bool_())]
                     continue
                 dense, sizes = (np.array([x[1] for x in v]).reshape(len(texts), -1) for v in (content, meta))
                 known = model.words.keys()
@@ -310,7 +311,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, targets=("quality",), **opti
     """Score every row of ``docs(doc_id, text[, source, lang, n_chars])`` by models co-trained on ``labels``.
 
     Null texts read as empty and null metadata is a value of its own. A document with several label rows takes the
-    largest label. Without labels of both classes every row is accepted, with null probabilities. Repeated rows
+    largest label. Without labels of both classes every row has null probabilities; it is accepted as to quality, and any
+    other decision is null. Repeated rows
     are scored each; an empty table gives no rows; other columns are ignored.
     """
     return score(docs, train(docs, labels, targets=targets, **options)).drop("digest")

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quernstone.llm import notices, postings, queries, surrogates, wavelet
+from quernstone.llm import cotrain, notices, postings, queries, surrogates, wavelet
 from quernstone.llm.common import shared_folder
 
 
@@ -170,3 +170,14 @@ def test_notices_like_brute_force():
             at = int(rng.integers(0, len(text)))
             text[at : at + int(rng.integers(0, 2))] = str(rng.choice(["", "s", " ", "xy"]))
         assert scanner.scan("".join(text))[-1] == brute_notices("".join(text)), "".join(text)
+
+
+# 2: co-training
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_no_toxicity_told_without_a_model(spark, toxic):
+    docs = spark.createDataFrame([(i, f"some plain text {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, toxic) for i in range(6)], "doc_id long, quality int, toxic int")
+    got = cotrain.classify(docs, labels, targets=("quality", "toxic")).collect()
+    assert len(got) == 8 and all(r.is_quality is True and r.is_toxic is None and r.p_toxic is None for r in got)
