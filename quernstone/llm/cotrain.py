@@ -1,117 +1,176 @@
 """Quality classifier by co-training.
 
-Two views of a document: its content (words of the sample's vocabulary and rates of characters) and its page metadata
-(source, language, length and line layout). Each view has a logistic model, fitted on labelled rows; then, round after
-round, each labels the unlabelled pool and hands the rows it is calibrated to be sure of to the other. At the end each
-view is calibrated on labelled rows kept out of the fit, the two log-odds are combined by a logistic model on the same
-rows, and all documents are scored where they lie.
-
-The fit uses a bounded sample: ``labelled`` rows with labels and ``pool`` rows without, chosen by hash, which come to the
-driver as feature lists. The model is bounded by that sample. Scoring covers every document.
+Two views of a document: its content (hashed words, rates of characters, line layout) and its page metadata (source,
+language, recorded length). Each view has a logistic model, fitted on labelled rows. Then, round after round, both score
+every unlabelled document of the corpus, and of the documents that a view is calibrated to be sure of the ``exchange``
+surest of each class are handed to the other view as pseudo-labels. At the end each view is calibrated on labelled rows
+kept out of the fit, the two log-odds are combined by a logistic model on the same rows, and all documents are scored.
+
+The features of all rows are extracted once into a table, so that a round reads numbers, not texts. The driver fits: it
+holds at most ``labelled`` labelled rows and what the rounds exchange (``exchange`` a round, class and view).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import alnum_words, stored
+from quernstone.llm.common import WORD_BYTES, stored
 
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SLOTS = 256  # hashed one-hot slots for source and language
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PUNCTUATION = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
+WORD_SLOTS = 1 << 18  # hashed columns of the content view
+SLOTS = 256  # hashed one-hot columns for source and language
+VIEWS = ("content", "meta")
+FEATURES = "doc_id long, digest long, cols binary, counts binary, dense binary, slots binary, sizes binary"
 
 
-def content_view(text: str | None) -> tuple[Counter, list[float]]:
-    """Words (lower-cased, of letters and digits) with counts, and rates of characters; a null text reads as empty."""
-    text = text or ""
-    words = Counter(alnum_words(text))
-    n = max(len(text), 1)
-    total = max(sum(words.values()), 1)
-    upper = sum(map(text.count, CAPITALS))
-    rates = [text.count(c) / n for c in PUNCTUATION]
-    digits = sum(text.count(c) for c in "0123456789") / n
-    return words, [
-        *(np.sqrt(r) for r in rates), np.sqrt(digits), upper / n, n / total / 10, len(words) / total, np.log1p(total) / 10,
-    ]
+class Slots(dict):
+    """Column of each word, remembered; cleared when it has grown."""
+
+    def __missing__(self, word: bytes) -> int:
+        slot = zlib.crc32(word) % WORD_SLOTS
+        if len(word) <= 32:
+            self[word] = slot
+        return slot
 
 
+def content_view(raw: bytes, n_chars: int, slots: Slots) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Columns of the words (lower-cased runs of letters and digits) and their counts, and rates of characters and lines."""
+    words = raw.translate(WORD_BYTES).split()
+    cols, counts = np.unique(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)), return_counts=True)
+    seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    n, total, lines = max(n_chars, 1), max(len(words), 1), int(seen[10]) + 1
+    dense = [
+        *np.sqrt(seen[PUNCTUATION] / n), np.sqrt(seen[48:58].sum() / n), seen[65:91].sum() / n, n_chars / total / 10, len(cols) / total,
+        np.log1p(len(words)) / 10, np.log1p(lines) / 5, np.log1p(n_chars / lines) / 10, raw.count(b"\n\n") / lines,
+    ]
+    return cols, np.minimum(counts, 65_535), dense
 
 
-def metadata_view(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> tuple[list[int], list[float]]:
-    """Slots of source and language (null is a value of its own), and sizes of the page."""
-    text = text or ""
+def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> tuple[list[int], list[float]]:
+    """Columns of source and language (null is a value of its own), and the recorded length with whether there is one."""
     slots = [zlib.crc32(f"{kind}={v}".encode()) % SLOTS for kind, v in (("source", source), ("lang", lang))]
-    lines = text.count("\n") + 1
-    n = len(text) if n_chars is None else n_chars
-    return slots, [np.log1p(max(n, 0)) / 10, np.log1p(lines) / 5, np.log1p(len(text) / lines) / 10, text.count("\n\n") / lines]
+    return slots, [np.log1p(max(n_chars or 0, 0)) / 10, float(n_chars is None)]
 
 
 def _columns(docs: DataFrame) -> DataFrame:
-    """The columns that the views read; metadata that the table lacks is null."""
+    """The columns that the views read, null texts as empty ones; metadata that the table lacks is null."""
     have = set(docs.columns)
-    return docs.select(
-        "doc_id", "text", *((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long")))
-    )
+    meta = ((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long")))
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"), *meta)
 
 
-@dataclass
-class Linear:
-    """Logistic model over standardized features: sparse columns (by id) and dense ones."""
+def _batch(schema: str, columns: list, kinds: list) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
-    sparse: np.ndarray
-    dense: np.ndarray
-    bias: float
-    mean: np.ndarray
-    scale: np.ndarray
 
-    def score(self, x: Rows) -> np.ndarray:
-        return x.dot(self.sparse) + (x.dense - self.mean) / self.scale @ self.dense + self.bias
+def features(docs: DataFrame) -> DataFrame:
+    """Both views of each row as packed numbers: int32 columns, uint16 counts (those beyond 65,535 read as that), floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Slots()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(2)
+                packed: list[list[bytes]] = [[] for _ in range(5)]
+                rows = zip(texts.cast(pa.binary()).to_pylist(), pc.utf8_length(texts).to_pylist(), *(part.column(i).to_pylist() for i in (3, 4, 5)))
+                for raw, n, source, lang, n_chars in rows:
+                    cols, counts, dense = content_view(raw, n, known)
+                    slots, sizes = metadata_view(source, lang, n_chars)
+                    values = cols, counts.astype("<u2"), np.array(dense, "<f4"), np.array(slots, "<i4"), np.array(sizes, "<f4")
+                    for column, value in zip(packed, values):
+                        column.append(value.tobytes())
+                if len(known) > 400_000:
+                    known.clear()
+                yield _batch(FEATURES, [part.column(0), part.column(1), *packed], [None, None] + [pa.binary()] * 5)
+
+    return _columns(docs).mapInArrow(run, FEATURES)
 
 
 class Rows:
-    """Feature rows: a sparse part (row, column, value) and a dense one."""
+    """Feature rows of one view: a sparse part (row, column, value) and a dense one."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, dense: np.ndarray, width: int):
-        self.row, self.col, self.value, self.dense, self.width = row, col, value, dense, width
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, dense: np.ndarray):
+        self.row, self.col, self.value, self.dense = row, col, value, dense
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.value * w[self.col], minlength=len(self.dense))
 
-    def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, weights=self.value * r[self.row], minlength=self.width)
-
     def take(self, which: np.ndarray) -> Rows:
         place = np.full(len(self.dense), -1)
         place[which] = np.arange(len(which))
         keep = place[self.row] >= 0
-        return Rows(place[self.row[keep]], self.col[keep], self.value[keep], self.dense[which], self.width)
+        return Rows(place[self.row[keep]], self.col[keep], self.value[keep], self.dense[which])
+
+
+def unpack(batch) -> dict[str, Rows]:
+    """Both views of packed feature rows; words weigh 1 + log of their counts."""
+
+    def flat(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind)
+
+    n = batch.num_rows
+    each = np.array([len(v) // 4 for v in batch.column("cols").to_pylist()], np.int64)
+    row = np.repeat(np.arange(n), each)
+    value = 1 + np.log(flat("counts", "<u2").astype(np.float32))
+    content = Rows(row, flat("cols", "<i4"), value, flat("dense", "<f4").reshape(n, -1).astype(float) if n else np.zeros((0, 0)))
+    slots = flat("slots", "<i4")
+    meta = Rows(np.repeat(np.arange(n), 2), slots, np.ones(len(slots)), flat("sizes", "<f4").reshape(n, -1).astype(float) if n else np.zeros((0, 0)))
+    return {"content": content, "meta": meta}
+
+
+@dataclass
+class Linear:
+    """Logistic model over sparse columns and standardized dense ones."""
+
+    sparse: np.ndarray
+    dense: np.ndarray
+    bias: float
+    mean: np.ndarray
+    scale: np.ndarray
+
+    def score(self, x: Rows) -> np.ndarray:
+        return x.dot(self.sparse) + (x.dense - self.mean) / self.scale @ self.dense + self.bias
 
 
-def fit(x: Rows, y: np.ndarray, weight: np.ndarray, *, steps: int = 60, ridge: float = 2e-4, rate: float = 0.15, start: Linear | None = None) -> Linear:
-    """Full-batch logistic regression by Adam; both classes weigh the same."""
+def fit(x: Rows, y: np.ndarray, weight: np.ndarray, width: int, *, steps: int = 60, ridge: float = 2e-4, rate: float = 0.15, least: int = 2, prior: float = 10.0) -> Linear:
+    """Full-batch logistic regression by Adam; both classes weigh the same. Columns met in fewer than ``least`` rows get no
+    weight; the others are scaled by the log ratio of their shares in the classes, drawn to 0 by ``prior`` rows."""
     mean, scale = x.dense.mean(axis=0), x.dense.std(axis=0) + 1e-6
     dense = (x.dense - mean) / scale
     share = np.array([max(weight[y == c].sum(), 1e-9) for c in (0, 1)])
+    met = np.bincount(x.col, minlength=width)
+    used = np.flatnonzero(met >= least)
+    place = np.full(width, -1, np.int64)
+    place[used] = np.arange(len(used))
+    keep = met[x.col] >= least
+    row, col, value = x.row[keep], place[x.col[keep]], x.value[keep]
+    n, m = len(used), dense.shape[1]
+    in_class = [np.bincount(col, weights=weight[row] * (y[row] == c), minlength=n) for c in (0, 1)]
+    ratio = np.log((in_class[1] + prior * share[1] / share.sum()) / share[1]) - np.log((in_class[0] + prior * share[0] / share.sum()) / share[0])
+    value = value * ratio[col]
     weight = weight / share[y] / 2
-    n, m = x.width, dense.shape[1]
-    w = np.zeros(n + m + 1) if start is None else np.concatenate([start.sparse, start.dense, [start.bias]])
+    w = np.zeros(n + m + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = x.dot(w[:n]) + dense @ w[n:-1] + w[-1]
+        z = np.bincount(row, weights=value * w[col], minlength=len(y)) + dense @ w[n:-1] + w[-1]
         r = (sigmoid(z) - y) * weight
-        g = np.concatenate([x.back(r), dense.T @ r, [r.sum()]]) + ridge * np.append(w[:-1], 0)
+        g = np.concatenate([np.bincount(col, weights=value * r[row], minlength=n), dense.T @ r, [r.sum()]]) + ridge * np.append(w[:-1], 0)
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return Linear(w[:n], w[n:-1], float(w[-1]), mean, scale)
+    sparse = np.zeros(width)
+    sparse[used] = w[:n] * ratio
+    return Linear(sparse, w[n:-1], float(w[-1]), mean, scale)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -132,19 +191,19 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class CoModel:
-    """What scoring needs of one target: word weights, dense weights, metadata weights, calibrations, threshold."""
+    """What scoring needs of one target: the views' models and calibrations, their combination, the threshold."""
 
-    words: dict[bytes, float]
-    content: Linear
-    meta: Linear
-    calibration: tuple[np.ndarray, np.ndarray]
+    views: dict[str, Linear]
+    calibration: dict[str, np.ndarray]
     combine: np.ndarray
     threshold: float
 
-    def probabilities(self, zc: np.ndarray, zm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated content and metadata probabilities, and the combined one."""
-        c, m = (np.clip(z, -30, 30) * w[0] + w[1] for z, w in ((zc, self.calibration[0]), (zm, self.calibration[1])))
-        return sigmoid(c), sigmoid(m), sigmoid(c * self.combine[0] + m * self.combine[1] + self.combine[2])
+    def odds(self, x: dict[str, Rows]) -> dict[str, np.ndarray]:
+        """Calibrated log-odds of each view."""
+        return {k: np.clip(m.score(x[k]), -30, 30) * self.calibration[k][0] + self.calibration[k][1] for k, m in self.views.items()}
+
+    def combined(self, odds: dict[str, np.ndarray]) -> np.ndarray:
+        return sigmoid(sum(odds[k] * self.combine[i] for i, k in enumerate(VIEWS)) + self.combine[-1])
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -160,167 +219,154 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def cotrain(content: Rows, meta: Rows, y: np.ndarray, vocabulary: list[bytes], *, rounds: int = 3, sure: float = 0.95, exchange: int = 500) -> CoModel:
-    """Fit one target. y is 0 or 1 for labelled rows and -1 for the pool. Every fourth labelled row is kept out."""
-    labelled = np.flatnonzero(y >= 0)
-    held, fitted = labelled[::4], np.delete(labelled, np.s_[::4])
-    if len({*y[fitted].tolist()}) < 2 or not len(held):
-        held = fitted = labelled
-    views = {"content": content, "meta": meta}
-    told = {k: y.copy() for k in views}  # what each view has been told so far
-    models: dict[str, Linear | None] = dict.fromkeys(views)
-    calibration: dict[str, np.ndarray] = {}
-    held_rows = {k: x.take(held) for k, x in views.items()}
-    for round_ in range(rounds + 1):
-        for k, x in views.items():
-            use = np.setdiff1d(np.flatnonzero(told[k] >= 0), held) if len(fitted) < len(labelled) else np.flatnonzero(told[k] >= 0)
-            weight = np.where(y[use] >= 0, 1.0, 0.5)  # a pseudo-label counts half
-            models[k] = fit(x.take(use), told[k][use], weight, start=models[k], steps=60 if round_ == 0 else 25)
-            calibration[k], _ = platt(models[k].score(held_rows[k]), y[held])
-        if round_ == rounds:
-            break
-        for k, other in (("content", "meta"), ("meta", "content")):
-            p = sigmoid(np.clip(models[k].score(views[k]), -30, 30) * calibration[k][0] + calibration[k][1])
-            for label, sureness in ((1, p), (0, 1 - p)):
-                new = np.flatnonzero((told[other] < 0) & (sureness >= sure))
-                told[other][new[np.argsort(-sureness[new], kind="stable")[:exchange]]] = label
-    z = [np.clip(models[k].score(held_rows[k]), -30, 30) * calibration[k][0] + calibration[k][1] for k in views]
-    combine, p = platt(np.column_stack(z), y[held])
-    words = {w: float(v) for w, v in zip(vocabulary, models["content"].sparse) if v}
-    # never above one half: a document isn't turned down while it is likelier good than bad
-    threshold = min(_best_threshold(p, y[held]), 0.5)
-    return CoModel(words, models["content"], models["meta"], (calibration["content"], calibration["meta"]), combine, threshold)
+KEY = ["doc_id", "digest"]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, whose word counts are then all that a task holds at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def _collected(feats: DataFrame, keys: DataFrame) -> pa.Table:
+    """The feature rows of a bounded set of keys, each once, in the order of their keys."""
+    rows = feats.join(F.broadcast(keys.select(*KEY)), KEY, "left_semi").dropDuplicates(KEY)
+    return rows.toArrow().combine_chunks().sort_by([(k, "ascending") for k in KEY])
 
 
-FEATURES = "doc_id long, words array<binary>, counts array<int>, dense array<double>, slots array<int>, sizes array<double>"
+def chosen(feats: DataFrame, told: DataFrame, labelled: int) -> DataFrame:
+    """At most ``labelled`` rows with labels, first by hash of doc_id, with their labels."""
+    one = feats.select(*KEY).where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    return one.join(told, "doc_id").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(labelled)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The two views of each row, for the sample."""
+def surest(feats: DataFrame, told: DataFrame, models: dict[str, CoModel], given: dict[tuple[str, str], np.ndarray], sure: float, exchange: int) -> list[tuple]:
+    """(target, view, label, doc_id, digest): of all unlabelled rows, those that a view is surest of, at most ``exchange``
+    of each target, view and class, without the documents that the other view was ``given`` before.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            doc_ids, texts, *rest = (c.to_pylist() for c in batch.columns)
-            rows = [(*content_view(t), *metadata_view(t, *m)) for t, *m in zip(texts, *rest)]
-            columns = [doc_ids, [list(r[0]) for r in rows], [list(r[0].values()) for r in rows], *([r[i] for r in rows] for i in (1, 2, 3))]
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in FEATURES.split(", ")])
-
-    return _columns(docs).mapInArrow(run, FEATURES)
-
-
-def sample(docs: DataFrame, labels: DataFrame, targets: list[str], labelled: int, pool: int) -> DataFrame:
-    """Features of at most ``labelled`` labelled rows (with their labels) and ``pool`` others, both first by hash of doc_id."""
-    spread = F.xxhash64(F.lit(11), "doc_id")
-    told = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(t).alias(t) for t in targets))
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    with_labels = ids.join(told, "doc_id").orderBy(spread, "doc_id").limit(labelled)
-    without = ids.join(told, "doc_id", "left_anti").orderBy(spread, "doc_id").limit(pool)
-    chosen = stored(with_labels.unionByName(without, allowMissingColumns=True), "sample")
-    rows = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # at most labelled + pool ids
-    return features(rows).dropDuplicates(["doc_id"]).join(chosen, "doc_id")
-
-
-PACKED = "doc_id long, cols binary, logs binary, dense array<double>, slots array<int>, sizes array<double>"
-
-
-def pack(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """Sample rows with their words as numbers in the vocabulary (which the sample bounds), and 1 + log of the counts."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    The best of each of 64 salts are found first, so no task ranks all sure rows of a class."""
+    sent = feats.sparkSession.sparkContext.broadcast((models, given))
+    out = "target string, view string, label int, sureness double, doc_id long, digest long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(sent.value)}
+        told_models, before = sent.value
         for batch in batches:
-            cols, logs = [], []
-            for words, counts in zip(batch.column(1), batch.column(2)):
-                both = [(place[w], n) for w, n in zip(words.as_py(), counts.as_py()) if w in place]
-                at = np.array(both, np.int32).reshape(-1, 2)
-                cols.append(at[:, 0].tobytes())
-                logs.append((1 + np.log(at[:, 1])).astype(np.float32).tobytes())
-            rest = [batch.column(i) for i in (3, 4, 5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.binary()), pa.array(logs, pa.binary()), *rest], names=[c.split()[0] for c in PACKED.split(", ")])
-
-    return rows.select(*(c.split()[0] for c in FEATURES.split(", "))).mapInArrow(run, PACKED)
-
-
-def train(docs: DataFrame, labels: DataFrame, *, targets=("quality",), labelled: int = 4000, pool: int = 3000, least_documents: int = 4, **options) -> dict[str, CoModel | None]:
-    """A model for each target column of ``labels``; None where the labels hold fewer than two classes."""
-    rows = stored(sample(docs, labels, list(targets), labelled, pool), "features")
-    counted = rows.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= least_documents)
-    vocabulary = sorted(bytes(r[0]) for r in counted.select("w").collect())
-    told = {r[0]: r[1:] for r in rows.select("doc_id", *targets).collect()}
-    packed = pack(rows, vocabulary).toArrow().sort_by("doc_id")
-    cols = [np.frombuffer(v.as_py(), np.int32) for v in packed["cols"]]
-    n = len(cols)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols])
-    col, value = (np.concatenate(x) if n else np.zeros(0, t) for x, t in ((cols, np.int32), ([np.frombuffer(v.as_py(), np.float32) for v in packed["logs"]], np.float32)))
-    dense, slots, sizes = (np.array(packed[c].to_pylist(), t).reshape((n, -1) if n else (0, 0)) for c, t in (("dense", float), ("slots", np.int32), ("sizes", float)))
-    content = Rows(row, col, value, dense, len(vocabulary))
-    meta = Rows(np.repeat(np.arange(n, dtype=np.int32), slots.shape[1]), slots.ravel(), np.ones(slots.size, np.float32), sizes, SLOTS)
-    models: dict[str, CoModel | None] = {}
-    for i, target in enumerate(targets):
-        y = np.array([-1 if told[d][i] is None else int(told[d][i]) for d in packed["doc_id"].to_pylist()], np.int64)
-        models[target] = cotrain(content, meta, y, vocabulary, **options) if len(set(y.tolist()) - {-1}) == 2 else None
-    return models
-
-
-def score(docs: DataFrame, models: dict[str, CoModel | None]) -> DataFrame:
-    """For each row of docs and each target: its combined probability (``p_<target>``), the calibrated ones of the two
-    views and the decision (``is_<target>``). Without a model the probabilities are null, and the decision is too but for
+            x = unpack(batch)
+            ids, digests = (batch.column(k).to_numpy(zero_copy_only=False) for k in KEY)
+            for target, model in told_models.items():
+                for view, z in model.odds(x).items():
+                    p = sigmoid(z)
+                    fresh = ~np.isin(ids, before[target, view])
+                    for label, s in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(fresh & (s >= sure))
+                        if len(at):
+                            n = len(at)
+                            yield _batch(out, [[target] * n, [view] * n, np.full(n, label, np.int32), s[at], ids[at], digests[at]], [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()])
+
+    sure_rows = feats.where("doc_id is not null").mapInArrow(run, out).join(told.select("doc_id"), "doc_id", "left_anti")
+    group = ["target", "view", "label"]
+    order = (F.desc("sureness"), F.xxhash64(F.lit(12), *KEY), *KEY)
+    salted = sure_rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), *KEY), F.lit(64)))
+    for keys in ([*group, "salt"], group):
+        salted = salted.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= exchange)
+    return [tuple(r) for r in salted.select(*group, *KEY).orderBy(*group, *KEY).collect()]
+
+
+def train(feats: DataFrame, labels: DataFrame, *, targets=("quality",), labelled: int = 4000, rounds: int = 3, sure: float = 0.95, exchange: int = 500) -> dict[str, CoModel | None]:
+    """A model for each target column of ``labels``; None where the labels hold fewer than two classes.
+
+    A fourth of the labelled rows of each class is kept out of the fits and calibrates them. A pseudo-label counts half."""
+    told = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(t).alias(t) for t in targets))
+    keys = stored(chosen(feats, told, labelled), "labelled")
+    said = {(r.doc_id, r.digest): r for r in keys.collect()}
+    table = _collected(feats, keys)
+    names = list(zip(*(table.column(k).to_pylist() for k in KEY)))
+    x = unpack(table)
+    y = {t: np.array([-1 if said[k][t] is None else int(said[k][t]) for k in names], np.int64) for t in targets}
+    active = [t for t in targets if {0, 1} <= set(y[t].tolist())]
+    held, fitted = {}, {}
+    for t in active:
+        have, rng = np.flatnonzero(y[t] >= 0), np.random.default_rng(14)
+        held[t] = np.sort(np.concatenate([rng.permutation(np.flatnonzero(y[t] == c))[::4] for c in (0, 1)]))
+        fitted[t] = np.setdiff1d(have, held[t])
+        if len(set(y[t][fitted[t]].tolist())) < 2:
+            held[t] = fitted[t] = have
+    pseudo: dict[tuple[str, str], dict[tuple, int]] = {(t, v): {} for t in active for v in VIEWS}
+    extra, extra_names = None, []
+    models: dict[str, CoModel] = {}
+    for round_ in range(rounds + 1):
+        more = unpack(extra) if extra is not None else None
+        place = {k: i for i, k in enumerate(extra_names)}
+        for t in active:
+            linear, calibration = {}, {}
+            for v in VIEWS:
+                got = [(place[k], label) for k, label in pseudo[t, v].items() if k in place]
+                base = x[v].take(fitted[t])
+                labels_, weight = y[t][fitted[t]], np.ones(len(fitted[t]))
+                if got:
+                    at, label = (np.array(c, np.int64) for c in zip(*got))
+                    add = more[v].take(at)
+                    base = Rows(
+                        np.concatenate([base.row, add.row + len(base.dense)]), np.concatenate([base.col, add.col]),
+                        np.concatenate([base.value, add.value]), np.concatenate([base.dense, add.dense]),
+                    )
+                    labels_, weight = np.concatenate([labels_, label]), np.concatenate([weight, np.full(len(label), 0.5)])
+                linear[v] = fit(base, labels_, weight, WORD_SLOTS if v == "content" else SLOTS)
+                calibration[v], _ = platt(linear[v].score(x[v].take(held[t])), y[t][held[t]])
+            z = [np.clip(linear[v].score(x[v].take(held[t])), -30, 30) * calibration[v][0] + calibration[v][1] for v in VIEWS]
+            combine, p = platt(np.column_stack(z), y[t][held[t]])
+            # never above one half: a document isn't turned down while it is likelier good than bad
+            models[t] = CoModel(linear, calibration, combine, min(_best_threshold(p, y[t][held[t]]), 0.5))
+        if round_ == rounds or not active:
+            break
+        other = dict(zip(VIEWS, VIEWS[::-1]))
+        given = {(t, v): np.array([k[0] for k in pseudo[t, other[v]]], np.int64) for t in active for v in VIEWS}
+        for t, v, label, doc, digest in surest(feats, told, models, given, sure, exchange):
+            pseudo[t, other[v]].setdefault((doc, digest), label)
+        want = sorted({k for p in pseudo.values() for k in p}.difference(extra_names))
+        if want:
+            new = _collected(feats, feats.sparkSession.createDataFrame(want, "doc_id long, digest long"))
+            extra = new if extra is None else pa.concat_tables([extra, new]).combine_chunks()
+            extra_names = list(zip(*(extra.column(k).to_pylist() for k in KEY)))
+    return {t: models.get(t) for t in targets}
+
+
+def score(feats: DataFrame, models: dict[str, CoModel | None]) -> DataFrame:
+    """For each feature row and target: its combined probability (``p_<target>``), the calibrated ones of the two views
+    and the decision (``is_<target>``). Without a model the probabilities are null, and the decision is too but for
     quality: there all documents are accepted."""
     fields = ["doc_id long", "digest long"]
     for t in models:
         fields += [f"p_{t} double", f"p_{t}_content double", f"p_{t}_meta double", f"is_{t} boolean"]
-    names = [f.split()[0] for f in fields]
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
+    schema = ", ".join(fields)
+    sent = feats.sparkSession.sparkContext.broadcast(models)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = sent.value
-        for batch in slices(batches):
-            columns = [batch.column(0), batch.column(1)]
-            texts, *rest = (c.to_pylist() for c in batch.columns[2:])
-            content = [content_view(t) for t in texts]
-            meta = [metadata_view(t, *m) for t, *m in zip(texts, *rest)]
-            for target, model in told.items():
+        for batch in batches:
+            x = unpack(batch)
+            columns = [batch.column("doc_id"), batch.column("digest")]
+            for target, model in sent.value.items():
                 if model is None:
                     none = pa.nulls(batch.num_rows, pa.float64())
                     columns += [none, none, none, pa.array([True if target == "quality" else None] * batch.num_rows, pa.bool_())]
                     continue
-                dense, sizes = (np.array([x[1] for x in v]).reshape(len(texts), -1) for v in (content, meta))
-                known = model.words.keys()
-                zc = np.array([sum(model.words[w] * (1 + np.log(c[w])) for w in c.keys() & known) for c, _ in content])
-                zc = zc + (dense - model.content.mean) / model.content.scale @ model.content.dense + model.content.bias
-                zm = np.array([model.meta.sparse[s].sum() for s, _ in meta])
-                zm = zm + (sizes - model.meta.mean) / model.meta.scale @ model.meta.dense + model.meta.bias
-                pc, pm, p = model.probabilities(zc, zm)
-                columns += [pa.array(p), pa.array(pc), pa.array(pm), pa.array(p >= model.threshold)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                odds = model.odds(x)
+                p = model.combined(odds)
+                columns += [pa.array(p), *(pa.array(sigmoid(odds[v])) for v in VIEWS), pa.array(p >= model.threshold)]
+            yield _batch(schema, columns, [None] * len(columns))
 
-    rows = _columns(docs).select("doc_id", F.xxhash64("text").alias("digest"), "text", "source", "lang", "n_chars")
-    return rows.mapInArrow(run, ", ".join(fields))
+    return feats.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, targets=("quality",), **options) -> DataFrame:
     """Score every row of ``docs(doc_id, text[, source, lang, n_chars])`` by models co-trained on ``labels``.
 
     Null texts read as empty and null metadata is a value of its own. A document with several label rows takes the
-    largest label. Without labels of both classes every row has null probabilities; it is accepted as to quality, and any
-    other decision is null. Repeated rows
-    are scored each; an empty table gives no rows; other columns are ignored.
+    largest label. Rows with a null doc_id are scored but take no part in the fit. Without labels of both classes every
+    row has null probabilities; it is accepted as to quality, and any other decision is null. Repeated rows are scored
+    each; ties of sureness go by hash; an empty table gives no rows; other columns are ignored.
     """
-    return score(docs, train(docs, labels, targets=targets, **options)).drop("digest")
+    feats = stored(features(docs), "features")
+    return score(feats, train(feats, labels, targets=targets, **options)).drop("digest")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the quality model accepts, with docs' own columns."""
-    models = train(docs, labels, **options)
-    good = score(docs, models).where("is_quality").select("doc_id", "digest").distinct()
+    feats = stored(features(docs), "features")
+    good = score(feats, train(feats, labels, **options)).where("is_quality").select("doc_id", "digest").distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.digest"))
     return docs.alias("d").join(good.alias("g"), same, "left_semi")
