@@ -1,15 +1,16 @@
 """Stupid-backoff language-model scores, from n-gram count tables partitioned by hash.
 
 Documents are cut into chunks of about ``chunk_words`` words. A chunk's n-grams of each order, counted within the
-chunk, are dealt to partitions by the range of their 48-bit hash; a partition adds up the counts of all chunks (its
-part of the count table) and joins them back to the chunks that asked. Then each chunk scores its documents and sums
+chunk, are dealt to partitions by the range of their 64-bit hash; a partition adds up the counts of all chunks (its
+part of the count table) and answers the chunks that asked with the counts elsewhere. Then each chunk scores its documents and sums
 over their words. An n-gram costs one entry a chunk, however often it occurs, so no hot n-gram makes a hot partition,
 and everything a task holds is bounded by a chunk or by ``part_ngrams``.
 
 A document is scored against the rest of the corpus: its own occurrences are taken out of every count. With c the
 counts left, order n and a = 0.4, S(w | context) = c(context w) / c(context) if c(context w) > 0, else a times the
 score with a context one word shorter; the shortest is c(w) / N, or 1 / (N + 1) for a word that the rest lacks (N:
-words of the rest). Contexts don't reach before the document.
+words of the rest). Contexts don't reach before the document. N-grams are known by their hash: among D distinct ones each
+shares its hash with another with a probability of D / 2**64, 5e-8 at a million million.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from quernstone.llm.common import alnum_words, n_partitions, stored
 CHUNK = "chunk string, doc_ids array<long>, lengths array<int>, words binary, hashes binary"
 ASKED = "bucket int, chunk string, n int, hashes binary, counts binary"
 TOLD = "chunk string, n int, bucket int, counts binary"
-BITS = np.uint64(48)
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd; multiplies before each word of an n-gram is added
 
 
@@ -41,19 +41,27 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned longs byte by byte, all lowest bytes first: high bytes that are mostly zero take no room."""
+    return _pack(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(data, "u1").reshape(8, -1).T).view("<u8").ravel()
+
+
 def _short(hashes: np.ndarray, base: int) -> bytes:
-    """Ascending hashes from ``base`` on as steps of four bytes each; of eight where a step is longer."""
-    steps = np.diff(hashes, prepend=np.uint64(base))
-    return b"4" + steps.astype("<u4").tobytes() if int(steps.max()) < 1 << 32 else b"8" + steps.astype("<u8").tobytes()
+    """Ascending hashes from ``base`` on, as steps."""
+    return _planes(np.diff(hashes, prepend=np.uint64(base)))
 
 
 def _long(data: bytes, base: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{chr(data[0])}", offset=1), dtype=np.uint64) + np.uint64(base)
+    return np.cumsum(_unplanes(data), dtype=np.uint64) + np.uint64(base)
 
 
 def _base(bucket: int, buckets: int) -> int:
     """The first hash of a bucket."""
-    return (bucket << int(BITS)) // buckets
+    return (bucket << 64) // buckets
 
 
 def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
@@ -103,13 +111,13 @@ class Chunk:
         self.place = np.arange(len(self.hash)) - starts[self.doc]  # of a word in its document
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places at which an n-gram ends, and its 48-bit hash."""
+        """Places at which an n-gram ends, and its hash."""
         ends = np.flatnonzero(self.place >= n - 1)
         h = np.full(len(ends), n, np.uint64)
         for back in range(n - 1, -1, -1):
             h = (h * MIX) ^ self.hash[ends - back]
             h ^= h >> np.uint64(29)
-        return ends, (h * MIX) >> (np.uint64(64) - BITS)
+        return ends, h * MIX
 
 
 def asked(chunked: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -125,7 +133,7 @@ def asked(chunked: DataFrame, order: int, buckets: int) -> DataFrame:
                     distinct, counts = np.unique(chunk.grams(n)[1], return_counts=True)
                     cuts = [0, *np.searchsorted(distinct, edges).tolist(), len(distinct)]
                     rows = [
-                        (b, name, n, _short(distinct[x:y], _base(b, buckets)), _pack(counts[x:y].astype("<u4")))
+                        (b, name, n, _short(distinct[x:y], _base(b, buckets)), _planes(counts[x:y]))
                         for b, (x, y) in enumerate(zip(cuts, cuts[1:]))
                         if y > x
                     ]
@@ -153,16 +161,17 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tupl
 
 
 def told(requests: DataFrame, buckets: int) -> DataFrame:
-    """The corpus counts of every request's n-grams: one bucket and order of the count table after another."""
+    """How often every request's n-grams occur outside its chunk: one bucket and order of the count table after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
             hashes = [_long(g[3], _base(g[0], buckets)) for g in group]
             _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            totals = np.bincount(inverse, weights=np.concatenate([_unpack(g[4], "<u4") for g in group]).astype(float))
-            answer = totals[inverse].astype("<u8")
+            own = np.concatenate([_unplanes(g[4]) for g in group]).astype(np.int64)
+            totals = np.bincount(inverse, weights=own.astype(float)).astype(np.int64)
+            answer = totals[inverse] - own
             cuts = np.cumsum([len(h) for h in hashes])[:-1]
-            rows = [(g[2], g[1], g[0], _pack(a)) for g, a in zip(group, np.split(answer, cuts))]
+            rows = [(g[2], g[1], g[0], _planes(a)) for g, a in zip(group, np.split(answer, cuts))]
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary()]
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays(
@@ -174,18 +183,18 @@ def told(requests: DataFrame, buckets: int) -> DataFrame:
 
 
 def score_chunk(chunk: Chunk, order: int, counts: dict[int, np.ndarray], total: int, alpha: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Log score of each document, and how many of its words each order scored (the last: not seen elsewhere)."""
+    """Log score of each document by the counts outside the chunk, and how many of its words each order scored (the last: not seen elsewhere)."""
     n_docs = len(chunk.lengths)
     rest = total - chunk.lengths[chunk.doc]
     left = {}
     for n in range(1, order + 1):
         ends, hashes = chunk.grams(n)
-        distinct, inverse = np.unique(hashes, return_inverse=True)
+        distinct, inverse, here = np.unique(hashes, return_inverse=True, return_counts=True)
         owner = chunk.doc[ends].astype(np.uint64) * np.uint64(max(len(distinct), 1)) + inverse.astype(np.uint64)
         _, which, own = np.unique(owner, return_inverse=True, return_counts=True)
         left[n] = np.zeros(len(chunk.hash), np.int64)
         if len(ends):
-            left[n][ends] = counts[n].astype(np.int64)[inverse] - own[which]
+            left[n][ends] = (counts[n].astype(np.int64) + here)[inverse] - own[which]
     log = np.zeros(len(chunk.hash))
     undone = np.ones(len(chunk.hash), bool)
     used = []
@@ -228,7 +237,7 @@ def score(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, chunk_words: i
         for group in _groups(batches, 1):
             _, _, _, words, hashes, doc_ids, lengths = group[0]
             chunk = Chunk(lengths, words, hashes)
-            counts = {n: np.concatenate([np.zeros(0, "<u8"), *(_unpack(g[3], "<u8") for g in group[1:] if g[1] == n)]) for n in range(1, order + 1)}
+            counts = {n: np.concatenate([np.zeros(0, "<u8"), *(_unplanes(g[3]) for g in group[1:] if g[1] == n)]) for n in range(1, order + 1)}
             log, used = score_chunk(chunk, order, counts, total, alpha)
             columns = [pa.array(doc_ids, pa.int64()), pa.array(chunk.lengths), pa.array(log), pa.array(used[0].astype(np.int64)), pa.array(used[-1].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in out.split(", ")])
