@@ -9,6 +9,8 @@ from quernstone.llm import backoff, cotrain, curriculum, hilbert, notices, posti
 from quernstone.llm.common import shared_folder, table
 from quernstone.llm.wavelet import vocabulary
 
+#: The key of the registered query where the session sets none. It is no secret; ``pseudonymize`` itself has no default.
+REGISTERED_KEY = "public key of the registered query"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -106,5 +108,6 @@ def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with surrogates for its personal data; the key is a parameter of production runs."""
-    return surrogates.pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get("quernstone.surrogate.key", "check").encode())
+    """Every document with surrogates for its personal data, under the session's key where it has one."""
+    key = spark.conf.get("quernstone.surrogate.key", REGISTERED_KEY)
+    return surrogates.pseudonymize(table(spark, sf_dir, "documents"), key.encode())

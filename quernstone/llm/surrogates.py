@@ -4,8 +4,9 @@ Every entity is read into a canonical value (case and separators aside) and mapp
 of its kind: a Feistel network over the integers below the number of such values, walked on until it lands on a valid
 one. A permutation keeps distinct entities distinct and equal ones equal, in every task, without a table that must be
 joined; the replacement is then written in the entity's own format. Names of the lists go around a keyed cycle of the
-names of their gender and script; others, met after an honorific or a given name, are permuted among the unlisted ones. A check over the corpus's distinct entities counts collisions all the same, and the key is changed
-until there are none.
+names of their gender and script; others, met after an honorific or a given name, are permuted among the unlisted ones. A
+check over the corpus's distinct entities counts collisions all the same, and the key is changed until there are none.
+Entities are detected and replaced in one pass, whose rows are written once with digests of each entity and surrogate.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import stored
+
 # Names by script, gender and place, with the honorifics that lead to them.
 NAMES = {
     ("latin", "f", "given"): "Anna Maria Laura Julia Sophie Emma Claire Camille Lucia Elena Carmen Isabel Sarah Emily Alice Helen".split(),
@@ -80,6 +83,7 @@ IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 CARD = re.compile(r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-])", re.ASCII)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d[\d ().-]{7,18}\d|\(\d{2,4}\)[ .-]?\d[\d .-]{4,12}\d|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{4,9})(?![\w-])", re.ASCII)
+PHONE_DIGITS = 7  # the fewest of a number
 PERSON = re.compile(
     rf"(?<!\w)(?=[{_BIG}])(?:(?:(?:{_TITLES})\.?[ ])+(?:(?:{_GIVEN})(?:[ ]{_REST})?{_END}|(?:{_FAMILY})(?:[ ](?:{_FAMILY}))?{_END}|{_REST}(?:[ ]{_REST}){{0,2}}{_END})"
     rf"|(?:{_GIVEN})(?:-{_TOKEN})?[ ]{_REST}{_END})"
@@ -262,6 +266,8 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         if kind == "person" and _LEADS.isdisjoint(WORD.findall(text)):
             continue
         for m in pattern.finditer(text):
+            if kind == "phone" and len(DIGITS.findall(m[0])) < PHONE_DIGITS:
+                continue  # dots and blanks between a few digits, as in a table of contents
             if all(m.end() <= a or b <= m.start() for a, b, _ in found):
                 found.append((m.start(), m.end(), kind))
     return [(k, a, b) for a, b, k in sorted(found)]
@@ -281,31 +287,47 @@ def replace(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, int,
     return "".join([*out, text[at:]]), spans
 
 
-def collisions(docs: DataFrame, key: bytes) -> int:
-    """Surrogates that two or more distinct entities of a kind share, over the whole corpus; only digests are compared."""
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())]))
+PAIRS = pa.list_(pa.struct([("kind", pa.string()), ("old", pa.binary()), ("new", pa.binary())]))
+SCHEMA = (
+    "doc_id long, n_entities long, spans array<struct<kind:string,start:long,end:long,surrogate:string>>, text string, "
+    "pairs array<struct<kind:string,old:binary,new:binary>>"
+)
+
+
+def _digest(value: str) -> bytes:
+    return hashlib.blake2b(value.encode(), digest_size=16).digest()
+
+
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
+    """Rows with surrogates under the key, and digests of the distinct entities of each row and of what replaces them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
         for batch in batches:
-            pairs = set()
-            for t in batch.column(0):
-                text = t.as_py() or ""
-                for kind, a, b, new in replace(text, made)[1]:
-                    old = canonical(kind, text[a:b])
-                    pairs.add((kind, *(hashlib.blake2b(v.encode(), digest_size=16).digest() for v in (old, canonical(kind, new)))))
-            columns = zip(*pairs) if pairs else [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()))], names=["kind", "old", "new"]
-            )
-
-    pairs = docs.select("text").mapInArrow(run, "kind string, old binary, new binary").distinct()
-    by_new = pairs.groupBy("kind", "new").count().where("count > 1")
-    by_old = pairs.groupBy("kind", "old").count().where("count > 1")  # an entity with two surrogates breaks coreference
-    return by_new.count() + by_old.count()
+            texts, spans, pairs = [], [], []
+            for t in batch.column(1):
+                old = t.as_py() or ""
+                new, found = replace(old, made)
+                texts.append(None if t.as_py() is None else new)
+                spans.append([dict(zip(("kind", "start", "end", "surrogate"), s)) for s in found])
+                both = {(k, canonical(k, old[a:b]), canonical(k, s)) for k, a, b, s in found}
+                pairs.append([{"kind": k, "old": _digest(x), "new": _digest(y)} for k, x, y in sorted(both)])
+            columns = [batch.column(0), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, SPANS), pa.array(texts, pa.string()), pa.array(pairs, PAIRS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_entities", "spans", "text", "pairs"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
-SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())]))
-SCHEMA = "doc_id long, n_entities long, spans array<struct<kind:string,start:long,end:long,surrogate:string>>, text string"
+
+def clashes(rows: DataFrame) -> int:
+    """Surrogates of ``replaced`` rows that two or more distinct entities of a kind share, and entities with two surrogates."""
+    pairs = rows.select(F.inline("pairs")).distinct()
+    return sum(pairs.groupBy("kind", side).count().where("count > 1").count() for side in ("new", "old"))
+
+
+def collisions(docs: DataFrame, key: bytes) -> int:
+    """What ``clashes`` counts over the whole of ``docs`` under the key."""
+    return clashes(replaced(docs, key))
 
 
 def pseudonymize(docs: DataFrame, key: bytes, *, attempts: int = 3) -> DataFrame:
@@ -317,22 +339,7 @@ def pseudonymize(docs: DataFrame, key: bytes, *, attempts: int = 3) -> DataFrame
     """
     for n in range(attempts):
         used = key if n == 0 else hmac.digest(key, str(n).encode(), "sha256")
-        if collisions(docs, used) == 0:
-            break
-    else:
-        raise RuntimeError("surrogates collide under every key tried")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Surrogates(used)
-        for batch in batches:
-            texts, spans = [], []
-            for t in batch.column(1):
-                new, found = replace(t.as_py() or "", made)
-                texts.append(None if t.as_py() is None else new)
-                spans.append([dict(zip(("kind", "start", "end", "surrogate"), s)) for s in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, SPANS), pa.array(texts, pa.string())],
-                names=["doc_id", "n_entities", "spans", "text"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        rows = stored(replaced(docs, used), "surrogates")
+        if clashes(rows) == 0:
+            return rows.drop("pairs")
+    raise RuntimeError("surrogates collide under every key tried")
