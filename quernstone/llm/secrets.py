@@ -1,19 +1,23 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over long tokens.
 
-A token of 16 or more characters is read in the smallest encoding that its characters fit (digits, hex, base 32,
-base 36, base 64) as a sequence of codes. Three tests ask whether the codes could be uniform draws: chi-squared over
-equal code ranges, runs above and below the middle, and lag-1 serial correlation. The token's score is its Bonferroni
-p-value; random strings score anywhere between 0 and 1, language mostly near 0, but the less surely the shorter it is.
-So scores are judged by length class against the corpus's own tokens of letters alone, which stand for language: their
-survival gives each score an empirical p-value, and Benjamini-Hochberg control over all tokens of the class sets the
-threshold. Only the histogram (classes x bins) reaches the driver.
+A token of 16 or more characters is read in the smallest encoding that its characters fit (digits, hex, one case of
+letters, base 32, base 36, both cases, base 64) as a sequence of codes. Three tests ask whether the codes could be uniform
+draws: chi-squared over equal code ranges, runs above and below the middle, and lag-1 serial correlation. A token that
+any of them turns down (Bonferroni) is no secret. For one that passes, a p-value tells how likely language looks as even:
+the root of the chi-squared statistic over groups of codes - from those that text favours to those that it hardly has, so
+that language fills them most unevenly - against its mean and deviation under a fixed language model, draws by the shares
+of letters and digits in text at the token's own length and encoding. Benjamini-Hochberg control over all
+tokens of a length class sets the threshold, so that of what is reported at most ``rate`` is expected to be language,
+whether a corpus holds few long tokens or many. Only the histogram (classes x bins) reaches the driver.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CLASSES = (16, 20, 24, 32, 48, 64, 128)  # least lengths
-BINS = 200
+BINS = 400  # of the language p-value, ten to a power of ten
+UNIFORM = 0.01  # the least p-value of the battery
+GROUPS = 6  # of equal size, for the language p-value
+SPREAD = 1.25  # language varies more than independent draws by the same shares
 KINDS = ("assign", "access", "hex", "random")
 
 # The encodings, from the smallest alphabet up, their codes in order.
@@ -36,15 +43,49 @@ ENCODINGS = [
     ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("hex_upper", "0123456789ABCDEF"),
-    ("letters", "abcdefghijklmnopqrstuvwxyz"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base36_upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
 
 
-def _tables():
+# Shares of letters in English text and of leading digits, in percent.
+LETTERS = {
+    "a": 8.2, "b": 1.5, "c": 2.8, "d": 4.3, "e": 12.7, "f": 2.2, "g": 2.0, "h": 6.1, "i": 7.0, "j": 0.15, "k": 0.77, "l": 4.0, "m": 2.4,
+    "n": 6.7, "o": 7.5, "p": 1.9, "q": 0.095, "r": 6.0, "s": 6.3, "t": 9.1, "u": 2.8, "v": 0.98, "w": 2.4, "x": 0.15, "y": 2.0, "z": 0.074,
+}
+DIGITS = {"0": 12.0, "1": 26.5, "2": 15.5, "3": 11.0, "4": 8.5, "5": 7.0, "6": 5.9, "7": 5.1, "8": 4.5, "9": 4.0}
+#: Of a token of language: small letters, capitals, digits, the two marks.
+MAKEUP = 0.76, 0.1, 0.08, 0.06
+
+
+def _language(char: str, alphabet: str) -> float:
+    """The weight of a character in language that is written in the alphabet; one of capitals alone is written in capitals."""
+    small, capitals, digits, marks = MAKEUP
+    if char.lower() in LETTERS:
+        mixed = alphabet.lower() != alphabet != alphabet.upper()
+        return LETTERS[char.lower()] * (small + capitals if not mixed else small if char.islower() else capitals)
+    return DIGITS[char] * digits if char in DIGITS else 50 * marks
+
+
+class Table(NamedTuple):
+    """An encoding: alphabet size, its characters, their codes, the group of each code, and the groups' shares in the
+    alphabet and in language."""
+
+    name: str
+    size: int
+    allowed: frozenset
+    codes: np.ndarray
+    group: np.ndarray
+    even: np.ndarray
+    language: np.ndarray
+
+
+def _tables() -> list[Table]:
     out = []
     for name, alphabet in ENCODINGS:
         codes = np.full(128, -1, np.int64)
@@ -52,28 +93,49 @@ def _tables():
             codes[ord(c)] = i
         if name == "base64":
             codes[ord("-")], codes[ord("_")] = 62, 63
-        out.append((name, len(alphabet), frozenset(np.flatnonzero(codes >= 0).tolist()), codes))
+        shares = np.array([_language(c, alphabet) for c in alphabet])
+        parts = np.array_split(np.argsort(-shares, kind="stable"), min(GROUPS, len(alphabet)))
+        group = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[np.argsort(np.concatenate(parts))]
+        size = np.array([len(p) for p in parts]) / len(alphabet)
+        told = np.bincount(group, weights=shares / shares.sum())
+        out.append(Table(name, len(alphabet), frozenset(np.flatnonzero(codes >= 0).tolist()), codes, group, size, told))
     return out
 
 
 TABLES = _tables()
 
 
-def infer(token: str) -> tuple[str, int, np.ndarray]:
-    """The smallest encoding that holds the token (padding aside), its alphabet's size, and the codes.
-
-    Tokens of letters alone are language to this scan, in either case: they are read as 26 letters.
-    """
-    bare = token.rstrip("=").replace("=", "")
-    folded = bare.lower() if bare.isalpha() else bare
-    raw = folded.encode()
+def infer(token: str) -> tuple[int, np.ndarray]:
+    """The place of the smallest encoding that holds the token (padding aside) in TABLES, and the codes."""
+    raw = token.replace("=", "").encode()
     used = set(raw)
-    for name, size, allowed, codes in TABLES:
-        if used <= allowed and not (folded.isalpha() and name != "letters"):
-            return name, size, codes[np.frombuffer(raw, np.uint8)]
+    for place, t in enumerate(TABLES):
+        if used <= t.allowed:
+            return place, t.codes[np.frombuffer(raw, np.uint8)]
     raise ValueError(token)
 
 
+def evenness(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The root of the chi-squared statistic of counts (in the last axis)."""
+    return np.sqrt(((counts - expected) ** 2 / expected).sum(axis=-1))
+
+
+@functools.lru_cache(maxsize=8192)
+def language_null(place: int, n: int) -> tuple[float, float]:
+    """Mean and deviation of ``evenness`` over draws of n codes of an encoding from the language model."""
+    t = TABLES[place]
+    even = evenness(np.random.default_rng([place, n]).multinomial(n, t.language, 400), n * t.even)
+    return float(even.mean()), float(even.std())
+
+
+def language_p(place: int, codes: np.ndarray) -> float:
+    """How likely language of this length and encoding is as even as the codes."""
+    t, n = TABLES[place], len(codes)
+    mean, deviation = language_null(place, n)
+    z = (float(evenness(np.bincount(t.group[codes], minlength=len(t.even)), n * t.even)) - mean) / (SPREAD * deviation)
+    return math.erfc(-z / math.sqrt(2)) / 2
+
+
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -112,12 +174,14 @@ def serial(codes: np.ndarray) -> float:
     return 0.0 if power == 0 else _two_sided(float((x[1:] * x[:-1]).sum()) / power * math.sqrt(len(codes)))
 
 
-def randomness(token: str) -> tuple[str, float]:
-    """Encoding and score, the Bonferroni p-value of the three tests."""
-    name, size, codes = infer(token)
+def randomness(token: str) -> tuple[str, float, float]:
+    """Encoding, the battery's Bonferroni p-value of uniform codes, and the p-value of language (1 where they aren't)."""
+    place, codes = infer(token)
+    name, size = TABLES[place][:2]
     if len(codes) < 8:
-        return name, 0.0
-    return name, min(1.0, 3 * min(chi_squared(codes, size), runs(codes, size), serial(codes)))
+        return name, 0.0, 1.0
+    uniform = min(1.0, 3 * min(chi_squared(codes, size), runs(codes, size), serial(codes)))
+    return name, uniform, language_p(place, codes) if uniform >= UNIFORM else 1.0
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -132,44 +196,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def scan(text: str) -> tuple[list, list]:
-    """Base spans, and the long tokens (start, end, class, bin of the score, whether of letters alone)."""
+    """Base spans, and the long tokens (start, end, class, bin of the language p-value: tenths of its power of ten)."""
     base, tokens = base_spans(text), []
     for m in TOKEN.finditer(text):
         a, token = m.start(), m[0]
         if len(token) >= 24:  # a hex run of 24 or more lies within such a token
             base += [("hex", a + h.start(), a + h.end()) for h in HEX.finditer(token) if h.end() - h.start() >= 24]
-        encoding, score = randomness(token)
+        likely = randomness(token)[2]
         length = sum(len(token) >= c for c in CLASSES) - 1
-        tokens.append((a, m.end(), length, min(int(score * BINS), BINS - 1), encoding == "letters"))
+        tokens.append((a, m.end(), length, min(int(-10 * math.log10(max(likely, 1e-300))), BINS - 1)))
     return base, tokens
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-LONG = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length", pa.int32()), ("bin", pa.int32()), ("language", pa.bool_())])
+LONG = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length", pa.int32()), ("bin", pa.int32())])
 SCANNED = (
     "doc_id long, base array<struct<kind:string,start:long,end:long>>, "
-    "tokens array<struct<start:long,end:long,length:int,bin:int,language:boolean>>"
+    "tokens array<struct<start:long,end:long,length:int,bin:int>>"
 )
 
 
-def thresholds(histogram: dict[tuple[int, int, bool], int], rate: float) -> dict[int, int]:
-    """The least bin reported in each length class, BINS where none is; histogram: (class, bin, language) -> tokens.
+def thresholds(histogram: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
+    """The least bin reported in each length class, BINS where none is; histogram: (class, bin) -> tokens.
 
-    A score's p-value is the share of language tokens, of this class or a shorter one (they look random more easily),
-    that score as high. Benjamini-Hochberg keeps the expected share of language among what is reported at ``rate``.
+    Benjamini-Hochberg: the largest p-value of which ``rate`` times the tokens at or below it cover what as many tokens
+    of language as there are would bring. A bin counts with the largest p-value in it.
     """
     out = {}
     for length in range(len(CLASSES)):
-        null = np.zeros(BINS)
         seen = np.zeros(BINS)
-        for (c, b, language), n in histogram.items():
-            if language and c <= length:
-                null[b] += n
-            elif not language and c == length:
-                seen[b] += n
-        p = (1 + np.cumsum(null[::-1])[::-1]) / (1 + null.sum())
-        above = np.cumsum(seen[::-1])[::-1]
-        good = (seen.sum() > 0) & (above > 0) & (p * seen.sum() <= rate * above)
+        for (c, b), n in histogram.items():
+            seen[b] += n * (c == length)
+        below = np.cumsum(seen[::-1])[::-1]
+        good = (below > 0) & (10.0 ** (-np.arange(BINS) / 10) * seen.sum() <= rate * below)
         out[length] = int(np.argmax(good)) if good.any() else BINS
     return out
 
@@ -186,19 +245,18 @@ def find_secrets(docs: DataFrame, *, rate: float = 0.05) -> DataFrame:
         for batch in batches:
             rows = [scan(t.as_py() or "") for t in batch.column(1)]
             base = [[dict(zip(("kind", "start", "end"), s)) for s in r[0]] for r in rows]
-            tokens = [[dict(zip(("start", "end", "length", "bin", "language"), s)) for s in r[1]] for r in rows]
+            tokens = [[dict(zip(("start", "end", "length", "bin"), s)) for s in r[1]] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(base, pa.list_(SPAN)), pa.array(tokens, pa.list_(LONG))], names=["doc_id", "base", "tokens"]
             )
 
     scanned = stored(docs.select("doc_id", "text").mapInArrow(run, SCANNED), "scanned")
-    counted = scanned.select(F.explode("tokens").alias("t")).groupBy("t.length", "t.bin", "t.language").count()
-    least = thresholds({(r[0], r[1], r[2]): r[3] for r in counted.collect()}, rate)
+    counted = scanned.select(F.explode("tokens").alias("t")).groupBy("t.length", "t.bin").count()
+    least = thresholds({(r[0], r[1]): r[2] for r in counted.collect()}, rate)
     limit = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
     free = F.filter(
         "tokens",
-        lambda t: ~t["language"]
-        & (t["bin"] >= F.element_at(limit, t["length"]))
+        lambda t: (t["bin"] >= F.element_at(limit, t["length"]))
         & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
     )
     added = F.transform(free, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
