@@ -17,7 +17,7 @@ import gc
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +159,8 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 ODD = re.compile(r" \s")
 RUN = 500  # pieces encoded at a time
+PIECE = 64  # characters of the longest piece that is remembered
+ENTRY = 170  # bytes of a remembered piece beside its characters and ids
 MARKS = ".,!?;:%&$#*|"
 
 
@@ -168,11 +170,12 @@ class PieceEncoder:
     The tokenizer splits a text before it merges, and a single space between two other characters always begins a
     part of its own. So a text may be cut before such spaces, each piece encoded once and looked up from then on.
     Texts with a space before other white space, and those that hold an added token (``<|endoftext|>``), which the
-    tokenizer takes out before it splits, are encoded whole. At most two times ``limit`` pieces are remembered:
-    a full memory becomes the old one, and what is met again moves from there to the new.
+    tokenizer takes out before it splits, are encoded whole. Pieces of up to ``PIECE`` characters are remembered, until
+    ``limit`` of them or ``room`` bytes are held: a full memory becomes the old one, and what is met again moves from there
+    to the new. So at most two memories are held, and longer pieces (unspaced scripts) are encoded each time.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 900_000):
+    def __init__(self, tokenizer_path: str, limit: int = 900_000, room: int = 160 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -184,7 +187,10 @@ class PieceEncoder:
         self.leads = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.leads[i] = token.startswith("Ġ")  # how this vocabulary writes a leading space
-        self.limit, self.known, self.old, self.tails = limit, {}, {}, {}
+        self.limit, self.room, self.held = limit, room, 0
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -230,9 +236,9 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        if len(self.known) > self.limit:
-            self.known, self.old = {}, self.known
-        if len(self.tails) > self.limit:
+        if len(self.known) > self.limit or self.held > self.room:
+            self.known, self.old, self.held = {}, self.known, 0
+        if len(self.tails) > 100_000:
             self.tails = {}
         split = [None if ODD.search(t) or self.has_added(t) else t.split(" ") for t in texts]
         firsts = [s[0] for s in split if s]
@@ -244,7 +250,11 @@ class PieceEncoder:
         if len(again) < len(new):
             self._learn(new.difference(again))
         look = self.known.__getitem__
-        return [self.whole(t) if s is None else next(begins) + b"".join(map(look, s[1:])) for t, s in zip(texts, split)]
+        done = [self.whole(t) if s is None else next(begins) + b"".join(map(look, s[1:])) for t, s in zip(texts, split)]
+        for p in [p for p in new if len(p) > PIECE]:
+            del self.known[p]
+        self.held += sum(len(p) + ENTRY for p in new)
+        return done
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -296,11 +306,12 @@ def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatr
     return [None if x else d for d, x in zip(ids, null)], lengths, WaveletMatrix.from_bytes(data[4 + 17 * n :])
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, shard_tokens: int = 1 << 20, partitions: int | None = None) -> None:
-    """Encode ``docs(doc_id, text)`` in ascending doc_id order into wavelet shards at ``path``.
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, shard_tokens: int = 1 << 20, partitions: int | None = None, order: tuple[str, ...] = ()) -> None:
+    """Encode ``docs(doc_id, text)`` into wavelet shards at ``path``, in the order of the ``order`` columns, nulls first,
+    and then in ascending doc_id order.
 
     A null or empty text holds the end id only; a null doc_id sorts first; rows with the same doc_id stay apart, in
-    order of their text's hash. An empty table gives a table without shards. Columns other than the two are ignored.
+    order of their text's hash. An empty table gives a table without shards. Columns other than these are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,28 +345,73 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
             yield flush()
 
     n = partitions or n_partitions(docs.sparkSession)
-    ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    )
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    keys = [F.col(c).asc_nulls_first() for c in (*order, "doc_id")]
+    ordered = docs.select("doc_id", "text", *order).repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.xxhash64("text"))
+    ordered.select("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """Per document of the shards at ``path``: doc_id, start, n_tokens and ids_crc32, decoded from the bit-planes.
-
-    ``start`` adds, to the place within a part, the ids of all parts before: one sum for each written partition, the
-    only thing that passes the driver.
-    """
+def _based(spark, path: str) -> DataFrame:
+    """The shards at ``path`` with ``start``, the ids of all shards before: one sum for each written partition passes the
+    driver, in the order of the partitions."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    sums = sorted(shards.groupBy("part").agg(F.sum("n_tokens")).collect())
     bases, total = [], 0
-    for part, n in sums:
+    for part, n in sorted(shards.groupBy("part").agg(F.sum("n_tokens")).collect()):
         bases.append((part, total))
         total += n
     based = shards.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
+    return based.select((F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "payload")
+
+
+def _asked(shards: DataFrame, answer: Callable[[WaveletMatrix, int], list[tuple]], schema: str) -> DataFrame:
+    """What ``answer(matrix, start)`` gives for each shard."""
+    target = shards.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = answer(unpack_shard(data.as_py())[2], start)
+                columns = list(zip(*rows)) or [[]] * len(target)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=target.fieldNames())
+
+    return shards.select("start", "payload").mapInArrow(run, schema)
+
+
+def token_counts(spark, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): occurrences of each of a few ids in the whole sequence at ``path``, by rank in each shard."""
+    each = _asked(_based(spark, path), lambda m, _: [(t, m.count(t)) for t in sorted(set(tokens))], "token long, n long")
+    return each.groupBy("token").agg(F.sum("n").alias("n"))
 
+
+def occurrences(spark, path: str, token: int) -> DataFrame:
+    """(position): every place of the id in the whole sequence, by select in each shard."""
+    return _asked(_based(spark, path), lambda m, at: [(at + m.select(token, k),) for k in range(m.count(token))], "position long")
+
+
+def tokens_at(spark, path: str, positions: DataFrame) -> DataFrame:
+    """(position, token) for each row of ``positions(position)`` that the sequence has, by access in the shard that holds it.
+
+    A shard is asked once, with its positions as an array; shards without any aren't opened."""
+    shards = _based(spark, path)
+    starts = sorted(r[0] for r in shards.where("n_tokens > 0").select("start").collect())  # a number a shard
+    table = spark.createDataFrame([(a, b) for a, b in zip(starts, [*starts[1:], None])], "start long, stop long")
+    last = shards.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] or 0
+    # a shard's range in blocks of 2**20 positions, so that the range join has a key
+    table = table.select("start", F.coalesce("stop", F.lit(last)).alias("stop")).withColumn("block", F.explode(F.sequence(F.shiftright("start", 20), F.shiftright(F.col("stop") - 1, 20))))
+    asked = positions.select("position").distinct().withColumn("block", F.shiftright("position", 20))
+    met = asked.join(table, "block").where("position >= start and position < stop")
+    held = met.groupBy("start").agg(F.collect_set("position").alias("positions"))  # at most a shard's length each
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                matrix = unpack_shard(data.as_py())[2]
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([matrix.access(p - start) for p in wanted], pa.int64())], names=["position", "token"])
+
+    return shards.where("n_tokens > 0").select("start", "payload").join(held, "start").select("start", "payload", "positions").mapInArrow(run, "position long, token long")
+
+
+def read_shards(spark, path: str) -> DataFrame:
+    """Per document of the shards at ``path``: doc_id, start, n_tokens and ids_crc32, decoded from the bit-planes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -370,9 +426,7 @@ def read_shards(spark, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return based.select((F.col("base") + F.col("start_in_part")).alias("start"), "payload").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    return _based(spark, path).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, path: str, **options) -> DataFrame:
