@@ -142,8 +142,13 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(n_partitions(mixed.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
+#: The column of ``mix`` that holds the training position.
+POSITION = "training_position"
+
+
 def mix(docs: DataFrame, *, schedules=SCHEDULES, **options) -> DataFrame:
-    """The training sequence: the columns of ``docs``, a row for each time a document is taken, in training order.
+    """The training sequence: the columns of ``docs``, a row for each time a document is taken, and POSITION (0 to 1; a
+    column of that name in ``docs`` is replaced), in training order.
 
     A document taken in part on its last pass keeps its first words there, joined by single spaces; n_chars, where
     there is such a column, then counts what is left. Documents that the mix doesn't take are absent.
@@ -167,4 +172,4 @@ def mix(docs: DataFrame, *, schedules=SCHEDULES, **options) -> DataFrame:
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(cut, F.length(part).cast("long")).otherwise(F.col("row.n_chars")))
     placed = each.select("doc_id", row.alias("row"), position(F.col("pass"), schedules).alias("position"))
-    return in_order(placed).select("row.*")
+    return in_order(placed).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != POSITION), F.col("position").alias(POSITION))
