@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quernstone.llm import cotrain, notices, postings, queries, surrogates, wavelet
 from quernstone.llm.common import shared_folder
@@ -99,6 +101,33 @@ def test_unlisted_names_stay_distinct_and_agree():
         assert surrogates.detect(text) == []
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0123456789 .+-()/@:ABDE89\nmrMrDx", max_size=60))
+def test_no_text_stops_the_job(text):
+    made = surrogates.Surrogates(b"k")
+    new, spans = surrogates.replace(text, made)
+    assert (new == text) or spans
+
+
+def test_entities_stay_apart_whatever_their_form():
+    """No two entities of a kind share a surrogate, over many forms at once."""
+    rng, made = np.random.default_rng(8), surrogates.Surrogates(b"k")
+    forms = ["+49 ddd ddddddd", "0dd-dddddd", "(ddd) ddd-dddd", "ddd-dd-dddd", "dddd dddd dddd dddd", "DEdd dddd dddd dddd dd", "d.d.d.d", "add@bdd.org", "Mr Xaa"]
+    pool = {"d": "0123456789", "a": "abc", "b": "xyz"}
+    told: dict = {}
+    for form in forms * 300:
+        text = "see " + "".join(str(rng.choice(list(pool[c]))) if c in pool else c for c in form) + " ."
+        new, spans = surrogates.replace(text, made)
+        for kind, a, b, surrogate in spans:
+            old = surrogates.canonical(kind, text[a:b])
+            assert told.setdefault((kind, surrogates.canonical(kind, surrogate)), old) == old
+    assert len({k for k, _ in told}) >= 6
+
+
+def test_leaders_are_no_phone():
+    assert surrogates.detect("see +1 .......... 5\nand 123") == []
+
+
 # 1: token ids
 
 

@@ -50,7 +50,6 @@ def token_rows(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(wavelet.vocabulary())
-    t.encode_special_tokens = True
     start, out = 0, []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -91,14 +90,64 @@ def test_any_sequence_comes_back(ids):
     assert m.decode().tolist() == ids and all(m.count(t) == ids.count(t) for t in range(10))
 
 
+def test_lookups_over_a_table_of_shards(spark, docs, texts):
+    path = shared_folder(spark, "t")
+    wavelet.write_shards(docs, path, wavelet.vocabulary(), shard_tokens=5000)
+    ids = [i for d in sorted(texts) for i in [*ENCODER.tokenizer.encode(texts[d], add_special_tokens=False).ids, 0]]
+    common = Counter(ids).most_common(3)[-1][0]
+    counts = {r.token: r.n for r in wavelet.token_counts(spark, path, [0, common, 50_000]).collect()}
+    assert counts == {t: ids.count(t) for t in (0, common, 50_000)}
+    assert sorted(r[0] for r in wavelet.occurrences(spark, path, common).collect()) == [i for i, t in enumerate(ids) if t == common]
+    asked = [0, 1, 4999, 5000, len(ids) - 1, len(ids), -1]
+    got = wavelet.tokens_at(spark, path, spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+    assert {r.position: r.token for r in got} == {p: ids[p] for p in asked if 0 <= p < len(ids)}
+
+
+def test_memory_of_pieces_is_bounded():
+    enc, rng = wavelet.PieceEncoder(wavelet.vocabulary(), room=20_000), np.random.default_rng(4)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(list("abcdé漢"), n)) for n in (3, 200, 12, 7)) for _ in range(8)]
+        assert enc.encode(texts) == [enc.whole(t) for t in texts]
+        assert all(len(p) <= wavelet.PIECE for p in enc.known) and len(enc.known) * wavelet.ENTRY < 40_000
+
+
 # 2: co-training
 
 
-def test_quality(spark, docs):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = cotrain.classify(docs, labels, targets=("quality",)).join(labels, "doc_id").select("quality", "is_quality", "p_quality").collect()
-    assert np.mean([r.quality == r.is_quality for r in got]) > 0.95 and all(0 <= r.p_quality <= 1 for r in got)
+def held_out(spark, base, targets):
+    """Decisions on labelled documents that the fit never saw, with their labels."""
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    out = labels.where("pmod(xxhash64(99L, doc_id), 4L) = 0")
+    told = labels.join(out.select("doc_id"), "doc_id", "left_anti")
+    return cotrain.classify(docs, told, targets=targets).join(out, "doc_id").collect()
+
+
+def test_held_out_accuracy(spark):
+    got = held_out(spark, "/root/testdata/sf0.1", ("quality", "toxic"))
+    assert len(got) > 500 and all(0 <= r.p_quality <= 1 for r in got)
+    assert np.mean([bool(r.quality) == r.is_quality for r in got]) > 0.97 and np.mean([r.is_quality for r in got if r.quality]) > 0.99
+    toxic = [r.is_toxic for r in got if r.toxic]
+    assert np.mean([bool(r.toxic) == r.is_toxic for r in got]) > 0.96 and np.mean(toxic) > 0.8
+    assert np.mean([bool(r.toxic) for r in got if r.is_toxic]) > 0.9
+
+
+def test_exchange_sees_every_unlabelled_document(spark):
+    """The surest documents are those of the whole corpus, the labelled ones and those already given aside."""
+    docs = spark.createDataFrame([(i, "good fine text " * (1 + i % 7) if i % 2 else "bad poor text " * (1 + i % 5), "s", "en", 10) for i in range(600)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    feats = cotrain.stored(cotrain.features(docs), "features")
+    models = cotrain.train(feats, labels, rounds=0)
+    told = labels.select("doc_id")
+    given = {("quality", v): np.array([81, 82]) for v in cotrain.VIEWS}
+    p = {r.doc_id: r.p_quality_content for r in cotrain.score(feats, models).collect()}
+    for exchange in (7, 10_000):
+        got = [r for r in cotrain.surest(feats, told, models, given, 0.6, exchange) if r[1] == "content"]
+        for label in (0, 1):
+            sure = {i: p[i] if label else 1 - p[i] for i in range(80, 600) if i not in (81, 82)}
+            sure = {i: s for i, s in sure.items() if s >= 0.6}
+            mine = [r[3] for r in got if r[2] == label]
+            assert len(set(mine)) == len(mine) == min(exchange, len(sure)) > 0
+            assert min(sure[i] for i in mine) >= sorted(sure.values(), reverse=True)[len(mine) - 1]
 
 
 def test_quality_odd(spark, odd, empty):
@@ -111,13 +160,6 @@ def test_quality_odd(spark, odd, empty):
     assert cotrain.classify(empty, labels).count() == 0 and cotrain.accepted(odd, labels.limit(0)).count() == len(ODD)
 
 
-def test_toxic(spark):
-    base = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{base}/labels.parquet")
-    got = cotrain.classify(spark.read.parquet(f"{base}/documents.parquet"), labels, targets=("toxic",)).join(labels, "doc_id").select("toxic", "is_toxic").collect()
-    assert np.mean([bool(r.toxic) == r.is_toxic for r in got]) > 0.97
-
-
 # 3: Hilbert curves
 
 
@@ -137,6 +179,20 @@ def test_neighbours(spark):
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[q]][:20]
         want += [(int(ids[q]), k + 1, int(ids[j]), float(s[j])) for k, j in enumerate(order)]
     assert sorted(map(tuple, hilbert.nearest(df, window=64, chunk=3).collect())) == sorted(want)
+    double = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted(map(tuple, hilbert.nearest(double, window=64).collect())) == sorted(want)
+
+
+def test_recall_of_the_windows(spark):
+    """On clustered vectors, which neighbour search is for, the windows alone find nine in ten."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((300, 32))
+    x = (centres[rng.integers(0, 300, 12_000)] + 0.15 * rng.standard_normal((12_000, 32))).astype("float32")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in hilbert.nearest(df, window=512, exact=False).collect()}
+    best = np.argsort(-(x[::20] @ x.T - 1e9 * (np.arange(0, 12_000, 20)[:, None] == np.arange(12_000))), axis=1)[:, :20]
+    want = {(20 * q, int(j)) for q, row in enumerate(best) for j in row}
+    assert len(got & want) / len(want) >= 0.9
 
 
 def test_neighbours_odd(spark):
@@ -238,6 +294,14 @@ def brute_scores(rows, order=3, a=0.4):
     return out
 
 
+def test_backoff_like_joins(docs, odd):
+    from .relational_backoff import score
+
+    for df in (docs, odd):
+        got, want = (sort_null((r.doc_id, r.n_words, round(r.log_score, 4)) for r in x.collect()) for x in (backoff.score(df), score(df)))
+        assert got == want
+
+
 @pytest.mark.parametrize("words", [1 << 21, 3000])
 def test_backoff(docs, texts, words):
     got = sorted(tuple(r)[:3] for r in backoff.score(docs, chunk_words=words).collect())
@@ -321,7 +385,7 @@ def test_mix(docs):
     assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
     assert sorted(map(tuple, plan), key=repr) == sorted(map(tuple, curriculum.plan(docs.repartition(7)).collect()), key=repr)
     mixed = curriculum.mix(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == [*docs.columns, curriculum.POSITION]
     words = Counter()
     for r in mixed.collect():
         words[r.source] += len(SPACED.findall(r.text))
@@ -332,7 +396,8 @@ def test_mix_odd(odd, empty):
     plan = curriculum.plan(odd)
     assert plan.count() == len(ODD) and plan.agg(F.sum("size")).first()[0] == sum(len(SPACED.findall(t or "")) for _, t in ODD)
     mixed = curriculum.mix(odd)
-    assert mixed.columns == odd.columns and mixed.where("size != 'own' or position != 'own'").count() == 0
+    assert mixed.columns == [*odd.columns, curriculum.POSITION] and curriculum.mix(odd.withColumn(curriculum.POSITION, F.lit("own"))).columns == mixed.columns
+    assert mixed.where("size != 'own' or position != 'own'").count() == 0
     assert curriculum.plan(empty).count() == 0 == curriculum.mix(empty).count()
 
 
@@ -370,18 +435,45 @@ def test_failed_assignment_uses_up_its_text():
     assert secrets.base_spans("ſecret=abcdefg") == []
 
 
-def test_random_tokens(spark):
+CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def found_secrets(spark, texts):
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {texts[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])] for r in got for s in r.spans.split(",") if s.startswith("random")}
+
+
+@pytest.mark.parametrize("alphabet, length, share", [(CHARS, 56, 0.95), (CHARS, 32, 0.9), (CHARS[:26] + "234567", 56, 0.8), (CHARS[26:52], 48, 0.8), ("0123456789ABCDEF", 40, 0.9)])
+def test_random_tokens(spark, alphabet, length, share):
+    """Most random keys are found among ten times as many long words; words and repeats aren't."""
     rng = np.random.default_rng(5)
     syllables = ["the", "an", "ing", "tion", "er", "on", "re", "at", "es", "or"]
-    words = ["".join(rng.choice(syllables, 14)) for _ in range(3000)]
-    chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-    keys = ["".join(rng.choice(chars, 56)) for _ in range(60)]
+    words = ["".join(rng.choice(syllables, 14)) for _ in range(600)]
+    keys = ["".join(rng.choice(list(alphabet), length)) for _ in range(60)]
     dull = ["abc123" * 8] * 60
-    rows = [(i, " ".join([*words[50 * i : 50 * i + 50], keys[i], dull[i]])) for i in range(60)]
-    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    found = {rows[r.doc_id][1][int(s.split(":")[1]) : int(s.split(":")[2])] for r in got for s in r.spans.split(",") if s.startswith("random")}
-    # a random key's score is uniform; those below the threshold that the syllables' scores force are missed
-    assert len(found & set(keys)) >= 36 and not found & set(dull) and not found & set(words)
+    found = found_secrets(spark, [" ".join([*words[10 * i : 10 * i + 10], keys[i], dull[i]]) for i in range(60)])
+    assert len(found & set(keys)) >= share * 60 and not found & set(dull) and len(found & set(words)) <= 3
+
+
+def test_secrets_without_words_beside_them(spark):
+    """A small corpus of keys alone, some of letters alone, is told as well as a large one."""
+    rng = np.random.default_rng(6)
+    keys = ["".join(rng.choice(list(a), 48)) for a in (CHARS, CHARS[:52]) for _ in range(10)]
+    assert len(found_secrets(spark, keys) & set(keys)) >= 18
+    assert found_secrets(spark, ["internationalizationsupport getUserAccountDetailsByName", "abcdefghijklmnopqrstuvwxyz0123456789"]) == set()
+
+
+def test_language_null_is_a_fair_bound():
+    """p-values of draws from the language model itself are no smaller than they should be."""
+    rng = np.random.default_rng(7)
+    for name in ("lower", "base64", "hex"):
+        place = [t.name for t in secrets.TABLES].index(name)
+        t = secrets.TABLES[place]
+        p = []
+        for _ in range(500):
+            groups = rng.choice(len(t.language), 40, p=t.language)
+            p.append(secrets.language_p(place, np.array([rng.choice(np.flatnonzero(t.group == g)) for g in groups])))
+        assert all(np.mean(np.array(p) <= level) <= level + 0.02 for level in (0.01, 0.05, 0.2))
 
 
 # 9: decontamination
