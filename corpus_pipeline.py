@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near duplicates, contamination, mixture, token output.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each stage's rows as
-Parquet into a shared folder and reads them back for the next. All stages but the last return the columns of documents.
+Parquet into a shared folder and reads them back for the next. All stages but the last return the columns of documents;
+the mixture adds the training position, by which the last stage orders the sequence.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequence: a row for each time that the mix takes a document, its last take cut to the target.
+    """The training sequence: a row for each time that the mix takes a document, its last take cut to the target, with its
+    training position.
 
     Texts without words (null, empty, blank) take nothing and are absent; a null source is a source, the last; repeated
     rows are each taken; an empty table gives an empty sequence.
@@ -49,11 +51,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Wavelet shards of the sequence's tokens in doc_id order (null first), and what is read back from them.
+    """Wavelet shards of the sequence's tokens in training order, and what is read back from them.
 
-    A null or empty text holds the end id alone; rows with the same doc_id stay apart; an empty table gives no rows.
+    Equal positions go by doc_id (null first); without a position column all rows go by doc_id. A null or empty text holds the end id alone; rows with the same doc_id stay apart; an empty table gives no rows.
     """
-    return wavelet.token_output(docs, vocabulary(), shared_folder(spark, "wavelet"))
+    order = tuple(c for c in (curriculum.POSITION,) if c in docs.columns)
+    return wavelet.token_output(docs, vocabulary(), shared_folder(spark, "wavelet"), order=order)
 
 
 STAGES = [
