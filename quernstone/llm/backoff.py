@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores, from n-gram count tables partitioned by hash.
 
 Documents are cut into chunks of about ``chunk_words`` words. A chunk's n-grams of each order, counted within the
-chunk, are dealt to partitions by the range of their 64-bit hash; a partition adds up the counts of all chunks (its
+chunk, are dealt to partitions by the range of their 58-bit hash; a partition adds up the counts of all chunks (its
 part of the count table) and answers the chunks that asked with the counts elsewhere. Then each chunk scores its documents and sums
 over their words. An n-gram costs one entry a chunk, however often it occurs, so no hot n-gram makes a hot partition,
 and everything a task holds is bounded by a chunk or by ``part_ngrams``.
@@ -10,7 +10,7 @@ A document is scored against the rest of the corpus: its own occurrences are tak
 counts left, order n and a = 0.4, S(w | context) = c(context w) / c(context) if c(context w) > 0, else a times the
 score with a context one word shorter; the shortest is c(w) / N, or 1 / (N + 1) for a word that the rest lacks (N:
 words of the rest). Contexts don't reach before the document. N-grams are known by their hash: among D distinct ones each
-shares its hash with another with a probability of D / 2**64, 5e-8 at a million million.
+shares its hash with another with a probability of D / 2**58, 3.5e-6 at a million million.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from quernstone.llm.common import alnum_words, n_partitions, stored
 CHUNK = "chunk string, doc_ids array<long>, lengths array<int>, words binary, hashes binary"
 ASKED = "bucket int, chunk string, n int, hashes binary, counts binary"
 TOLD = "chunk string, n int, bucket int, counts binary"
+BITS = 58  # of an n-gram's hash
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd; multiplies before each word of an n-gram is added
 
 
@@ -41,13 +42,13 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Unsigned longs byte by byte, all lowest bytes first: high bytes that are mostly zero take no room."""
-    return _pack(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+def _planes(values: np.ndarray, kind: str = "<u8") -> bytes:
+    """Unsigned integers byte by byte, all lowest bytes first: high bytes that are mostly zero take no room."""
+    return _pack(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, int(kind[2:])).T))
 
 
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(_unpack(data, "u1").reshape(8, -1).T).view("<u8").ravel()
+def _unplanes(data: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.ascontiguousarray(_unpack(data, "u1").reshape(int(kind[2:]), -1).T).view(kind).ravel()
 
 
 def _short(hashes: np.ndarray, base: int) -> bytes:
@@ -61,7 +62,7 @@ def _long(data: bytes, base: int) -> np.ndarray:
 
 def _base(bucket: int, buckets: int) -> int:
     """The first hash of a bucket."""
-    return (bucket << 64) // buckets
+    return (bucket << BITS) // buckets
 
 
 def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
@@ -77,8 +78,8 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal ids, lengths, spelled, coded, held, seq
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in spelled], "<u8")
-            words = np.concatenate(coded).astype("<u4")
-            row = [f"{TaskContext.get().partitionId()}-{seq}", ids, lengths, _pack(words), hashes.tobytes()]
+            words = np.concatenate(coded)
+            row = [f"{TaskContext.get().partitionId()}-{seq}", ids, lengths, _planes(words, "<u4"), hashes.tobytes()]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             ids, lengths, spelled, coded, held, seq = [], [], {}, [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
@@ -105,19 +106,19 @@ class Chunk:
 
     def __init__(self, lengths, words: bytes, hashes: bytes):
         self.lengths = np.array(lengths, np.int64)
-        self.hash = np.frombuffer(hashes, "<u8")[_unpack(words, "<u4")] if hashes else np.zeros(0, np.uint64)
+        self.hash = np.frombuffer(hashes, "<u8")[_unplanes(words, "<u4")] if hashes else np.zeros(0, np.uint64)
         starts = np.cumsum(self.lengths) - self.lengths
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(len(self.hash)) - starts[self.doc]  # of a word in its document
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.place = (np.arange(len(self.hash)) - starts[self.doc]).astype(np.int32)  # of a word in its document
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places at which an n-gram ends, and its hash."""
-        ends = np.flatnonzero(self.place >= n - 1)
+        ends = np.flatnonzero(self.place >= n - 1).astype(np.int32)
         h = np.full(len(ends), n, np.uint64)
         for back in range(n - 1, -1, -1):
             h = (h * MIX) ^ self.hash[ends - back]
             h ^= h >> np.uint64(29)
-        return ends, h * MIX
+        return ends, (h * MIX) >> np.uint64(64 - BITS)
 
 
 def asked(chunked: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -190,11 +191,14 @@ def score_chunk(chunk: Chunk, order: int, counts: dict[int, np.ndarray], total:
     for n in range(1, order + 1):
         ends, hashes = chunk.grams(n)
         distinct, inverse, here = np.unique(hashes, return_inverse=True, return_counts=True)
-        owner = chunk.doc[ends].astype(np.uint64) * np.uint64(max(len(distinct), 1)) + inverse.astype(np.uint64)
+        del hashes
+        owner = chunk.doc[ends].astype(np.int64) * max(len(distinct), 1) + inverse
+        every = (counts.pop(n).astype(np.int64) + here)[inverse] if len(ends) else np.zeros(0, np.int64)
+        del distinct, inverse, here
         _, which, own = np.unique(owner, return_inverse=True, return_counts=True)
         left[n] = np.zeros(len(chunk.hash), np.int64)
-        if len(ends):
-            left[n][ends] = (counts[n].astype(np.int64) + here)[inverse] - own[which]
+        left[n][ends] = every - own[which]
+        del owner, which, own, every
     log = np.zeros(len(chunk.hash))
     undone = np.ones(len(chunk.hash), bool)
     used = []
