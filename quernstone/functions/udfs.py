@@ -253,3 +253,33 @@ def page_links(html: str, limit: int = 8) -> list[dict]:
 @F.pandas_udf(LINK)
 def links(html: pd.Series) -> pd.Series:
     return html.map(lambda t: None if t is None else page_links(t))
+
+
+_CARD = re.compile(r"b_algo(?P<body>.*?)(?:</li>|\Z)", re.S)
+_CARD_LINK = re.compile(r'href="(?P<url>[^"]*)"[^>]*>(?P<title>.*?)</a>', re.S)
+_CARD_TEXT = re.compile(r"<p[^>]*>(?P<text>.*?)</p>", re.S)
+CARD = ty.ArrayType(ty.StructType([ty.StructField(f, ty.StringType()) for f in ("title", "url", "snippet")]))
+
+
+def result_cards(html: str, limit: int = 8) -> list[dict]:
+    """Cards of a page of search results: title (120 characters) and url of the first link, the first paragraph (500). Cards
+    without a title or an http address, and addresses met before, are left out; a page shows ``limit``."""
+    from html import unescape
+
+    def plain(markup: str, most: int) -> str:
+        text = unescape(re.sub(r"<[^>]*>?", "", markup)).strip()
+        return text if len(text) <= most else text[:most] + "..."
+
+    out: dict[str, dict] = {}
+    for card in _CARD.finditer(html):
+        link, text = _CARD_LINK.search(card["body"]), _CARD_TEXT.search(card["body"])
+        url = unescape(link["url"]) if link else ""
+        title = plain(link["title"], 120) if link else ""
+        if title and url.startswith("http"):
+            out.setdefault(url, {"title": title, "url": url, "snippet": plain(text["text"], 500) if text else ""})
+    return list(out.values())[:limit]
+
+
+@F.pandas_udf(CARD)
+def cards(html: pd.Series) -> pd.Series:
+    return html.map(lambda t: None if t is None else result_cards(t))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions import text as T
+
 from quernstone.functions import values as V
 
 
@@ -90,3 +92,14 @@ def budget(rows: DataFrame, key: str, order: list, length: Column, limit: int) -
 
 def first_seen(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def distinct_sources(sources: Column) -> Column:
+    """An array of (title, note) structs without blank titles and notes both, each pair once, the first stays."""
+    kept = F.filter(F.transform(sources, lambda s: F.struct(T.strip(F.coalesce(s["title"], F.lit(""))).alias("title"), T.strip(F.coalesce(s["note"], F.lit(""))).alias("note"))), lambda s: (s["title"] != "") | (s["note"] != ""))
+    return F.array_distinct(kept)
+
+
+def time_stamps(at) -> tuple[Column, Column]:
+    """A time as ids are made of it: fourteen digits, and milliseconds since 1970."""
+    return F.date_format(T.col(at), "yyyyMMddHHmmss"), F.unix_millis(T.col(at))

@@ -85,10 +85,10 @@ def detect_type(file_name: str, headers: list[str], source_format: str = "json")
     return {"csv": ("generic_csv", 0.5), "xlsx": ("generic_csv", 0.5), "json": ("generic_json", 0.45), "zip": ("generic_json", 0.4)}.get(source_format, ("unknown", 0.0))
 
 
-def headers(rows: DataFrame, sample: int = 20) -> list[str]:
-    """Keys of the first rows, sorted."""
-    first = rows.orderBy("row_index").limit(sample)
-    return sorted(r[0] for r in first.select(F.explode(F.map_keys("record")).alias("k")).distinct().collect())
+def headers(rows: DataFrame, sample: int | None = None) -> list[str]:
+    """Keys of all rows, or of the first ``sample`` ones, sorted."""
+    some = rows if sample is None else rows.orderBy("row_index").limit(sample)
+    return sorted(r[0] for r in some.select(F.explode(F.map_keys("record")).alias("k")).distinct().collect())
 
 
 def _similarity(a: str, b: str) -> float:
@@ -120,7 +120,9 @@ CONTEXT = {
 
 
 def score_mapping(rows: DataFrame, target_type: str, sample: int = 20) -> list[dict]:
-    """For each header: source, target (or None), confidence and decision (auto from .85, confirm from .55, else ignore).
+    """For each header of the first ``sample`` rows, which stand for a file's: source, target (or None), confidence and
+    decision (auto from .85, confirm from .55, else ignore). Scores decide what is mapped without asking; which keys a
+    row has is decided row by row, in ``apply_mapping``.
 
     Of 100 points, 40 go to the name, 35 to how many of the first values look right, 15 to the neighbours, 10 to the
     type. All value shares of the sample are counted in one job.
@@ -136,7 +138,7 @@ def score_mapping(rows: DataFrame, target_type: str, sample: int = 20) -> list[d
             chosen[h] = (ALIAS_TARGET[key], 40.0)
             continue
         scored = [(_similarity(key, T.header_key_text(f"detail.{f}" if f not in CORE else f)), i, f) for i, f in enumerate(fields)]
-        best = max(scored)  # of equal ones the last
+        best = max(scored, key=lambda s: s[0])  # of equal ones the first
         chosen[h] = (best[2], best[0] * 40) if best[0] * 40 >= 18 else (None, 0.0)
     first = rows.orderBy("row_index").limit(sample)
     told = [h for h in names if chosen[h][0]]
@@ -158,19 +160,58 @@ def score_mapping(rows: DataFrame, target_type: str, sample: int = 20) -> list[d
     return out
 
 
+def to_targets(record: Column, active: dict[str, str], keep: bool = False) -> Column:
+    """A map with target fields as keys: each key goes where ``active`` says, else by its alias; of a field's sources the
+    first in sorted order wins. Keys without a target go, or stay as they are (``keep``)."""
+    def target(key: Column) -> Column:
+        told = T.lookup(T.header_key(key), ALIAS_TARGET)
+        told = F.coalesce(T.lookup(key, active), told) if active else told
+        return F.regexp_replace(F.coalesce(told, key) if keep else told, "^detail[.]", "")
+
+    pairs = F.transform(F.array_sort(F.map_entries(record)), lambda e: F.struct(target(e["key"]).alias("key"), e["value"].alias("value")))
+    there = F.filter(pairs, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    names = F.transform(there, lambda e: e["key"])
+    return F.map_from_entries(F.filter(there, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+
 def apply_mapping(rows: DataFrame, target_type: str, scored: list[dict], explicit: dict[str, str] | None = None) -> DataFrame:
-    """Records with target fields as keys; an explicit mapping replaces the automatic one, headers outside it go by
-    their alias; of several sources of a field the first, in sorted order, wins."""
+    """Records with target fields as keys; an explicit mapping replaces the automatic one, and every key of every row that
+    is outside it goes by its alias, whether or not the scored rows had it."""
     active = explicit if explicit is not None else {s["source"]: s["target"] for s in scored if s["decision"] == "auto"}
-    sources: dict[str, list[str]] = {}
-    for h in sorted(s["source"] for s in scored):
-        target = active.get(h) or ALIAS_TARGET.get(T.header_key_text(h))
-        if target:
-            sources.setdefault(target.removeprefix("detail."), []).append(h)
-    pairs = [(t, F.coalesce(*(F.try_element_at("record", F.lit(h)) for h in hs))) for t, hs in sources.items()]
-    made = F.map_from_entries(F.array(*(F.struct(F.lit(t), v) for t, v in pairs))) if pairs else F.create_map().cast("map<string,string>")
-    there = F.map_filter(made, lambda k, v: v.isNotNull())
-    return rows.withColumn("record", with_defaults(V.overlay(there, F.create_map(F.lit("type"), F.lit(target_type)))))
+    return rows.withColumn("record", with_defaults(V.overlay(to_targets(F.col("record"), active), F.create_map(F.lit("type"), F.lit(target_type)))))
+
+
+#: Fields that say where a record stands, and those of them that go into its source note.
+CONTEXT_FIELDS = ["classic_id", "page_title", "section_title", "source_url", "work_title"]
+NOTED_FIELDS = ["source_url", "classic_id", "page_title", "section_title"]
+
+
+def lift_detail(record: Column) -> Column:
+    """The record with the keys of its detail object lifted beside its own, by alias where they have one; what the record
+    has already stays. The context fields that it then has are appended to the source note."""
+    detail = F.from_json(F.try_element_at(record, F.lit("detail")), "map<string,string>")
+    own = F.map_filter(record, lambda k, v: (k != "detail") & v.isNotNull())
+    whole = F.when(detail.isNull(), own).otherwise(V.overlay(own, to_targets(detail, {}, keep=True)))
+    note = T.source_note(F.try_element_at(whole, F.lit("source_note")), *(F.try_element_at(whole, F.lit(f)) for f in NOTED_FIELDS))
+    return put(whole, {"source_note": T.blank_to_null(note)})
+
+
+def preview(rows: DataFrame, file_name: str, source_format: str, target_type: str) -> dict:
+    """What a file holds: headers (of all rows), detected type with confidence, field mapping and the first 100 rows."""
+    names = headers(rows)
+    kind, confidence = detect_type(file_name, names, source_format)
+    return {"headers": names, "import_type": kind, "confidence": confidence, "mapping": score_mapping(rows, target_type), "rows": rows.orderBy("row_index").limit(100)}
+
+
+def save_template(store, template_id: int, mapping: dict[str, str]) -> None:
+    """An explicit mapping under an id, in place of the one saved before."""
+    spark = store.spark
+    store.upsert("mapping_templates", spark.createDataFrame([(template_id, mapping)], "id long, mapping map<string,string>"), ["id"])
+
+
+def template(store, template_id: int) -> dict[str, str] | None:
+    row = store.read("mapping_templates").where(F.col("id") == template_id).first() if store.exists("mapping_templates") else None
+    return row and dict(row["mapping"])
 
 
 def get(record: Column, *names: str) -> Column:
@@ -189,18 +230,28 @@ def put(record: Column, values: dict[str, Column]) -> Column:
 IMPORT_STATUSES = ["pending_review", "reviewed", "needs_check", "imported", "validated", "ready"]
 
 
+def with_detail_keys(detail: Column, values: Column) -> Column:
+    """A JSON object's text with the keys of a struct appended; other text is wrapped as ``raw_detail`` first."""
+    parsed = F.try_parse_json(detail)
+    wrapped = F.to_json(F.struct(detail.alias("raw_detail"), F.lit(True).alias("parse_error")))
+    text = F.when(T.blank_to_null(detail).isNull(), F.lit("{}")).when(F.schema_of_variant(parsed).startswith("OBJECT"), T.strip(detail)).otherwise(wrapped)
+    inside = T.strip(F.substring(text, F.lit(2), F.length(text) - 2))
+    return F.concat(F.lit("{"), inside, F.when(inside != "", ",").otherwise(""), F.substr(F.to_json(values), F.lit(2)))
+
+
 def with_defaults(record: Column) -> Column:
-    """Folded type (the old one kept in ``original_type``), tags, summary and status where they are missing."""
+    """Folded type, tags, summary and status where they are missing; a type that was folded is told in the detail."""
     kind = F.coalesce(get(record, "type"), F.lit("note"))
     folded = T.item_type(kind)
     tags = F.array_join(F.filter(F.array(get(record, "name"), get(record, "category"), folded), lambda x: x.isNotNull()), ",")
     status = get(record, "data_status")
+    detail = F.coalesce(F.try_element_at(record, F.lit("detail")), F.lit("{}"))
+    warning = F.struct(F.format_string("原 type '%s' 不在允许集合中，已按 %s 导入。", kind, folded).alias("import_warning"), kind.alias("original_type"))
     return put(record, {
         "type": folded,
-        "original_type": F.when(folded != kind, kind),
         "alias": F.coalesce(F.try_element_at(record, F.lit("alias")), F.lit("[]")),
         "pinyin": F.coalesce(F.try_element_at(record, F.lit("pinyin")), F.lit("")),
-        "detail": F.coalesce(F.try_element_at(record, F.lit("detail")), F.lit("{}")),
+        "detail": F.when(folded != kind, with_detail_keys(detail, warning)).otherwise(detail),
         "summary": F.coalesce(get(record, "summary"), T.summary_of(get(record, "content"))),
         "tags": F.coalesce(get(record, "tags"), tags),
         "data_status": F.when(status.isin(IMPORT_STATUSES), status).otherwise("pending_review"),
@@ -310,16 +361,69 @@ def rule_issues(rules: list[dict], value_of) -> list[Column]:
     return out
 
 
+def validated(rows: DataFrame, extra: list[Column] | None = None) -> DataFrame:
+    """Rows with issues, status and messages computed anew from their normalized record; issues of joins are gone."""
+    n = F.col("normalized")
+    told = rows.withColumn("issues", row_issues(*(F.try_element_at(n, F.lit(f)) for f in ("type", "name", "code")), extra))
+    return _with_status(told)
+
+
+def _with_status(rows: DataFrame) -> DataFrame:
+    i = F.col("issues")
+    return rows.withColumns({"status": status_of(i), "error_message": messages(i, "error"), "warning_message": messages(i, "warning")})
+
+
 def stage(rows: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """Rows with normalized record, issues, status and messages; the normalized rows are written once, as staging is."""
-    normal = materialized(rows.withColumn("normalized", normalize_record(F.col("record"))))
+    return validated(materialized(rows.withColumn("normalized", normalize_record(F.col("record")))), extra)
+
+
+def _add_issue(staged: DataFrame, made: Column) -> DataFrame:
+    return _with_status(staged.withColumn("issues", F.concat("issues", F.filter(F.array(made), lambda i: i.isNotNull()))))
+
+
+def check_references(staged: DataFrame, names: DataFrame) -> DataFrame:
+    """Staged rows, those of acupoints with a warning where their ``meridians`` is none of ``names(name)``, as a whole."""
     n = F.col("normalized")
-    told = normal.withColumn("issues", row_issues(F.try_element_at(n, F.lit("type")), F.try_element_at(n, F.lit("name")), F.try_element_at(n, F.lit("code")), extra))
-    return told.withColumns({"status": status_of(F.col("issues")), "error_message": messages(F.col("issues"), "error"), "warning_message": messages(F.col("issues"), "warning")})
+    known = names.select(T.strip("name").alias("_known")).where("_known is not null").distinct()
+    told = staged.withColumn("_asked", F.when(F.try_element_at(n, F.lit("type")).isin("穴位", "acupoint"), get(n, "meridians")))
+    met = told.join(known, F.col("_asked") == F.col("_known"), "left")
+    lost = F.col("_asked").isNotNull() & F.col("_known").isNull()
+    return _add_issue(met, issue(lost, "warning", "reference_not_found", "meridians", "meridian is not among the items")).drop("_asked", "_known")
+
+
+def check_existing(staged: DataFrame, items: DataFrame) -> DataFrame:
+    """Staged rows, with a warning where ``items(id, type, code, name)`` has one of the same type and code, else of the same
+    type and name; of several the least id is named. Codes are compared without spaces and hyphens, names without spaces."""
+    def key(c, drop, fold):
+        return F.nullif(fold(F.regexp_replace(T.blank_to_null(c), drop, "")), F.lit(""))
+
+    n = F.col("normalized")
+    sides = {"code": ("[ -]", F.upper), "name": (" ", F.lower)}
+    met = staged.withColumn("_type", get(n, "type"))
+    for field, (drop, fold) in sides.items():
+        first = items.select("type", key(field, drop, fold).alias("k"), "id", "name").where("type is not null and k is not null")
+        first = first.groupBy(F.col("type").alias("_type"), F.col("k").alias(f"_{field}")).agg(F.min(F.struct("id", "name")).alias(f"_by_{field}"))
+        met = met.withColumn(f"_{field}", key(F.try_element_at(n, F.lit(field)), drop, fold)).join(first, ["_type", f"_{field}"], "left")
+    hit = F.coalesce("_by_code", "_by_name")
+    made = F.struct(
+        F.lit("warning").alias("severity"), F.lit("possible_existing_duplicate").alias("issue_code"),
+        F.when(F.col("_by_code").isNotNull(), "code").otherwise("name").alias("field_name"),
+        F.format_string("item #%s has the same type and key: %s", hit["id"].cast("string"), hit["name"]).alias("message"),
+    )
+    return _add_issue(met, F.when(hit.isNotNull(), made)).drop("_type", "_code", "_name", "_by_code", "_by_name")
+
+
+def staging_page(staged: DataFrame, status: str | None, number: int | None, size: int | None) -> DataFrame:
+    """A page of staged rows in row order, of one status or all."""
+    _, size, offset = V.page_bounds(number, size)
+    rows = staged if status is None else staged.where(F.col("status") == status)
+    return rows.orderBy("row_index").offset(offset).limit(size)
 
 
 def clean_step(staged: DataFrame, step: str, **options) -> tuple[DataFrame, DataFrame]:
-    """One clean step over normalized records: the rows after it, and its change log (row_index, field, old_value, new_value).
+    """One clean step over normalized records: the rows after it, validated anew, and its change log (row_index, field,
+    old_value, new_value).
 
     Steps: normalize_all, standardize_all, standardize_meridian (all three the full normalization), trim, half_width,
     uppercase_code, split_tags, set_category (value).
@@ -340,34 +444,72 @@ def clean_step(staged: DataFrame, step: str, **options) -> tuple[DataFrame, Data
         raise ValueError(f"unknown clean step {step!r}")
     after = staged.withColumn("new", steps[step]())
     log = after.select("row_index", F.inline(V.diff(n, F.col("new"))))
-    return after.withColumn("normalized", F.col("new")).drop("new"), log
+    return validated(after.withColumn("normalized", F.col("new")).drop("new")), log
 
 
 def undo_step(staged: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows with the old values of a step's log; fields that the step added go."""
+    """Rows with the old values of a step's log, validated anew; fields that the step added go."""
     old = log.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct("field", "old_value"))).alias("old"))
     back = staged.join(old, "row_index", "left")
     restored = F.map_filter(V.overlay(F.col("old"), F.col("normalized")), lambda k, v: v.isNotNull())
-    return back.withColumn("normalized", F.when(F.col("old").isNull(), F.col("normalized")).otherwise(restored)).drop("old")
+    return validated(back.withColumn("normalized", F.when(F.col("old").isNull(), F.col("normalized")).otherwise(restored)).drop("old"))
 
 
 def edited(staged: DataFrame, row_index: int, field: str, value: str) -> DataFrame:
     """Staged rows with one field of one row set, validated anew."""
     row = F.col("row_index") == row_index
-    changed = staged.withColumn("normalized", F.when(row, put(F.col("normalized"), {field: F.lit(value)})).otherwise(F.col("normalized")))
-    n = F.col("normalized")
-    told = changed.withColumn("issues", row_issues(*(F.try_element_at(n, F.lit(f)) for f in ("type", "name", "code"))))
-    return told.withColumns({"status": status_of(F.col("issues")), "error_message": messages(F.col("issues"), "error"), "warning_message": messages(F.col("issues"), "warning")})
+    return validated(staged.withColumn("normalized", F.when(row, put(F.col("normalized"), {field: F.lit(value)})).otherwise(F.col("normalized"))))
 
 
-def confirmed(staged: DataFrame, items: DataFrame, batch_id: int) -> DataFrame:
-    """The items with a new one for each staged row without errors, ids after the largest, in row order."""
+def new_items(staged: DataFrame, items: DataFrame, batch_id: int) -> DataFrame:
+    """An item for each staged row without errors, ids after the largest, in row order, with its row_index and record."""
     top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     rows = numbered(staged.where("status != 'error'"), "row_index").crossJoin(F.broadcast(top))  # top: one row
     n = F.col("normalized")
     fields = [F.try_element_at(n, F.lit(f)).alias(f) for f in ITEM_FIELDS]
-    made = rows.select((F.col("top") + F.col("number")).alias("id"), *fields, F.to_json(V.residual(n)).alias("detail"), F.lit(batch_id).alias("import_batch_id"))
-    return items.unionByName(made, allowMissingColumns=True)
+    return rows.select((F.col("top") + F.col("number")).alias("id"), *fields, F.to_json(V.residual(n)).alias("detail"), F.lit(batch_id).alias("import_batch_id"), "row_index", "normalized")
+
+
+def confirmed(staged: DataFrame, items: DataFrame, batch_id: int) -> DataFrame:
+    """The items with a new one for each staged row without errors, ids after the largest, in row order."""
+    return items.unionByName(new_items(staged, items, batch_id).drop("row_index", "normalized"), allowMissingColumns=True)
+
+
+#: Type and weight of the terms that a package's rows bring, and the largest weight of its own terms.
+PACKAGE_TERM, PACKAGE_WEIGHT, PACKAGE_MOST = "imported_package", 80, 200
+PACKAGE_TERMS = "array<struct<term:string,term_type:string,weight:string>>"
+
+
+def package_terms(made: DataFrame) -> DataFrame:
+    """(item_id, term, term_type, weight) that the rows of ``new_items`` bring: those attached to a row, their type led by
+    ``package_``, and the parts of name, code, category and tags. One for each normalized term and type, the first weight."""
+    def entry(term, kind, weight, place):
+        return F.struct(T.normalize(term).alias("term"), kind.alias("term_type"), weight.alias("weight"), F.lit(place).alias("place"))
+
+    n = F.col("normalized")
+    own = F.from_json(F.try_element_at(n, F.lit("_package_search_terms")), PACKAGE_TERMS)
+    weight = (lambda t: V.clamp(F.coalesce(V.lenient_long(t["weight"]), F.lit(PACKAGE_WEIGHT)), 1, PACKAGE_MOST).cast("int"))
+    told = F.transform(F.coalesce(own, F.array().cast(PACKAGE_TERMS)), lambda t: entry(t["term"], F.concat(F.lit("package_"), F.coalesce(T.blank_to_null(t["term_type"]), F.lit(PACKAGE_TERM))), weight(t), 0))
+    parts = F.flatten(F.array(*(T.split_terms(F.coalesce(get(n, f), F.lit(""))) for f in ("name", "code", "category", "tags"))))
+    rest = F.transform(parts, lambda x: entry(x, F.lit(PACKAGE_TERM), F.lit(PACKAGE_WEIGHT), 1))
+    each = made.select(F.col("id").alias("item_id"), F.inline(F.concat(told, rest))).where("term != ''")
+    return each.groupBy("item_id", "term", "term_type").agg(F.min_by("weight", F.struct("place", F.col("weight"))).alias("weight"))
+
+
+def confirm(staged: DataFrame, items: DataFrame, terms: DataFrame, fingerprints: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+    """A confirmed import: ``items``, ``terms`` and ``fingerprints(item_id, fingerprint)`` with those of the new items, the
+    staged ``rows`` (imported ones with their item_id), and a ``report`` of one row."""
+    from quernstone.operators.resolve import keyed
+
+    made = materialized(new_items(staged, items, batch_id))
+    rows = staged.join(made.select("row_index", F.col("id").alias("item_id")), "row_index", "left")
+    rows = rows.withColumn("status", F.when(F.col("item_id").isNotNull(), "imported").otherwise(F.col("status")))
+    marks = keyed(made).select(F.col("id").alias("item_id"), "fingerprint")
+    report = rows.agg(F.count("*").alias("n_rows"), F.count("item_id").alias("n_imported"), F.count_if(F.col("status") == "error").alias("n_skipped"))
+    return {
+        "items": items.unionByName(made.drop("row_index", "normalized"), allowMissingColumns=True), "terms": terms.unionByName(package_terms(made), allowMissingColumns=True),
+        "fingerprints": fingerprints.unionByName(marks), "rows": rows, "report": report,
+    }
 
 
 def rolled_back_batch(items: DataFrame, batch_id: int) -> DataFrame:
@@ -375,6 +517,91 @@ def rolled_back_batch(items: DataFrame, batch_id: int) -> DataFrame:
     return items.where(~F.col("import_batch_id").eqNullSafe(F.lit(batch_id)))
 
 
+def undo_confirm(state: dict[str, DataFrame], batch_id: int) -> dict[str, DataFrame]:
+    """A confirmed state without the batch's items, their terms and fingerprints; its rows are marked rolled back."""
+    gone = state["items"].where(F.col("import_batch_id").eqNullSafe(F.lit(batch_id))).select(F.col("id").alias("item_id"))
+    rows = state["rows"].withColumn("status", F.when(F.col("item_id").isNotNull(), "rolled_back").otherwise(F.col("status"))).withColumn("item_id", F.lit(None).cast("long"))
+    return {
+        "items": rolled_back_batch(state["items"], batch_id), "terms": state["terms"].join(gone, "item_id", "left_anti"),
+        "fingerprints": state["fingerprints"].join(gone, "item_id", "left_anti"), "rows": rows,
+    }
+
+
+def apply_standard_terms(staged: DataFrame, terms: DataFrame) -> DataFrame:
+    """``terms(term_type, standard_name, aliases, code, notes)`` after the staged rows: a name that is there takes the rows'
+    values where they have any, the last row's first; others are added. Rows with errors don't count."""
+    n = F.col("normalized")
+    keys, fields = ["term_type", "standard_name"], ["aliases", "code", "notes"]
+    rows = staged.where("status != 'error'").select("row_index", *(get(n, f).alias(f) for f in (*keys, *fields))).where("term_type is not null and standard_name is not null")
+    new = rows.groupBy(*keys).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("row_index"))).alias(f"new_{f}") for f in fields))
+    both = terms.join(new, keys, "full")
+    return both.select(*keys, *(F.coalesce(f"new_{f}", f).alias(f) for f in fields))
+
+
+def _resolved(rows: DataFrame, items: DataFrame, prefix: str, alias: str) -> DataFrame:
+    """Rows with the item that ``<prefix>id``, code, name and type name."""
+    from quernstone.operators.resolve import resolve_reference
+
+    names = {f: f"{prefix}{f}" for f in ("code", "name", "type")}
+    ids = f"{prefix}id" if prefix == "item_" else f"{prefix}item_id"
+    n = F.col("normalized")
+    refs = rows.select(F.col("row_index").alias("ref_id"), V.lenient_long(get(n, ids)).alias("item_id"), *(get(n, c).alias(f) for f, c in names.items()))
+    kind = F.col("type")
+    typed, free = refs.where(kind.isNotNull()), refs.where(kind.isNull())
+    found = resolve_reference(typed, items, match_type=True).unionByName(resolve_reference(free, items))
+    return rows.join(found.select(F.col("ref_id").alias("row_index"), F.col("item_id").alias(alias)), "row_index", "left")
+
+
+def _told(rows: DataFrame, error: Column) -> DataFrame:
+    """Maintenance rows with their outcome; those that had errors before keep them."""
+    bad = F.coalesce(F.col("error_message"), error)
+    return rows.withColumn("error_message", bad).withColumn("status", F.when(bad.isNotNull(), "error").otherwise("imported"))
+
+
+def apply_search_terms(staged: DataFrame, terms: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms after the staged rows, rows with their outcome): a term is added to the item that its row names, unless the
+    item has it in that type; its weight is kept within 1 and 500, 80 by default."""
+    n = F.col("normalized")
+    met = _resolved(staged, items, "item_", "_item").withColumn("_term", T.normalize(get(n, "term")))
+    error = F.when(F.col("_item").isNull(), "item not found").when(F.coalesce("_term", F.lit("")) == "", "term is required")
+    told = _told(met, error)
+    weight = V.clamp(F.coalesce(V.lenient_long(get(n, "weight")), F.lit(80)), 1, 500).cast("int")
+    kind = F.coalesce(get(n, "term_type"), F.lit("imported"))
+    each = told.where("status = 'imported'").select("row_index", F.col("_item").alias("item_id"), F.col("_term").alias("term"), kind.alias("term_type"), weight.alias("weight"))
+    keys = ["item_id", "term", "term_type"]
+    first = each.groupBy(*keys).agg(F.min_by("weight", "row_index").alias("weight"))
+    return terms.unionByName(first.join(terms.select(keys).distinct(), keys, "left_anti"), allowMissingColumns=True), told.drop("_item", "_term")
+
+
+def apply_suggestions(staged: DataFrame, suggestions: DataFrame, relations: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(suggestions after the staged rows, rows with their outcome): a pending edge between the items that a row names,
+    unless it is pending or a relation already; confidence within 0 and 1, .8 by default."""
+    n = F.col("normalized")
+    met = _resolved(_resolved(staged, items, "source_", "source_id"), items, "target_", "target_id")
+    error = F.when(F.col("source_id").isNull(), "source item not found").when(F.col("target_id").isNull(), "target item not found").when(F.col("source_id") == F.col("target_id"), "source and target are one item")
+    told = _told(met, error)
+    edge = ["source_id", "target_id", "relation_type"]
+    confidence = V.clamp(F.coalesce(V.lenient_double(get(n, "confidence")), F.lit(0.8)), 0.0, 1.0)
+    each = told.where("status = 'imported'").select("row_index", "source_id", "target_id", F.coalesce(get(n, "relation_type"), F.lit("related_to")).alias("relation_type"), confidence.alias("confidence"))
+    first = each.groupBy(*edge).agg(F.min_by("confidence", "row_index").alias("confidence")).withColumn("status", F.lit("pending"))
+    known = suggestions.where("status = 'pending'").select(edge).unionByName(relations.select(edge)).distinct()
+    return suggestions.unionByName(first.join(known, edge, "left_anti"), allowMissingColumns=True), told.drop("source_id", "target_id")
+
+
+def save_grid(rows: DataFrame, item_type: str, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with the grid's good rows, errors): ``rows(row_index, type, name, ...)`` of another type or without a name are
+    errors (row_index, field_name, message), all others new items in row order."""
+    wrong, unnamed = ~F.col("type").eqNullSafe(F.lit(item_type)), T.blank_to_null("name").isNull()
+    error = F.when(wrong, F.struct(F.lit("item_type").alias("field_name"), F.lit("row is of another type").alias("message"))).when(
+        unnamed, F.struct(F.lit("name").alias("field_name"), F.lit("name is required").alias("message"))
+    )
+    told = rows.withColumn("_error", error)
+    top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    good = numbered(told.where("_error is null"), "row_index").crossJoin(F.broadcast(top))  # top: one row
+    made = good.select((F.col("top") + F.col("number")).alias("id"), *(c for c in rows.columns if c != "row_index"))
+    return items.unionByName(made, allowMissingColumns=True), told.where("_error is not null").select("row_index", "_error.field_name", "_error.message")
+
+
 # Fields that rows of the maintenance types need, alternatives together.
 MAINTENANCE = {
     "standard_terms_v1": [["term_type"], ["standard_name"]],

@@ -47,6 +47,23 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
 
 
+def first_values(hist: DataFrame, k: int = 8) -> DataFrame:
+    """The first entries of a histogram by value, as a short view shows them."""
+    return hist.orderBy("value").limit(k)
+
+
+def rows_with_issue(staged: DataFrame, code: str = "possible_existing_duplicate") -> DataFrame:
+    """n_rows: staged rows that have an issue of this code; rows with the same index count once."""
+    hit = staged.where(F.exists("issues", lambda i: i["issue_code"] == code))
+    return hit.groupBy("row_index").count().agg(F.count("*").alias("n_rows"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: the number of rows of each table, a column each."""
+    counts = [df.agg(F.count("*").alias(name)) for name, df in tables.items()]
+    return reduce(lambda a, b: a.crossJoin(b), counts)  # single rows
+
+
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key groups with more than one row, and their sizes."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -109,6 +126,7 @@ def line_metrics(text) -> dict[str, Column]:
     from quernstone.functions.udfs import BACKUP_MARK
     from quernstone.operators.curate import TITLE_CHARS, is_layout_line
 
+    # A short line's length, that of a repeated one, and from where on a text is suspicious.
     lines = F.filter(F.transform(F.split(T.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.arrays_zip(lines.alias("line"), F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))).alias("next"))
     again = (lambda p: (F.length(p["line"]) <= 6) & ((p["line"] == p["next"]) | F.startswith(T.compact(p["next"]), T.compact(p["line"]))))

@@ -122,6 +122,30 @@ def decide(suggestions: DataFrame, relations: DataFrame, accepted_ids: DataFrame
     return moved.drop("to"), relations.unionByName(fresh, allowMissingColumns=True)
 
 
+def suggestion_list(suggestions: DataFrame, items: DataFrame) -> DataFrame:
+    """Suggestions with name and type of both ends, null where an item is gone; the surest first, ties by id."""
+    def end(side):
+        return items.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"))
+
+    return suggestions.join(end("source"), "source_id", "left").join(end("target"), "target_id", "left").orderBy(F.desc("confidence"), "id")
+
+
+#: The detail columns whose texts speak for an item, by the detail table that holds them.
+DETAIL_TEXTS = {"formula": ["composition", "indications"], "acupoint": ["indications", "functions"], "disease": ["symptoms", "common_syndromes", "care_advice", "notes"]}
+
+
+def with_detail_text(items: DataFrame, details: dict[str, DataFrame]) -> DataFrame:
+    """Items with ``text``: content, summary and the texts of their detail rows (``details[kind](item_id, ...)``), by spaces."""
+    out, parts = items, ["content", "summary"]
+    for kind, columns in DETAIL_TEXTS.items():
+        if kind in details:
+            names = [f"_{kind}_{c}" for c in columns]
+            out = out.join(details[kind].select(F.col("item_id").alias("id"), *(F.col(c).alias(n) for c, n in zip(columns, names))), "id", "left")
+            parts += names
+    text = F.trim(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in parts)))
+    return out.withColumn("text", text).drop(*(p for p in parts if p.startswith("_")))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(item_id, relation_type, n) over both ends of every edge; a loop counts twice."""
     ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("item_id"), "relation_type")
@@ -133,3 +157,8 @@ def neighbours(edges: DataFrame, items: DataFrame, item_id) -> DataFrame:
     out = edges.where(F.col("source_id") == item_id).select(F.col("target_id").alias("id"), "relation_type", F.lit("outgoing").alias("direction"))
     back = edges.where((F.col("target_id") == item_id) & (F.col("source_id") != item_id)).select(F.col("source_id").alias("id"), "relation_type", F.lit("incoming").alias("direction"))
     return out.unionByName(back).join(items, "id")
+
+
+def in_list_order(rows: DataFrame) -> DataFrame:
+    """Neighbours by relation type, type and name, in either case, ties by id."""
+    return rows.orderBy(F.lower("relation_type"), F.lower("type"), F.lower("name"), "id")

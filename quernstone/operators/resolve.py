@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.operators.store import materialized
 
 #: Scores of the rules.
 SCORES = {"type_code_exact": 1.0, "type_name_exact": 0.98, "fingerprint_match": 0.95, "name_alias_match": 0.90, "pinyin_category_suspect": 0.78}
@@ -44,10 +45,12 @@ def import_fingerprint(*columns) -> Column:
 def star(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
     """(item_id, duplicate_id, match_type, score): the least id of each block with each other id of it."""
     whole = rows.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
-    least = whole.groupBy(*keys).agg(F.min("id").alias("item_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return whole.join(least, keys).where("id != item_id").select(
+    whole = whole.select("id", F.sha2(F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys)), 256).alias("key"))
+    whole = materialized(whole.distinct())  # keys are digests: texts are read and normalized once
+    least = whole.groupBy("key").agg(F.min("id").alias("item_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return whole.join(least, "key").where("id != item_id").select(
         "item_id", F.col("id").alias("duplicate_id"), F.lit(rule).alias("match_type"), F.lit(SCORES[rule]).alias("score")
-    ).distinct()
+    )
 
 
 def alias_links(rows: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def alias_links(rows: DataFrame) -> DataFrame:
 
 def candidates(items: DataFrame) -> DataFrame:
     """All five rules over ``items(id, type, code, name, alias, pinyin, category)``."""
-    rows = keyed(items)
+    rows = materialized(keyed(items).select("id", "type", *KEYS))  # one pass over the items' texts
     return reduce(DataFrame.unionByName, [
         star(rows, ["type", "code_norm"], "type_code_exact"),
         star(rows, ["type", "name_norm"], "type_name_exact"),
@@ -80,22 +83,63 @@ def candidates(items: DataFrame) -> DataFrame:
     ])
 
 
-def row_candidates(imported: DataFrame, items: DataFrame) -> DataFrame:
-    """(row_id, item_id, match_type, score): for each import row and rule the least existing item that matches."""
-    new, old = keyed(imported), keyed(items)
-    rules = [
-        (["type", "code_norm"], "type_code_exact"), (["type", "name_norm"], "type_name_exact"),
-        (["type", "pinyin_norm", "category_norm"], "pinyin_category_suspect"), (["fingerprint"], "fingerprint_match"),
-    ]
-    found = []
-    for keys, rule in rules:
-        first = old.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))).groupBy(*keys).agg(F.min("id").alias("item_id"))
-        found.append(new.join(first, keys).select(F.col("id").alias("row_id"), "item_id", F.lit(rule).alias("match_type"), F.lit(SCORES[rule]).alias("score")))
+KEYS = ["code_norm", "name_norm", "pinyin_norm", "alias_norm", "category_norm", "fingerprint"]
+#: The rules whose keys both sides share; an alias rule meets an item's aliases with a row's name.
+RULES = [(["type", "code_norm"], "type_code_exact"), (["type", "name_norm"], "type_name_exact"), (["type", "pinyin_norm", "category_norm"], "pinyin_category_suspect"), (["fingerprint"], "fingerprint_match")]
+
+
+def _rule_keys(rows: DataFrame, is_item: bool) -> DataFrame:
+    """(id, rule, key) of each row under each rule, keys as hashes of their parts; in one pass."""
+    def entry(rule, *parts):
+        whole = reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
+        return F.when(whole, F.struct(F.lit(rule).alias("rule"), F.sha2(F.concat_ws("\x1f", *parts), 256).alias("key")))
+
+    told = F.array(*(entry(rule, *map(F.col, keys)) for keys, rule in RULES))
     rule = "name_alias_match"
-    tokens = F.explode(F.filter(F.split("alias_norm", r"\|"), lambda t: t != ""))
-    aliased = old.select("type", tokens.alias("name_norm"), "id").groupBy("type", "name_norm").agg(F.min("id").alias("item_id"))
-    found.append(new.join(aliased, ["type", "name_norm"]).select(F.col("id").alias("row_id"), "item_id", F.lit(rule).alias("match_type"), F.lit(SCORES[rule]).alias("score")))
-    return reduce(DataFrame.unionByName, found)
+    if is_item:
+        names = F.filter(F.split("alias_norm", r"\|"), lambda t: t != "")
+        told = F.concat(told, F.transform(F.array_distinct(names), lambda t: entry(rule, F.col("type"), t)))
+    else:
+        told = F.concat(told, F.array(entry(rule, F.col("type"), F.col("name_norm"))))
+    return rows.select("id", F.inline(F.filter(told, lambda e: e.isNotNull())))
+
+
+def row_candidates(imported: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, members): for each import row and rule the class of existing items that match, with its size, and the
+    classes' items. Every match is a link joined with the members of its class; a class of many items under a key of many
+    rows is told by its rows and items, not by its pairs.
+
+    links: row_id, class_id (the least item), match_type, score, n_items, key; members: key, match_type, item_id.
+    """
+    new, old = _rule_keys(keyed(imported), False), _rule_keys(keyed(items), True)
+    classes = old.groupBy("rule", "key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_items"))
+    scores = F.create_map(*(F.lit(x) for p in SCORES.items() for x in p))
+    links = new.join(classes, ["rule", "key"]).select(
+        F.col("id").alias("row_id"), "class_id", F.col("rule").alias("match_type"), F.element_at(scores, F.col("rule")).alias("score"), "n_items", "key"
+    )
+    members = old.join(new.select("rule", "key").distinct(), ["rule", "key"], "left_semi").select("key", F.col("rule").alias("match_type"), F.col("id").alias("item_id"))
+    return links, members
+
+
+def candidate_pairs(links: DataFrame, members: DataFrame, row_ids: DataFrame) -> DataFrame:
+    """(row_id, item_id, match_type, score) of a few rows, such as a page of them: each item once for each rule."""
+    some = links.join(row_ids.select("row_id"), "row_id", "left_semi")
+    return some.join(members, ["key", "match_type"]).select("row_id", "item_id", "match_type", "score").distinct()
+
+
+def candidate_list(candidates: DataFrame, items: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates ``(item_id, duplicate_id, row_id, ...)`` with the names of both items and of the import row, where there are such."""
+    def named(df, key, alias):
+        return df.select(F.col("id").alias(key), F.col("name").alias(alias))
+
+    out = candidates.join(named(items, "item_id", "item_name"), "item_id", "left").join(named(items, "duplicate_id", "duplicate_name"), "duplicate_id", "left")
+    return out.join(named(rows, "row_id", "row_name"), "row_id", "left")
+
+
+def least_id(refs: DataFrame, items: DataFrame, item_type: str) -> DataFrame:
+    """(ref_id, item_id): the least id of the items of a type with the name that each ref has; null without one."""
+    first = items.where(F.col("type") == item_type).groupBy("name").agg(F.min("id").alias("item_id"))
+    return refs.join(first, "name", "left").select("ref_id", "item_id")
 
 
 def new_pending(found: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,11 +116,65 @@ def bm25(docs: DataFrame, columns: list[str], query: str) -> DataFrame:
         sum((F.regexp_count(spaced(c), F.lit("[^ ]+")) for c in columns), F.lit(0)).alias("dl"),
     )
     whole = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.count_if(F.col("f") > 0).alias("n_hit"))
+    return counted.where("f > 0").join(F.broadcast(whole)).select("id", _bm25_score().alias("bm25"))  # whole: one row
+
+
+def with_annotations(items: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Items whose content is followed by the texts of their annotations ``(item_id, id, source_title, source_note, content,
+    tags)``, the parts of one by spaces, each on a line of its own, in the order of their ids."""
+    told = F.concat_ws(" ", "source_title", "source_note", "content", "tags")
+    # an item's annotations are few; they are collected by item alone
+    per = annotations.groupBy(F.col("item_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("at"), told.alias("text")))).alias("_notes"))
+    notes = F.array_join(F.transform("_notes", lambda n: n["text"]), "\n")
+    both = items.join(per, "id", "left")
+    return both.withColumn("content", F.when(F.col("_notes").isNull(), F.col("content")).otherwise(F.concat_ws("\n", "content", notes))).drop("_notes")
+
+
+#: Places of a column's words in a text begin at its number times this.
+COLUMN_SPAN = 1 << 32
+
+
+def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(token, id, dl, places): where each token stands, and the number of tokens of the document over all columns."""
+    lists = [tokens(c) for c in columns]
+    dl = sum((F.size(x) for x in lists[1:]), F.size(lists[0]))
+    each = F.flatten(F.array(*(F.transform(x, lambda t, i, n=n: F.struct(t.alias("token"), (F.lit(n * COLUMN_SPAN) + i).alias("place"))) for n, x in enumerate(lists))))
+    flat = docs.select("id", dl.alias("dl"), each.alias("each")).select("id", "dl", F.inline("each"))
+    return flat.groupBy("token", "id", "dl").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def build_index(store, items: DataFrame, columns: list[str], *, detail_is_json: bool = True) -> None:
+    """The whole search index of the items written anew: search_terms, postings, lengths and totals.
+
+    Postings are sorted by token, so that a query reads the row groups of its words alone; terms by item."""
+    store.write("search_terms", build_terms(items, detail_is_json=detail_is_json))
+    told = postings(items, columns)
+    store.write("postings", told.repartitionByRange("token", "id").sortWithinPartitions("token", "id"))
+    dl = sum((F.size(tokens(c)) for c in columns[1:]), F.size(tokens(columns[0])))
+    store.write("lengths", items.select("id", dl.alias("dl")))
+    store.write("totals", store.read("lengths").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+
+
+def indexed_bm25(store, query: str) -> DataFrame:
+    """``bm25`` from the stored postings: a query reads its words' rows and one row of totals, no text."""
+    words = [t for t in re.split(r"\W+", query.lower()) if t]
+    rows = store.read("postings")
+    if query.isascii() and query.isalnum():
+        hits = rows.where(F.startswith("token", F.lit(words[0]))).groupBy("id", "dl").agg(F.sum(F.size("places")).alias("f"))
+    else:
+        offsets = F.create_map(*(x for w in dict.fromkeys(words) for x in (F.lit(w), F.array(*(F.lit(i) for i, v in enumerate(words) if v == w)))))
+        places = rows.where(F.col("token").isin(words)).select("id", "dl", F.explode("places").alias("place"), F.element_at(offsets, F.col("token")).alias("offsets"))
+        starts = places.select("id", "dl", (F.col("place") - F.explode("offsets")).alias("start")).groupBy("id", "dl", "start").count()
+        hits = starts.where(F.col("count") == len(words)).groupBy("id", "dl").agg(F.count("*").alias("f"))
+    hits = hits.select("id", "f", "dl")
+    n_hit = hits.agg(F.count("*").alias("n_hit"))
+    return hits.crossJoin(F.broadcast(store.read("totals").crossJoin(n_hit))).select("id", _bm25_score().alias("bm25"))  # two single rows
+
+
+def _bm25_score() -> Column:
     raw = F.log((F.col("n_docs") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(1e-6)
     f = F.col("f")
-    score = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return counted.where("f > 0").join(F.broadcast(whole)).select("id", score.alias("bm25"))  # whole: one row
+    return -F.when(raw > 0, raw).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def text_score(bm: Column) -> Column:

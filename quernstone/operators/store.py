@@ -7,6 +7,7 @@ written whole (Spark's _SUCCESS). No row is changed in place, so a lost executor
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,15 +71,25 @@ class Store:
             self.write(name, self.spark.read.parquet(f"{source.rstrip('/')}/{name}"))
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """The rows computed once, in the folder of ``spark.checkpoint.dir`` (a temporary one where it is unset, as in tests).
-
-    Also keeps the optimizer from pushing a filter on a derived column into a copy of its whole expression.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-quern-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. In local mode alone a temporary
+    folder will do where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-quern-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows written once as Parquet into a shared folder and read from there, so that later steps prune columns and a
+    lost executor costs no more than a file. Also keeps the optimizer from pushing a filter on a derived column into a
+    copy of its whole expression."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -179,7 +179,7 @@ def import_defaults(spark, sf_dir):
     kind = F.when(k == 0, "classic").when(k == 1, "方剂").when(k == 2, "herb").otherwise("weird")
     record = imports.with_defaults(F.map_from_arrays(F.array(*map(F.lit, ["type", "name", "content", "data_status"])), F.array(kind, F.col("source"), F.col("text"), F.lit("odd"))))
     get = (lambda f: F.try_element_at(record, F.lit(f)))
-    return d.select("doc_id", get("type").alias("type"), get("original_type").alias("original_type"), get("tags").alias("tags"), get("data_status").alias("data_status"), F.md5(get("summary")).alias("summary_md5"))
+    return d.select("doc_id", get("type").alias("type"), F.get_json_object(get("detail"), "$.original_type").alias("original_type"), get("tags").alias("tags"), get("data_status").alias("data_status"), F.md5(get("summary")).alias("summary_md5"))
 
 
 @query()
