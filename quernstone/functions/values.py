@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import blank_to_null, col, split_list, strip
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it: large expressions don't grow by nesting."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
 def clamp(c, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(col(c), F.lit(high)))
 

@@ -62,15 +62,18 @@ def _about(c: Column) -> Column:
     return _some(_bare(_before(c, EFFECT_WORDS), "。"))
 
 
+def _tails(content, word: str, reach: int) -> Column:
+    """Of each phrase with the word what stands from it on, where the phrase goes on behind it."""
+    tails = F.transform(phrases(content), lambda p: F.when(F.contains(p, F.lit(word)), F.substring(p, F.instr(p, word), F.lit(reach))))
+    return F.filter(tails, lambda t: t.isNotNull() & (F.length(t) > 1))
+
+
 def nature_flavor(content) -> tuple[Column, Column]:
     """The phrase on nature and flavour, and where it was found: its section, else the first phrase that has 性, or else 味."""
     told = _about(F.coalesce(section(content, NATURE), F.lit("")))
     found = []
     for word, reach in REACH:
-        # from the word on, where the phrase goes on behind it
-        tails = F.transform(phrases(content), lambda p, w=word, r=reach: F.substring(p, F.instr(p, w), F.lit(r)))
-        held = F.filter(F.zip_with(phrases(content), tails, lambda p, t: F.when(F.contains(p, F.lit(word)), t)), lambda t: t.isNotNull() & (F.length(t) > 1))
-        found.append(_about(F.get(held, F.lit(0))))
+        found.append(_about(F.get(_tails(content, word, reach), F.lit(0))))
     return F.coalesce(told, *found), F.when(told.isNotNull(), "section").when(F.coalesce(*found).isNotNull(), "text")
 
 

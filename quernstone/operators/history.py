@@ -101,5 +101,6 @@ def distinct_sources(sources: Column) -> Column:
 
 
 def time_stamps(at) -> tuple[Column, Column]:
-    """A time as ids are made of it: fourteen digits, and milliseconds since 1970."""
-    return F.date_format(T.col(at), "yyyyMMddHHmmss"), F.unix_millis(T.col(at))
+    """A time, without zone, as ids are made of it: fourteen digits, and milliseconds since 1970."""
+    plain = T.col(at).cast("timestamp_ntz")
+    return F.date_format(plain, "yyyyMMddHHmmss"), F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), plain)

@@ -189,6 +189,10 @@ NOTED_FIELDS = ["source_url", "classic_id", "page_title", "section_title"]
 def lift_detail(record: Column) -> Column:
     """The record with the keys of its detail object lifted beside its own, by alias where they have one; what the record
     has already stays. The context fields that it then has are appended to the source note."""
+    return V.let(record, _lift_detail)
+
+
+def _lift_detail(record: Column) -> Column:
     detail = F.from_json(F.try_element_at(record, F.lit("detail")), "map<string,string>")
     own = F.map_filter(record, lambda k, v: (k != "detail") & v.isNotNull())
     whole = F.when(detail.isNull(), own).otherwise(V.overlay(own, to_targets(detail, {}, keep=True)))
@@ -220,10 +224,8 @@ def get(record: Column, *names: str) -> Column:
 
 def put(record: Column, values: dict[str, Column]) -> Column:
     """The record with values set; null ones are left as they were."""
-    new = F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in values.items()))), lambda k, v: v.isNotNull())
-    # asked key by key, so that a value is computed for its own key only
-    replaced = (lambda k: reduce(lambda a, b: a | b, ((k == F.lit(name)) & v.isNotNull() for name, v in values.items())))
-    return F.map_concat(new, F.map_filter(record, lambda k, _: ~replaced(k)))
+    made = F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in values.items())))
+    return V.let(F.map_filter(made, lambda k, v: v.isNotNull()), lambda new: F.map_concat(new, F.map_filter(record, lambda k, _: ~F.map_contains_key(new, k))))
 
 
 #: Statuses that an import may set.
@@ -241,6 +243,10 @@ def with_detail_keys(detail: Column, values: Column) -> Column:
 
 def with_defaults(record: Column) -> Column:
     """Folded type, tags, summary and status where they are missing; a type that was folded is told in the detail."""
+    return V.let(record, _with_defaults)
+
+
+def _with_defaults(record: Column) -> Column:
     kind = F.coalesce(get(record, "type"), F.lit("note"))
     folded = T.item_type(kind)
     tags = F.array_join(F.filter(F.array(get(record, "name"), get(record, "category"), folded), lambda x: x.isNotNull()), ",")
@@ -260,6 +266,10 @@ def with_defaults(record: Column) -> Column:
 
 def adapt_passage(record: Column) -> Column:
     """A classic passage as an item record."""
+    return V.let(record, _adapt_passage)
+
+
+def _adapt_passage(record: Column) -> Column:
     work = F.coalesce(get(record, "work_title", "classic_name", "classic_title"), F.lit("原典"))
     section = F.coalesce(get(record, "section_title", "section", "title", "page_title"), F.lit("未命名条文"))
     original = F.coalesce(get(record, "original_text", "content", "正文", "原文"), F.lit(""))
@@ -273,6 +283,10 @@ def adapt_passage(record: Column) -> Column:
 
 def adapt_annotation(record: Column) -> Column:
     """An annotation as a record for the item that its canonical key names."""
+    return V.let(record, _adapt_annotation)
+
+
+def _adapt_annotation(record: Column) -> Column:
     kind, name = T.canonical_key(F.coalesce(get(record, "canonical_key", "canonicalKey"), F.lit("")))
     return with_defaults(put(record, {
         "type": kind, "name": name, "content": get(record, "content", "annotation", "annotation_text"),
@@ -295,6 +309,10 @@ ADAPTERS = {"knowledge_items_v1": with_defaults, "classic_passages_v1": adapt_pa
 
 def normalize_record(record: Column) -> Column:
     """Half-width, trimmed values; upper-case codes; split lists; folded categories; blanks out."""
+    return V.let(record, _normalize_record)
+
+
+def _normalize_record(record: Column) -> Column:
     wide = F.map_from_entries(F.transform(F.map_entries(record), lambda e: F.struct(e["key"], T.strip(T.half_width(e["value"])))))
     lists = {f: T.split_join(F.try_element_at(wide, F.lit(f))) for f in ("tags", "alias", "meridians")}
     code = F.upper(F.coalesce(get(wide, "code"), get(wide, "acupoint_code")))

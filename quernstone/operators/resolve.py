@@ -97,7 +97,7 @@ def _rule_keys(rows: DataFrame, is_item: bool) -> DataFrame:
     told = F.array(*(entry(rule, *map(F.col, keys)) for keys, rule in RULES))
     rule = "name_alias_match"
     if is_item:
-        names = F.filter(F.split("alias_norm", r"\|"), lambda t: t != "")
+        names = F.filter(F.split(F.coalesce("alias_norm", F.lit("")), r"\|"), lambda t: t != "")
         told = F.concat(told, F.transform(F.array_distinct(names), lambda t: entry(rule, F.col("type"), t)))
     else:
         told = F.concat(told, F.array(entry(rule, F.col("type"), F.col("name_norm"))))

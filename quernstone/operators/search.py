@@ -32,8 +32,9 @@ def item_table(df: DataFrame) -> DataFrame:
     return df.select("id", *(F.col(c).cast("string") if c in have else F.lit(None).cast("string").alias(c) for c in ITEM_COLUMNS))
 
 
-def term_array(detail_is_json: bool = True) -> Column:
-    """All terms of an item row: (term_type, term, weight), one for each type and normalized term, blanks out."""
+def term_array() -> Column:
+    """All terms of an item row: (term_type, term, weight), one for each type and normalized term, blanks out. ``flat`` is
+    the detail as text."""
 
     def entry(kind, term, weight):
         return F.struct(F.lit(kind).alias("term_type"), term.alias("term"), F.lit(weight).alias("weight"))
@@ -50,21 +51,21 @@ def term_array(detail_is_json: bool = True) -> Column:
             F.transform(parts, lambda p: entry(kind, p, WEIGHTS[kind])), F.transform(lone, lambda w: entry(kind, w, WEIGHTS[kind] - 5))
         )
 
-    detail = flatten_json(F.col("detail")) if detail_is_json else F.col("detail")
     hay = T.normalize(F.concat_ws(" ", "name", "code", "alias", "pinyin", "category", "source_note", "tags", "detail"))
     known = F.filter(
         F.array(*(entry("normalized", F.lit(t), w) for t, w in KNOWN_TERMS.items())), lambda e: F.contains(hay, e["term"])
     )
     every = F.concat(
         *(single(k) for k in ("name", "code", "pinyin", "category", "source_note")),
-        several("alias", F.col("alias")), several("tags", F.col("tags")), several("detail", detail), known,
+        several("alias", F.col("alias")), several("tags", F.col("tags")), several("detail", F.col("flat")), known,
     )
     return F.filter(every, lambda e: e["term"] != "")
 
 
 def build_terms(items: DataFrame, *, detail_is_json: bool = True) -> DataFrame:
     """(item_id, term_type, term, weight) of every item, without a shuffle."""
-    return item_table(items).select(F.col("id").alias("item_id"), F.inline(term_array(detail_is_json)))
+    flat = flatten_json("detail") if detail_is_json else F.col("detail")
+    return item_table(items).withColumn("flat", flat).select(F.col("id").alias("item_id"), F.inline(term_array()))
 
 
 def contains_ci(c, query: str) -> Column:
@@ -138,7 +139,11 @@ def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
     """(token, id, dl, places): where each token stands, and the number of tokens of the document over all columns."""
     lists = [tokens(c) for c in columns]
     dl = sum((F.size(x) for x in lists[1:]), F.size(lists[0]))
-    each = F.flatten(F.array(*(F.transform(x, lambda t, i, n=n: F.struct(t.alias("token"), (F.lit(n * COLUMN_SPAN) + i).alias("place"))) for n, x in enumerate(lists))))
+
+    def placed(words: Column, n: int) -> Column:
+        return F.transform(words, lambda t, i: F.struct(t.alias("token"), (F.lit(n * COLUMN_SPAN) + i).alias("place")))
+
+    each = F.flatten(F.array(*(placed(x, n) for n, x in enumerate(lists))))
     flat = docs.select("id", dl.alias("dl"), each.alias("each")).select("id", "dl", F.inline("each"))
     return flat.groupBy("token", "id", "dl").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
@@ -164,7 +169,7 @@ def indexed_bm25(store, query: str) -> DataFrame:
     else:
         offsets = F.create_map(*(x for w in dict.fromkeys(words) for x in (F.lit(w), F.array(*(F.lit(i) for i, v in enumerate(words) if v == w)))))
         places = rows.where(F.col("token").isin(words)).select("id", "dl", F.explode("places").alias("place"), F.element_at(offsets, F.col("token")).alias("offsets"))
-        starts = places.select("id", "dl", (F.col("place") - F.explode("offsets")).alias("start")).groupBy("id", "dl", "start").count()
+        starts = places.select("id", "dl", "place", F.explode("offsets").alias("offset")).select("id", "dl", (F.col("place") - F.col("offset")).alias("start")).groupBy("id", "dl", "start").count()
         hits = starts.where(F.col("count") == len(words)).groupBy("id", "dl").agg(F.count("*").alias("f"))
     hits = hits.select("id", "f", "dl")
     n_hit = hits.agg(F.count("*").alias("n_hit"))

@@ -103,7 +103,7 @@ def row_item_candidates(spark, sf_dir):
     rows = r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 2 == 0, "ECONOMY").otherwise("SMALL").alias("type"), F.concat(F.lit("p-"), "l_partkey").alias("code"), F.lit("Red Bolt").alias("name"), *rest)
     # a type, name or code may be met by the fixture rows of one line more than once
     links, _ = resolve.row_candidates(rows, items)
-    return links.select("row_id", F.col("class_id").alias("item_id"), "match_type", "score")
+    return links.groupBy("row_id", "match_type", "score").agg(F.min("class_id").alias("item_id")).select("row_id", "item_id", "match_type", "score")
 
 
 MERGE_SQL = "t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN ' ' WHEN c_custkey % 4 = 1 THEN NULL ELSE c_mktsegment END AS tags, c_name AS name FROM customer), s AS (SELECT o_custkey, max(o_orderpriority) AS tags, 'Order ' || max(o_orderkey) AS name FROM orders GROUP BY 1)"
