@@ -149,15 +149,13 @@ def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def build_index(store, items: DataFrame, columns: list[str], *, detail_is_json: bool = True) -> None:
-    """The whole search index of the items written anew: search_terms, postings, lengths and totals.
-
-    Postings are sorted by token, so that a query reads the row groups of its words alone; terms by item."""
+    """The whole search index of the items written anew: search_terms, postings and totals. Postings are sorted by token, so
+    that a query reads the row groups of its words alone."""
     store.write("search_terms", build_terms(items, detail_is_json=detail_is_json))
-    told = postings(items, columns)
-    store.write("postings", told.repartitionByRange("token", "id").sortWithinPartitions("token", "id"))
-    dl = sum((F.size(tokens(c)) for c in columns[1:]), F.size(tokens(columns[0])))
-    store.write("lengths", items.select("id", dl.alias("dl")))
-    store.write("totals", store.read("lengths").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    # dealt by token and item, sorted by token: a word's rows stand together in each file, and no word makes a hot one
+    store.write("postings", postings(items, columns).sortWithinPartitions("token", "id"))
+    words = sum((F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}]+")) for c in columns), F.lit(0))
+    store.write("totals", items.agg(F.count("*").alias("n_docs"), F.avg(words).alias("avgdl")))
 
 
 def indexed_bm25(store, query: str) -> DataFrame:

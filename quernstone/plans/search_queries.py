@@ -89,10 +89,9 @@ e AS (SELECT doc_id, unnest(toks) AS tok FROM t)
 SELECT tok, count(*)::BIGINT AS tf, count(DISTINCT doc_id)::BIGINT AS df FROM e GROUP BY tok
 """)
 def posting_statistics(spark, sf_dir):
-    """Frequencies of every token: the vocabulary of the full-text index."""
-    d = table(spark, sf_dir, "documents")
-    per_doc = d.select("doc_id", F.explode(search.tokens("text")).alias("tok")).groupBy("doc_id", "tok").count()
-    return per_doc.groupBy("tok").agg(F.sum("count").alias("tf"), F.count("*").alias("df"))
+    """Frequencies of every token: the vocabulary of the stored full-text index."""
+    rows = text_index(spark, sf_dir).read("postings")
+    return rows.groupBy(F.col("token").alias("tok")).agg(F.sum(F.size("places")).alias("tf"), F.count("*").alias("df"))
 
 
 @query("WITH terms AS (" + TERMS_SQL + "), s AS (" + SCORES_SQL.format(q="blue") + r"""),
