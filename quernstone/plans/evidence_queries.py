@@ -464,6 +464,17 @@ def known_terms(spark, sf_dir):
     return search.build_terms(items).where("term_type in ('normalized', 'detail')")
 
 
+@query("""
+WITH f AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0), t AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0)
+SELECT user_id AS item_id FROM ((SELECT * FROM f EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM f))
+""")
+def favorites_toggled(spark, sf_dir):
+    """Favorites of which some are taken away and others added."""
+    e = table(spark, sf_dir, "events")
+    ids = (lambda k: e.where(F.col("user_id") % k == 0).select(F.col("user_id").alias("item_id")).distinct())
+    return history.toggle(ids(2), ids(3))
+
+
 # texts
 
 

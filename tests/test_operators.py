@@ -190,3 +190,45 @@ def test_streams(spark, sf, tmp_path):
     query.awaitTermination()
     want = {r.user_id: r.ts for r in events.groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).collect()}
     assert {r.user_id: r.ts for r in s.read("latest").collect()} == want
+
+
+def test_every_item_that_a_row_meets(spark):
+    """Two items with one alias are both candidates of a row of that name."""
+    from quernstone.operators import resolve
+
+    schema = "id long, type string, code string, name string, alias string, pinyin string, category string"
+    items = spark.createDataFrame([(1, "h", "A1", "x", "y|zz", None, None), (2, "h", "A2", "w", "zz", None, None), (3, "g", None, "zz", None, None, None)], schema)
+    rows = spark.createDataFrame([(9, "h", None, "ZZ", None, None, None), (10, "h", "a-2", "new", None, None, None)], schema)
+    links, members = resolve.row_candidates(rows, items)
+    got = {tuple(r) for r in resolve.candidate_pairs(links, members, rows.select(F.col("id").alias("row_id"))).collect()}
+    assert got == {(9, 1, "name_alias_match", 0.9), (9, 2, "name_alias_match", 0.9), (10, 2, "type_code_exact", 1.0), (10, 2, "fingerprint_match", 0.95)}
+    assert {(r.row_id, r.match_type): r.n_items for r in links.collect()}[9, "name_alias_match"] == 2
+
+
+def test_headers_met_late_are_kept(spark):
+    from quernstone.operators import imports
+
+    rows = [(i, {"名称": f"n{i}"}) for i in range(25)] + [(25, {"名称": "last", "功效": "补气", "无关": "x"})]
+    df = spark.createDataFrame(rows, "row_index long, record map<string,string>")
+    mapped = imports.apply_mapping(df, "herb", imports.score_mapping(df, "herb"))
+    last = mapped.where("row_index = 25").first()["record"]
+    assert last["name"] == "last" and last["effects"] == "补气" and "无关" not in last and imports.headers(df) == ["功效", "名称", "无关"]
+
+
+def test_working_tables_need_a_shared_folder_off_local_mode():
+    import pytest
+
+    from quernstone.operators.store import shared_folder
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(), "x")
