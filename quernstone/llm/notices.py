@@ -8,6 +8,8 @@ compared as lower-cased words joined by single spaces. Each document is scanned
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,9 +73,9 @@ class NoticeScanner:
                 at = joined.find(bounded, at + 1)
         return found
 
-    def fuzzy_hits(self, joined: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of each notice's matches of whole words; of overlapping ones of a notice that with
-        the fewest edits, then the first and the shortest."""
+    def fuzzy_hits(self, joined: str) -> list[tuple[int, int, str, int, float]]:
+        """(start, end, label, edits, share of unedited characters) of each notice's matches of whole words; of
+        overlapping ones of a notice that with the fewest edits, then the first and the shortest."""
         found = []
         for phrase, label, edits, parts, fuzzy in self.notices:
             begins = set()
@@ -93,11 +95,12 @@ class NoticeScanner:
                     if m := fuzzy.fullmatch(joined, a, b):
                         matches.append((sum(m.fuzzy_counts), a, b))
                     b = joined.find(" ", b + 1, a + len(phrase) + edits + 1)
-            taken: list[tuple[int, int, str, int]] = []
+            taken: list[tuple[int, int, str, int, float]] = []  # by start; none of them meets another
             for e, a, b in sorted(matches):
-                if all(b <= x or y <= a for x, y, *_ in taken):
-                    taken.append((a, b, label, e))
-            found += sorted(taken)
+                at = bisect.bisect_left(taken, (a,))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                    taken.insert(at, (a, b, label, e, 1 - e / len(phrase)))
+            found += taken
         return found
 
     def scan(self, text: str | None) -> tuple:
@@ -106,13 +109,11 @@ class NoticeScanner:
         joined = f" {b' '.join(words).decode()} "
         base = self.base_hits(joined)
         fuzzy = self.fuzzy_hits(joined)
-        word_at = (lambda at: joined.count(" ", 0, at) - 1)
+        begins = list(itertools.accumulate((len(w.decode()) + 1 for w in words), initial=1)) if base or fuzzy else []
+        word_at = (lambda at: bisect.bisect_right(begins, at) - 1)  # the word that begins there
         starts = [word_at(a) for a, _, _ in base]
-        spans = sorted({(word_at(a + (joined[a] == " ")), word_at(b - (joined[b - 1] == " ")), label, e) for a, b, label, e in fuzzy})
-        sizes = {}
-        for phrase, label, *_ in self.notices:
-            sizes[label] = min(len(phrase), sizes.get(label, len(phrase)))
-        score = max([1.0 if base else 0.0, *(1 - e / sizes[label] for _, _, label, e in fuzzy)])
+        spans = sorted({(word_at(a), word_at(b), label, e) for a, b, label, e, _ in fuzzy})
+        score = max([1.0 if base else 0.0, *(unedited for *_, unedited in fuzzy)])
         exact = {label for _, _, label in base}
         return (
             len(words),
