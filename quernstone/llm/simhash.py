@@ -164,18 +164,12 @@ def links(fps: DataFrame, *, distance: int = 4, block: int = 2048) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _labelled(docs: DataFrame, width: int, distance: int, block: int) -> DataFrame:
-    """Every row's doc_id, digest of its text, fp, component (a fingerprint), component_id and members."""
-    fps = stored(fingerprints(docs, width), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+def _components(distinct: DataFrame, distance: int, block: int) -> DataFrame:
+    """``distinct`` (one row for each fingerprint ``fp``) and component, a fingerprint: its own where it has no links."""
     edges = stored(links(distinct, distance=distance, block=block), "links")
     joined = connected_components(edges)  # node, component; only of fingerprints with links
-    labelled = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    groups = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members"))
-    ids = stored(labelled.join(groups, "component").select("fp", "component", "component_id", "members"), "components")
-    return fps.join(ids, "fp")
+    labelled = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    return labelled.withColumn("component", F.coalesce("component", "fp"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4, block: int = 2048) -> DataFrame:
@@ -186,16 +180,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4, block
     it like any other. Repeated rows are rows of their own. Null doc_ids take part, but name a component (null) only
     if it has no other. An empty table gives no rows. Other columns are ignored.
     """
-    return _labelled(docs, width, distance, block).select(
+    fps = stored(fingerprints(docs, width), "fingerprints")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    labelled = _components(distinct, distance, block)
+    groups = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members"))
+    ids = stored(labelled.join(groups, "component").select("fp", "component_id", "members"), "components")
+    return fps.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "members"
     )
 
 
 def keep_one(docs: DataFrame, *, width: int = 4, distance: int = 4, block: int = 2048) -> DataFrame:
-    """One row of ``docs`` for each component: the smallest doc_id (null last), then the smallest digest of the text."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    keep = _labelled(docs, width, distance, block).groupBy("component").agg(first).select("first.doc_id", "first.digest")
-    keep = stored(keep.distinct(), "kept")
+    """One row of ``docs`` for each component: the smallest doc_id (null last), then the smallest digest of the text.
+
+    A fingerprint's own first row is found while its copies are counted as one, so that no join meets a row for each
+    copy, and a component's by partial minima.
+    """
+    fps = fingerprints(docs, width).select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("row"))
+    distinct = stored(fps.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
+    firsts = _components(distinct, distance, block).groupBy("component").agg(F.min("row").alias("row"))
+    keep = stored(firsts.select("row.doc_id", "row.digest").distinct(), "kept")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.digest"))
     kept = docs.alias("d").join(keep.alias("k"), same, "left_semi")
     repeated = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
