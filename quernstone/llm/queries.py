@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quernstone.llm import backoff, cotrain, curriculum, hilbert, notices, postings, secrets, simhash, surrogates, wavelet
+from quernstone.llm import backoff, cotrain, curriculum, flatgraph, hilbert, notices, postings, secrets, simhash, surrogates, variants, wavelet, whitening
 from quernstone.llm.common import shared_folder, table
 from quernstone.llm.wavelet import vocabulary
 
@@ -111,3 +111,42 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its personal data, under the session's key where it has one."""
     key = spark.conf.get("quernstone.surrogate.key", REGISTERED_KEY)
     return surrogates.pseudonymize(table(spark, sf_dir, "documents"), key.encode())
+
+
+@query
+def op11_characteristic_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight first whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query
+def op12_flat_graph_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of at least 0.9."""
+    return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words, form and root."""
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+# crc32 is told byte by byte over a table made by its rule; words are near by the wildcard patterns of one letter
+ORACLE_SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(0, 256))::BIGINT AS i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS told, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY 1, 2),
+bytes AS (SELECT run, c, flatten(list_transform(list_transform(range(1, length(told) + 1), lambda i: unicode(told[i])::BIGINT), lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 | (u >> 6), 128 | (u & 63)] END)) AS bs FROM counted),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM bytes, crc),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, word[1:i - 1] AS head, word[i + 1:] AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.head || a.tail = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.head || a.tail = b.word),
+ranked AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM near),
+formed AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words w LEFT JOIN ranked r ON w.word = r.word AND r = 1),
+way AS (SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT y.word, y.next, f.form FROM way y JOIN formed f ON f.word = y.next)
+SELECT f.word, n, n_near, form, form_n, root FROM formed f JOIN way y ON y.word = f.word AND y.next IS NULL
+"""
