@@ -11,11 +11,12 @@ Entities are detected and replaced in one pass, whose rows are written once with
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,17 +36,26 @@ NAMES = {
 }
 HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Don Doña Г-н Г-жа".split()
 
-# Given names that lead to a person's family name, whatever it is. Left out are those that are common words.
-GIVEN_MORE = (
-    "Robert John David Richard Charles Joseph Daniel Matthew Anthony Donald Steven Andrew Kenneth Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary "
-    "Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Raymond Dennis Jerry Mary Patricia Jennifer Linda Elizabeth "
-    "Barbara Susan Jessica Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen "
-    "Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine Christine Rachel Michael Christopher Hans Klaus Jürgen Wolfgang Stefan Andreas Matthias Uwe Günter "
-    "Heinrich Karl Friedrich Sabine Monika Petra Ursula Brigitte Renate Ingrid Heike Katharina Johanna Jean Jacques François Philippe Michel Nicolas Olivier Mathieu "
-    "Marie Nathalie Isabelle Sylvie Catherine Françoise Monique Céline José Juan Luis Antonio Francisco Manuel Pedro Jorge Alejandro Diego Fernando Rafael Josefa Pilar "
-    "Dolores Teresa Cristina Beatriz Giovanni Giuseppe Marco Francesca Jan Piotr Krzysztof Tomasz Agnieszka Katarzyna Mohammed Muhammad Ahmed Ali Fatima Владимир Виктор "
-    "Юрий Борис Олег Игорь Максим Артём Екатерина Людмила Галина Юлия Ксения Дарья Виктория"
-).split()
+# Further given names that lead to a person's family name, whatever it is, by script and gender. Left out are those that
+# are common words.
+GIVEN_MORE = {
+    ("latin", "m", "given"): (
+        "Robert John David Richard Charles Joseph Daniel Matthew Anthony Donald Steven Andrew Kenneth Kevin Brian Edward Ronald Timothy "
+        "Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick "
+        "Raymond Dennis Jerry Michael Christopher Hans Klaus Jürgen Wolfgang Stefan Andreas Matthias Uwe Günter Heinrich Karl Friedrich "
+        "Jean Jacques François Philippe Michel Nicolas Olivier Mathieu José Juan Luis Antonio Francisco Manuel Pedro Jorge Alejandro Diego "
+        "Fernando Rafael Giovanni Giuseppe Marco Jan Piotr Krzysztof Tomasz Mohammed Muhammad Ahmed Ali"
+    ).split(),
+    ("latin", "f", "given"): (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Donna Michelle "
+        "Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine "
+        "Christine Rachel Sabine Monika Petra Ursula Brigitte Renate Ingrid Heike Katharina Johanna Marie Nathalie Isabelle Sylvie "
+        "Catherine Françoise Monique Céline Josefa Pilar Dolores Teresa Cristina Beatriz Francesca Agnieszka Katarzyna Fatima"
+    ).split(),
+    ("cyrillic", "m", "given"): "Владимир Виктор Юрий Борис Олег Игорь Максим Артём".split(),
+    ("cyrillic", "f", "given"): "Екатерина Людмила Галина Юлия Ксения Дарья Виктория".split(),
+}
+NAMES = {k: names + GIVEN_MORE.get(k, []) for k, names in NAMES.items()}
 PARTICLES = "de del la las los le da dos di du van von der den zu zum zur ter ten el al bin ibn y e".split()
 ENDINGS = ("ова", "ева", "ёва", "ина", "ская", "ов", "ев", "ёв", "ин", "ский")  # of Cyrillic family names, kept for their gender
 
@@ -64,20 +74,33 @@ def _classes() -> dict[str, str]:
 NAME_CLASS = _classes()
 CLASS = {c: k for k in ("abcdefghijklmnopqrstuvwxyz", "0123456789") for c in k}
 
-_ALL = sorted({n for names in NAMES.values() for n in names}, key=len, reverse=True)
-_LEADS = {n for k, names in NAMES.items() if k[2] == "given" for n in names} | set(GIVEN_MORE)
-_GIVEN = "|".join(sorted(_LEADS, key=len, reverse=True))
-_FAMILY = "|".join(sorted({n for k, names in NAMES.items() if k[2] == "family" for n in names}, key=len, reverse=True))
-_TITLES = "|".join(HONORIFICS)
-_LEADS |= {h.split("-")[0] for h in HONORIFICS}
+# names and honorifics are met as written and in capitals; Don in capitals is too often the word
+_LEADS = {n for k, names in NAMES.items() if k[2] == "given" for n in names}
+_LEADS |= {n.upper() for n in _LEADS if len(n) > 2}
+
+
+def _either(names: Iterable[str]) -> str:
+    names = set(names)
+    return "|".join(sorted({*names, *(n.upper() for n in names if len(n) > 2)}, key=lambda n: (-len(n), n)))
+
+
+_GIVEN = _either(n for k, names in NAMES.items() if k[2] == "given" for n in names)
+_FAMILY = _either(n for k, names in NAMES.items() if k[2] == "family" for n in names)
+_TITLES = "|".join([*HONORIFICS, *(h.upper() for h in HONORIFICS if h != "Don")])
+_LEADS |= {h.split("-")[0] for h in _TITLES.split("|")}
 _SMALL = "".join(NAME_CLASS) + "ß"
 _BIG = "".join(c.upper() for c in NAME_CLASS)
 _L = f"[{_SMALL}{_BIG}]"
+#: Bounds of the formats: letters of a name, honorifics, initials and particles in a row, blanks between words, the parts of an address.
+NAME_LETTERS, ROW, LOCAL, HOST = 64, 4, 64, 253
+_SP = rf"[ ]{{1,{ROW}}}"
 _END = rf"(?!\w|['’-](?:[{_BIG}]|{_L}{{2}}))"
-_TOKEN = rf"[{_BIG}]{_L}*(?:['’-](?=[{_BIG}]|{_L}{{2}}){_L}+)*"  # a possessive 's isn't part of it
-_REST = rf"(?:[{_BIG}]\.[ ]?)*(?:(?:{'|'.join(PARTICLES)})[ ])*{_TOKEN}"
+_TOKEN = rf"[{_BIG}]{_L}{{0,{NAME_LETTERS - 1}}}(?:['’-](?=[{_BIG}]|{_L}{{2}}){_L}{{1,{NAME_LETTERS}}}){{0,{ROW}}}"  # a possessive 's isn't part of it
+_REST = rf"(?:[{_BIG}]\.[ ]?){{0,{ROW}}}(?:(?:{'|'.join(PARTICLES)}){_SP}){{0,{ROW}}}{_TOKEN}"
 
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: The two sides of an address, about its ``@``: the last ``LOCAL`` characters before it at most, and ``HOST`` after it.
+MAILBOX = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\Z")
+DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)", re.ASCII)
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII)
 CARD = re.compile(r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-])", re.ASCII)
@@ -85,16 +108,21 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d[\d ().-]{7,18}\d|\(\d{2,4}\)[ .-]?\d[\d .-]{4,12}\d|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{4,9})(?![\w-])", re.ASCII)
 PHONE_DIGITS = 7  # the fewest of a number
 PERSON = re.compile(
-    rf"(?<!\w)(?=[{_BIG}])(?:(?:(?:{_TITLES})\.?[ ])+(?:(?:{_GIVEN})(?:[ ]{_REST})?{_END}|(?:{_FAMILY})(?:[ ](?:{_FAMILY}))?{_END}|{_REST}(?:[ ]{_REST}){{0,2}}{_END})"
-    rf"|(?:{_GIVEN})(?:-{_TOKEN})?[ ]{_REST}{_END})"
+    rf"(?<!\w)(?=[{_BIG}])(?:(?:(?:{_TITLES})\.?{_SP}){{1,{ROW}}}(?:(?:{_GIVEN})(?:{_SP}{_REST})?{_END}|(?:{_FAMILY})(?:{_SP}(?:{_FAMILY}))?{_END}|{_REST}(?:{_SP}{_REST}){{0,2}}{_END})"
+    rf"|(?:{_GIVEN})(?:-{_TOKEN})?{_SP}{_REST}{_END})"
 )
-TITLED = re.compile(rf"(?:(?:{_TITLES})\.?[ ])*")
+TITLED = re.compile(rf"(?:(?:{_TITLES})\.?{_SP}){{0,{ROW}}}")
 NAME = re.compile(f"{_L}+")
 WORD = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d", re.ASCII)
 NUMBERED = re.compile(r"\d[\d ().:/-]*\d[\d ().:/-]*\d", re.ASCII)
 
 
+def stream(key: bytes, message: bytes, size: int) -> bytes:
+    """``size`` keyed bytes, digest by digest."""
+    return b"".join(hashlib.blake2b(b"%d|" % at + message, key=key, digest_size=min(64, size - at)).digest() for at in range(0, size, 64))
+
+
 def permute(key: bytes, tweak: str, value: int, size: int, valid: Callable[[int], bool] | None = None) -> int:
     """A keyed permutation of the numbers below ``size`` that are ``valid``: Feistel rounds, walked along their cycle
     until they land on such a number. ``value`` must be one of them."""
@@ -105,8 +133,7 @@ def permute(key: bytes, tweak: str, value: int, size: int, valid: Callable[[int]
     def turn(x: int) -> int:
         left, right = x >> half, x & mask
         for r in range(8):
-            seed = hashlib.blake2b(f"{tweak}|{size}|{r}|{right}".encode(), key=key, digest_size=width).digest()
-            left, right = right, left ^ (int.from_bytes(seed, "big") & mask)
+            left, right = right, left ^ (int.from_bytes(stream(key, f"{tweak}|{r}|{size:x}|{right:x}".encode(), width), "big") & mask)
         return left << half | right
 
     x = turn(value)
@@ -218,22 +245,39 @@ class Surrogates:
         """Each name by its cycle, and unknown ones by a permutation of those of their form; honorifics and particles are
         kept, so that full and shorter mentions of a person still agree."""
         at = TITLED.match(form).end()
-        return form[:at] + NAME.sub(lambda m: m[0] if m[0] in PARTICLES else self.cycle.get(m[0]) or self.unknown(m[0]), form[at:])
+        return form[:at] + NAME.sub(lambda m: m[0] if m[0] in PARTICLES else self.listed(m[0]) or self.unknown(m[0]), form[at:])
+
+    def listed(self, name: str) -> str | None:
+        """The next of a listed name's cycle, in capitals where the name is."""
+        if name in self.cycle or len(name) < 3 or not name.isupper():
+            return self.cycle.get(name)
+        return self.cycle[name.title()].upper() if name.title() in self.cycle else None
 
     def _unknown(self, name: str) -> str:
         """A name that no list holds; vowels, consonants and the ending of a Cyrillic family name stay what they are."""
         end = ending(name)
         stem = name[: len(name) - len(end)]
-        return self._classes("name", stem, lambda x: x + end not in self.cycle and ending(x + end) == end and x + end not in PARTICLES, NAME_CLASS) + end
+        return self._classes("name", stem, lambda x: self.listed(x + end) is None and ending(x + end) == end and x + end not in PARTICLES, NAME_CLASS) + end
 
 
 def ending(name: str) -> str:
     return next((e for e in ENDINGS if name.endswith(e) and len(name) > len(e) + 1), "")
 
 
-#: Kinds in order of precedence: pattern and replacement.
-KINDS: list[tuple[str, re.Pattern, Callable[[Surrogates, str], str]]] = [
-    ("email", EMAIL, Surrogates.email),
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the e-mail addresses, about each ``@``."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = max(end, at - LOCAL)
+        if (left := MAILBOX.search(text[start:at])) and (right := DOMAIN.match(text, at + 1, at + 1 + HOST)):
+            end = right.end()
+            yield start + left.start(), end
+        at = text.find("@", max(at + 1, end))
+
+
+#: Kinds in order of precedence: pattern, or what gives the places, and replacement.
+KINDS: list[tuple[str, re.Pattern | Callable, Callable[[Surrogates, str], str]]] = [
+    ("email", addresses, Surrogates.email),
     ("ip", IPV4, Surrogates.ip),
     ("iban", IBAN, Surrogates.iban),
     ("card", CARD, Surrogates.card),
@@ -258,19 +302,23 @@ def canonical(kind: str, form: str) -> str:
 
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities, in order; of overlapping ones the earlier kind stays. Ends are exclusive."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order of their places
     numbered = NUMBERED.search(text) is not None
     for kind, pattern, _ in KINDS:
         if kind == "email" and "@" not in text or kind in ("ip", "iban", "card", "ssn", "phone") and not numbered:
             continue
         if kind == "person" and _LEADS.isdisjoint(WORD.findall(text)):
             continue
-        for m in pattern.finditer(text):
-            if kind == "phone" and len(DIGITS.findall(m[0])) < PHONE_DIGITS:
+        places = pattern(text) if callable(pattern) else (m.span() for m in pattern.finditer(text))
+        fresh = []
+        for a, b in places:
+            if kind == "phone" and len(DIGITS.findall(text[a:b])) < PHONE_DIGITS:
                 continue  # dots and blanks between a few digits, as in a table of contents
-            if all(m.end() <= a or b <= m.start() for a, b, _ in found):
-                found.append((m.start(), m.end(), kind))
-    return [(k, a, b) for a, b, k in sorted(found)]
+            i = bisect.bisect_left(found, (a, b))  # found ones don't overlap each other
+            if (i == 0 or found[i - 1][1] <= a) and (i == len(found) or b <= found[i][0]):
+                fresh.append((a, b, kind))
+        found = sorted(found + fresh)
+    return [(k, a, b) for a, b, k in found]
 
 
 _MAKE = {kind: make for kind, _, make in KINDS}
@@ -334,7 +382,8 @@ def pseudonymize(docs: DataFrame, key: bytes, *, attempts: int = 3) -> DataFrame
     """``docs(doc_id, text)`` with surrogates: doc_id, n_entities, spans (in the old text) and the new text.
 
     The key is secret and decides all replacements; if the corpus-wide check finds a collision, a key derived from it
-    is tried. Null texts stay null and empty ones empty; repeated rows and entities get the same surrogates; an empty
+    is tried. An address's local part has at most 64 characters and its host 253; of a longer run before the ``@`` the
+    last 64 are taken. A name has at most 64 letters, longer runs are none. Texts of any length take time in proportion. Null texts stay null and empty ones empty; repeated rows and entities get the same surrogates; an empty
     table gives no rows; other columns are ignored.
     """
     for n in range(attempts):

@@ -242,3 +242,33 @@ def test_all_operators_are_registered():
 
     numbers = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
     assert {f"op{k}" for k in range(1, 14)} <= numbers and "pipeline" in entry.queries()
+
+
+# surrogates of long runs
+
+
+def test_long_runs_end_without_error():
+    import time
+
+    from quernstone.llm import surrogates
+
+    made = surrogates.Surrogates(b"k")
+    for n in (1, 63, 64, 65, 220, 250, 3100, 200_000):
+        for text in ("q" * n + "@b.org", "a@" + "b" * n + ".org", "a@" + "a." * n, "Mr K" + "k" * n, "Mr " * n, "Mr " + "A. " * n, "Анна " * n, "1" * n, "AB12 " * n, "é" * n, "@" * n, "a.b@c.de " * (n // 8)):
+            began = time.time()
+            new, spans = surrogates.replace(text, made)
+            assert time.time() - began < 30 and (new == text) == (not spans)
+    runs = ["x" * k + "@b.org" for k in range(1, 64)] + ["Mr K" + "k" * k for k in range(1, 63)]
+    assert len({surrogates.replace(t, made)[0] for t in runs}) == len(runs)
+
+
+def test_names_keep_gender_capitals_and_blanks():
+    from quernstone.llm import surrogates
+
+    made = surrogates.Surrogates(b"k")
+    men, women = ({n for k, names in surrogates.NAMES.items() if k[1:] == (g, "given") for n in names} for g in "mf")
+    for text, names in (("Robert Jones", men), ("Mary Smith", women), ("MR ROBERT JONES", men), ("Dr  Katharina Weber", women), ("Виктор Орлов", men)):
+        new, spans = surrogates.replace(text, made)
+        assert len(spans) == 1 and any(w.title() in names for w in new.split()), new
+        assert new.isupper() == text.isupper() and new.count(" ") == text.count(" ")
+    assert surrogates.replace("Robert Jones and ROBERT JONES", made)[0].split(" and ")[0].upper() == surrogates.replace("Robert Jones and ROBERT JONES", made)[0].split(" and ")[1]
