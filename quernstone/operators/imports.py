@@ -233,12 +233,15 @@ IMPORT_STATUSES = ["pending_review", "reviewed", "needs_check", "imported", "val
 
 
 def with_detail_keys(detail: Column, values: Column) -> Column:
-    """A JSON object's text with the keys of a struct appended; other text is wrapped as ``raw_detail`` first."""
+    """A JSON object's text with the keys of a struct, which take the place of equal ones; other text is wrapped as
+    ``raw_detail`` first."""
     parsed = F.try_parse_json(detail)
-    wrapped = F.to_json(F.struct(detail.alias("raw_detail"), F.lit(True).alias("parse_error")))
-    text = F.when(T.blank_to_null(detail).isNull(), F.lit("{}")).when(F.schema_of_variant(parsed).startswith("OBJECT"), T.strip(detail)).otherwise(wrapped)
-    inside = T.strip(F.substring(text, F.lit(2), F.length(text) - 2))
-    return F.concat(F.lit("{"), inside, F.when(inside != "", ",").otherwise(""), F.substr(F.to_json(values), F.lit(2)))
+    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    wrapped = F.struct(detail.alias("raw_detail"), F.lit(True).alias("parse_error"))
+    text = F.when(T.blank_to_null(detail).isNull(), F.lit("{}")).when(is_object, detail).otherwise(F.to_json(wrapped))
+    variants = "map<string,variant>"
+    old, new = F.parse_json(text).cast(variants), F.parse_json(F.to_json(values)).cast(variants)
+    return F.to_json(V.let(new, lambda fresh: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(fresh, k)), fresh)))
 
 
 def with_defaults(record: Column) -> Column:

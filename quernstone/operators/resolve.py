@@ -166,13 +166,15 @@ def merged(strategy: str, target: dict[str, Column], source: dict[str, Column])
 
 
 def resolve_reference(refs: DataFrame, items: DataFrame, *, match_type: bool = False) -> DataFrame:
-    """(ref_id, item_id): by item_id, else by code or name (within the type, if asked), the largest id of the best kind."""
-    typed = (F.col("r.type") == F.col("i.type")) if match_type else F.lit(True)
-    r, i = refs.alias("r"), items.alias("i")
-    found = None
-    for priority, (a, b) in enumerate((("item_id", "id"), ("code", "code"), ("name", "name"))):
-        on = (F.col(f"r.{a}") == F.col(f"i.{b}")) & (F.lit(True) if a == "item_id" else typed)
-        hit = r.join(i, on).select("r.ref_id", F.col("i.id").alias("item_id"), F.lit(min(priority, 1)).alias("priority"))
-        found = hit if found is None else found.unionByName(hit)
-    best = Window.partitionBy("ref_id").orderBy("priority", F.desc("item_id"))
-    return found.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("ref_id", "item_id")
+    """(ref_id, item_id): where a reference gives an item_id, that item or none; else the largest id among the items of its
+    code or its name (within the type, if asked). A key's largest id is found first, so that each reference meets one row a
+    key."""
+    given = refs.where("item_id is not null").select("ref_id", "item_id")
+    found = given.join(items.select(F.col("id").alias("item_id")).distinct(), "item_id").select("ref_id", "item_id")
+    named = refs.where("item_id is null")
+    for kind in ("code", "name"):
+        keys = [kind, "type"] if match_type else [kind]
+        last = items.where(F.col(kind).isNotNull()).groupBy(*keys).agg(F.max("id").alias("found"))
+        hit = named.where(F.col(kind).isNotNull()).select("ref_id", *keys).join(last, keys).select("ref_id", F.col("found").alias("item_id"))
+        found = found.unionByName(hit)
+    return found.groupBy("ref_id").agg(F.max("item_id").alias("item_id"))

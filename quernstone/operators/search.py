@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,7 +110,9 @@ def bm25(docs: DataFrame, columns: list[str], query: str) -> DataFrame:
     """
     # words stand between single spaces, so hits are counted by one pattern and no array is built
     spaced = (lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), TOKEN, " "), F.lit(" ")))
-    phrase = " ".join(re.escape(t) for t in re.split(r"\W+", query.lower()) if t)
+    if not query_words(query):
+        return docs.where(F.lit(False)).select("id", F.lit(0.0).alias("bm25"))
+    phrase = " ".join(map(re.escape, query_words(query)))
     prefix = query.isascii() and query.isalnum()
     hit = F.lit(f" {phrase}" if prefix else f"(?= {phrase} )")
     counted = docs.select(
@@ -135,43 +139,27 @@ def with_annotations(items: DataFrame, annotations: DataFrame) -> DataFrame:
 COLUMN_SPAN = 1 << 32
 
 
-def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(token, id, dl, places): where each token stands, and the number of tokens of the document over all columns."""
-    lists = [tokens(c) for c in columns]
-    dl = sum((F.size(x) for x in lists[1:]), F.size(lists[0]))
+def query_words(query: str) -> list[str]:
+    """The words of a query by the rule of ``tokens``: lower-cased runs of letters, digits and marks."""
+    return "".join(c if unicodedata.category(c)[0] in "LNM" else " " for c in query.lower()).split()
 
-    def placed(words: Column, n: int) -> Column:
-        return F.transform(words, lambda t, i: F.struct(t.alias("token"), (F.lit(n * COLUMN_SPAN) + i).alias("place")))
 
-    each = F.flatten(F.array(*(placed(x, n) for n, x in enumerate(lists))))
-    flat = docs.select("id", dl.alias("dl"), each.alias("each")).select("id", "dl", F.inline("each"))
-    return flat.groupBy("token", "id", "dl").agg(F.sort_array(F.collect_list("place")).alias("places"))
-
-
-def build_index(store, items: DataFrame, columns: list[str], *, detail_is_json: bool = True) -> None:
-    """The whole search index of the items written anew: search_terms, postings and totals. Postings are sorted by token, so
-    that a query reads the row groups of its words alone."""
-    store.write("search_terms", build_terms(items, detail_is_json=detail_is_json))
-    # dealt by token and item, sorted by token: a word's rows stand together in each file, and no word makes a hot one
-    store.write("postings", postings(items, columns).sortWithinPartitions("token", "id"))
-    words = sum((F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}]+")) for c in columns), F.lit(0))
-    store.write("totals", items.agg(F.count("*").alias("n_docs"), F.avg(words).alias("avgdl")))
-
-
-def indexed_bm25(store, query: str) -> DataFrame:
-    """``bm25`` from the stored postings: a query reads its words' rows and one row of totals, no text."""
-    words = [t for t in re.split(r"\W+", query.lower()) if t]
-    rows = store.read("postings")
+def scored_postings(rows: Callable[[Column], DataFrame], totals: DataFrame, query: str) -> DataFrame:
+    """``bm25`` from the postings that ``rows`` gives for a condition on the token, and a row of n_docs and avgdl. A query
+    without words finds nothing."""
+    words = query_words(query)
+    if not words:
+        return rows(F.lit(False)).select("id", F.lit(0.0).alias("bm25"))
     if query.isascii() and query.isalnum():
-        hits = rows.where(F.startswith("token", F.lit(words[0]))).groupBy("id", "dl").agg(F.sum(F.size("places")).alias("f"))
+        hits = rows(F.startswith("token", F.lit(words[0]))).groupBy("id", "dl").agg(F.sum(F.size("places")).alias("f"))
     else:
         offsets = F.create_map(*(x for w in dict.fromkeys(words) for x in (F.lit(w), F.array(*(F.lit(i) for i, v in enumerate(words) if v == w)))))
-        places = rows.where(F.col("token").isin(words)).select("id", "dl", F.explode("places").alias("place"), F.element_at(offsets, F.col("token")).alias("offsets"))
+        places = rows(F.col("token").isin(words)).select("id", "dl", F.explode("places").alias("place"), F.element_at(offsets, F.col("token")).alias("offsets"))
         starts = places.select("id", "dl", "place", F.explode("offsets").alias("offset")).select("id", "dl", (F.col("place") - F.col("offset")).alias("start")).groupBy("id", "dl", "start").count()
         hits = starts.where(F.col("count") == len(words)).groupBy("id", "dl").agg(F.count("*").alias("f"))
     hits = hits.select("id", "f", "dl")
     n_hit = hits.agg(F.count("*").alias("n_hit"))
-    return hits.crossJoin(F.broadcast(store.read("totals").crossJoin(n_hit))).select("id", _bm25_score().alias("bm25"))  # two single rows
+    return hits.crossJoin(F.broadcast(totals.select("n_docs", "avgdl").crossJoin(n_hit))).select("id", _bm25_score().alias("bm25"))  # two single rows
 
 
 def _bm25_score() -> Column:

@@ -9,8 +9,8 @@ from quernstone.functions import udfs
 from quernstone.functions import values as V
 from quernstone.operators import curate, history, imports, profile, relations, resolve, search, store
 from quernstone.plans.import_queries import ROW_SQL, staged_rows
-from quernstone.plans.registry import query, table
-from quernstone.plans.search_queries import part_index
+from quernstone.plans.carriers import part_index, table
+from quernstone.plans.registry import query
 
 
 def record_of(**values):
@@ -425,7 +425,7 @@ SELECT tok AS token, count(DISTINCT p_partkey)::BIGINT AS df, count(*)::BIGINT A
 """)
 def stored_postings(spark, sf_dir):
     """The stored index's postings by token."""
-    rows = part_index(spark, sf_dir).read("postings")
+    rows = part_index(spark, sf_dir).live("postings")
     return rows.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.size("places")).cast("long").alias("tf"))
 
 

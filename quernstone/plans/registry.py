@@ -16,8 +16,5 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from quernstone.plans import evidence_queries, import_queries, record_queries, relation_queries, search_queries, text_queries  # noqa: E402, F401
+from quernstone.plans.carriers import table  # noqa: E402, F401
+from quernstone.plans import evidence_queries, import_queries, record_queries, relation_queries, search_queries, store_queries, text_queries  # noqa: E402, F401

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import search
-from quernstone.plans import stored
-from quernstone.plans.registry import query, table
+from quernstone.plans.carriers import part_index, part_items, table, text_index
+from quernstone.plans.registry import query
 
 TERMS_SQL = r"""
   SELECT p_partkey AS item_id, 'name' AS term_type, replace(lower(p_name), ' ', '') AS term, 100 AS weight FROM part
@@ -23,26 +23,6 @@ SCORES_SQL = """
 """
 
 
-def part_items(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select(
-        F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.concat(F.lit("P"), "p_partkey").alias("code"), F.col("p_name").alias("name"),
-        F.col("p_name").alias("alias"), F.col("p_type").alias("category"), F.col("p_brand").alias("tags"), F.lit("ready").alias("data_status"),
-    )
-
-
-def part_index(spark, sf_dir):
-    return stored.index(spark, sf_dir, "part", part_items, ["name", "category"])
-
-
-def text_items(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-
-
-def text_index(spark, sf_dir):
-    return stored.index(spark, sf_dir, "documents", text_items, ["content"])
-
-
 @query("SELECT item_id, term_type, term, weight::INT AS weight FROM (" + TERMS_SQL + ") WHERE term <> ''")
 def build_terms(spark, sf_dir):
     return search.build_terms(part_items(spark, sf_dir), detail_is_json=False)
@@ -54,7 +34,7 @@ def term_search(spark, sf_dir):
     items = part_items(spark, sf_dir)
     status = F.when(F.col("tags") == "Brand#2", "draft").otherwise("ready")
     listing = items.select(F.col("id").alias("item_id"), "type", "name", status.alias("data_status"))
-    return search.term_search(part_index(spark, sf_dir).read("search_terms"), listing, "ring").select("item_id", "score", "matched_by", "name")
+    return part_index(spark, sf_dir).term_search("ring", listing=listing).select("item_id", "score", "matched_by", "name")
 
 
 BM_TEMPLATE = r"""
@@ -75,12 +55,12 @@ PREFIX = "len(list_filter(toks, lambda t: starts_with(t, '{q}')))"
 
 @query("WITH " + bm_sql(PREFIX.format(q="path")) + "SELECT doc_id, round(bm25, 6) AS bm25, (40 - trunc(bm25))::INT AS score FROM bm")
 def bm25_prefix(spark, sf_dir):
-    return search.indexed_bm25(text_index(spark, sf_dir), "path").select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), search.text_score(F.col("bm25")).alias("score"))
+    return text_index(spark, sf_dir).bm25("path").select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), search.text_score(F.col("bm25")).alias("score"))
 
 
 @query("WITH " + bm_sql("len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'license' AND toks[i + 1] = 'version'))") + "SELECT doc_id, round(bm25, 6) AS bm25, (40 - trunc(bm25))::INT AS score FROM bm")
 def bm25_phrase(spark, sf_dir):
-    return search.indexed_bm25(text_index(spark, sf_dir), "license version").select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), search.text_score(F.col("bm25")).alias("score"))
+    return text_index(spark, sf_dir).bm25("license version").select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), search.text_score(F.col("bm25")).alias("score"))
 
 
 @query(r"""
@@ -90,7 +70,7 @@ SELECT tok, count(*)::BIGINT AS tf, count(DISTINCT doc_id)::BIGINT AS df FROM e
 """)
 def posting_statistics(spark, sf_dir):
     """Frequencies of every token: the vocabulary of the stored full-text index."""
-    rows = text_index(spark, sf_dir).read("postings")
+    rows = text_index(spark, sf_dir).live("postings")
     return rows.groupBy(F.col("token").alias("tok")).agg(F.sum(F.size("places")).alias("tf"), F.count("*").alias("df"))
 
 
@@ -107,8 +87,8 @@ FROM topt FULL JOIN topx ON topt.item_id = topx.item_id ORDER BY 2 DESC, 1 LIMIT
 def fused_search(spark, sf_dir):
     index = part_index(spark, sf_dir)
     k = search.candidate_limit(10, 50)
-    terms = search.term_scores(index.read("search_terms"), "blue").orderBy(F.desc("score"), "item_id").limit(k)
-    text = search.indexed_bm25(index, "blue").select(F.col("id").alias("item_id"), search.text_score(F.col("bm25")).alias("score"), F.lit("fts").alias("matched_by"))
+    terms = search.term_scores(index.hits("blue"), "blue").orderBy(F.desc("score"), "item_id").limit(k)
+    text = index.bm25("blue").select(F.col("id").alias("item_id"), search.text_score(F.col("bm25")).alias("score"), F.lit("fts").alias("matched_by"))
     return search.fuse([("term", terms), ("fts", text.orderBy(F.desc("score"), "item_id").limit(k))], k)
 
 
@@ -131,7 +111,7 @@ def enhanced_search(spark, sf_dir):
     none = F.lit(None).cast("string")
     items = d.select(F.col("doc_id").alias("id"), F.col("source").alias("name"), kind.alias("type"), category.alias("category"), F.col("text").alias("content"), none.alias("summary"), none.alias("detail"))
     notes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("id"), F.col("turn").alias("created_at"), F.col("text").alias("content"))
-    hits = search.indexed_bm25(text_index(spark, sf_dir), "clown").select(F.col("id").alias("item_id"), search.text_score(F.col("bm25")).cast("long").alias("score"), F.lit("fts").alias("matched_by"))
+    hits = text_index(spark, sf_dir).bm25("clown").select(F.col("id").alias("item_id"), search.text_score(F.col("bm25")).cast("long").alias("score"), F.lit("fts").alias("matched_by"))
     return search.enhanced(hits.orderBy(F.desc("score"), "item_id").limit(200), items, notes, "clown")
 
 
@@ -218,7 +198,7 @@ SELECT query, item_id, score::INT AS score FROM (SELECT *, row_number() OVER (PA
 def search_probe(spark, sf_dir):
     items = part_items(spark, sf_dir)
     listing = items.select(F.col("id").alias("item_id"), "data_status")
-    return search.probe(part_index(spark, sf_dir).read("search_terms"), listing, ["red", "P17", "Brand#4", "nothing here"])
+    return search.probe(part_index(spark, sf_dir).live("terms"), listing, ["red", "P17", "Brand#4", "nothing here"])
 
 
 ITEMS_SQL = "items AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'formula' WHEN 'de' THEN 'acupoint' ELSE 'herb' END AS type, source AS name, text AS content FROM documents)"

@@ -29,14 +29,12 @@ def deduplicated(events: DataFrame, *, late: str = "10 minutes") -> DataFrame:
 
 
 def upsert_sink(store, table: str, keys: list[str], order: str):
-    """A foreachBatch function that keeps the latest row of each key in a store table; a repeated batch changes nothing."""
+    """A foreachBatch function that keeps the latest row of each key in a store table; a repeated batch changes nothing. Only the buckets
+    of the batch's keys are written."""
     from quernstone.operators.store import latest
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = latest(batch, keys, [F.desc(order)])
-        if store.exists(table):
-            last = latest(store.read(table).unionByName(last), keys, [F.desc(order)])
-        store.write(table, last)
+        store.merge(table, batch, keys, lambda old, new: latest(old.unionByName(new), keys, [F.desc(order)]))
 
     return write
 
