@@ -57,8 +57,19 @@ def query_grams(query: str) -> list[str]:
     return sorted({r[i : i + n] for r in runs for i in range(len(r) - n + 1)})
 
 
+#: The token of the row that tells an item's length; no word is empty.
+LENGTH = ""
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where fewer files hold them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def grouped_places(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(token, id, dl, places) of each row's columns, grouped within the row: no word leaves it before that."""
+    """(token, id, dl, places) of each row's columns, grouped within the row: no word leaves it before that. A row of the
+    token ``LENGTH`` and no places stands for each item."""
     lists = F.array(*(search.tokens(c) for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +78,7 @@ def grouped_places(docs: DataFrame, columns: list[str]) -> DataFrame:
                 part = batch.slice(at, 64)
                 token, item, dl, places = [], [], [], []
                 for i, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found: dict[str, list[int]] = {}
+                    found: dict[str, list[int]] = {LENGTH: []}
                     for c, column in enumerate(words):
                         for k, t in enumerate(column):
                             found.setdefault(t, []).append(c * search.COLUMN_SPAN + k)
@@ -114,10 +125,11 @@ class SearchIndex:
 
     def _segment(self, items: DataFrame, removed: DataFrame | None, *, first: bool) -> None:
         number = 1 if first else max(self.segments()) + 1
-        items = materialized(search.item_table(items), "changed")
+        items = materialized(spread(search.item_table(items)), "changed")
         tag = F.lit(number).alias("segment")
         terms = materialized(search.build_terms(items, detail_is_json=self.detail_is_json), "terms")
-        lengths = items.select(F.col("id").alias("item_id"), self._length().alias("dl"), tag)
+        places = materialized(grouped_places(items, self.columns), "places").withColumn("segment", tag)
+        lengths = places.where(F.col("token") == LENGTH).select(F.col("id").alias("item_id"), "dl", "segment")
         gone = items.select(F.col("id").alias("item_id"))
         gone = (gone if removed is None else gone.unionByName(removed.select(F.col(removed.columns[0]).alias("item_id")))).distinct()
         before = None
@@ -127,7 +139,7 @@ class SearchIndex:
         rows = {
             "terms": terms.select("item_id", "term_type", "term", "weight", tag, bucket().alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "term"),
             "grams": _ranged(terms.select("term").distinct().select(F.explode(grams(F.col("term"))).alias("gram"), "term", tag), "gram", "term"),
-            "postings": _ranged(materialized(grouped_places(items, self.columns), "places").withColumn("segment", F.lit(number)), "token", "id"),
+            "postings": _ranged(places.where(F.col("token") != LENGTH), "token", "id"),
             "listing": items.select(F.col("id").alias("item_id"), *LISTING, tag),
             "lengths": lengths,
             "tombstones": (gone.limit(0) if first else gone).select("item_id", tag),
@@ -139,9 +151,6 @@ class SearchIndex:
             added = added.select((F.col("n_docs") - before[0]).alias("n_docs"), (F.col("n_words") - before[1]).alias("n_words"))
         write("deltas", added.withColumn("segment", F.lit(number)))  # last: readers count a segment from here on
 
-    def _length(self) -> Column:
-        return sum((F.size(search.tokens(c)) for c in self.columns[1:]), F.size(search.tokens(self.columns[0])))
-
     def compact(self) -> None:
         """All live rows as one segment, and no tombstones; the segments before stay as the tables' versions before."""
         number = max(self.segments())
@@ -163,7 +172,7 @@ class SearchIndex:
     def live(self, name: str, rows: DataFrame | None = None) -> DataFrame:
         """A table's rows, or those given of it, without the dead ones."""
         rows = self.store.read(name) if rows is None else rows
-        if self.store.read("deltas").count() == 1:  # one segment has no dead rows
+        if len(self.store.manifest("deltas")["folders"]) == 1:  # one segment has no dead rows
             return rows
         key = "id" if name == "postings" else "item_id"
         dead = self.store.read("tombstones").groupBy(F.col("item_id").alias("_gone")).agg(F.max("segment").alias("_at"))
