@@ -10,6 +10,7 @@ from quernstone.operators.index import SearchIndex
 from quernstone.plans.carriers import part_items, table, text_items
 from quernstone.plans.registry import query
 from quernstone.plans.search_queries import PREFIX, SCORES_SQL, TERMS_SQL, bm_sql
+from quernstone.sources import csvscan, records
 
 CHANGED_DOCUMENTS = "documents AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text || ' path license version' ELSE text END AS text FROM main.documents WHERE doc_id % 11 <> 5)"
 
@@ -133,3 +134,34 @@ def underscored_words(spark, sf_dir):
     low = d.agg(F.min("source"), F.min("lang")).first()
     hits = search.bm25(told, ["content"], "_".join(low)).unionByName(search.bm25(told, ["content"], "..."))
     return hits.select(F.col("id").alias("doc_id"))
+
+
+@query(r"""
+SELECT c_custkey::VARCHAR AS key, 'he said "' || c_name || '",' || chr(10) || c_mktsegment AS told, coalesce(c_address, '') AS address FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'a "quote" ' || c_nationkey END AS c_address FROM customer)
+""")
+def csv_read_back(spark, sf_dir):
+    """CSV files with quotes, commas and line ends in their cells, read by the parallel scan."""
+    c = table(spark, sf_dir, "customer")
+    told = F.concat(F.lit('he said "'), "c_name", F.lit('",\n'), "c_mktsegment")
+    address = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('a "quote" '), "c_nationkey"))
+    root = st.shared_folder(spark, "csv")
+    st.export_csv(c.select(F.col("c_custkey").alias("key"), told.alias("told"), address.alias("address")), root)
+    rows = csvscan.csv_rows(spark, root)
+    return rows.select(*(F.try_element_at("record", F.lit(k)).alias(k) for k in ("key", "told", "address")))
+
+
+@query("""
+SELECT s_suppkey::VARCHAR AS code, s_name AS name, 'herb' AS type, 'w' || s_nationkey AS term, 120::BIGINT AS weight FROM supplier
+""")
+def package_read_back(spark, sf_dir):
+    """A package with a manifest, a CSV of rows and a CSV of search terms, written from a table, read and put together again."""
+    s = table(spark, sf_dir, "supplier")
+    root = st.shared_folder(spark, "package")
+    items = s.select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("name"), F.lit("herb").alias("type"))
+    terms = s.select(F.col("s_suppkey").cast("string").alias("item_code"), F.concat(F.lit("w"), "s_nationkey").alias("term"), F.lit("120").alias("weight"))
+    records.write_package(spark, root, {"csv/items.csv": (items, "knowledge_items_v1"), "csv/terms.csv": (terms, "search_terms_v1")})
+    package = records.read_package(spark, root)
+    rows = records.attach_terms(package["rows"], package["terms"])
+    first = F.get("package_terms", F.lit(0))
+    got = (F.try_element_at("record", F.lit(k)).alias(k) for k in ("code", "name", "type"))
+    return rows.select(*got, first["term"].alias("term"), first["weight"].cast("long").alias("weight"))

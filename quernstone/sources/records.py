@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.sources.csvscan import cells_of
+
 ROWS = "path string, row_index long, record map<string,string>"
 KINDS = {".json": "json", ".csv": "csv", ".tsv": "tsv", ".xlsx": "xlsx"}
 
@@ -43,11 +45,16 @@ def json_records(text: str) -> list[dict]:
 
 
 def csv_records(text: str, separator: str = ",") -> list[dict]:
-    """Header row, quoted fields over several lines, short rows padded, blank rows dropped; of equal headers the last wins."""
-    body = text.removeprefix("﻿")
-    if separator == "," and body.count('"') % 2:
-        raise SourceError("a quote isn't closed")
-    lines = list(csv.reader(io.StringIO(body, newline=""), delimiter=separator, quoting=csv.QUOTE_MINIMAL if separator == "," else csv.QUOTE_NONE))
+    """Header row, quoted parts over several lines, short rows padded, blank rows dropped; of equal headers the last wins. In
+    CSV a quote turns quoting on and off wherever it stands; in TSV it is a character like any other."""
+    body = text.removeprefix("\ufeff")
+    if separator == ",":
+        try:
+            lines = cells_of(body)
+        except ValueError as e:
+            raise SourceError(str(e)) from None
+    else:
+        lines = list(csv.reader(io.StringIO(body, newline=""), delimiter=separator, quoting=csv.QUOTE_NONE))
     lines = [line for line in lines if any(c.strip() for c in line)]
     if not lines:
         return []
@@ -220,6 +227,26 @@ def read_package(spark: SparkSession, path: str) -> dict:
     return {"rows": rows, "terms": terms, "files": report}
 
 
+def write_package(spark: SparkSession, root: str, files: dict[str, tuple[DataFrame, str]]) -> None:
+    """A package folder: a CSV file for each path of ``files``, with its rows and type, and a manifest that lists them, the
+    first as primary. A package's file is one file, written by one task."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = []
+    for k, (name, (df, kind)) in enumerate(files.items()):
+        made = f"{root}/.made-{k}"
+        df.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(made)
+        part = next(s.getPath() for s in fs.listStatus(path(made)) if s.getPath().getName().startswith("part-"))
+        fs.mkdirs(path(f"{root}/{name}").getParent())
+        fs.rename(part, path(f"{root}/{name}"))
+        fs.delete(path(made), True)
+        listed.append({"path": name, "type": kind, "primary": k == 0, "auto_stage": k == 0})
+    out = fs.create(path(f"{root}/{MANIFESTS[0]}"), False)
+    out.write(bytearray(json.dumps({"files": listed}, ensure_ascii=False).encode()))
+    out.close()
+
+
 def attach_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows with ``package_terms``: the search terms that name the row's code or name, once each, weights within 1 and 200."""
     from quernstone.functions import text as T
