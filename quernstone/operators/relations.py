@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 
-#: Bytes of needles that are sent to every task at once; more take further passes over the texts.
+#: Bytes of needles that are sent to every task; more are met by their grams.
 NEEDLE_BYTES = 8 << 20
 
 
@@ -21,55 +22,107 @@ def needles(targets: DataFrame) -> DataFrame:
     return each.where("needle is not null and needle != ''")
 
 
-def _blocks(wanted: DataFrame, needle_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Needles in blocks of at most so many bytes (or one needle); an empty block where there are none."""
-    block: list[tuple[int, str]] = []
-    size, any_block = 0, False
-    for target, needle in wanted.toLocalIterator():
-        size += len(needle.encode())
-        if block and size > needle_bytes:
-            yield block
-            block, size, any_block = [], len(needle.encode()), True
-        block.append((target, needle))
-    if block or not any_block:
-        yield block
-
-
 def mentions(texts: DataFrame, wanted: DataFrame, *, needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
-    """(source_id, target_id): which normalized ``texts(id, text)`` hold a needle of ``wanted(target_id, needle)``.
+    """(source_id, target_id): which normalized ``texts(id, text)`` hold a needle of ``wanted(target_id, needle)``, once each.
 
-    Needles stream to the driver in blocks of at most ``needle_bytes``; an automaton finds all needles of a block in
-    one run over each text, so the work is texts x blocks, not texts x needles.
+    Needles of at most ``needle_bytes`` together go to every task as one automaton. More are met by their rarest grams, in one
+    pass over the texts whatever their number, and never leave the executors. Null ids are left out.
     """
-    spark = texts.sparkSession
-    normal = texts.select(F.col("id").alias("source_id"), T.normalize("text").alias("text"))
-    out = None
-    passes = 0
-    for block in _blocks(wanted, needle_bytes):
-        passes += 1
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            owners: dict[str, set[int]] = {}
-            for target, needle in sent.value:
-                owners.setdefault(needle, set()).add(target)
-            automaton = ahocorasick.Automaton()
-            for needle in owners:
-                automaton.add_word(needle, needle)
-            automaton.make_automaton()
+    normal = texts.where("id is not null").select(F.col("id").alias("source_id"), T.normalize("text").alias("text"))
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()[0]
+    return (by_automaton if size <= needle_bytes else by_grams)(normal, wanted)
+
+
+def by_automaton(normal: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``mentions`` by one automaton of all needles, whose size the caller has checked."""
+    sent = normal.sparkSession.sparkContext.broadcast([tuple(r) for r in wanted.select("target_id", "needle").collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        owners: dict[str, set[int]] = {}
+        for target, needle in sent.value:
+            owners.setdefault(needle, set()).add(target)
+        automaton = ahocorasick.Automaton()
+        for needle in owners:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        for batch in batches:
+            pairs = []
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = {n for _, n in automaton.iter(text)} if text and owners else ()
+                pairs += [(source, t) for t in set().union(*(owners[n] for n in found))]
+            columns = list(zip(*pairs)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["source_id", "target_id"])
+
+    return normal.mapInArrow(run, "source_id long, target_id long")
+
+
+#: Lengths of grams: a needle is known by grams of the largest that it reaches.
+GRAM_LENGTHS = (1, 2, 3, 6, 12)
+#: Bits of the filter of signature grams that every task holds, and texts whose grams tell which are rare.
+FILTER_BITS, COUNTED_TEXTS = 1 << 24, 10_000
+
+
+def gram_hashes(text: str, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` characters, in order."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    n = len(points) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.full(n, length, np.uint64)
+    for k in range(length):
+        h = h * np.uint64(0x100000001B3) + points[k : k + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def by_grams(normal: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``mentions`` by a join of signatures: every needle is known by its rarest gram; texts give those of their grams alone
+    that pass a filter of ``FILTER_BITS`` bits; texts and needles that share one are verified. Which gram is rarest is told by the
+    grams of at most ``COUNTED_TEXTS`` texts, and decides no row."""
+    from quernstone.operators.store import materialized
+
+    def of_needles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for needle in batch.column(0).to_pylist():
+                length = max(n for n in GRAM_LENGTHS if n <= len(needle))
+                own = np.unique(gram_hashes(needle, length))
+                yield pa.RecordBatch.from_arrays([pa.array([needle] * len(own), pa.string()), pa.array(own), pa.array(np.full(len(own), length, np.int32))], names=["needle", "h", "length"])
+
+    def of_texts(kept: np.ndarray | None, lengths: list[int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = []
+                sources, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = {n for _, n in automaton.iter(text)} if text and owners else ()
-                    pairs += [(source, t) for t in set().union(*(owners[n] for n in found))]
-                columns = list(zip(*pairs)) or [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["source_id", "target_id"])
-
-        found = normal.mapInArrow(run, "source_id long, target_id long")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct() if passes > 1 else out
+                    own = np.unique(np.concatenate([np.zeros(0, np.int64), *(gram_hashes(text or "", n) for n in lengths)]))
+                    if kept is not None:
+                        at = own & FILTER_BITS - 1
+                        own = own[kept[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+                    sources.append(np.full(len(own), source, np.int64))
+                    hashes.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sources)), pa.array(np.concatenate(hashes))], names=["source_id", "h"])
+
+        return run
+
+    names = wanted.select("needle").where("needle != ''").distinct()
+    grams = materialized(names.mapInArrow(of_needles, "needle string, h long, length int"), "needle-grams")
+    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most five
+    share = min(1.0, 2 * COUNTED_TEXTS / max(1, normal.count()))
+    some = normal.where(F.pmod(F.xxhash64("source_id"), F.lit(1 << 31)) < share * (1 << 31)).limit(COUNTED_TEXTS)
+    counts = some.mapInArrow(of_texts(None, lengths), "source_id long, h long").groupBy("h").agg(F.count("*").alias("n"))
+    rare = grams.join(counts, "h", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("least"))
+    signed = materialized(rare.select("needle", F.col("least.h").alias("h")), "signatures")
+    at = F.pmod("h", F.lit(FILTER_BITS))
+    words = signed.select(F.floor(at / 32).cast("long").alias("word"), F.pmod(at, F.lit(32)).cast("int").alias("bit")).distinct()
+    bits = np.zeros(FILTER_BITS // 32, "<u4")
+    for word, value in words.groupBy("word").agg(F.sum(F.pow(F.lit(2.0), "bit")).cast("long").alias("v")).collect():  # at most FILTER_BITS / 32 rows
+        bits[word] = value
+    met = normal.mapInArrow(of_texts(bits.view(np.uint8), lengths), "source_id long, h long")
+    pairs = materialized(met.join(signed, "h").select("source_id", "needle").distinct(), "candidates")
+    held = normal.join(pairs, "source_id").where(F.contains("text", F.col("needle"))).select("source_id", "needle")
+    return held.join(wanted.select("target_id", "needle"), "needle").select("source_id", "target_id").distinct()
 
 
 #: Which type's text is searched for which, the relation and its confidence.

@@ -17,4 +17,4 @@ def query(sql: str | None = None):
 
 
 from quernstone.plans.carriers import table  # noqa: E402, F401
-from quernstone.plans import evidence_queries, import_queries, record_queries, relation_queries, search_queries, store_queries, text_queries  # noqa: E402, F401
+from quernstone.plans import evidence_queries, import_queries, record_queries, relation_queries, run_queries, search_queries, store_queries, text_queries  # noqa: E402, F401

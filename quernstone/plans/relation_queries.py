@@ -146,6 +146,18 @@ def mention_join(spark, sf_dir):
     return relations.mentions(d, b)
 
 
+@query("""
+WITH n AS (SELECT DISTINCT doc_id AS target_id, regexp_replace(lower(substring(text, 1 + doc_id % 40, 3 + doc_id % 30)), '\\s+', '', 'g') AS needle FROM documents WHERE doc_id % 3 = 0)
+SELECT d.doc_id AS source_id, n.target_id FROM documents d JOIN n ON needle <> '' AND contains(regexp_replace(lower(d.text), '\\s+', '', 'g'), needle)
+""")
+def mentions_by_grams(spark, sf_dir):
+    """Mentions of as many needles as texts, by their rarest grams: needles stay on the executors."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    part = F.substring("text", 1 + F.col("id") % 40, 3 + F.col("id") % 30)
+    wanted = d.where("id % 3 = 0").select(F.col("id").alias("target_id"), T.normalize(part).alias("needle")).where("needle != ''")
+    return relations.mentions(d, wanted, needle_bytes=0)
+
+
 @query("""
 WITH items AS (SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 'disease' WHEN 'SMALL' THEN 'formula' ELSE 'herb' END AS type, split_part(p_name, ' ', 1) || p_size AS name, p_name || split_part(p_name, ' ', 1) || ((p_size * 7) % 50 + 1) AS txt FROM part)
 SELECT s.id AS source_id, t.id AS target_id, CASE s.type WHEN 'formula' THEN 'contains_herb' ELSE 'mentions_formula' END AS relation_type, CASE s.type WHEN 'formula' THEN 0.86 ELSE 0.72 END::DOUBLE AS confidence
