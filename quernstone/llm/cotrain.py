@@ -51,7 +51,7 @@ def content_view(raw: bytes, n_chars: int, slots: Slots) -> tuple[np.ndarray, np
         *np.sqrt(seen[PUNCTUATION] / n), np.sqrt(seen[48:58].sum() / n), seen[65:91].sum() / n, n_chars / total / 10, len(cols) / total,
         np.log1p(len(words)) / 10, np.log1p(lines) / 5, np.log1p(n_chars / lines) / 10, raw.count(b"\n\n") / lines,
     ]
-    return cols, np.minimum(counts, 65_535), dense
+    return cols, counts, dense
 
 
 def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> tuple[list[int], list[float]]:
@@ -73,7 +73,7 @@ def _batch(schema: str, columns: list, kinds: list) -> pa.RecordBatch:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Both views of each row as packed numbers: int32 columns, uint16 counts (those beyond 65,535 read as that), floats."""
+    """Both views of each row as packed numbers: int32 columns, uint32 counts, floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Slots()
@@ -86,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
                 for raw, n, source, lang, n_chars in rows:
                     cols, counts, dense = content_view(raw, n, known)
                     slots, sizes = metadata_view(source, lang, n_chars)
-                    values = cols, counts.astype("<u2"), np.array(dense, "<f4"), np.array(slots, "<i4"), np.array(sizes, "<f4")
+                    values = cols, counts.astype("<u4"), np.array(dense, "<f4"), np.array(slots, "<i4"), np.array(sizes, "<f4")
                     for column, value in zip(packed, values):
                         column.append(value.tobytes())
                 if len(known) > 400_000:
@@ -121,7 +121,7 @@ def unpack(batch) -> dict[str, Rows]:
     n = batch.num_rows
     each = np.array([len(v) // 4 for v in batch.column("cols").to_pylist()], np.int64)
     row = np.repeat(np.arange(n), each)
-    value = 1 + np.log(flat("counts", "<u2").astype(np.float32))
+    value = 1 + np.log(flat("counts", "<u4").astype(np.float32))
     content = Rows(row, flat("cols", "<i4"), value, flat("dense", "<f4").reshape(n, -1).astype(float) if n else np.zeros((0, 0)))
     slots = flat("slots", "<i4")
     meta = Rows(np.repeat(np.arange(n), 2), slots, np.ones(len(slots)), flat("sizes", "<f4").reshape(n, -1).astype(float) if n else np.zeros((0, 0)))
