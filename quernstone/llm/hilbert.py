@@ -256,8 +256,8 @@ def query_chunks(blocks: DataFrame, found: DataFrame, every: int, k: int, chunk:
 def completion(blocks: DataFrame, found: DataFrame, every: int, k: int, chunk: int) -> DataFrame:
     """Pairs that reach the k-th score of ``found``, from all blocks of the first curve.
 
-    Blocks are dealt to groups of a fixed number, and every chunk goes to each group: of the pairs of a group those
-    stay whose bound over all of the chunk and block is open."""
+    Blocks are dealt to groups of a fixed number. The chunks' centres, radii and floors alone go to every group; a chunk's
+    vectors go to those groups only in which its bound over a whole block is open."""
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,12 +283,15 @@ def completion(blocks: DataFrame, found: DataFrame, every: int, k: int, chunk: i
     groups = max(n_partitions(blocks.sparkSession), -(-first.count() // GROUP_BLOCKS))
     told = first.mapInArrow(bounds, "seq long, ids binary, vecs binary, centre array<double>, radius double")
     told = told.withColumn("g", F.pmod("seq", F.lit(groups)))
-    chunks = stored(query_chunks(blocks, found, every, k, chunk), "queries")
-    asked = chunks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    chunks = stored(query_chunks(blocks, found, every, k, chunk).withColumn("chunk", F.monotonically_increasing_id()), "queries")
     dot = "aggregate(zip_with(qcentre, centre, (a, b) -> a * b), 0D, (s, x) -> s + x)"
     length = "sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))"
     most = F.expr(f"{dot} + {length.format('qcentre')} * radius + qradius * {length.format('centre')} + qradius * radius")
-    met = told.join(asked, "g").where(most + F.lit(EPS) * (1 + F.abs(most)) >= F.col("floor"))
+    is_open = most + F.lit(EPS) * (1 + F.abs(most)) >= F.col("floor")
+    asked = chunks.select("chunk", "qcentre", "qradius", "floor").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    heads = told.select("g", "centre", "radius")
+    sent = stored(heads.join(asked, "g").where(is_open).select("g", "chunk").distinct(), "open")
+    met = told.join(sent.join(chunks, "chunk"), "g").where(is_open)
     return met.select("qids", "qvecs", "floors", "ids", "vecs", "centre", "radius").mapInArrow(compare, PAIRS)
 
 
