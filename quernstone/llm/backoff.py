@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores, from n-gram count tables partitioned by hash.
 
 Documents are cut into chunks of about ``chunk_words`` words. A chunk's n-grams of each order, counted within the
-chunk, are dealt to partitions by the range of their 58-bit hash; a partition adds up the counts of all chunks (its
+chunk, are dealt to partitions by the range of their 64-bit hash; a partition adds up the counts of all chunks (its
 part of the count table) and answers the chunks that asked with the counts elsewhere. Then each chunk scores its documents and sums
 over their words. An n-gram costs one entry a chunk, however often it occurs, so no hot n-gram makes a hot partition,
 and everything a task holds is bounded by a chunk or by ``part_ngrams``.
@@ -10,7 +10,7 @@ A document is scored against the rest of the corpus: its own occurrences are tak
 counts left, order n and a = 0.4, S(w | context) = c(context w) / c(context) if c(context w) > 0, else a times the
 score with a context one word shorter; the shortest is c(w) / N, or 1 / (N + 1) for a word that the rest lacks (N:
 words of the rest). Contexts don't reach before the document. N-grams are known by their hash: among D distinct ones each
-shares its hash with another with a probability of D / 2**58, 3.5e-6 at a million million.
+shares its hash with another with a probability of D / 2**64, 5e-8 at a million million.
 """
 
 from __future__ import annotations
@@ -30,21 +30,21 @@ from quernstone.llm.common import alnum_words, n_partitions, stored
 CHUNK = "chunk string, doc_ids array<long>, lengths array<int>, words binary, hashes binary"
 ASKED = "bucket int, chunk string, n int, hashes binary, counts binary"
 TOLD = "chunk string, n int, bucket int, counts binary"
-BITS = 58  # of an n-gram's hash
+BITS = 64  # of an n-gram's hash
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd; multiplies before each word of an n-gram is added
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+def _pack(values: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(values.tobytes())
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _planes(values: np.ndarray, kind: str = "<u8") -> bytes:
+def _planes(values: np.ndarray, kind: str = "<u8", level: int = 1) -> bytes:
     """Unsigned integers byte by byte, all lowest bytes first: high bytes that are mostly zero take no room."""
-    return _pack(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, int(kind[2:])).T))
+    return _pack(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, int(kind[2:])).T), level)
 
 
 def _unplanes(data: bytes, kind: str = "<u8") -> np.ndarray:
@@ -79,7 +79,7 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
             nonlocal ids, lengths, spelled, coded, held, seq
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in spelled], "<u8")
             words = np.concatenate(coded)
-            row = [f"{TaskContext.get().partitionId()}-{seq}", ids, lengths, _planes(words, "<u4"), hashes.tobytes()]
+            row = [f"{TaskContext.get().partitionId()}-{seq}", ids, lengths, _planes(words, "<u4", 9), hashes.tobytes()]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             ids, lengths, spelled, coded, held, seq = [], [], {}, [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
@@ -134,7 +134,7 @@ def asked(chunked: DataFrame, order: int, buckets: int) -> DataFrame:
                     distinct, counts = np.unique(chunk.grams(n)[1], return_counts=True)
                     cuts = [0, *np.searchsorted(distinct, edges).tolist(), len(distinct)]
                     rows = [
-                        (b, name, n, _short(distinct[x:y], _base(b, buckets)), _planes(counts[x:y]))
+                        (b, name, n, _short(distinct[x:y], _base(b, buckets)), _planes(counts[x:y], level=9))
                         for b, (x, y) in enumerate(zip(cuts, cuts[1:]))
                         if y > x
                     ]
@@ -172,7 +172,7 @@ def told(requests: DataFrame, buckets: int) -> DataFrame:
             totals = np.bincount(inverse, weights=own.astype(float)).astype(np.int64)
             answer = totals[inverse] - own
             cuts = np.cumsum([len(h) for h in hashes])[:-1]
-            rows = [(g[2], g[1], g[0], _planes(a)) for g, a in zip(group, np.split(answer, cuts))]
+            rows = [(g[2], g[1], g[0], _planes(a, level=9)) for g, a in zip(group, np.split(answer, cuts))]
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary()]
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays(
