@@ -21,8 +21,9 @@ SECTION_LABELS = [NATURE, "本经原文", "产地", "主治", "仲景", "用量"
 # and to a summary, and how far a phrase on nature or on flavour alone reaches.
 EFFECT_WORDS = ["主治", "主", "治", "功能", "功效"]
 STOPS, COMMAS = "。；;\n", " ，,、和与及"
-CHANNEL_WORDS, FUNCTION_WORD, DASH = ["归", "入"], "功能", "——"
-REACH = [("性", 42), ("味", 33)]
+CHANNEL_REACH, CHANNEL_ENDS = [("归", 24), ("入", 16)], "经脏腑"
+FUNCTION_WORD, DASH = "功能", "——"
+REACH = [("性", 42), ("味", 33)]  # with the word; 性 without 味 behind it reaches one less
 
 
 def sections(content) -> Column:
@@ -73,16 +74,20 @@ def nature_flavor(content) -> tuple[Column, Column]:
     told = _about(F.coalesce(section(content, NATURE), F.lit("")))
     found = []
     for word, reach in REACH:
-        found.append(_about(F.get(_tails(content, word, reach), F.lit(0))))
+        tail = F.get(_tails(content, word, reach), F.lit(0))
+        short = (F.lit(word) == REACH[0][0]) & (F.substring(tail, 2, 1) != REACH[1][0])
+        found.append(_about(F.when(short, F.substring(tail, 1, reach - 1)).otherwise(tail)))
     return F.coalesce(told, *found), F.when(told.isNotNull(), "section").when(F.coalesce(*found).isNotNull(), "text")
 
 
 def channels(content) -> Column:
-    """``X经`` of each organ in the runs of organs that follow 归 or 入, with up to four characters between; in a fixed order."""
-    organ = "|".join(ORGANS)
-    runs = F.regexp_extract_all(T.col(content), F.lit(f"(?:{'|'.join(CHANNEL_WORDS)})[^{STOPS}]{{0,4}}?((?:(?:{organ})[经脏腑]?[{COMMAS}]*)+)"), 1)
-    named = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(f"({organ})"), 1))))
-    return F.array_join(F.transform(F.array_intersect(F.array(*map(F.lit, ORGANS)), named), lambda o: F.concat(o, F.lit("经"))), "，")
+    """``X经`` of each organ named between 归 or 入 and the next 经, 脏 or 腑 within reach, or right behind 入; in a fixed order."""
+    c, stops = T.col(content), f"[^{STOPS}]"
+    told = [F.regexp_extract_all(c, F.lit(f"{word}({stops}{{1,{reach}}}?)[{CHANNEL_ENDS}]"), 1) for word, reach in CHANNEL_REACH]
+    told.append(F.regexp_extract_all(c, F.lit(f"{CHANNEL_REACH[-1][0]}({'|'.join(ORGANS)})"), 1))
+    runs = F.array_join(F.flatten(F.array(*told)), "，")
+    named = F.filter(F.array(*map(F.lit, ORGANS)), lambda o: F.contains(runs, o))
+    return F.array_join(F.transform(named, lambda o: F.concat(o, F.lit("经"))), "，")
 
 
 def herb_properties(content) -> dict[str, Column]:

@@ -138,7 +138,7 @@ def score_mapping(rows: DataFrame, target_type: str, sample: int = 20) -> list[d
             chosen[h] = (ALIAS_TARGET[key], 40.0)
             continue
         scored = [(_similarity(key, T.header_key_text(f"detail.{f}" if f not in CORE else f)), i, f) for i, f in enumerate(fields)]
-        best = max(scored, key=lambda s: s[0])  # of equal ones the first
+        best = max(scored)  # of equal ones the last
         chosen[h] = (best[2], best[0] * 40) if best[0] * 40 >= 18 else (None, 0.0)
     first = rows.orderBy("row_index").limit(sample)
     told = [h for h in names if chosen[h][0]]
@@ -160,6 +160,31 @@ def score_mapping(rows: DataFrame, target_type: str, sample: int = 20) -> list[d
     return out
 
 
+# The fields that the mapping service tries, in its order.
+TARGET_FIELDS = (
+    "type code name alias pinyin category summary content source_note tags nature_flavor four_qi five_flavors meridians channel_tropism toxicity origin "
+    "effects indications dosage contraindications compatibility processing classic_applications notes source_text composition usage explanation "
+    "modifications meridian_code yin_yang hand_foot organ_relation paired_meridian pathway_text main_indications acupoint_code body_region "
+    "body_subregion side_type standard_location locating_method bone_cun anatomy functions needling_summary moxibustion_summary massage_summary "
+    "precautions risk_level symptoms tongue pulse pathogenesis treatment_principle common_syndromes care_advice medical_warning detail"
+).split()
+NEAR_FIELD = 0.6
+
+
+def auto_mapping(headers: DataFrame) -> DataFrame:
+    """(header, field) of the distinct ``headers(header)`` that have a field: by alias, else the field of the largest Jaro
+    similarity above ``NEAR_FIELD``, of equal ones the first. This is the mapping service's rule; ``score_mapping`` is the
+    engine's, which scores by values, too, and of equal fields takes the last."""
+    from quernstone.functions.udfs import jaro
+
+    keyed = headers.select("header").distinct().withColumn("key", T.header_key("header"))
+    keyed = keyed.withColumn("field", F.regexp_replace(T.lookup("key", ALIAS_TARGET), "^detail[.]", ""))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("name"), F.lit(T.header_key_text(f)).alias("key"), F.lit(-i).alias("place")) for i, f in enumerate(TARGET_FIELDS))))
+    tried = keyed.where("field is null").select("header", "key", each.alias("f")).withColumn("score", jaro("key", "f.key")).where(F.col("score") > NEAR_FIELD)
+    best = tried.groupBy("header").agg(F.max_by("f.name", F.struct("score", "f.place")).alias("field"))
+    return keyed.where("field is not null").select("header", "field").unionByName(best)
+
+
 def to_targets(record: Column, active: dict[str, str], keep: bool = False) -> Column:
     """A map with target fields as keys: each key goes where ``active`` says, else by its alias; of a field's sources the
     first in sorted order wins. Keys without a target go, or stay as they are (``keep``)."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.functions import text as T
 from quernstone.operators import imports, runs
 from quernstone.operators.store import materialized
 from quernstone.plans.carriers import table
@@ -76,3 +77,15 @@ def run_undone_around_changes(spark, sf_dir):
     _, items, notes, log = ran(spark, sf_dir)
     changed = F.when(F.col("id") % 4 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
     return told(*runs.undo_run(items.withColumn("content", changed), notes.withColumn("content", changed), log, 1)[:2])
+
+
+@query()
+def header_mapping(spark, sf_dir):
+    """Headers that are fields with letters of the documents before or behind, mapped by the mapping service's rule. Its
+    similarity halves odd transpositions, which SQL's doesn't: a test holds the rows to a loop over all fields."""
+    d = table(spark, sf_dir, "documents")
+    letters = F.regexp_replace("text", "[^a-zA-Z]", "")
+    key = F.get(F.array(*(F.lit(T.header_key_text(f)) for f in imports.TARGET_FIELDS)), (F.col("doc_id") % 60).cast("int"))
+    each = F.array(F.concat(F.lower(F.substring(letters, 1, 6)), key), F.concat(key, F.lower(F.substring(letters, 1, 3))))
+    headers = d.select(F.explode(each).alias("header")).where("header is not null")
+    return imports.auto_mapping(headers)

@@ -154,6 +154,21 @@ def herb_properties(spark, sf_dir):
     return d.select("doc_id", *(p[k].alias(k) for k in ("nature_flavor", "nature_from", "four_qi", "five_flavors", "channel_tropism", "toxicity", "effects")))
 
 
+@query(r"""
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '脾经' WHEN 1 THEN '肝经，肺经' WHEN 2 THEN '心包经，心经' WHEN 3 THEN '胃经' END AS channels,
+  CASE doc_id % 2 WHEN 0 THEN '性' || repeat('长', 40) ELSE '性味' || repeat('长', 40) END AS nature FROM documents
+""")
+def herb_channels(spark, sf_dir):
+    """Channels far behind the word that leads to them, and how far a phrase on nature reaches, within whole documents."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 5
+    told = F.when(k == 0, "此药归于足太阴之脾经").when(k == 1, "入手太阴与足厥阴肺肝二经").when(k == 2, "归手厥阴心包之脏").when(k == 3, "入胃").otherwise("归属不明。入口即化")
+    nature = F.concat(F.when(F.col("doc_id") % 2 == 0, "性").otherwise("性味"), F.repeat(F.lit("长"), F.lit(50)))
+    t = F.concat(F.lit("\n"), nature, F.lit("\n"), told, F.lit("\n"), F.translate("text", "归入性味", ""))
+    p = curate.herb_properties(t)
+    return d.select("doc_id", p["channel_tropism"].alias("channels"), p["nature_flavor"].alias("nature"))
+
+
 @query(r"""
 WITH q AS (SELECT c_custkey, (CASE c_nationkey % 5 WHEN 0 THEN '肝，胆' WHEN 1 THEN '心' WHEN 2 THEN '脾' WHEN 3 THEN '肺' ELSE NULL END) AS ch,
   CASE WHEN c_acctbal > 5000 THEN '微温' WHEN c_acctbal > 0 THEN '寒' ELSE '' END AS q, c_mktsegment AS seg FROM customer)

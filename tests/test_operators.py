@@ -232,3 +232,85 @@ def test_working_tables_need_a_shared_folder_off_local_mode():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session(), "x")
+
+
+def test_header_mapping_like_a_loop_over_the_fields(spark, sf):
+    from quernstone.functions import text as T
+    from quernstone.functions.udfs import jaro_value
+    from quernstone.plans import registry
+
+    def one(header):
+        key = T.header_key_text(header)
+        if key in imports.ALIAS_TARGET:
+            return imports.ALIAS_TARGET[key].removeprefix("detail.")
+        best, top = None, imports.NEAR_FIELD
+        for field in imports.TARGET_FIELDS:  # strictly better ones alone: of equal ones the first stays
+            score = jaro_value(key, T.header_key_text(field))
+            if score > top:
+                best, top = field, score
+        return best
+
+    got = {r.header: r.field for r in registry.QUERIES["header_mapping"](spark, sf).collect()}
+    assert len(got) > 100 and all(one(h) == f for h, f in got.items())
+    told = spark.createDataFrame([("名称",), ("qqqq",), ("meridian_cod",), ("",)], "header string")
+    assert {r.header: r.field for r in imports.auto_mapping(told).collect()} == {h: one(h) for h in ("名称", "qqqq", "meridian_cod", "") if one(h)}
+
+
+def test_two_writers_conflict(spark, tmp_path):
+    """Of two writers that began at one version the second fails, and the first one's rows stay."""
+    one, two = (store.Store(spark, str(tmp_path / "store")) for _ in range(2))
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    one.write("t", rows, keys=["k"])
+    base = two.manifest("t")
+    one.upsert("t", spark.createDataFrame([(99,)], "k long"), ["k"])
+    with pytest.raises(store.Conflict):
+        two._commit("t", base, {**base, "folders": []})
+    assert one.read("t").count() == 11
+    one.append("t", spark.createDataFrame([(100, "x")], "k long, extra string"))
+    assert one.read("t").count() == 12 and one.read("t").where("extra is not null").count() == 1
+    assert one.vacuum("t") and one.read("t").count() == 12 and len(one.versions("t")) == 1
+
+
+def test_restore_checks_the_backup(spark, tmp_path):
+    import shutil
+
+    s = store.Store(spark, str(tmp_path / "store"))
+    s.write("a", spark.range(5).toDF("id"))
+    assert s.backup(["a"], str(tmp_path / "one")) == {"a": 5}
+    s.append("a", spark.range(5, 7).toDF("id"))
+    with pytest.raises(FileNotFoundError):
+        s.restore(["a", "b"], str(tmp_path / "one"))
+    s.restore(["a"], str(tmp_path / "one"), safety=str(tmp_path / "safe"))
+    assert s.read("a").count() == 5 and spark.read.parquet(str(tmp_path / "safe/a")).count() == 7
+    shutil.copytree(tmp_path / "one", tmp_path / "two")
+    for f in sorted((tmp_path / "two/a").glob("part-*"))[:1]:
+        f.unlink()
+    for f in (tmp_path / "two/a").glob(".part-*"):
+        f.unlink()
+    if spark.read.parquet(str(tmp_path / "two/a")).count() != 5:
+        with pytest.raises(ValueError):
+            s.restore(["a"], str(tmp_path / "two"))
+    assert s.read("a").count() == 5
+
+
+def test_index_follows_its_table(spark, tmp_path):
+    """A table that is rewritten gets a new index; degrees are counted anew for the items asked alone."""
+    from quernstone.operators.index import SearchIndex
+    from quernstone.plans import stored
+
+    path = str(tmp_path / "t.parquet")
+
+    def ask(text):
+        rows = spark.createDataFrame([(1, text)], "id long, content string")
+        rows.write.mode("overwrite").parquet(path)
+        return stored.index(spark, path, "t", lambda: spark.read.parquet(path), ["content"]).bm25("beta").count()
+
+    assert [ask("alpha"), ask("alpha beta"), ask("alpha")] == [0, 1, 0]
+    index = SearchIndex(store.Store(spark, str(tmp_path / "s")), ["name"], detail_is_json=False)
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    edge = "source_id long, target_id long, relation_type string"
+    index.build(items, spark.createDataFrame([(1, 2, "r"), (2, 3, "r")], edge))
+    index.edges_changed(spark.createDataFrame([(1, 2, "r")], edge), spark.createDataFrame([(2,), (3,)], "id long"))
+    assert {(r.item_id, r.n) for r in index.store.read("degrees").collect()} == {(1, 1), (2, 1)}
+    for query in ("...", "", "_"):
+        assert index.bm25(query).count() == 0
