@@ -43,3 +43,27 @@ def run_to_end(stream: DataFrame, name: str, checkpoint: str, *, mode: str = "ap
     """Run a stream over what is there into the in-memory table ``name``, then stop."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def hot_term_counts(terms: DataFrame, *, period: str = "7 days", late: str = "10 minutes") -> DataFrame:
+    """(start, term, n): running counts of ``terms(ts, term)`` in each period. A period's state is let go once the stream is
+    ``late`` past its end."""
+    seen = terms.where("term is not null").withWatermark("ts", late)
+    per = seen.groupBy(F.window("ts", period), "term").agg(F.count("*").alias("n"))
+    return per.select(F.col("window.start").alias("start"), "term", "n")
+
+
+def top_terms_sink(store, table: str, k: int):
+    """A foreachBatch function over ``hot_term_counts``: counts go into the buckets of a store table that they touch, and the k
+    most frequent terms of each period that the batch met, ties by term, into ``<table>_top``. A repeated batch changes nothing."""
+    from quernstone.operators.store import latest, upserted
+
+    keys = ["start", "term"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.merge(table, batch, keys, lambda old, new: upserted(old, new, keys))
+        met = store.read(table).join(batch.select("start").distinct(), "start", "left_semi")
+        top = latest(met, ["start"], [F.desc("n"), "term"], k)
+        store.merge(f"{table}_top", top, ["start"], lambda old, new: upserted(old, new, ["start"]))
+
+    return write
