@@ -79,7 +79,11 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
             nonlocal ids, lengths, spelled, coded, held, seq
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in spelled], "<u8")
             words = np.concatenate(coded)
-            row = [f"{TaskContext.get().partitionId()}-{seq}", ids, lengths, _planes(words, "<u4", 9), hashes.tobytes()]
+            order = np.argsort(-np.bincount(words, minlength=len(hashes)), kind="stable")  # common words get small numbers
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words, hashes = rank[words], hashes[order]
+            row = [f"{TaskContext.get().partitionId()}-{seq}", ids, lengths, _planes(words, "<u4", 12), hashes.tobytes()]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             ids, lengths, spelled, coded, held, seq = [], [], {}, [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
@@ -216,7 +220,7 @@ def score_chunk(chunk: Chunk, order: int, counts: dict[int, np.ndarray], total:
     return np.bincount(chunk.doc, weights=log, minlength=n_docs), used
 
 
-def score(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, chunk_words: int = 1 << 21, part_ngrams: int = 3 << 20) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, chunk_words: int = 5 << 19, part_ngrams: int = 3 << 20) -> DataFrame:
     """Stupid-backoff score of each row of ``docs(doc_id, text)`` against all other rows.
 
     Words are lower-cased runs of letters and digits. Returns doc_id, n_words, log_score (summed over the words),
