@@ -220,7 +220,7 @@ def score_chunk(chunk: Chunk, order: int, counts: dict[int, np.ndarray], total:
     return np.bincount(chunk.doc, weights=log, minlength=n_docs), used
 
 
-def score(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, chunk_words: int = 5 << 19, part_ngrams: int = 3 << 20) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, chunk_words: int = 3 << 20, part_ngrams: int = 3 << 20) -> DataFrame:
     """Stupid-backoff score of each row of ``docs(doc_id, text)`` against all other rows.
 
     Words are lower-cased runs of letters and digits. Returns doc_id, n_words, log_score (summed over the words),
