@@ -1,5 +1,7 @@
 """All queries of the knowledge-base engine, by name, with their DuckDB equivalents."""
 
+from quernstone.plans.carriers import table  # noqa: F401
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -14,7 +16,3 @@ def query(sql: str | None = None):
         return fn
 
     return register
-
-
-from quernstone.plans.carriers import table  # noqa: E402, F401
-from quernstone.plans import evidence_queries, import_queries, record_queries, relation_queries, run_queries, search_queries, store_queries, text_queries  # noqa: E402, F401
