@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from quernstone.functions import text as T
 from quernstone.functions.udfs import formula_names, formula_names_in
+from quernstone.operators.relations import held
 from quernstone.operators.search import contains_ci
+from quernstone.operators.store import materialized
 
 # Conditions that are terms of their own, filler phrases, and characters that edge a term.
 MARKERS = ["太阳病", "少阳病", "阳明病", "太阴病", "少阴病", "厥阴病", "上热下寒", "长期咳嗽", "久咳", "咳嗽"]
@@ -87,3 +91,90 @@ def formula_scores(items: DataFrame, annotations: DataFrame, question: str, *, r
         hits.append(notes.join(formulas.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("item_id", F.lit(90).alias("score")))
         hits.append(name_hits(items, notes.select(F.explode(formula_names("content")).alias("name")), 65))
     return reduce(DataFrame.unionByName, hits).groupBy("item_id").agg(F.sum("score").alias("score"))
+
+
+# many questions at once
+
+
+@F.pandas_udf(ty.ArrayType(ty.StringType()))
+def _terms_of(questions: pd.Series) -> pd.Series:
+    return questions.map(lambda q: [] if q is None else query_terms(q))
+
+
+@F.pandas_udf(ty.BooleanType())
+def _for_medicine(questions: pd.Series) -> pd.Series:
+    return questions.map(lambda q: q is not None and asks_for_medicine(q))
+
+
+NAMING = ["name", "content", "summary", "detail"]
+
+
+def _asked(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(question_id, medicine, seq, term_id) of every term of every question, and the distinct terms (target_id, needle)."""
+    told = questions.select("question_id", _for_medicine("question").alias("medicine"), F.posexplode(_terms_of("question")).alias("seq", "term"))
+    told = materialized(told.withColumn("needle", F.lower("term")), "asked")
+    terms = materialized(told.select("needle").distinct().select(F.monotonically_increasing_id().alias("target_id"), "needle"), "asked-terms")
+    return told.join(terms, "needle").select("question_id", "medicine", "seq", F.col("target_id").alias("term_id")), terms
+
+
+def _holding(rows: DataFrame, columns: list[str], terms: DataFrame, key: str = "id") -> DataFrame:
+    """(id, term_id): which rows hold which term in one of the columns, in either case. One pass whatever the number of terms."""
+    apart = F.concat_ws("\x1f", *(F.lower(F.col(c).cast("string")) for c in columns))  # no term reaches over two columns
+    found = held(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("source_id"), apart.alias("text")), terms)
+    return found.select(F.col("source_id").alias("id"), F.col("target_id").alias("term_id"))
+
+
+def context_items_of(items: DataFrame, questions: DataFrame, *, max_items: int = 8) -> DataFrame:
+    """``context_items`` of all ``questions(question_id, question)`` in one plan: (question_id, id, seq, place).
+
+    Ids of questions and of items are distinct, and item ids whole numbers. The distinct terms of all questions are looked for
+    in one pass over the items; a question's best are ranked in each task before they are shuffled. ``%`` and ``_`` stand for
+    themselves here. A null or empty question, and one whose terms no item holds, has no rows.
+    """
+    asked, terms = _asked(questions)
+    found = _holding(items, ["name", "alias", "summary", "content", "tags", "detail"], terms)
+    hits = found.join(asked, "term_id").join(items.select("id", "type"), "id")
+    hits = hits.where(~(F.col("medicine") & F.col("type").isin(NEEDLE_TYPES)))
+    per = hits.groupBy("question_id", "id", "type").agg(F.min("seq").alias("seq"))
+    best = Window.partitionBy("question_id").orderBy(F.desc(F.col("type") == "formula"), "seq", "id")
+    return per.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 3 * max_items).select("question_id", "id", "seq", "place")
+
+
+def formula_scores_of(items: DataFrame, annotations: DataFrame, questions: DataFrame) -> DataFrame:
+    """``formula_scores`` of all ``questions(question_id, question, related_id)`` in one plan: (question_id, item_id, score).
+
+    What speaks for a formula by a term is summed by term first, once for all questions that ask it; items and annotations
+    are read once whatever the number of questions. ``%`` and ``_`` stand for themselves here.
+    """
+    asked, terms = _asked(questions)
+    formulas = items.where("type = 'formula'")
+    others = items.where("type != 'formula'")
+    named = materialized(formulas.select(F.col("id").alias("item_id"), "name"), "formula-names")
+
+    def by_name(names: DataFrame, score: int) -> DataFrame:
+        """Rows with a column name, and the formulas of that name in its place."""
+        return names.join(named, "name").drop("name").withColumn("score", F.lit(score))
+
+    texts = F.concat_ws("\n", *NAMING)
+    notes = annotations.select(F.monotonically_increasing_id().alias("id"), "item_id", "content")
+    notes = materialized(notes, "annotations")
+    in_others = _holding(others, [f for f in FIELDS if f not in ("alias", "category")], terms)
+    in_notes = materialized(_holding(notes, ["content"], terms), "noted-terms")
+    told_others = others.select("id", F.explode(formula_names(texts)).alias("name"))
+    told_notes = notes.select("id", F.explode(formula_names("content")).alias("name"))
+    by_term = [
+        _holding(formulas, FIELDS, terms).select("term_id", F.col("id").alias("item_id"), F.lit(90).alias("score")),
+        in_others.join(by_name(told_others, 70), "id").select("term_id", "item_id", "score"),
+        in_notes.join(notes.select("id", "item_id"), "id").join(named.select("item_id"), "item_id", "left_semi").select("term_id", "item_id", F.lit(90).alias("score")),
+        in_notes.join(by_name(told_notes, 65), "id").select("term_id", "item_id", "score"),
+    ]
+    sums = reduce(DataFrame.unionByName, by_term).groupBy("term_id", "item_id").agg(F.sum("score").alias("score"))
+    related = questions.select("question_id", F.col("related_id").alias("id")).where("id is not null").join(items, "id")
+    by_question = [
+        asked.select("question_id", "term_id").join(sums, "term_id").select("question_id", "item_id", "score"),
+        by_name(questions.where("question is not null").select("question_id", F.explode(formula_names("question")).alias("name")), 160),
+        related.where("type = 'formula'").select("question_id", F.col("id").alias("item_id"), F.lit(200).alias("score")),
+        by_name(related.select("question_id", F.explode(formula_names(texts)).alias("name")), 120),
+    ]
+    every = reduce(DataFrame.unionByName, (h.select("question_id", "item_id", F.col("score").cast("long").alias("score")) for h in by_question))
+    return every.groupBy("question_id", "item_id").agg(F.sum("score").alias("score"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.functions.udfs import composition, ratio
+from quernstone.functions.udfs import BACKUP_MARK, clean_lines, composition, ratio
+from quernstone.functions.values import let
 
 # The qualities, flavours, organs and toxicities that texts name, and the labels of their sections.
 QUALITIES = ["大寒", "微寒", "寒", "凉", "平", "微温", "温", "热", "大热"]
@@ -169,6 +170,67 @@ def without_headers(c) -> Column:
     return F.array_join(lines, "\n")
 
 
+# How a running title begins a line, what may follow it, marks, a quoted word, and heads of the sections of a text.
+TITLES = ["觀其脈證知犯何逆隨證治之", "观其脉证知犯何逆随证治之", "脈證知犯何逆隨證治之"]
+NUMBER_SIGNS = "一二三四五六七八九十百零〇\\p{Nd}"
+MARKS = ",，。；;:："
+QUOTED_WORD = ("「协热利」", "协热利")
+ORIGINAL_HEAD, COMMENTARY_HEAD, BODY_HEAD = "【原文】", "【注解整理】", "【正文整理】"
+LINE_ENDS = r"\r\n|[\n\x0b\f\r\x1c-\x1e\u0085\u2028\u2029]"
+
+
+def _untitled(c: Column) -> Column:
+    """The text without a running title and its number at the start."""
+    return reduce(lambda acc, t: F.regexp_replace(acc, f"\\A{t}[{NUMBER_SIGNS}]*[:：,，。]*", ""), TITLES, c)
+
+
+def commentary(c, original) -> Column:
+    """A commentary out of a text of broken lines: layout gone, lines joined, the original passage taken out as it is and without
+    its blanks, and a paragraph for each sentence. Title characters that stand alone on a line go, in a run or singly.
+    A null original takes nothing out; a null text gives null."""
+    def line(x: Column) -> Column:
+        bare = F.replace(T.strip(x), F.lit(QUOTED_WORD[0]), F.lit(QUOTED_WORD[1]))
+        return T.strip(F.regexp_replace(F.regexp_replace(bare, "[ 　]+", ""), f"([{MARKS}]){{2,}}", "$1"))
+
+    lines = F.transform(F.split(T.col(c), LINE_ENDS), lambda x: _untitled(line(x)))
+    whole = _untitled(F.array_join(F.filter(lines, lambda x: (x != "") & ~x.isin(TITLE_CHARS)), ""))
+    passage = F.coalesce(T.col(original), F.lit(""))
+    rest = F.replace(F.replace(whole, passage, F.lit("")), T.compact(passage), F.lit(""))
+    rest = F.regexp_replace(F.regexp_replace(rest, f"\\A[{NUMBER_SIGNS}]+[:：]", ""), f"[{MARKS}]{{2,}}", "。")
+    sentences = F.transform(F.split(F.regexp_replace(rest, "([。；])", "$1\n"), LINE_ENDS), lambda x: F.btrim(x, F.lit(" ，,；;")))
+    return T.strip(F.array_join(F.filter(sentences, lambda x: x != ""), "\n"))
+
+
+def structured(original, told, rest) -> Column:
+    """The original passage and the commentary under their heads; where there is no commentary the rest; empty if all are."""
+    def part(head: str, c) -> Column:
+        return F.when(F.coalesce(T.col(c), F.lit("")) != "", F.concat(F.lit(head + "\n"), T.col(c)))
+
+    return F.concat_ws("\n\n", part(ORIGINAL_HEAD, original), F.coalesce(part(COMMENTARY_HEAD, told), part(BODY_HEAD, rest)))
+
+
+def tidied(df: DataFrame, *, content="content", name="name", original="original", classic="classic") -> DataFrame:
+    """The rows with their content cleaned of layout, and if it is still in fragments rewritten in sections; with columns
+    ``tidied`` (the content changed) and ``review`` (it is still suspicious).
+
+    Rows of classics, and others that hold layout lines or a backup copy, are looked at; of the rest, of those that come out
+    whole and alike, and of those of which nothing would be left, the content stays. Null content stays null.
+    """
+    from quernstone.operators.profile import line_metrics
+
+    def suspicious(c) -> Column:
+        return let(c, lambda x: line_metrics(x)["suspicious"])
+
+    wanted = F.coalesce(T.col(classic), F.lit(False)) | F.contains(content, F.lit(BACKUP_MARK)) | (line_metrics(content)["n_layout"] > 0)
+    passage = T.strip(F.coalesce(T.col(original), F.lit("")))
+    rows = df.withColumn("_clean", F.when(F.coalesce(wanted, F.lit(False)), clean_lines(T.col(content), T.col(name))))
+    broken = F.coalesce(suspicious(F.col("_clean")), F.lit(False))
+    rows = rows.withColumn("_new", F.when(broken, structured(passage, commentary("_clean", passage), T.strip("_clean"))).otherwise(F.col("_clean")))
+    changed = F.coalesce((F.col("_new") != "") & (F.col("_new") != T.col(content)), F.lit(False))
+    rows = rows.withColumn("tidied", changed).withColumn(content, F.when(F.col("tidied"), F.col("_new")).otherwise(T.col(content)))
+    return rows.withColumn("review", F.col("tidied") & F.coalesce(suspicious(F.col(content)), F.lit(False))).drop("_clean", "_new")
+
+
 # Tones of natures and elements of channels; the first rule that matches counts.
 NATURE_RULES = [
     ("deep-cold", "大寒|极寒|至寒"), ("mild-cold", "微寒|小寒"), ("cold", "寒"), ("deep-hot", "大热|极热|至热"), ("mild-warm", "微热|小热"),
@@ -192,6 +254,22 @@ def point_description(name, code, meridian) -> Column:
     return F.when(number != "", F.format_string("%s（%s）为%s第%s穴。", T.col(name), T.col(code), T.col(meridian), number)).otherwise(F.format_string("%s（%s）属%s。", T.col(name), T.col(code), T.col(meridian)))
 
 
+def channel_description(name, code, category, polarity, limb, organ, paired) -> Column:
+    """Struct of the template sentences of a channel: summary and content. Polarity and limb that are blank are told as not
+    listed; without an organ, or a paired channel, their sentences are others or none."""
+    def told(c) -> Column:
+        return T.blank_to_null(c)
+
+    summary = F.concat(T.col(name), F.lit("，"), T.col(category), F.lit("，联系脏腑："), F.coalesce(told(organ), F.lit("任督脉系统")), F.lit("。"))
+    content = F.concat(
+        T.col(name), F.lit("，国际代码 "), T.col(code), F.lit("，类别："), T.col(category), F.lit("。阴阳属性："), F.coalesce(told(polarity), F.lit("未单列")),
+        F.lit("；手足属性："), F.coalesce(told(limb), F.lit("未单列")), F.lit("。"),
+        F.coalesce(F.concat(F.lit("传统经络归属联系："), told(organ), F.lit("。")), F.lit("传统经络归属需结合任督脉理论学习。")),
+        F.coalesce(F.concat(F.lit("表里经："), told(paired), F.lit("。")), F.lit("")),
+    )
+    return F.struct(summary.alias("summary"), content.alias("content"))
+
+
 def formula_card(name, content, composition_text) -> Column:
     """Struct of a formula: composition, entries, ratio, whether the composition is missing, effects and indications."""
     told = F.coalesce(T.blank_to_null(composition_text), T.labelled_text(content, ["组成：", "组成:", "方药：", "药物组成："]))

@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators import relations, search
@@ -211,6 +211,39 @@ class SearchIndex:
         """``search.bm25`` from the live postings and the totals."""
         return search.scored_postings(lambda want: self.live("postings", self.store.read("postings").where(want)), self.totals(), query)
 
+    def bm25_of(self, queries: DataFrame, k: int) -> DataFrame:
+        """``bm25`` of all ``queries(query_id, query)`` in one plan: (query_id, id, bm25, place), the best k of each, ties by id.
+
+        Ids of queries are distinct; a null query, and one without words, finds nothing. Scores are rounded to nine places, so
+        that ties are ties. Words are joined to the postings of the live items: a phrase's places are moved to where it
+        would begin and met within (query, item); one ASCII word stands for the words that begin with it, met by their
+        beginnings of the lengths asked for. The best are ranked in each task before they are shuffled by query.
+        """
+        words = materialized(queries.where("query is not null").select("query_id", "query", search.tokens("query").alias("words")).where(F.size("words") > 0), "queries")
+        alone = F.col("query").rlike(r"\A[A-Za-z0-9]+\z")
+        postings = self.live("postings").select("token", "id", "dl", "places")
+
+        begins = words.where(alone).select("query_id", F.get("words", F.lit(0)).alias("beginning"))
+        lengths = [r[0] for r in begins.select(F.length("beginning")).distinct().collect()]  # a number a length
+        runs = F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.substring(F.col("token"), F.lit(1), n))))
+        tokens = postings.select("token").distinct().select("token", runs.alias("beginning")).join(begins, "beginning").select("query_id", "token")
+        by_beginning = postings.join(tokens, "token").groupBy("query_id", "id", "dl").agg(F.sum(F.size("places")).alias("f"))
+
+        each = words.where(~alone).select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("offset", "token"))
+        moved = postings.join(each, "token").select("query_id", "n", "id", "dl", F.transform("places", lambda p: p - F.col("offset")).alias("starts"))
+        # a group has as many rows as the phrase has words
+        met = moved.groupBy("query_id", "n", "id", "dl").agg(F.collect_list("starts").alias("starts")).where(F.size("starts") == F.col("n"))
+        first = F.get("starts", F.lit(0))
+        begun = F.aggregate(F.slice("starts", F.lit(2), F.size("starts")), first, lambda a, b: F.array_intersect(a, b))
+        by_phrase = met.select("query_id", "id", "dl", F.size(begun).cast("long").alias("f")).where("f > 0")
+
+        hits = materialized(by_beginning.unionByName(by_phrase), "hits")
+        counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hit"))
+        scored = hits.join(counts, "query_id").crossJoin(F.broadcast(self.totals().select("n_docs", "avgdl")))  # a single row
+        scored = scored.select("query_id", "id", F.round(search.bm25_score(), 9).alias("bm25"))
+        best = Window.partitionBy("query_id").orderBy("bm25", "id")
+        return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
 
 def _ranged(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -28,7 +28,11 @@ def mentions(texts: DataFrame, wanted: DataFrame, *, needle_bytes: int = NEEDLE_
     Needles of at most ``needle_bytes`` together go to every task as one automaton. More are met by their rarest grams, in one
     pass over the texts whatever their number, and never leave the executors. Null ids are left out.
     """
-    normal = texts.where("id is not null").select(F.col("id").alias("source_id"), T.normalize("text").alias("text"))
+    return held(texts.where("id is not null").select(F.col("id").alias("source_id"), T.normalize("text").alias("text")), wanted, needle_bytes=needle_bytes)
+
+
+def held(normal: DataFrame, wanted: DataFrame, *, needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
+    """``mentions`` of texts ``(source_id, text)`` and needles that are in the form in which they are to be compared."""
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()[0]
     return (by_automaton if size <= needle_bytes else by_grams)(normal, wanted)
 

@@ -121,7 +121,7 @@ def bm25(docs: DataFrame, columns: list[str], query: str) -> DataFrame:
         sum((F.regexp_count(spaced(c), F.lit("[^ ]+")) for c in columns), F.lit(0)).alias("dl"),
     )
     whole = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.count_if(F.col("f") > 0).alias("n_hit"))
-    return counted.where("f > 0").join(F.broadcast(whole)).select("id", _bm25_score().alias("bm25"))  # whole: one row
+    return counted.where("f > 0").join(F.broadcast(whole)).select("id", bm25_score().alias("bm25"))  # whole: one row
 
 
 def with_annotations(items: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -159,10 +159,10 @@ def scored_postings(rows: Callable[[Column], DataFrame], totals: DataFrame, quer
         hits = starts.where(F.col("count") == len(words)).groupBy("id", "dl").agg(F.count("*").alias("f"))
     hits = hits.select("id", "f", "dl")
     n_hit = hits.agg(F.count("*").alias("n_hit"))
-    return hits.crossJoin(F.broadcast(totals.select("n_docs", "avgdl").crossJoin(n_hit))).select("id", _bm25_score().alias("bm25"))  # two single rows
+    return hits.crossJoin(F.broadcast(totals.select("n_docs", "avgdl").crossJoin(n_hit))).select("id", bm25_score().alias("bm25"))  # two single rows
 
 
-def _bm25_score() -> Column:
+def bm25_score() -> Column:
     raw = F.log((F.col("n_docs") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5))
     f = F.col("f")
     return -F.when(raw > 0, raw).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

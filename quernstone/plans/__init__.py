@@ -5,6 +5,7 @@ from quernstone.plans import (  # noqa: F401  (each registers its queries)
     import_queries,
     record_queries,
     relation_queries,
+    retrieval_queries,
     run_queries,
     search_queries,
     store_queries,
