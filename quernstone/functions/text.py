@@ -31,6 +31,11 @@ def blank_to_null(c) -> Column:
     return F.when(s != "", s)
 
 
+def when_told(c) -> Column:
+    """The text as it is, null where it is blank."""
+    return F.when(strip(c) != "", col(c))
+
+
 def normalize(c) -> Column:
     """Search form: full-width letters and digits made ASCII, lower case, no white space."""
     return F.regexp_replace(F.lower(F.translate(col(c), FULL, HALF)), _BLANKS, "")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from quernstone.functions import text as T
-from quernstone.functions.udfs import formula_names, formula_names_in
+from quernstone.functions.udfs import formula_names, formula_names_in, ratio
 from quernstone.operators.relations import held
 from quernstone.operators.search import contains_ci
 from quernstone.operators.store import materialized
@@ -178,3 +178,116 @@ def formula_scores_of(items: DataFrame, annotations: DataFrame, questions: DataF
     ]
     every = reduce(DataFrame.unionByName, (h.select("question_id", "item_id", F.col("score").cast("long").alias("score")) for h in by_question))
     return every.groupBy("question_id", "item_id").agg(F.sum("score").alias("score"))
+
+
+# cards with sources, and answers made of them
+
+# Where a part of a card stands, in the detail by key and in texts by label, and how many annotations are shown.
+CARD_KEYS = {
+    "composition": ["composition", "ingredients", "originalFormula", "original_formula", "formula_composition"],
+    "original_dosage": ["originalDosage", "original_dosage", "dosage"], "usage": ["usage", "administration", "preparation"],
+    "decoction_method": ["decoctionMethod", "decoction_method", "preparation"],
+    "original_text": ["originalText", "original_text", "sourceText", "source_text", "classic_original"],
+    "indications": ["indications", "pattern", "symptoms"], "explanation": ["explanation", "niNote", "ni_note", "notes"],
+    "contraindications": ["contraindications", "precautions"], "related_pattern": ["pattern", "clauseNo", "clause_no"],
+}
+COMPOSITION_LABELS, NOTED_COMPOSITION_LABELS = ["组成", "原方组成", "本地资料原方组成"], ["组成", "原方组成"]
+USAGE_LABELS, DECOCTION_LABELS, NOTED_EXPLANATION_LABELS = ["煎服法", "服法", "用法"], ["煎服法", "煎法"], ["方义", "注解", "倪注"]
+NOTES_READ, NOTES_SHOWN, SNIPPET, EXPLAINED = 8, 4, 150, 220
+HEADINGS = {
+    "composition": "本地资料原方组成：", "ratio": "药材比例：", "usage": "原文煎服法：", "indications": "适用描述 / 关联证候：", "explanation": "本地注解摘要：",
+    "contraindications": "谨慎或不适用情况：", "sources": "资料依据：",
+}
+FORMULA_LINE, NO_COMPOSITION, NO_SOURCE, CARD_END = "方剂：", "本地资料中未检索到完整组成。", "* 未记录来源；该卡片仅可作为待补来源资料。", "---"
+ANSWER_HEAD, ASKED_LINE = "本回答基于本地知识库检索，展示的是本地资料原方信息和古籍/讲义原文记录。", "问题："
+DOSE_WORDS = ["克", "吃几天", "直接告诉我"]
+DOSE_LIMIT = "剂量边界：可以展示本地资料中的原文剂量和比例，但不直接给个人服用剂量、加减和疗程；实际用药需由专业中医师结合面诊确认。"
+NOTHING_MADE_UP = "提示：没有来源支撑的方剂组成不会编造。"
+
+
+def labelled(c, labels: list[str]) -> Column:
+    """The text behind the first place of a label, colons and blanks left out, up to a line's end or a full stop; of the labels
+    the first that has one."""
+    text = T.col(c)
+
+    def one(label: str) -> Column:
+        tail = F.regexp_replace(F.substr(text, F.instr(text, label) + len(label)), r"\A[：: \n\r]+", "")
+        return F.when(F.contains(text, F.lit(label)), T.blank_to_null(F.regexp_extract(tail, r"\A[^\n。]*", 0)))
+
+    return F.coalesce(*map(one, labels))
+
+
+def _camel(key: str) -> str:
+    first, *rest = key.split("_")
+    return first + "".join(w[:1].upper() + w[1:] for w in rest)
+
+
+def _picked(detail: Column, keys: list[str]) -> Column:
+    """The first of the keys, or its camel form, that has a text; the texts of a list are joined."""
+    tried = []
+    for key in dict.fromkeys(k for key in keys for k in (key, _camel(key))):
+        value = F.try_element_at(detail, F.lit(key))
+        parts = F.array_join(F.from_json(F.when(F.startswith(value, F.lit("[")), value), "array<string>"), "，")
+        tried.append(T.blank_to_null(F.coalesce(parts, value)))
+    return F.coalesce(*tried)
+
+
+def formula_cards(items: DataFrame, annotations: DataFrame) -> DataFrame:
+    """A card of each formula: its parts from the detail, else from labels in the content and the annotations; the snippets of the
+    latest annotations; the distinct sources that have a title or note, the item's own first.
+
+    Items have source_package and category; annotations item_id, id, created_at, source_title, source_note and content. Of an item
+    the latest eight annotations are read, as many as a card may rest on; they are ranked in each task before the shuffle.
+    """
+    latest = Window.partitionBy("item_id").orderBy(F.desc("created_at"), F.desc("id"))
+    ranked = annotations.withColumn("_place", F.row_number().over(latest)).where(F.col("_place") <= NOTES_READ)
+    read = ranked.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("_place", "source_title", "source_note", "content"))).alias("_notes"))
+    rows = items.where("type = 'formula'").withColumnRenamed("id", "item_id").join(read, "item_id", "left")
+    rows = rows.withColumn("_notes", F.coalesce("_notes", F.array().cast(read.schema["_notes"].dataType))).withColumn("_detail", F.from_json("detail", "map<string,string>"))
+    pick = {field: _picked(F.col("_detail"), keys) for field, keys in CARD_KEYS.items()}
+
+    def noted(labels: list[str]) -> Column:
+        return F.get(F.filter(F.transform("_notes", lambda n: labelled(n["content"], labels)), lambda x: x.isNotNull()), F.lit(0))
+
+    rows = rows.withColumn("composition", F.coalesce(pick["composition"], labelled("content", COMPOSITION_LABELS), noted(NOTED_COMPOSITION_LABELS)))
+    own = F.array(F.struct(F.coalesce("source_package", "category").alias("title"), F.col("source_note").alias("note")))
+    told = F.concat(own, F.transform("_notes", lambda n: F.struct(n["source_title"].alias("title"), n["source_note"].alias("note"))))
+    some = F.filter(told, lambda x: F.coalesce(T.blank_to_null(x["title"]), T.blank_to_null(x["note"])).isNotNull())
+    keys = F.transform(some, lambda x: F.concat(F.coalesce(x["title"], F.lit("")), F.lit("|"), F.coalesce(x["note"], F.lit(""))))
+    return rows.select(
+        "item_id", F.col("name").alias("formula_name"), F.coalesce(pick["related_pattern"], "category").alias("related_pattern"), "composition",
+        F.coalesce(pick["original_dosage"], "composition").alias("original_dosage"), ratio(F.col("composition")).alias("ratio"),
+        F.coalesce(pick["usage"], labelled("content", USAGE_LABELS)).alias("usage"),
+        F.coalesce(pick["decoction_method"], labelled("content", DECOCTION_LABELS)).alias("decoction_method"),
+        F.coalesce(pick["original_text"], "content").alias("original_text"), F.coalesce(pick["indications"], "summary").alias("indications"),
+        F.coalesce(pick["explanation"], noted(NOTED_EXPLANATION_LABELS)).alias("explanation"), pick["contraindications"].alias("contraindications"),
+        F.transform(F.slice("_notes", F.lit(1), F.lit(NOTES_SHOWN)), lambda n: T.truncate(n["content"], SNIPPET)).alias("annotation_snippets"),
+        F.filter(some, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1).alias("sources"), F.col("composition").isNull().alias("missing_composition"),
+    )
+
+
+def card_text() -> Column:
+    """The block of a row of ``formula_cards`` in an answer; parts that it lacks are left out."""
+    def part(field: str, text: Column, otherwise: str | None = None) -> Column:
+        there = F.concat(F.lit(HEADINGS[field] + "\n"), text)
+        return there if otherwise is None else F.coalesce(there, F.lit(HEADINGS[field] + "\n" + otherwise))
+
+    listed = F.filter(F.transform(F.split("composition", "[\n，,、;；]"), T.strip), lambda x: x != "")
+    bullets = F.when(F.size(listed) >= 2, F.array_join(F.transform(listed, lambda x: F.concat(F.lit("* "), x)), "\n")).otherwise(F.col("composition"))
+    sources = F.transform("sources", lambda s: F.concat(F.lit("* "), F.concat_ws("｜", T.when_told(s["title"]), T.when_told(s["note"]))))
+    parts = [
+        F.concat(F.lit(FORMULA_LINE), "formula_name"), part("composition", bullets, NO_COMPOSITION), part("ratio", F.col("ratio")),
+        part("usage", F.coalesce("decoction_method", "usage")), part("indications", F.col("indications")),
+        part("explanation", T.truncate("explanation", EXPLAINED)), part("contraindications", F.col("contraindications")),
+        part("sources", F.when(F.size("sources") > 0, F.array_join(sources, "\n")), NO_SOURCE),
+    ]
+    return F.concat(F.concat_ws("\n\n", *parts), F.lit("\n" + CARD_END))
+
+
+def answer_text(question, blocks) -> Column:
+    """The answer to a question out of the blocks of its cards, an array in order; without any it says so."""
+    q = F.coalesce(T.col(question), F.lit(""))
+    asks_dose = F.coalesce(reduce(lambda a, b: a | b, (F.contains(q, F.lit(w)) for w in DOSE_WORDS)), F.lit(False))
+    head = F.concat(F.lit(ANSWER_HEAD + "\n" + ASKED_LINE), q, F.lit("\n\n"), F.when(asks_dose, DOSE_LIMIT + "\n\n").otherwise(""))
+    there = F.coalesce(F.size(blocks) > 0, F.lit(False))
+    return F.concat(head, F.when(there, F.array_join(blocks, "\n")).otherwise(NO_COMPOSITION + "\n" + NOTHING_MADE_UP))

@@ -209,6 +209,8 @@ def apply_mapping(rows: DataFrame, target_type: str, scored: list[dict], explici
 #: Fields that say where a record stands, and those of them that go into its source note.
 CONTEXT_FIELDS = ["classic_id", "page_title", "section_title", "source_url", "work_title"]
 NOTED_FIELDS = ["source_url", "classic_id", "page_title", "section_title"]
+#: Fields of a detail that are kept together, as an object's text, in its notes.
+KEPT_FIELDS = sorted([*CONTEXT_FIELDS, "volume", "annotation"])
 
 
 def lift_detail(record: Column) -> Column:
@@ -220,11 +222,25 @@ def lift_detail(record: Column) -> Column:
 def _lift_detail(record: Column) -> Column:
     detail = F.from_json(F.try_element_at(record, F.lit("detail")), "map<string,string>")
     own = F.map_filter(record, lambda k, v: (k != "detail") & v.isNotNull())
-    whole = F.when(detail.isNull(), own).otherwise(V.overlay(own, to_targets(detail, {}, keep=True)))
+    whole = F.when(detail.isNull(), own).otherwise(V.overlay(own, V.overlay(to_targets(detail, {}, keep=True), kept_notes(F.try_element_at(record, F.lit("detail"))))))
     note = T.source_note(F.try_element_at(whole, F.lit("source_note")), *(F.try_element_at(whole, F.lit(f)) for f in NOTED_FIELDS))
     return put(whole, {"source_note": T.blank_to_null(note)})
 
 
+def kept_notes(detail: Column) -> Column:
+    """A map with ``notes``, the object's text of those fields of a JSON detail that say where it stands, by their header keys,
+    with their values as they are; an empty map where there is none."""
+    entries = F.map_entries(F.from_json(detail, "map<string,variant>"))
+
+    def field(name: str) -> Column:
+        found = F.get(F.filter(entries, lambda e: T.header_key(e["key"]) == T.header_key_text(name)), F.lit(0))["value"]
+        return F.when(~F.is_variant_null(found), F.to_json(found)).otherwise(F.when(found.isNotNull(), "null"))
+
+    kept = F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), field(name)) for name in KEPT_FIELDS))
+    notes = F.map_from_arrays(F.array(F.lit("notes")), F.array(F.concat(F.lit("{"), kept, F.lit("}"))))
+    return F.when(kept != "", notes).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
 def preview(rows: DataFrame, file_name: str, source_format: str, target_type: str) -> dict:
     """What a file holds: headers (of all rows), detected type with confidence, field mapping and the first 100 rows."""
     names = headers(rows)

@@ -89,6 +89,23 @@ def quality_report(rows: DataFrame, fingerprint: Column) -> DataFrame:
     return sums.withColumn("suggestions", F.filter(F.array(*told), lambda x: x.isNotNull()))
 
 
+def import_report(rows: DataFrame, fingerprint: Column, confirmed: DataFrame, n_terms: int = 0) -> DataFrame:
+    """One row: ``quality_report`` with the profile of the fields, the number of rows of each type (a blank one is "unknown"), and
+    what the import changed: items inserted, by the ids ``confirmed(id)``, rows left out, rows that may be known already, terms.
+
+    Fields and types are few, so they stand in arrays of the row; an import without rows gives one row of zeros.
+    """
+    kind = F.coalesce(T.blank_to_null(F.try_element_at("record", F.lit("type"))), F.lit("unknown"))
+    types = rows.groupBy(kind.alias("type")).agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("type", "n"))).alias("types"))
+    fields = field_profile(rows)
+    fields = fields.agg(F.sort_array(F.collect_list(F.struct(*fields.columns))).alias("fields"))
+    inserted = confirmed.select(F.col(confirmed.columns[0])).distinct().agg(F.count("*").alias("n_inserted"))
+    known = rows_with_issue(rows).agg(F.count("*").alias("n_known"))
+    one = quality_report(rows, fingerprint).crossJoin(types).crossJoin(fields).crossJoin(inserted).crossJoin(known)  # single rows
+    more = F.filter(F.array(F.when(F.col("n_known") > 0, "confirm rows that may be known")), lambda x: x.isNotNull())
+    return one.withColumns({"n_left_out": F.col("n_rows") - F.col("n_inserted"), "n_terms": F.lit(n_terms).cast("long"), "suggestions": F.concat("suggestions", more)})
+
+
 def error_statistics(log: DataFrame, now: str, days: int = 7, k: int = 10) -> DataFrame:
     """(error_type, n, n_day) of the log ``(error_type, ts)`` over the last days, the k commonest, ties by name."""
     at = F.lit(now).cast("timestamp")

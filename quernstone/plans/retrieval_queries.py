@@ -109,3 +109,61 @@ FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS o FROM part)
 def channel_descriptions(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("o", F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")))
     return p.select("p_partkey", curate.channel_description("p_name", "p_brand", "p_type", "o", "p_brand", "o", "o").alias("d")).select("p_partkey", "d.*")
+
+
+@query(r"""
+WITH f AS (SELECT doc_id, source, lang FROM documents WHERE lang = 'en'),
+n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations),
+a AS (SELECT conv_id, list(CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END ORDER BY place) FILTER (place <= 4) AS snippets,
+  list(role ORDER BY place) AS roles FROM n WHERE place <= 8 GROUP BY 1),
+s AS (SELECT doc_id, source, coalesce(snippets, []) AS snippets, list_concat([lang], list_filter(coalesce(roles, []), lambda x, i: list_position(roles, x) = i)) AS titles FROM f LEFT JOIN a ON conv_id = doc_id)
+SELECT doc_id AS item_id, '桂枝，' || source AS composition, md5(array_to_string(snippets, '|')) AS snippets,
+  '方剂：' || source || chr(10) || chr(10) || '本地资料原方组成：' || chr(10) || '* 桂枝' || chr(10) || '* ' || source || chr(10) || chr(10) || '原文煎服法：' || chr(10) || '水煮' || chr(10) || chr(10)
+  || '资料依据：' || chr(10) || array_to_string(list_transform(titles, lambda t: '* ' || t), chr(10)) || chr(10) || '---' AS block FROM s
+""")
+def formula_cards(spark, sf_dir):
+    """Cards with snippets and sources out of the conversations, and their blocks in an answer."""
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents")
+    items = d.select(
+        F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "formula").alias("type"), F.col("source").alias("name"), F.col("lang").alias("category"), none.alias("summary"),
+        F.concat(F.lit("组成：桂枝，"), "source", F.lit("。煎法 水煮\n"), "text").alias("content"), none.alias("source_note"), none.alias("source_package"), none.alias("detail"),
+    )
+    notes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("id"), F.col("turn").alias("created_at"), F.col("role").alias("source_title"), none.alias("source_note"), F.col("text").alias("content"))
+    cards = answers.formula_cards(items, notes)
+    return cards.select("item_id", "composition", F.md5(F.array_join("annotation_snippets", "|")).alias("snippets"), answers.card_text().alias("block"))
+
+
+@query(r"""
+SELECT event_id, '{' || array_to_string(list_filter([CASE WHEN event_id % 2 = 0 THEN '"annotation":"' || event_type || '"' END, '"classic_id":' || user_id, CASE WHEN event_id % 3 = 0 THEN '"volume":["a",1]' END], lambda x: x IS NOT NULL), ',') || '}' AS notes FROM events
+""")
+def composed_notes(spark, sf_dir):
+    """Fields of the detail that say where it stands, kept with their values in the notes."""
+    from quernstone.operators import imports
+
+    e = table(spark, sf_dir, "events")
+    detail = F.to_json(F.struct(F.col("user_id").alias("Classic-ID"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("annotation")))
+    rows = e.select("event_id", detail.alias("d"))
+    rows = rows.withColumn("d", F.when(F.col("event_id") % 3 == 0, F.concat(F.substr("d", F.lit(1), F.length("d") - 1), F.lit(',"volume":["a",1]}'))).otherwise(F.col("d")))
+    record = F.create_map(F.lit("name"), F.lit("n"), F.lit("detail"), F.col("d"))
+    return rows.select("event_id", F.try_element_at(imports.lift_detail(record), F.lit("notes")).alias("notes"))
+
+
+@query(r"""
+SELECT (SELECT count(*) FROM part)::BIGINT AS n_rows, (SELECT count(*) FROM part WHERE p_size > 10)::BIGINT AS n_inserted, (SELECT count(*) FROM part WHERE p_size <= 10)::BIGINT AS n_left_out,
+  (SELECT list(t || ':' || n ORDER BY t) FROM (SELECT CASE WHEN p_type = 'PROMO' THEN 'unknown' ELSE p_type END AS t, count(*) AS n FROM part GROUP BY 1)) AS types,
+  (SELECT count(*) FROM part WHERE p_size % 7 > 0) * 1.0 / (SELECT count(*) FROM part) AS source_coverage
+""")
+def import_report(spark, sf_dir):
+    """The report of a staged import: quality, types, and what it changed."""
+    from quernstone.operators import imports, profile, resolve
+    from quernstone.plans.evidence_queries import record_of
+
+    p = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_type") != "PROMO", F.col("p_type"))
+    record = record_of(type=kind, name=F.col("p_name"), source_note=F.when(F.col("p_size") % 7 > 0, F.col("p_brand")))
+    staged = imports.stage(p.select(F.col("p_partkey").alias("row_index"), record.alias("record")))
+    mark = resolve.import_fingerprint(*(F.try_element_at("record", F.lit(k)) for k in ("type", "code", "name", "source_note")))
+    report = profile.import_report(staged, mark, p.where("p_size > 10").select("p_partkey"))
+    types = F.transform("types", lambda t: F.concat(t["type"], F.lit(":"), t["n"]))
+    return report.select("n_rows", "n_inserted", "n_left_out", types.alias("types"), "source_coverage")
