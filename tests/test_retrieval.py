@@ -151,3 +151,42 @@ def test_channel_description(spark):
     d = spark.range(1).select(curate.channel_description(*map(F.lit, ("督脉", "GV", "奇经八脉", "阳脉之海", " ", "脑", ""))).alias("d")).first()["d"]
     assert d["summary"] == "督脉，奇经八脉，联系脏腑：脑。"
     assert d["content"] == "督脉，国际代码 GV，类别：奇经八脉。阴阳属性：阳脉之海；手足属性：未单列。传统经络归属联系：脑。"
+
+
+def test_cards_and_answers(spark):
+    fields = "id long, type string, name string, category string, summary string, content string, source_note string, source_package string, detail string"
+    items = spark.createDataFrame([
+        (1, "formula", "桂枝汤", "太阳", "中风", "组成\n：桂枝三两，芍药二两。煎服法：水煮\n余", "卷一", None, None),
+        (2, "formula", "麻黄汤", None, None, None, None, None, '{"ingredients": ["麻黄", "杏仁"], "clauseNo": 35, "usage": " 温服 ", "dosage": ""}'),
+        (3, "formula", "空方", "", None, "", " ", "", "not json"),
+        (4, "herb", "桂枝", None, None, None, None, None, None),
+    ], fields)
+    notes = spark.createDataFrame(
+        [(3, i, i // 2, "书" if i % 2 else None, None if i % 2 else "页", f"{'字' * 160}{i}" if i == 9 else f"注解：其{i}。") for i in range(10)] + [(None, 99, 1, "x", "y", "z"), (4, 98, 1, "x", "y", "z")],
+        "item_id long, id long, created_at long, source_title string, source_note string, content string",
+    )
+    cards = answers.formula_cards(items, notes)
+    got = {r["item_id"]: r for r in cards.withColumn("block", answers.card_text()).collect()}
+    assert set(got) == {1, 2, 3}
+    one, two, three = got[1], got[2], got[3]
+    assert (one["composition"], one["usage"], one["decoction_method"], one["indications"], one["related_pattern"]) == ("桂枝三两，芍药二两", "水煮", "水煮", "中风", "太阳")
+    assert one["ratio"] and [tuple(s) for s in one["sources"]] == [("太阳", "卷一")] and one["annotation_snippets"] == []
+    assert (two["composition"], two["original_dosage"], two["related_pattern"], two["usage"], two["sources"]) == ("麻黄，杏仁", "麻黄，杏仁", "35", "温服", [])
+    assert two["block"] == "方剂：麻黄汤\n\n本地资料原方组成：\n* 麻黄\n* 杏仁\n\n原文煎服法：\n温服\n\n资料依据：\n* 未记录来源；该卡片仅可作为待补来源资料。\n---"
+    assert three["missing_composition"] and three["explanation"] == "其8" and [tuple(s) for s in three["sources"]] == [("书", None), (None, "页")]
+    assert three["annotation_snippets"] == ["字" * 150 + "...", "注解：其8。", "注解：其7。", "注解：其6。"]
+    text = spark.range(1).select(
+        answers.answer_text(F.lit("多少克"), F.array(F.lit("A"), F.lit("B"))).alias("a"), answers.answer_text(F.lit(None).cast("string"), F.lit(None).cast("array<string>")).alias("b")
+    ).first()
+    assert text["a"] == f"{answers.ANSWER_HEAD}\n问题：多少克\n\n{answers.DOSE_LIMIT}\n\nA\nB"
+    assert text["b"] == f"{answers.ANSWER_HEAD}\n问题：\n\n{answers.NO_COMPOSITION}\n{answers.NOTHING_MADE_UP}"
+    assert answers.formula_cards(items.limit(0), notes.limit(0)).count() == 0
+
+
+def test_notes_of_a_detail(spark):
+    from quernstone.operators import imports
+
+    details = ['{"Volume": 3, "annotation": {"b": [1, "x"]}, "own": 1}', '{"own": "x"}', "[1]", "no json", None, '{"classic id": null, "work_title": "伤寒\\"论"}', '{"notes": "own", "volume": 1}']
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(details)], "i int, d string")
+    got = {r["i"]: r["n"] for r in rows.select("i", F.try_element_at(imports.lift_detail(F.create_map(F.lit("name"), F.lit("n"), F.lit("detail"), F.col("d"))), F.lit("notes")).alias("n")).collect()}
+    assert got == {0: '{"annotation":{"b":[1,"x"]},"volume":3}', 1: None, 2: None, 3: None, 4: None, 5: '{"classic_id":null,"work_title":"伤寒\\"论"}', 6: "own"}
