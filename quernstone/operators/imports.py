@@ -222,7 +222,7 @@ def lift_detail(record: Column) -> Column:
 def _lift_detail(record: Column) -> Column:
     detail = F.from_json(F.try_element_at(record, F.lit("detail")), "map<string,string>")
     own = F.map_filter(record, lambda k, v: (k != "detail") & v.isNotNull())
-    whole = F.when(detail.isNull(), own).otherwise(V.overlay(own, V.overlay(to_targets(detail, {}, keep=True), kept_notes(F.try_element_at(record, F.lit("detail"))))))
+    whole = F.when(detail.isNull(), own).otherwise(V.let(V.let(kept_notes(F.try_element_at(record, F.lit("detail"))), lambda notes: V.overlay(to_targets(detail, {}, keep=True), notes)), lambda told: V.overlay(own, told)))
     note = T.source_note(F.try_element_at(whole, F.lit("source_note")), *(F.try_element_at(whole, F.lit(f)) for f in NOTED_FIELDS))
     return put(whole, {"source_note": T.blank_to_null(note)})
 
@@ -230,15 +230,16 @@ def _lift_detail(record: Column) -> Column:
 def kept_notes(detail: Column) -> Column:
     """A map with ``notes``, the object's text of those fields of a JSON detail that say where it stands, by their header keys,
     with their values as they are; an empty map where there is none."""
-    entries = F.map_entries(F.from_json(detail, "map<string,variant>"))
+    keyed = F.transform(F.map_entries(F.from_json(detail, "map<string,variant>")), lambda e: F.struct(T.header_key(e["key"]).alias("key"), e["value"].alias("value")))
+    return V.let(V.let(keyed, _kept_text), lambda kept: F.when(kept != "", F.create_map(F.lit("notes"), F.concat(F.lit("{"), kept, F.lit("}")))).otherwise(F.create_map().cast("map<string,string>")))
 
+
+def _kept_text(entries: Column) -> Column:
     def field(name: str) -> Column:
-        found = F.get(F.filter(entries, lambda e: T.header_key(e["key"]) == T.header_key_text(name)), F.lit(0))["value"]
-        return F.when(~F.is_variant_null(found), F.to_json(found)).otherwise(F.when(found.isNotNull(), "null"))
+        found = F.get(F.filter(entries, lambda e: e["key"] == T.header_key_text(name)), F.lit(0))["value"]
+        return V.let(found, lambda v: F.when(~F.is_variant_null(v), F.to_json(v)).otherwise(F.when(v.isNotNull(), "null")))
 
-    kept = F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), field(name)) for name in KEPT_FIELDS))
-    notes = F.map_from_arrays(F.array(F.lit("notes")), F.array(F.concat(F.lit("{"), kept, F.lit("}"))))
-    return F.when(kept != "", notes).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), field(name)) for name in KEPT_FIELDS))
 
 
 def preview(rows: DataFrame, file_name: str, source_format: str, target_type: str) -> dict:
