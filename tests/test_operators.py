@@ -314,3 +314,12 @@ def test_index_follows_its_table(spark, tmp_path):
     assert {(r.item_id, r.n) for r in index.store.read("degrees").collect()} == {(1, 1), (2, 1)}
     for query in ("...", "", "_"):
         assert index.bm25(query).count() == 0
+
+
+def test_candidates_by_grams_are_not_sent_through_the_driver(spark):
+    """Candidates of texts and needles compress so well that their bytes don't tell how many they are."""
+    texts = spark.createDataFrame([(i, f"some words {i % 3}") for i in range(20)], "source_id long, text string")
+    wanted = spark.createDataFrame([(1, "word"), (2, "ords1"), (3, "none")], "target_id long, needle string")
+    found = relations.by_grams(texts.withColumn("text", F.replace("text", F.lit(" "), F.lit(""))), wanted)
+    assert "SortMergeJoin [source_id" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted([(i, 1) for i in range(20)] + [(i, 2) for i in range(20) if i % 3 == 1])
