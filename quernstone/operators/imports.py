@@ -193,10 +193,11 @@ def to_targets(record: Column, active: dict[str, str], keep: bool = False) -> Co
         told = F.coalesce(T.lookup(key, active), told) if active else told
         return F.regexp_replace(F.coalesce(told, key) if keep else told, "^detail[.]", "")
 
+    def firsts(there: Column) -> Column:
+        return V.let(F.transform(there, lambda e: e["key"]), lambda names: F.filter(there, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
     pairs = F.transform(F.array_sort(F.map_entries(record)), lambda e: F.struct(target(e["key"]).alias("key"), e["value"].alias("value")))
-    there = F.filter(pairs, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    names = F.transform(there, lambda e: e["key"])
-    return F.map_from_entries(F.filter(there, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+    return F.map_from_entries(V.let(F.filter(pairs, lambda e: e["key"].isNotNull() & e["value"].isNotNull()), firsts))
 
 
 def apply_mapping(rows: DataFrame, target_type: str, scored: list[dict], explicit: dict[str, str] | None = None) -> DataFrame:
@@ -220,11 +221,18 @@ def lift_detail(record: Column) -> Column:
 
 
 def _lift_detail(record: Column) -> Column:
-    detail = F.from_json(F.try_element_at(record, F.lit("detail")), "map<string,string>")
+    detail = F.try_element_at(record, F.lit("detail"))
     own = F.map_filter(record, lambda k, v: (k != "detail") & v.isNotNull())
-    whole = F.when(detail.isNull(), own).otherwise(V.let(V.let(kept_notes(F.try_element_at(record, F.lit("detail"))), lambda notes: V.overlay(to_targets(detail, {}, keep=True), notes)), lambda told: V.overlay(own, told)))
-    note = T.source_note(F.try_element_at(whole, F.lit("source_note")), *(F.try_element_at(whole, F.lit(f)) for f in NOTED_FIELDS))
-    return put(whole, {"source_note": T.blank_to_null(note)})
+
+    def with_lifted(own: Column, parsed: Column) -> Column:
+        told = V.let(to_targets(parsed, {}, keep=True), lambda fields: V.let(kept_notes(detail), lambda notes: V.overlay(fields, notes)))
+        return F.when(parsed.isNull(), own).otherwise(V.let(told, lambda told: V.overlay(own, told)))
+
+    def noted(whole: Column) -> Column:
+        note = T.source_note(F.try_element_at(whole, F.lit("source_note")), *(F.try_element_at(whole, F.lit(f)) for f in NOTED_FIELDS))
+        return V.let(V.let(note, T.blank_to_null), lambda note: put(whole, {"source_note": note}))
+
+    return V.let(V.let(own, lambda own: V.let(F.from_json(detail, "map<string,string>"), lambda parsed: with_lifted(own, parsed))), noted)
 
 
 def kept_notes(detail: Column) -> Column:

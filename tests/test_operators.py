@@ -323,3 +323,12 @@ def test_candidates_by_grams_are_not_sent_through_the_driver(spark):
     found = relations.by_grams(texts.withColumn("text", F.replace("text", F.lit(" "), F.lit(""))), wanted)
     assert "SortMergeJoin [source_id" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted([(i, 1) for i in range(20)] + [(i, 2) for i in range(20) if i % 3 == 1])
+
+
+def test_a_detail_is_parsed_once_however_often_its_fields_are_read(spark):
+    rows = spark.createDataFrame([({"name": "n", "effects": "own", "detail": '{"功效": "e", "Page-Title": "p", "page_title": "q", "x": null}'},), ({"name": "n", "detail": "no object"},)], "record map<string,string>")
+    lifted = rows.select(imports.lift_detail(F.col("record")).alias("record"))
+    assert lifted._jdf.queryExecution().analyzed().toString().count("from_json(") == 2  # texts, and values as they are
+    got = [r.record for r in lifted.collect()]
+    assert got[0] == {"name": "n", "effects": "own", "Page-Title": "p", "page_title": "q", "notes": '{"page_title":"p"}', "source_note": "q"}
+    assert got[1] == {"name": "n"}
