@@ -332,3 +332,14 @@ def test_a_detail_is_parsed_once_however_often_its_fields_are_read(spark):
     got = [r.record for r in lifted.collect()]
     assert got[0] == {"name": "n", "effects": "own", "Page-Title": "p", "page_title": "q", "notes": '{"page_title":"p"}', "source_note": "q"}
     assert got[1] == {"name": "n"}
+
+
+def test_targets_of_equal_needles_are_one_class(spark):
+    wanted = spark.createDataFrame([(i, "red") for i in range(1, 9)] + [(9, "red"), (9, "blue")], "target_id long, needle string")
+    members, named = relations.needle_classes(wanted)
+    assert sorted(map(tuple, members.collect())) == [(1, i) for i in range(1, 9)] + [(9, 9)]
+    assert sorted(map(tuple, named.collect())) == [(1, "red"), (9, "blue"), (9, "red")]
+    texts = spark.createDataFrame([(1, "redblue"), (2, "blue"), (3, "green")], "source_id long, text string")
+    for most in (0, 1 << 20):
+        found = sorted(map(tuple, relations.held(texts, wanted, needle_bytes=most).collect()))
+        assert found == [(1, i) for i in range(1, 10)] + [(2, 9)]
