@@ -343,3 +343,12 @@ def test_targets_of_equal_needles_are_one_class(spark):
     for most in (0, 1 << 20):
         found = sorted(map(tuple, relations.held(texts, wanted, needle_bytes=most).collect()))
         assert found == [(1, i) for i in range(1, 10)] + [(2, 9)]
+
+
+def test_rows_of_a_hot_key_are_not_dealt_to_one_task(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "herb", None, "Red" if i % 4 else f"n{i}", None, None, None, None) for i in range(40)], ITEMS)
+    items = spark.createDataFrame([(i, "herb", None, n, None, None, None, None) for i, n in ((100, "red"), (101, "red"), (102, "n8"))], ITEMS)
+    monkeypatch.setattr(resolve, "HOT_ROWS", 5)
+    links, _ = resolve.row_candidates(rows, items)
+    got = {(r.row_id, r.class_id, r.match_type, r.n_items) for r in links.collect()}
+    assert got == {(i, 102 if i == 8 else 100, m, 1 if i == 8 else 2) for i in range(40) if i % 4 or i == 8 for m in ("type_name_exact", "fingerprint_match")}
