@@ -67,7 +67,8 @@ def term_array() -> Column:
 def build_terms(items: DataFrame, *, detail_is_json: bool = True) -> DataFrame:
     """(item_id, term_type, term, weight) of every item, without a shuffle."""
     flat = flatten_json("detail") if detail_is_json else F.col("detail")
-    return item_table(items).withColumn("flat", flat).select(F.col("id").alias("item_id"), F.inline(term_array()))
+    told = F.coalesce(*WEIGHTS).isNotNull()  # a row of nulls has no terms
+    return item_table(items).where(told).withColumn("flat", flat).select(F.col("id").alias("item_id"), F.inline(term_array()))
 
 
 def contains_ci(c, query: str) -> Column:

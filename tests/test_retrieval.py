@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators import answers, curate, search
+from quernstone.operators import index as ix
 from quernstone.operators import store as st
 from quernstone.operators.index import SearchIndex
 from quernstone.operators.pages import Key, OrderedList
@@ -75,6 +76,22 @@ def test_a_thousand_searches_like_one_at_a_time(spark, tmp_path):
     assert index.bm25_of(spark.createDataFrame([], "query_id long, query string"), 3).count() == 0
 
 
+def test_postings_in_ranges_with_heavy_words_over_several(spark):
+    texts = [f"heavy été heavy w{i} w{i // 9}" for i in range(400)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    head = int.from_bytes(b"heavy\0", "big")
+    got = ix.grouped_places(docs, ["content", "content"], [head, head, head, int.from_bytes(b"w2\0\0\0\0", "big")]).collect()
+    want = set()
+    for i, text in enumerate(texts):
+        words = [w for w in (text or "").split()]
+        for t in {"", *words}:
+            want.add((t, i, 2 * len(words), tuple(c * search.COLUMN_SPAN + k for c in (0, 1) for k, w in enumerate(words) if w == t)))
+    assert {(r["token"], r["id"], r["dl"], tuple(r["places"])) for r in got} == want and len(got) == len(want)
+    assert {r["part"] for r in got if r["token"] == "heavy"} == {0, 1, 2, 3}
+    by_part = {p: [r["token"].encode()[:6] for r in got if r["part"] == p] for p in {r["part"] for r in got}}
+    assert all(max(by_part[a]) <= min(by_part[b]) for a, b in zip(sorted(by_part), sorted(by_part)[1:]))
+
+
 def runs_read(df) -> int:
     """How many runs the scan's partition filter lets through; none where the plan has no scan."""
     plan = df._jdf.queryExecution().executedPlan().toString()
