@@ -30,14 +30,16 @@ REACH = [("性", 42), ("味", 33)]  # with the word; 性 without 味 behind it r
 def sections(content) -> Column:
     """A map of the sections 【label】 text, each up to the next label; of several with one label the first."""
     parts = F.transform(F.slice(F.split(T.col(content), "【"), F.lit(2), F.lit(1 << 20)), lambda p: F.split(p, "】", 2))
-    named = F.filter(parts, lambda p: F.size(p) == 2)
-    labels = F.transform(named, lambda p: p[0])
-    first = F.filter(named, lambda p, i: F.array_position(labels, p[0]) == i + 1)
+
+    def firsts(named: Column) -> Column:
+        return let(F.transform(named, lambda p: p[0]), lambda labels: F.filter(named, lambda p, i: F.array_position(labels, p[0]) == i + 1))
+
+    first = let(F.filter(parts, lambda p: F.size(p) == 2), firsts)
     return F.map_from_entries(F.transform(first, lambda p: F.struct(p[0], T.strip(p[1]))))
 
 
 def section(content, label: str) -> Column:
-    return _some(F.try_element_at(sections(content), F.lit(label)))
+    return let(F.try_element_at(sections(content), F.lit(label)), _some)
 
 
 def phrases(c) -> Column:
@@ -61,33 +63,44 @@ def _before(c: Column, words: list[str]) -> Column:
 
 def _about(c: Column) -> Column:
     """What a text says before it comes to effects."""
-    return _some(_bare(_before(c, EFFECT_WORDS), "。"))
+    return let(_bare(_before(c, EFFECT_WORDS), "。"), _some)
 
 
-def _tails(content, word: str, reach: int) -> Column:
-    """Of each phrase with the word what stands from it on, where the phrase goes on behind it."""
-    tails = F.transform(phrases(content), lambda p: F.when(F.contains(p, F.lit(word)), F.substring(p, F.instr(p, word), F.lit(reach))))
+def _tails(told: Column, word: str, reach: int) -> Column:
+    """Of each of the phrases with the word what stands from it on, where the phrase goes on behind it."""
+    tails = F.transform(told, lambda p: F.when(F.contains(p, F.lit(word)), F.substring(p, F.instr(p, word), F.lit(reach))))
     return F.filter(tails, lambda t: t.isNotNull() & (F.length(t) > 1))
 
 
 def nature_flavor(content) -> tuple[Column, Column]:
-    """The phrase on nature and flavour, and where it was found: its section, else the first phrase that has 性, or else 味."""
-    told = _about(F.coalesce(section(content, NATURE), F.lit("")))
-    found = []
-    for word, reach in REACH:
-        tail = F.get(_tails(content, word, reach), F.lit(0))
+    """The phrase on nature and flavour, and where it was found: its section, else the first phrase that has 性, or else 味.
+    The text is computed and cut into phrases once."""
+
+    def nearest(tail: Column, word: str, reach: int) -> Column:
         short = (F.lit(word) == REACH[0][0]) & (F.substring(tail, 2, 1) != REACH[1][0])
-        found.append(_about(F.when(short, F.substring(tail, 1, reach - 1)).otherwise(tail)))
-    return F.coalesce(told, *found), F.when(told.isNotNull(), "section").when(F.coalesce(*found).isNotNull(), "text")
+        return _about(F.when(short, F.substring(tail, 1, reach - 1)).otherwise(tail))
+
+    def in_text(told: Column) -> Column:
+        return F.coalesce(*(let(F.get(_tails(told, word, reach), F.lit(0)), lambda t, w=word, r=reach: nearest(t, w, r)) for word, reach in REACH))
+
+    def found(c: Column) -> Column:
+        return let(_about(F.coalesce(section(c, NATURE), F.lit(""))), lambda told: F.struct(F.coalesce(told, let(phrases(c), in_text)).alias("phrase"), told.isNotNull().alias("labelled")))
+
+    both = let(T.col(content), found)
+    return both["phrase"], F.when(both["labelled"], "section").when(both["phrase"].isNotNull(), "text")
 
 
 def channels(content) -> Column:
-    """``X经`` of each organ named between 归 or 入 and the next 经, 脏 or 腑 within reach, or right behind 入; in a fixed order."""
-    c, stops = T.col(content), f"[^{STOPS}]"
-    told = [F.regexp_extract_all(c, F.lit(f"{word}({stops}{{1,{reach}}}?)[{CHANNEL_ENDS}]"), 1) for word, reach in CHANNEL_REACH]
-    told.append(F.regexp_extract_all(c, F.lit(f"{CHANNEL_REACH[-1][0]}({'|'.join(ORGANS)})"), 1))
-    runs = F.array_join(F.flatten(F.array(*told)), "，")
-    named = F.filter(F.array(*map(F.lit, ORGANS)), lambda o: F.contains(runs, o))
+    """``X经`` of each organ named between 归 or 入 and the next 经, 脏 or 腑 within reach, or right behind 入; in a fixed order.
+    The text is computed once, and so are the runs of it that may name one."""
+    stops = f"[^{STOPS}]"
+
+    def runs(c: Column) -> Column:
+        told = [F.regexp_extract_all(c, F.lit(f"{word}({stops}{{1,{reach}}}?)[{CHANNEL_ENDS}]"), 1) for word, reach in CHANNEL_REACH]
+        told.append(F.regexp_extract_all(c, F.lit(f"{CHANNEL_REACH[-1][0]}({'|'.join(ORGANS)})"), 1))
+        return F.array_join(F.flatten(F.array(*told)), "，")
+
+    named = let(let(T.col(content), runs), lambda found: F.filter(F.array(*map(F.lit, ORGANS)), lambda o: F.contains(found, o)))
     return F.array_join(F.transform(named, lambda o: F.concat(o, F.lit("经"))), "，")
 
 
@@ -97,16 +110,16 @@ def herb_properties(content) -> dict[str, Column]:
     known = F.coalesce(phrase, F.lit(""))
 
     def terms(c, words):
-        return _some(F.array_join(T.terms_in_order(c, words), "，"))
+        return let(F.array_join(T.terms_in_order(c, words), "，"), _some)
 
     def after(c, word):
         """What a text says behind a word, to the end of the phrase."""
-        behind = F.when(F.contains(c, F.lit(word)), F.split_part(c, F.lit(word), F.lit(2)))
-        return _some(_bare(F.get(phrases(behind), F.lit(0))))
+        behind = let(c, lambda t: F.when(F.contains(t, F.lit(word)), F.split_part(t, F.lit(word), F.lit(2))))
+        return let(_bare(F.get(phrases(behind), F.lit(0))), _some)
 
     return {
         "nature_flavor": phrase, "nature_from": source, "four_qi": terms(known, QUALITIES), "five_flavors": terms(known, FLAVOURS),
-        "channel_tropism": _some(channels(content)), "toxicity": F.coalesce(terms(known, TOXICITIES), terms(T.col(content), TOXICITIES)),
+        "channel_tropism": let(channels(content), _some), "toxicity": F.coalesce(terms(known, TOXICITIES), terms(T.col(content), TOXICITIES)),
         "effects": F.coalesce(section(content, EFFECTS), after(F.coalesce(section(content, NATURE), known), FUNCTION_WORD)), "summary": after(T.col(content), DASH),
     }
 

@@ -207,3 +207,10 @@ def test_notes_of_a_detail(spark):
     rows = spark.createDataFrame([(i, d) for i, d in enumerate(details)], "i int, d string")
     got = {r["i"]: r["n"] for r in rows.select("i", F.try_element_at(imports.lift_detail(F.create_map(F.lit("name"), F.lit("n"), F.lit("detail"), F.col("d"))), F.lit("notes")).alias("n")).collect()}
     assert got == {0: '{"annotation":{"b":[1,"x"]},"volume":3}', 1: None, 2: None, 3: None, 4: None, 5: '{"classic_id":null,"work_title":"伤寒\\"论"}', 6: "own"}
+
+
+def test_herb_text_is_computed_once(spark):
+    text = F.translate("t", "x", "y")
+    herb = spark.createDataFrame([("【性味】x甘温，主治【功效】补\n归脾经",)], "t string").select(curate.channels(text).alias("c"), curate.nature_flavor(text)[0].alias("n"))
+    assert tuple(herb.first()) == ("脾经", "y甘温")
+    assert herb._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
