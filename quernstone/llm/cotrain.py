@@ -6,12 +6,14 @@ every unlabelled document of the corpus, and of the documents that a view is cal
 surest of each class are handed to the other view as pseudo-labels. At the end each view is calibrated on labelled rows
 kept out of the fit, the two log-odds are combined by a logistic model on the same rows, and all documents are scored.
 
-The features of all rows are extracted once into a table, so that a round reads numbers, not texts. The driver fits: it
-holds at most ``labelled`` labelled rows and what the rounds exchange (``exchange`` a round, class and view).
+The features of all rows are extracted once into a table, so that a round reads numbers, not texts. A task fits: it holds at
+most ``labelled`` labelled rows and what the rounds exchange (``exchange`` a round, class and view); the driver holds keys,
+labels and models.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -222,10 +224,10 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 KEY = ["doc_id", "digest"]
 
 
-def _collected(feats: DataFrame, keys: DataFrame) -> pa.Table:
-    """The feature rows of a bounded set of keys, each once, in the order of their keys."""
+def _taught(feats: DataFrame, keys: DataFrame, round_: int) -> DataFrame:
+    """The feature rows of a bounded set of keys, each once, written, with the round that they are met in first."""
     rows = feats.join(F.broadcast(keys.select(*KEY)), KEY, "left_semi").dropDuplicates(KEY)
-    return rows.toArrow().combine_chunks().sort_by([(k, "ascending") for k in KEY])
+    return stored(rows.withColumn("round", F.lit(round_)), "taught")
 
 
 def chosen(feats: DataFrame, told: DataFrame, labelled: int) -> DataFrame:
@@ -263,7 +265,60 @@ def surest(feats: DataFrame, told: DataFrame, models: dict[str, CoModel], given:
     salted = sure_rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), *KEY), F.lit(64)))
     for keys in ([*group, "salt"], group):
         salted = salted.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= exchange)
-    return [tuple(r) for r in salted.select(*group, *KEY).orderBy(*group, *KEY).collect()]
+    best = [tuple(r) for r in salted.select(*group, *KEY).orderBy(*group, *KEY).collect()]
+    sent.destroy()
+    return best
+
+
+Pseudo = dict[tuple[str, str], dict[tuple, int]]
+
+
+def _models(table: pa.Table, said: dict[tuple, dict], pseudo: Pseudo, targets: list[str]) -> dict[str, CoModel]:
+    """The model of each target from all rows taught: those of round 0 have labels, the others pseudo-labels."""
+    table = table.combine_chunks().sort_by([(k, "ascending") for k in ("round", *KEY)])
+    names = list(zip(*(table.column(k).to_pylist() for k in KEY)))
+    n_labelled = table.column("round").to_pylist().count(0)
+    x, more = unpack(table.slice(0, n_labelled)), unpack(table.slice(n_labelled))
+    place = {k: i for i, k in enumerate(names[n_labelled:])}
+    models = {}
+    for t in targets:
+        y = np.array([-1 if said[k][t] is None else int(said[k][t]) for k in names[:n_labelled]], np.int64)
+        have, rng = np.flatnonzero(y >= 0), np.random.default_rng(14)
+        held = np.sort(np.concatenate([rng.permutation(np.flatnonzero(y == c))[::4] for c in (0, 1)]))
+        fitted = np.setdiff1d(have, held)
+        if len(set(y[fitted].tolist())) < 2:
+            held = fitted = have
+        linear, calibration = {}, {}
+        for v in VIEWS:
+            got = [(place[k], label) for k, label in pseudo[t, v].items() if k in place]
+            base = x[v].take(fitted)
+            labels_, weight = y[fitted], np.ones(len(fitted))
+            if got:
+                at, label = (np.array(c, np.int64) for c in zip(*got))
+                add = more[v].take(at)
+                base = Rows(
+                    np.concatenate([base.row, add.row + len(base.dense)]), np.concatenate([base.col, add.col]),
+                    np.concatenate([base.value, add.value]), np.concatenate([base.dense, add.dense]),
+                )
+                labels_, weight = np.concatenate([labels_, label]), np.concatenate([weight, np.full(len(label), 0.5)])
+            linear[v] = fit(base, labels_, weight, WORD_SLOTS if v == "content" else SLOTS)
+            calibration[v], _ = platt(linear[v].score(x[v].take(held)), y[held])
+        z = [np.clip(linear[v].score(x[v].take(held)), -30, 30) * calibration[v][0] + calibration[v][1] for v in VIEWS]
+        combine, p = platt(np.column_stack(z), y[held])
+        # never above one half: a document isn't turned down while it is likelier good than bad
+        models[t] = CoModel(linear, calibration, combine, min(_best_threshold(p, y[held]), 0.5))
+    return models
+
+
+def fitted_models(taught: DataFrame, said: dict[tuple, dict], pseudo: Pseudo, targets: list[str]) -> dict[str, CoModel]:
+    """``_models`` of the bounded rows taught, fitted in a task: the driver gets the packed models alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := list(batches):
+            packed = zlib.compress(pickle.dumps(_models(pa.Table.from_batches(parts), said, pseudo, targets)), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["packed"])
+
+    return pickle.loads(zlib.decompress(taught.coalesce(1).mapInArrow(run, "packed binary").first()[0]))
 
 
 def train(feats: DataFrame, labels: DataFrame, *, targets=("quality",), labelled: int = 4000, rounds: int = 3, sure: float = 0.95, exchange: int = 500) -> dict[str, CoModel | None]:
@@ -272,56 +327,24 @@ def train(feats: DataFrame, labels: DataFrame, *, targets=("quality",), labelled
     A fourth of the labelled rows of each class is kept out of the fits and calibrates them. A pseudo-label counts half."""
     told = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(t).alias(t) for t in targets))
     keys = stored(chosen(feats, told, labelled), "labelled")
-    said = {(r.doc_id, r.digest): r for r in keys.collect()}
-    table = _collected(feats, keys)
-    names = list(zip(*(table.column(k).to_pylist() for k in KEY)))
-    x = unpack(table)
-    y = {t: np.array([-1 if said[k][t] is None else int(said[k][t]) for k in names], np.int64) for t in targets}
-    active = [t for t in targets if {0, 1} <= set(y[t].tolist())]
-    held, fitted = {}, {}
-    for t in active:
-        have, rng = np.flatnonzero(y[t] >= 0), np.random.default_rng(14)
-        held[t] = np.sort(np.concatenate([rng.permutation(np.flatnonzero(y[t] == c))[::4] for c in (0, 1)]))
-        fitted[t] = np.setdiff1d(have, held[t])
-        if len(set(y[t][fitted[t]].tolist())) < 2:
-            held[t] = fitted[t] = have
-    pseudo: dict[tuple[str, str], dict[tuple, int]] = {(t, v): {} for t in active for v in VIEWS}
-    extra, extra_names = None, []
-    models: dict[str, CoModel] = {}
+    said = {(r.doc_id, r.digest): {t: r[t] for t in targets} for r in keys.collect()}
+    active = [t for t in targets if {0, 1} <= {int(r[t]) for r in said.values() if r[t] is not None}]
+    if not active:
+        return dict.fromkeys(targets)
+    pseudo: Pseudo = {(t, v): {} for t in active for v in VIEWS}
+    other = dict(zip(VIEWS, VIEWS[::-1]))
+    taught, known = _taught(feats, keys, 0), set()
     for round_ in range(rounds + 1):
-        more = unpack(extra) if extra is not None else None
-        place = {k: i for i, k in enumerate(extra_names)}
-        for t in active:
-            linear, calibration = {}, {}
-            for v in VIEWS:
-                got = [(place[k], label) for k, label in pseudo[t, v].items() if k in place]
-                base = x[v].take(fitted[t])
-                labels_, weight = y[t][fitted[t]], np.ones(len(fitted[t]))
-                if got:
-                    at, label = (np.array(c, np.int64) for c in zip(*got))
-                    add = more[v].take(at)
-                    base = Rows(
-                        np.concatenate([base.row, add.row + len(base.dense)]), np.concatenate([base.col, add.col]),
-                        np.concatenate([base.value, add.value]), np.concatenate([base.dense, add.dense]),
-                    )
-                    labels_, weight = np.concatenate([labels_, label]), np.concatenate([weight, np.full(len(label), 0.5)])
-                linear[v] = fit(base, labels_, weight, WORD_SLOTS if v == "content" else SLOTS)
-                calibration[v], _ = platt(linear[v].score(x[v].take(held[t])), y[t][held[t]])
-            z = [np.clip(linear[v].score(x[v].take(held[t])), -30, 30) * calibration[v][0] + calibration[v][1] for v in VIEWS]
-            combine, p = platt(np.column_stack(z), y[t][held[t]])
-            # never above one half: a document isn't turned down while it is likelier good than bad
-            models[t] = CoModel(linear, calibration, combine, min(_best_threshold(p, y[t][held[t]]), 0.5))
-        if round_ == rounds or not active:
+        models = fitted_models(taught, said, pseudo, active)
+        if round_ == rounds:
             break
-        other = dict(zip(VIEWS, VIEWS[::-1]))
         given = {(t, v): np.array([k[0] for k in pseudo[t, other[v]]], np.int64) for t in active for v in VIEWS}
         for t, v, label, doc, digest in surest(feats, told, models, given, sure, exchange):
             pseudo[t, other[v]].setdefault((doc, digest), label)
-        want = sorted({k for p in pseudo.values() for k in p}.difference(extra_names))
+        want = sorted({k for p in pseudo.values() for k in p} - known)
         if want:
-            new = _collected(feats, feats.sparkSession.createDataFrame(want, "doc_id long, digest long"))
-            extra = new if extra is None else pa.concat_tables([extra, new]).combine_chunks()
-            extra_names = list(zip(*(extra.column(k).to_pylist() for k in KEY)))
+            known.update(want)
+            taught = taught.unionByName(_taught(feats, feats.sparkSession.createDataFrame(want, "doc_id long, digest long"), round_ + 1))
     return {t: models.get(t) for t in targets}
 
 

@@ -210,3 +210,15 @@ def test_no_toxicity_told_without_a_model(spark, toxic):
     labels = spark.createDataFrame([(i, 1, toxic) for i in range(6)], "doc_id long, quality int, toxic int")
     got = cotrain.classify(docs, labels, targets=("quality", "toxic")).collect()
     assert len(got) == 8 and all(r.is_quality is True and r.is_toxic is None and r.p_toxic is None for r in got)
+
+
+def test_models_are_fitted_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text number {i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    feats = cotrain.stored(cotrain.features(docs), "features")
+
+    def unpack(batch):
+        raise AssertionError("the driver unpacks features")
+
+    monkeypatch.setattr(cotrain, "unpack", unpack)
+    assert cotrain.train(feats, labels, rounds=0)["quality"] is not None
