@@ -19,6 +19,7 @@ from quernstone.functions.values import page_bounds
 from quernstone.operators.store import Store
 
 RANGE = "_range"
+TASK_ROWS = 1_000_000  # rows that a task cuts into runs
 
 
 @dataclass(frozen=True)
@@ -37,18 +38,30 @@ class OrderedList:
 
     def __init__(self, store: Store, name: str, keys: list[Key], facets: list[str] | None = None):
         self.store, self.name, self.keys, self.facets = store, name, keys, facets or []
+        self._listed: tuple[int, DataFrame] | None = None
 
     def _order(self) -> list:
         return [k.order() for k in self.keys]
 
+    def _table(self) -> DataFrame:
+        """The list's rows; the folders of its runs are listed once a version."""
+        version = self.store.manifest(self.name)["version"]
+        if self._listed is None or self._listed[0] != version:
+            self._listed = version, self.store.read(self.name)
+        return self._listed[1]
+
     def build(self, rows: DataFrame, *, range_rows: int = 100_000) -> None:
         """The list anew. One pass counts the rows, one samples and writes them, one counts the runs."""
-        n = max(1, -(-rows.count() // range_rows))
-        # a given number of partitions isn't merged at run time, so partition numbers rise with the order
-        runs = rows.repartitionByRange(n, *self._order()).withColumn(RANGE, F.spark_partition_id())
+        n_rows = rows.count()
+        n_runs, cores = max(1, -(-n_rows // range_rows)), rows.sparkSession.sparkContext.defaultParallelism
+        # tasks are far fewer than runs; a given number of partitions isn't merged at run time, so their numbers rise with the order
+        n_tasks = min(n_runs, max(cores, -(-n_rows // TASK_ROWS)))
+        dealt = rows.repartitionByRange(n_tasks, *self._order()).sortWithinPartitions(*self._order())
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        runs = dealt.withColumn(RANGE, F.spark_partition_id() * F.lit(n_runs).cast("long") + F.floor(place / range_rows))
         self.store.write(self.name, runs.sortWithinPartitions(RANGE, *self._order()), partition=[RANGE])
         lead = F.col(self.keys[0].name)
-        counts = self.store.read(self.name).groupBy(RANGE, *self.facets).agg(F.count("*").alias("n"), F.min(lead).alias("least"), F.max(lead).alias("largest"), F.count_if(lead.isNull()).alias("n_null"))
+        counts = self._table().groupBy(RANGE, *self.facets).agg(F.count("*").alias("n"), F.min(lead).alias("least"), F.max(lead).alias("largest"), F.count_if(lead.isNull()).alias("n_null"))
         self.store.write(f"{self.name}_counts", counts.coalesce(1))
 
     def _runs(self, where: dict) -> DataFrame:
@@ -58,7 +71,7 @@ class OrderedList:
         return counts
 
     def _rows(self, runs: list[int], where: dict) -> DataFrame:
-        rows = self.store.read(self.name).where(F.col(RANGE).isin(runs))
+        rows = self._table().where(F.col(RANGE).isin(runs))
         for facet, value in where.items():
             rows = rows.where(F.col(facet).eqNullSafe(F.lit(value)))
         return rows

@@ -214,3 +214,13 @@ def test_herb_text_is_computed_once(spark):
     herb = spark.createDataFrame([("【性味】x甘温，主治【功效】补\n归脾经",)], "t string").select(curate.channels(text).alias("c"), curate.nature_flavor(text)[0].alias("n"))
     assert tuple(herb.first()) == ("脾经", "y甘温")
     assert herb._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
+
+
+def test_tasks_of_a_list_are_fewer_than_its_runs(spark, tmp_path):
+    pages = OrderedList(st.Store(spark, str(tmp_path)), "rows", [Key("id")])
+    pages.build(spark.range(50_000).select("id"), range_rows=100)
+    tasks = {re.search(r"/part-(\d+)", f)[1] for f in pages._table().inputFiles()}
+    assert len(tasks) <= spark.sparkContext.defaultParallelism and pages._table() is pages._table()
+    assert pages._table().select("_range").distinct().count() >= 500 and pages.total() == 50_000
+    assert [r["id"] for r in pages.page(401, 100).collect()] == list(range(40_000, 40_100))
+    assert [r["id"] for r in pages.after({"id": 40_049}, 100).collect()] == list(range(40_050, 40_150))
