@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
@@ -216,9 +217,10 @@ def formula_names_in(text: str) -> list[str]:
     return list(out)
 
 
-@F.pandas_udf(ty.ArrayType(ty.StringType()))
-def formula_names(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else formula_names_in(t))
+@F.arrow_udf(ty.ArrayType(ty.StringType()))
+def formula_names(texts: pa.Array) -> pa.Array:
+    """``formula_names_in`` of each text; one text of a batch is a Python string at a time."""
+    return pa.array((None if (text := t.as_py()) is None else formula_names_in(text) for t in texts), pa.list_(pa.string()))
 
 
 def fnv_hex(text: str) -> str:
@@ -229,9 +231,9 @@ def fnv_hex(text: str) -> str:
     return f"{h:016x}"
 
 
-@F.pandas_udf(ty.StringType())
-def fnv(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fnv_hex(t))
+@F.arrow_udf(ty.StringType())
+def fnv(texts: pa.Array) -> pa.Array:
+    return pa.array((None if (text := t.as_py()) is None else fnv_hex(text) for t in texts), pa.string())
 
 
 _ANCHOR = re.compile(r"<a\b[^>]*\bhref=[\"'](?P<url>[^\"']*)[\"'][^>]*>(?P<body>.*?)</a>", re.S | re.I)
