@@ -725,6 +725,9 @@ def default_policy(intent: str) -> str:
 ITEM_FIELDS = ["type", "code", "name", "alias", "pinyin", "category", "summary", "content", "source_note", "tags", "data_status"]
 
 
+BROADCAST_CHARS = 10_000_000  # of the existing items that a plan sends to all tasks
+
+
 def plan(drafts: DataFrame, items: DataFrame, intent: str, policy: str | None = None) -> DataFrame:
     """Drafts ``(row_index, type, name, content, source_note, ...)`` with existing_id, action and confidence.
 
@@ -733,23 +736,31 @@ def plan(drafts: DataFrame, items: DataFrame, intent: str, policy: str | None =
     near = items.groupBy("type", "name").agg(F.min("id").alias("by_name"))
     exact = items.groupBy("type", "name", "source_note").agg(F.min("id").alias("by_source"))
     found = drafts.join(exact, ["type", "name", "source_note"], "left").join(near, ["type", "name"], "left").withColumn("existing_id", F.coalesce("by_source", "by_name"))
+    found = materialized(found.drop("by_source", "by_name"), "found")
     old = items.select(F.col("id").alias("existing_id"), F.col("content").alias("old_content"), F.col("source_note").alias("old_source"))
-    both = found.join(old, "existing_id", "left")
+    asked = found.where("existing_id is not null").select("existing_id").distinct()
+    old = materialized(old.join(asked, "existing_id", "left_semi"), "old")
+    chars = old.agg(F.coalesce(F.sum(F.coalesce(F.length("old_content"), F.lit(0)) + F.coalesce(F.length("old_source"), F.lit(0)) + 100), F.lit(0))).first()[0]
+    # many drafts may ask after one item: where the items asked after are few, none is shuffled by them
+    both = found.join(F.broadcast(old) if chars <= BROADCAST_CHARS else old, "existing_id", "left")
     similar = T.content_similar("content", "old_content")
     same = T.blank_to_null("source_note") == T.blank_to_null("old_source")
     mergeable = T.blank_to_null("old_content").isNull() | T.blank_to_null("content").isNull() | (T.strip("content") == T.strip("old_content"))
-    decided = plan_action(F.col("name"), F.col("content"), F.col("existing_id"), similar, same, F.lit(intent), mergeable, F.lit(policy or default_policy(intent)))
+    decided = V.let(similar, lambda s: plan_action(F.col("name"), F.col("content"), F.col("existing_id"), s, same, F.lit(intent), mergeable, F.lit(policy or default_policy(intent))))
     return both.withColumn("decided", decided).select(*drafts.columns, "existing_id", "decided.action", "decided.confidence")
 
 
 def execute(planned: DataFrame, items: DataFrame, run_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items after the plan, annotations made, change log). New ids follow the largest one in row order.
 
-    New rows are numbered within ranges of row_index whose sizes are summed first.
+    New rows are numbered within ranges of row_index whose sizes are summed first. The plan is computed once, and so are
+    the new rows.
     """
+    planned = materialized(planned, "planned")
     top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     new = numbered(planned.where("action = 'create_new'"), "row_index").crossJoin(F.broadcast(top))  # top: one row
     made = new.select((F.col("top") + F.col("number")).alias("id"), *(F.col(c) for c in ITEM_FIELDS if c in planned.columns), "row_index")
+    made = materialized(made, "made")
     fill = planned.where("action = 'merge_empty_fields'").groupBy(F.col("existing_id").alias("id")).agg(F.min_by(F.struct(*(c for c in ITEM_FIELDS if c in planned.columns)), "row_index").alias("new"))
     fields = [c for c in ITEM_FIELDS if c in planned.columns and c in items.columns and c not in ("type", "name")]
     after = items.join(fill, "id", "left").withColumns({c: F.coalesce(T.blank_to_null(c), F.col(f"new.{c}"), F.col(c)) for c in fields}).drop("new")

@@ -224,3 +224,17 @@ def test_tasks_of_a_list_are_fewer_than_its_runs(spark, tmp_path):
     assert pages._table().select("_range").distinct().count() >= 500 and pages.total() == 50_000
     assert [r["id"] for r in pages.page(401, 100).collect()] == list(range(40_000, 40_100))
     assert [r["id"] for r in pages.after({"id": 40_049}, 100).collect()] == list(range(40_050, 40_150))
+
+
+def test_plan_meets_few_items_without_a_shuffle_and_runs_once(spark):
+    from quernstone.operators import imports
+
+    items = spark.createDataFrame([(1, "herb", "n", "long text", "s")], "id long, type string, name string, content string, source_note string")
+    drafts = items.select(F.col("id").alias("row_index"), "type", "name", F.lit("text").alias("content"), F.lit("s2").alias("source_note")).unionByName(
+        items.select(F.lit(2).cast("long").alias("row_index"), "type", F.lit("other").alias("name"), "content", "source_note"))
+    planned = imports.plan(drafts, items, "classic_text")
+    plan = planned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "broadcast" in plan
+    after, _, log = imports.execute(planned, items, 1)
+    assert "Join" not in log._jdf.queryExecution().optimizedPlan().toString().split("Union")[-1].split("\n")[1]
+    assert [tuple(r) for r in after.select("id", "name").orderBy("id").collect()] == [(1, "n"), (2, "other")]
