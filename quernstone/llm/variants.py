@@ -9,7 +9,8 @@ the length, and across lengths leave one part out. Signatures are met by an equi
 pair leaves it but the near ones. Nothing is lost: the signatures are exact and no bucket is capped.
 
 All steps are DataFrame expressions. A word's near words are bounded by its length and the alphabet, so no word is a hot key of
-the forms; counting is by partial sums.
+the forms; counting is by partial sums. No join here is by a broadcast: Spark takes exploded signatures to be as few bytes as the
+words' compressed file, and words for no more than that file, and would send them through the driver.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b) of the words that are exactly one edit apart, each pair once, a before b."""
     signed = signatures(words)  # one exchange serves both sides of the join
     met = (F.col("l.word") < F.col("r.word")) & (F.levenshtein("l.word", "r.word", 1) == 1)
-    pairs = signed.alias("l").join(signed.alias("r"), (F.col("l.signature") == F.col("r.signature")) & met)
+    pairs = signed.alias("l").hint("merge").join(signed.alias("r"), (F.col("l.signature") == F.col("r.signature")) & met)
     return pairs.select(F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct()
 
 
@@ -85,9 +86,9 @@ def forms(words: DataFrame) -> DataFrame:
     word (ties: the first in code-point order)."""
     pairs = stored(near_pairs(words), "near")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
-    both = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("m")), "other")
+    both = both.hint("merge").join(words.select(F.col("word").alias("other"), F.col("n").alias("m")), "other")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
-    told = words.join(best, "word", "left")
+    told = words.hint("merge").join(best, "word", "left")
     is_form = -F.col("best.m") >= 2 * F.col("n")
     return told.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -101,7 +102,7 @@ def roots(formed: DataFrame) -> DataFrame:
     now = stored(formed.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = now.join(on, "root", "left")
+        further = now.hint("merge").join(on, "root", "left")
         if further.where("next is not null").isEmpty():
             return now
         now = stored(further.select("word", F.coalesce("next", "root").alias("root")), "roots")
@@ -115,6 +116,6 @@ def group_variants(docs: DataFrame, *, least: int = 3, least_length: int = 5, ev
     """
     words = stored(vocabulary(docs, least=least, least_length=least_length, every=every), "words")
     formed = stored(forms(words), "forms")
-    return formed.join(roots(formed), "word", "left").select(
+    return formed.hint("merge").join(roots(formed), "word", "left").select(
         "word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root")
     )

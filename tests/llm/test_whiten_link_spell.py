@@ -237,6 +237,18 @@ def test_no_variants_of_an_empty_table(spark):
     assert variants.group_variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_no_join_of_variants_goes_through_the_driver(spark, tmp_path):
+    """Exploded signatures are taken to be as few bytes as the words' file, and were collected for a broadcast."""
+    spark.createDataFrame([("letter", 9), ("letters", 4), ("litter", 3)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    formed = variants.forms(words)
+    for rows in (variants.near_pairs(words), formed, variants.roots(formed)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, formed.collect())) == [("letter", 9, 2, None, None), ("letters", 4, 1, "letter", 9), ("litter", 3, 1, "letter", 9)]
+    docs = spark.createDataFrame([(1, "letter " * 9 + "letters " * 4)], "doc_id long, text string")
+    assert "Broadcast" not in variants.group_variants(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_operators_are_registered():
     import __spark_entry__ as entry
 
