@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,6 +346,33 @@ def test_targets_of_equal_needles_are_one_class(spark):
         assert found == [(1, i) for i in range(1, 10)] + [(2, 9)]
 
 
+def test_needles_are_met_whole_and_no_candidate_is_looked_for_in_its_text(spark):
+    long = "an unusually long needle that is met by its rarest gram and not whole".replace(" ", "")
+    texts = [(1, "abcabcab"), (2, "日本語😀abc"), (3, ""), (4, None), (5, "x" * 40 + "y"), (6, f"_{long}_abc"), (7, "ab" * 70_000 + "ca"), (8, "nothing")]
+    needles = ["a", "ab", "abc", "bcab", "cabcab", "本", "語😀a", "x" * 40, "x" * 40 + "y", "babababababac", "bca", "zz", "本語😀b"]
+    frame = spark.createDataFrame(texts, "source_id long, text string")
+
+    def asked(needles, texts=texts):
+        wanted = spark.createDataFrame([(k // 2, n) for k, n in enumerate(needles, 100)], "target_id long, needle string")
+        told = {(i, t) for i, text in texts for t, n in wanted.collect() if text and n in text}
+        found = relations.held(spark.createDataFrame(texts, "source_id long, text string"), wanted, needle_bytes=0)
+        return found, sorted(map(tuple, found.collect())) == sorted(told)
+
+    assert asked(needles + [long])[1] and asked([*needles, "ab", "abc"])[1] and asked(["a", "ab"], [*texts, (1, "ab"), (1, "b")])[1]
+    found = relations.held(frame, spark.createDataFrame(list(enumerate(needles)), "target_id long, needle string"), needle_bytes=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Contains" not in plan and "BroadcastHashJoin" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted((i, k) for i, text in texts for k, n in enumerate(needles) if text and n in text)
+
+
+def test_runs_of_one_hash_are_told_apart():
+    own = relations.Windows(["abcab", "", "xabc"])
+    at = np.array([0, 1, 2, 5, 6])
+    for h in (own.hashes(at, 3), np.zeros(5, np.uint64)):
+        names, run, text = own.pieces(at, h, 3)
+        assert sorted((names[r], t) for r, t in zip(run, text)) == [("abc", 0), ("abc", 2), ("bca", 0), ("cab", 0), ("xab", 2)]
+
+
 def test_rows_of_a_hot_key_are_not_dealt_to_one_task(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "herb", None, "Red" if i % 4 else f"n{i}", None, None, None, None) for i in range(40)], ITEMS)
     items = spark.createDataFrame([(i, "herb", None, n, None, None, None, None) for i, n in ((100, "red"), (101, "red"), (102, "n8"))], ITEMS)
