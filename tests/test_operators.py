@@ -380,3 +380,32 @@ def test_rows_of_a_hot_key_are_not_dealt_to_one_task(spark, monkeypatch):
     links, _ = resolve.row_candidates(rows, items)
     got = {(r.row_id, r.class_id, r.match_type, r.n_items) for r in links.collect()}
     assert got == {(i, 102 if i == 8 else 100, m, 1 if i == 8 else 2) for i in range(40) if i % 4 or i == 8 for m in ("type_name_exact", "fingerprint_match")}
+
+
+def test_row_keys_are_small_and_met_like_their_values(spark, monkeypatch):
+    """Keys were hex digests of 64 characters, three or four a row, written, counted by a shuffle and dealt."""
+    rng = np.random.default_rng(3)
+
+    def some(*values):
+        return [values[i] for i in rng.integers(0, len(values), 60)]
+
+    kinds = some("h", "g", None, "a|code|B", ""), some("A1", "a-1", None, "", "B"), some("x", "X ", "yy", None, "", "w"), some("x", "x,yy;zz", None, "yy|x", "w"), some("p", "P1", None), some("c", None, "a|code|1", "x")
+    both = [(i, *values, None) for i, values in enumerate(zip(*kinds))]
+    rows, items = (spark.createDataFrame(part, ITEMS) for part in (both[:30], both[30:]))
+    monkeypatch.setattr(resolve, "materialized", None)  # nothing is written
+    told = {(r.id, i.id, rule) for r in resolve.keyed(rows).collect() for i in resolve.keyed(items).collect() for rule, same in {
+        "type_code_exact": None not in (r.type, r.code_norm) and (r.type, r.code_norm) == (i.type, i.code_norm),
+        "type_name_exact": None not in (r.type, r.name_norm) and (r.type, r.name_norm) == (i.type, i.name_norm),
+        "pinyin_category_suspect": None not in (r.type, r.pinyin_norm, r.category_norm) and (r.type, r.pinyin_norm, r.category_norm) == (i.type, i.pinyin_norm, i.category_norm),
+        "fingerprint_match": r.fingerprint == i.fingerprint,
+        "name_alias_match": None not in (r.type, r.name_norm) and r.type == i.type and r.name_norm in (i.alias_norm or "").split("|"),
+    }.items() if same}
+    assert len({rule for *_, rule in told}) == 5
+    for most in (2, 100_000):
+        monkeypatch.setattr(resolve, "HOT_ROWS", most)
+        links, members = resolve.row_candidates(rows, items)
+        assert {tuple(r)[:3] for r in resolve.candidate_pairs(links, members, rows.select(F.col("id").alias("row_id"))).collect()} == told
+        found = {(r.row_id, r.match_type): (r.class_id, r.n_items, r.score, len(r.key)) for r in links.collect()}
+        assert len(found) == links.count()
+        items_of = {k: [i for r, i, rule in told if (r, rule) == k] for k in found}
+        assert found == {k: (min(v), len(v), resolve.SCORES[k[1]], 16) for k, v in items_of.items()} and found.keys() == {(r, rule) for r, _, rule in told}
